@@ -6,12 +6,18 @@ import public_tokenizers
 
 from taxonaut.llm.common import load
 from taxonaut.llm.packing import pack
+from taxonaut.llm.pieces import encode_and_decode
 
 
 def op1_best_fit_packing(spark, sf_dir):
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+
+def op4_sentencepiece(spark, sf_dir):
+    return encode_and_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
