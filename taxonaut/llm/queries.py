@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from taxonaut.llm.common import load
+from taxonaut.llm import langid
+from taxonaut.llm.common import held_out, load
 from taxonaut.llm.packing import pack
 from taxonaut.llm.pieces import encode_and_decode
+from taxonaut.llm.secrets import scan
 
 
 def op1_best_fit_packing(spark, sf_dir):
@@ -18,6 +21,17 @@ def op4_sentencepiece(spark, sf_dir):
     return encode_and_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+
+def op9_secret_scans(spark, sf_dir):
+    return scan(load(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 3))
+    trees = langid.fit(docs, ~F.col("held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), trees).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
