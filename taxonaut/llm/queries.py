@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from taxonaut.llm import langid
+from taxonaut.llm import langid, substrings, warc
 from taxonaut.llm.common import held_out, load
 from taxonaut.llm.packing import pack
 from taxonaut.llm.pieces import encode_and_decode
@@ -17,11 +17,19 @@ def op1_best_fit_packing(spark, sf_dir):
 
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substrings.digest(load(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     return encode_and_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 
+def op5_warc_revisits(spark, sf_dir):
+    return warc.archive(load(spark, sf_dir, "pages"))
+
+
 def op9_secret_scans(spark, sf_dir):
     return scan(load(spark, sf_dir, "documents"))
 
