@@ -89,8 +89,6 @@ def _later(keys: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
     """Rows that share all `keys` with a row of smaller `places`."""
     order = np.lexsort([*places[::-1], *keys[::-1]])
     new = np.ones(len(order), bool)
-    for k in keys:
-        new[1:] &= True
     same = np.ones(max(0, len(order) - 1), bool)
     for k in keys:
         same &= k[order][1:] == k[order][:-1]
@@ -125,13 +123,11 @@ def _file_block(block: list[tuple[int, int, np.ndarray]], window: int, gram: int
         return _batch([own])
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
     first = np.nonzero(new)[0]
-    size = np.diff(np.concatenate([first, [len(start)]]))
     check = (whole >> np.uint64(32)).astype("<u4")
     data = check.tobytes()
     lead = (anchor - start)[first].astype(np.uint8).tobytes()
     cuts = np.concatenate([first, [len(start)]]) * 4
     leaves = [lead[k : k + 1] + data[cuts[k] : cuts[k + 1]] for k in range(len(first))]
-    del size
     return _batch([own, (g[first].view(np.int64), order_of[first], place[first], leaves)])
 
 
@@ -224,7 +220,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     group = F.when(F.length("leaves") > 0, F.col("g")).otherwise(F.xxhash64("ord", "at"))
     found = filed.repartition(n, group).sortWithinPartitions("g", "ord", "at").mapInArrow(_read_groups, "ord long, at long, n long")
     return (
-        found.select("ord", F.shiftright("at", 32).alias("crc"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("a"), "n")
+        found.select("ord", F.shiftrightunsigned("at", 32).alias("crc"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("a"), "n")
         .groupBy("ord", "crc").agg(F.collect_list(F.struct("a", "n")).alias("ranges"))
     )
 
@@ -246,8 +242,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
 
     A word goes if a window of `window` words of its document covers it whose words also start
     earlier: in a smaller doc_id, or earlier in the same document. Windows are judged on the
-    input. Null ids come after all others; of rows that share a doc_id those with the smaller
-    CRC-32 of the text come first, and equal rows are one place, so none is earlier. Null, empty
+    input. Null ids come after all others; rows that share a doc_id are in the order of a
+    checksum of their texts, and equal rows are one place, so none is earlier. Null, empty
     and short texts lose nothing. Other columns stay.
     """
     ranged = repeats(docs, window, gram).withColumnsRenamed({"ord": "_ord", "crc": "_crc"})
