@@ -24,8 +24,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Date of all records: archives of the same pages are the same bytes.
 DATE = "1970-01-01T00:00:00Z"
-#: Uncompressed bytes of payload an archive file gets, about; one record is never split.
-ARCHIVE_BYTES = 16 << 20
+#: Records of an archive file at most; one record is never split.
+ARCHIVE_RECORDS = 5000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -88,10 +88,9 @@ def record(resolved: DataFrame) -> Column:
     )
 
 
-def write(resolved: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **options: str) -> None:
-    """Write archives of about `archive_bytes` each; options go to the text writer (compression="gzip")."""
-    total = resolved.agg(F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0) + 600)).first()[0] or 0
-    resolved.select(record(resolved).alias("value")).repartition(max(1, -(-total // archive_bytes))).write.option("lineSep", CRLF * 2).options(**options).text(path)
+def write(resolved: DataFrame, path: str, archive_records: int = ARCHIVE_RECORDS, compression: str = "gzip") -> None:
+    """Write an archive a partition, or more where it has over `archive_records` records."""
+    resolved.select(record(resolved).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", archive_records).option("compression", compression).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
