@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from taxonaut.llm import jaccard, langid, substrings, warc
+from taxonaut.llm import jaccard, langid, metric_join, neighbours, substrings, warc
 from taxonaut.llm.common import held_out, load
 from taxonaut.llm.packing import pack
 from taxonaut.llm.pieces import encode_and_decode
@@ -30,6 +30,14 @@ def op5_warc_revisits(spark, sf_dir):
     return warc.archive(load(spark, sf_dir, "pages"))
 
 
+def op6_embedding_near_dedup(spark, sf_dir):
+    return metric_join.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+def op8_nearest_neighbours(spark, sf_dir):
+    return neighbours.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(load(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
