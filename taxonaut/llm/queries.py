@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from taxonaut.llm import jaccard, langid, metric_join, neighbours, substrings, warc
+from taxonaut.llm import jaccard, langid, metric_join, neighbours, pitman_yor, substrings, warc
 from taxonaut.llm.common import held_out, load
 from taxonaut.llm.packing import pack
 from taxonaut.llm.pieces import encode_and_decode
@@ -17,6 +17,11 @@ def op1_best_fit_packing(spark, sf_dir):
 
 
 
+def op2_lm_scoring(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return pitman_yor.score(docs, held_out("doc_id", 5))
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substrings.digest(load(spark, sf_dir, "documents"))
 
