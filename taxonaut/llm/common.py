@@ -11,15 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_GAPS = " \t\n\v\f\r"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
+
+    It is spark.checkpoint.dir; only where the session has none (tests) is a temporary one set.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and drop the lineage.
 
-    The folder is spark.checkpoint.dir; only where the session has none (tests) is a
-    temporary one set. Lost executors re-read the files instead of re-running the plan.
+    Lost executors re-read the files instead of re-running the plan.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

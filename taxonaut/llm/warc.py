@@ -15,7 +15,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from taxonaut.llm.common import cut
+from taxonaut.llm.common import shared_folder
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -139,8 +139,7 @@ def archive(pages: DataFrame, at_least: int = 0, path: str | None = None) -> Dat
     """
     spark = pages.sparkSession
     if path is None:
-        cut(spark.range(0))  # makes sure that there is a shared folder
-        path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(resolve_revisits(pages, at_least), path)
     got = read(spark, path)
     of = F.col("headers")
