@@ -1 +1 @@
-
+"""Column functions: text, identifiers, arrays."""

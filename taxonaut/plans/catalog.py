@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from taxonaut.plans import labels, training
+from taxonaut.plans.tables import QUERIES, SQL
+
+MODULES = (labels, training)
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
