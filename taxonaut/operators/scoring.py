@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 # Rewards.
 FULL, INVALID, STAGE1_MISS, STAGE2_WRONG = 1.0, 0.0, 0.3, 0.5
@@ -35,8 +36,8 @@ def _strict(key: str, check: Callable[[object], bool]) -> Callable[[pd.Series],
 
 
 # Spark's JSON functions accept trailing text and single quotes and refuse repeated keys: hence Python, in Arrow batches.
-_stage1 = F.pandas_udf(_strict("candidates", lambda v: isinstance(v, list) and all(isinstance(x, str) for x in v)), "string")
-_stage2 = F.pandas_udf(_strict("answer", lambda v: isinstance(v, str)), "string")
+_stage1 = F.pandas_udf(_strict("candidates", lambda v: isinstance(v, list) and all(isinstance(x, str) for x in v)), StringType())
+_stage2 = F.pandas_udf(_strict("answer", lambda v: isinstance(v, str)), StringType())
 
 
 def parse_stage1(outputs: DataFrame, text: str, known: list[str], count: int = 5) -> DataFrame:

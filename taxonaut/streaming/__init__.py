@@ -1 +1 @@
-
+"""Structured Streaming extensions (the reference data flow has no streams)."""
