@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from taxonaut.llm.common import WordHashes, components, cut, mix64, words_of
+from taxonaut.llm.common import components, cut, hash_words, mix64
 from taxonaut.llm.substrings import _rolled
 
 ORDERS = 2
@@ -30,23 +30,21 @@ CENTRES = 3
 HEAVY_IN_BLOCK = 16
 HEAVY = 1 << 16
 BLOCK_WORDS = 1_000_000
-SKETCH_BITS = 512
+#: Cells of a parity sketch: about one a shingle, a power of two between these.
+LEAST_CELLS, MOST_CELLS = 512, 1 << 15
 #: Bits of the filter that tells which sets a verification needs; its false positives only cost work.
 FILTER_BITS = 1 << 23
 
-_hashes = WordHashes()
-
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted 64-bit shingles of each text; one for the whole sequence if it has fewer than k words, none without words."""
-    words = [words_of(t, lower=True) for t in texts]
-    h = _hashes.of([w for ws in words for w in ws])
+    h, sizes = hash_words(texts, lower=True)
     rolled = _rolled(h, k, 3)
     out, at = [], 0
-    for ws in words:
-        n = len(ws)
+    for n in sizes.tolist():
         if n >= k:
-            out.append(np.unique(rolled[at : at + n - k + 1]))
+            x = np.sort(rolled[at : at + n - k + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
         elif n:
             out.append(mix64(_rolled(h[at : at + n], n, 40 + n), 4))
         else:
@@ -55,10 +53,39 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(tokens: np.ndarray) -> int:
-    """Signed 64-bit identity of a set."""
+def _laid(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets end to end, their sizes, their starts."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes, np.cumsum(sizes) - sizes
+
+
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Signed 64-bit identity of each set."""
+    tokens, sizes, starts = _laid(sets)
     with np.errstate(over="ignore"):
-        return int(mix64(np.array([mix64(tokens, 5).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64), 6).view(np.int64)[0])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(tokens, 5), dtype=np.uint64)])
+        return mix64(total[starts + sizes] - total[starts] + sizes.astype(np.uint64), 6).view(np.int64)
+
+
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """Parity of the number of shingles in each of as many cells as the set is large."""
+    tokens, sizes, starts = _laid(sets)
+    mixed = mix64(tokens, 7)
+    out = []
+    for n, at in zip(sizes.tolist(), starts.tolist()):
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, n - 1).bit_length()))
+        odd = np.bincount((mixed[at : at + n] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Lower bound of the size of the symmetric difference of two sketched sets; the larger sketch is folded to the smaller."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _sliced(batches, rows: int = 200):
@@ -79,9 +106,9 @@ def _describe(k: int):
         kept, size = [], 0
         for part in _sliced(batches):
             rows = []
-            for doc_id, tokens in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k)):
-                bits = np.bincount((mix64(tokens, 7) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                rows.append((doc_id, fingerprint(tokens) if len(tokens) else None, len(tokens), np.packbits(bits.astype(np.uint8)).tobytes()))
+            sets = shingle_sets(part.column(1).to_pylist(), k)
+            for doc_id, tokens, f, sketch in zip(part.column(0).to_pylist(), sets, fingerprints(sets).tolist(), sketches(sets)):
+                rows.append((doc_id, f if len(tokens) else None, len(tokens), sketch))
                 if len(tokens):
                     kept.append(tokens)
                     size += len(tokens)
@@ -105,25 +132,32 @@ def _prefixes(k: int, num: int, den: int, heavy):
 
     def run(batches):
         tokens_of, count_of = heavy.value
+        likely = np.zeros(1 << 20, bool)  # spares most look-ups among the heavy shingles
+        likely[(tokens_of & np.uint64(len(likely) - 1)).astype(np.int64)] = True
         seen: set[int] = set()
         for part in _sliced(batches):
             keys, fs, ns, ps = [], [], [], []
-            for tokens in shingle_sets(part.column(0).to_pylist(), k):
+            sets = shingle_sets(part.column(0).to_pylist(), k)
+            every, sizes, starts = _laid(sets)
+            weights = np.zeros(len(every), np.int64)
+            some = np.nonzero(likely[(every & np.uint64(len(likely) - 1)).astype(np.int64)])[0]
+            if len(some):
+                at = np.minimum(np.searchsorted(tokens_of, every[some]), len(tokens_of) - 1)
+                weights[some] = np.where(tokens_of[at] == every[some], count_of[at], 0)
+            mixes = [mix64(every, 11 + order) for order in range(ORDERS)]
+            for tokens, f, start in zip(sets, fingerprints(sets).tolist(), starts.tolist()):
                 n = len(tokens)
-                f = fingerprint(tokens) if n else 0
                 if not n or f in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(f)
                 p = n + (-num * n) // den + 1  # n - ceil(num n / den) + 1
-                weight = np.zeros(n, np.int64)
-                if len(tokens_of):
-                    at = np.minimum(np.searchsorted(tokens_of, tokens), len(tokens_of) - 1)
-                    weight = np.where(tokens_of[at] == tokens, count_of[at], 0)
+                weight = weights[start : start + n]
+                weighted = weight.any()
                 for order in range(ORDERS):
-                    mixed = mix64(tokens, 11 + order)
-                    first = np.lexsort((mixed, weight))[:p] if weight.any() else (np.argpartition(mixed, p - 1)[:p] if p < n else np.arange(n))
+                    mixed = mixes[order][start : start + n]
+                    first = np.lexsort((mixed, weight))[:p] if weighted else (np.argpartition(mixed, p - 1)[:p] if p < n else np.arange(n))
                     keys.append((tokens[first] << np.uint64(1)) | np.uint64(order))
                     fs.append(f)
                     ns.append(n)
@@ -262,10 +296,8 @@ class _Join:
         def close(batches):
             for batch in batches:
                 a, b, na, sa, nb, sb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "na", "sa", "nb", "sb"))
-                width = SKETCH_BITS // 8
-                x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, width) for s in (sa, sb))
-                # |A xor B| <= (1 - t) / (1 + t) (|A| + |B|) at the threshold; odd cells bound it from below.
-                odd = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64)
+                # |A xor B| <= (1 - t) / (1 + t) (|A| + |B|) at the threshold.
+                odd = np.array([least_difference(x, y) for x, y in zip(sa.to_pylist(), sb.to_pylist())], np.int64)
                 keep = pa.array(odd * (den + num) <= (den - num) * (na.to_numpy() + nb.to_numpy()))
                 yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
@@ -282,10 +314,10 @@ class _Join:
             seen: set[int] = set()
             for part in _sliced(batches):
                 rows = []
-                for tokens in shingle_sets(part.column(0).to_pylist(), k):
+                sets = shingle_sets(part.column(0).to_pylist(), k)
+                for tokens, f in zip(sets, fingerprints(sets).tolist()):
                     if not len(tokens):
                         continue
-                    f = fingerprint(tokens)
                     bit = f % FILTER_BITS
                     if f not in seen and (int(needed.value[bit >> 6]) >> (bit & 63)) & 1:
                         if len(seen) > 200_000:

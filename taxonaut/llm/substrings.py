@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import WordHashes, mix64, words_of
+from taxonaut.llm.common import hash_words, mix64, words_of
 
 WINDOW = 20
 GRAM = 6
@@ -32,7 +32,6 @@ BLOCK_WORDS = 1_000_000
 LAST = (1 << 63) - 1
 
 RECORDS = "g long, ord long, at long, leaves binary"
-_hashes = WordHashes()
 
 
 def _rolled(h: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -140,16 +139,18 @@ def _file(window: int, gram: int):
     def run(batches):
         block, words = [], 0
         for batch in batches:
-            for order, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                own = words_of(text)
-                if len(own) < window:
-                    continue
-                block.append((order, zlib.crc32(text.encode("utf-8", "surrogatepass")), _hashes.of(own)))
-                words += len(own)
-                if words >= BLOCK_WORDS:
-                    yield _file_block(block, window, gram)
-                    block, words = [], 0
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                texts = part.column(1).to_pylist()
+                hashes, sizes = hash_words(texts)
+                for order, text, own in zip(part.column(0).to_pylist(), texts, np.split(hashes, np.cumsum(sizes)[:-1])):
+                    if len(own) < window:
+                        continue
+                    block.append((order, zlib.crc32(text.encode("utf-8", "surrogatepass")), own))
+                    words += len(own)
+                    if words >= BLOCK_WORDS:
+                        yield _file_block(block, window, gram)
+                        block, words = [], 0
         if block:
             yield _file_block(block, window, gram)
 
