@@ -7,7 +7,7 @@ same sample; a query looks through the windows of neighbouring ranges on every c
 block against block, and what it finds is merged and ranked by the exact measure.
 
 All rows are indexed. On vectors without structure, projections tell little: the default
-windows hold about a quarter of the rows a curve, which keeps recall above 0.9 there, too.
+windows hold about a third of the rows a curve, which keeps recall above 0.9 there, too.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from taxonaut.llm.common import cut
 from taxonaut.llm.vectors import cosines, doubles, fitted, matrix, unit, usable
 
-CURVES = 6
+CURVES = 8
 DIMENSIONS = 4
 BITS = 7
 #: Ranges of a curve, and how many on either side of a query's own it looks through.
 RANGES = 64
-REACH = 8
+REACH = 10
 #: Documented bound of the sample that quantiles are fitted on.
 SAMPLE = 4096
 BLOCK = 8192
