@@ -80,7 +80,7 @@ def grow(samples: dict[str, list[bytes]]) -> ContextTrees:
     k = int(seen.sum()) + 1
     joined = {lang: np.concatenate([np.concatenate([np.zeros(ORDER, np.int64), byte_class[np.frombuffer(t, np.uint8)]]) for t in texts] or [np.zeros(ORDER, np.int64)]) for lang, texts in samples.items()}
     # Known contexts of the highest order, over all languages; every other context falls back to its last two bytes.
-    known = np.unique(np.concatenate([(c[:-3] * k + c[1:-2]) * k + c[2:-1] for c in joined.values()]))
+    known = np.unique(np.concatenate([np.zeros(0, np.int64), *[(c[:-3] * k + c[1:-2]) * k + c[2:-1] for c in joined.values()]]))
     state = np.arange(k**3) % (k * k)
     state = state.astype(np.int32)
     state[known] = k * k + np.arange(len(known))
@@ -148,4 +148,4 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     guess = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.withColumn("_guess", guess("text")).withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
+    return docs.withColumn("__guess", guess("text")).withColumns({"lang_pred": F.col("__guess.lang_pred"), "score": F.col("__guess.score")}).drop("__guess")

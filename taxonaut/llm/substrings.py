@@ -245,19 +245,20 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     earlier: in a smaller doc_id, or earlier in the same document. Windows are judged on the
     input. Null ids come after all others; rows that share a doc_id are in the order of a
     checksum of their texts, and equal rows are one place, so none is earlier. Null, empty
-    and short texts lose nothing. Other columns stay.
+    and short texts lose nothing. Other columns stay, but for any named like the three new ones.
     """
-    ranged = repeats(docs, window, gram).withColumnsRenamed({"ord": "_ord", "crc": "_crc"})
-    keyed = docs.withColumns({"_o": _order(), "_c": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
-    joined = keyed.join(ranged, (F.col("_o") == F.col("_ord")) & (F.col("_c") == F.col("_crc")), "left").drop("_o", "_c", "_ord", "_crc")
-    fields = [f for f in joined.schema if f.name != "ranges"]
+    docs = docs.drop("n_words", "n_removed", "kept")
+    ranged = repeats(docs, window, gram).toDF("__ord", "__crc", "__ranges")
+    keyed = docs.withColumns({"__o": _order(), "__c": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    joined = keyed.join(ranged, (F.col("__o") == F.col("__ord")) & (F.col("__c") == F.col("__crc")), "left").drop("__o", "__c", "__ord", "__crc")
+    fields = [f for f in joined.schema if f.name != "__ranges"]
     names = [f.name for f in fields]
 
     def run(batches):
         for batch in batches:
             for k in range(0, max(1, batch.num_rows), 500):
                 part = batch.slice(k, 500)
-                rows = [_kept(t, r, window) for t, r in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist())]
+                rows = [_kept(t, r, window) for t, r in zip(part.column("text").to_pylist(), part.column("__ranges").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(x) for x in names), pa.array([n for n, _ in rows], pa.int64()), pa.array([n - len(w) for n, w in rows], pa.int64()), pa.array([b" ".join(w).decode("utf-8", "replace") for _, w in rows], pa.string())],
                     names=[*names, "n_words", "n_removed", "kept"],
