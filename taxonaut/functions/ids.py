@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
+from itertools import product
 
 from pyspark.sql import Column, functions as F
 
@@ -39,17 +41,32 @@ def document_id(dataset: Column, label: Column, content: Column) -> Column:
     return F.concat(dataset, F.lit("-"), F.substring(F.sha2(key, 256), 1, 24))
 
 
+@lru_cache(maxsize=8)
+def _orders(size: int) -> tuple[tuple[int, ...], ...]:
+    """Item numbers after the exchanges (i, j) for i from size - 1 down to 1, for every choice of the js in mixed radix."""
+    out = []
+    for picks in product(*[range(i + 1) for i in range(size - 1, 0, -1)]):
+        items = list(range(size))
+        for i, j in zip(range(size - 1, 0, -1), picks):
+            items[i], items[j] = items[j], items[i]
+        out.append(tuple(items))
+    return tuple(out)
+
+
 def permuted(items: Column, source_id: Column, size: int) -> Column:
-    """Fisher-Yates over an array of `size` items; swap i takes byte i of the SHA-256 of source_id, modulo i + 1."""
+    """Fisher-Yates over an array of `size` items; swap i takes byte i of the SHA-256 of source_id, modulo i + 1.
+
+    The bytes give a number in mixed radix, which picks an order from a literal table of size! orders.
+    """
+    if not 1 < size < 7:
+        raise ValueError("sizes from 2 to 6 are tabulated")
     digest = F.sha2(source_id.cast("string"), 256)
+    pick = F.lit(0)
     for i in range(size - 1, 0, -1):
-        byte = F.conv(F.substring(digest, 2 * (i % 32) + 1, 2), 16, 10).cast("int")
-        items = _swapped(items, i, byte % (i + 1))
-    return items
-
-
-def _swapped(items: Column, i: int, j: Column) -> Column:
-    return F.transform(items, lambda x, k: F.when(k == i, F.get(items, j)).when(k == j, F.get(items, F.lit(i))).otherwise(x))
+        byte = F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
+        pick = pick * (i + 1) + byte % (i + 1)
+    table = F.array(*[F.array(*[F.lit(k) for k in order]) for order in _orders(size)])
+    return F.transform(F.get(table, pick), lambda k: F.get(items, k))
 
 
 def fingerprint(df, order: Sequence[str]):

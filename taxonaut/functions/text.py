@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 
 #: Every character that Python's str.isspace() knows, as a Java regex class.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_SPACE = SPACE.replace("[", "[^", 1)
 # A classification code such as A3, A01 or A1-1-3, its brackets and its leading form.
 CODE = r"[A-Za-z]+\p{Nd}*(?:-\p{Nd}+)*"
 OPEN, CLOSE = r"[\(\[（【]", r"[\)\]）】]"

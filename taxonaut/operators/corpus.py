@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from taxonaut.functions import ids, text
 
@@ -13,14 +13,19 @@ def documents(guide: DataFrame, dataset: str, order: str, label: str, content: s
     Rows without label or content are skipped (see skipped()); a row is a duplicate if first_row differs from its own.
     The first rows are found by aggregation with map-side combination, then joined back on the id.
     """
-    kept = guide.select(order, text.strip_code(F.col(label)).alias("label"), text.clean(F.col(content)).alias("content")).where("label <> '' and content <> ''")
+    kept = guide.where(_usable(label, content)).select(order, text.strip_code(F.col(label)).alias("label"), text.clean(F.col(content)).alias("content"))
     keyed = kept.withColumn("document_id", ids.document_id(F.lit(dataset), F.col("label"), F.col("content"))).drop("content")
     first = keyed.groupBy("document_id").agg(F.min(order).alias("first_row"))
     return keyed.join(first, "document_id")
 
 
 def skipped(guide: DataFrame, label: str, content: str) -> DataFrame:
-    return guide.where((text.strip_code(F.col(label)) == "") | (text.clean(F.col(content)) == ""))
+    return guide.where(~_usable(label, content))
+
+
+def _usable(label: str, content: str) -> Column:
+    """A label is left without its code, and the content has more than white space (found at its first character, as a rule)."""
+    return (text.strip_code(F.col(label)) != "") & F.coalesce(F.col(content).rlike(text.NOT_SPACE), F.lit(False))
 
 
 def statistics(docs: DataFrame, label: str, content: str) -> DataFrame:
