@@ -77,6 +77,29 @@ def check_sft(rows: DataFrame, registry: list[str]) -> DataFrame:
     return rows.select("source_id", "stage", errors.alias("errors")).where(F.size("errors") > 0)
 
 
+def check_rl(rows: DataFrame, registry: list[str], source: str) -> DataFrame:
+    """source_id, stage and errors (in check order) of reinforcement rows that break the contract; empty for a good export."""
+    info, truth = F.col("extra_info"), F.col("reward_model")["ground_truth"]
+    roles = F.transform("prompt", lambda m: m["role"])
+    checks = [
+        (F.col("data_source") != source, "unknown data source"),
+        (roles != F.array(F.lit("system"), F.lit("user")), "roles must be system, user"),
+        (F.exists("prompt", lambda m: F.trim(m["content"]) == ""), "blank message"),
+        (~info["stage"].isin("stage1", "stage2"), "unknown stage"),
+        (~truth.isin(*registry), "ground truth is not in the registry"),
+        ((F.size(info["candidates"]) != 5) | (F.size(F.array_distinct(info["candidates"])) != 5), "five different candidates are needed"),
+        (~F.array_contains(info["candidates"], truth), "candidates lack the ground truth"),
+    ]
+    errors = F.filter(F.array(*[F.when(bad, F.lit(said)) for bad, said in checks]), lambda e: e.isNotNull())
+    return rows.select(info["source_id"].alias("source_id"), info["stage"].alias("stage"), errors.alias("errors")).where(F.size("errors") > 0)
+
+
+def unpaired(rows: DataFrame) -> DataFrame:
+    """Sources of (source_id, stage, ground_truth, candidates) rows without exactly one row a stage, or whose stages differ in truth or candidates."""
+    found = rows.groupBy("source_id").agg(F.count_if(F.col("stage") == "stage1").alias("n1"), F.count_if(F.col("stage") == "stage2").alias("n2"), F.count_distinct("ground_truth").alias("truths"), F.count_distinct("candidates").alias("bundles"))
+    return found.where("n1 <> 1 or n2 <> 1 or truths > 1 or bundles > 1")
+
+
 def message_errors(turns: DataFrame, conversation: str, turn: str, role: str, content: str) -> DataFrame:
     """Per conversation: turns, blank contents, repeated roles in a row, and whether it opens with system or user."""
     w = Window.partitionBy(conversation).orderBy(turn)

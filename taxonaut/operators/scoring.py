@@ -134,3 +134,20 @@ def stage_pairs(rows: DataFrame, source: str, stage: str, first: str, second: st
     """Per source: rows of each stage, and whether there is exactly one of each."""
     out = rows.groupBy(source).agg(F.count_if(F.col(stage) == first).alias("n_first"), F.count_if(F.col(stage) == second).alias("n_second"))
     return out.withColumn("paired", (F.col("n_first") == 1) & (F.col("n_second") == 1))
+
+
+def join_completions(rows: DataFrame, completions: DataFrame, order: str) -> DataFrame:
+    """rows (stage, source_id, ...) with their completion; of several for a row the last by `order` counts, a row without one raises."""
+    last = completions.groupBy("stage", "source_id").agg(F.max_by("completion", order).alias("completion"), F.lit(True).alias("_there"))
+    joined = rows.join(last, ["stage", "source_id"], "left")
+    said = F.concat(F.lit("no completion for "), F.col("stage"), F.lit(" of "), F.col("source_id"))
+    return joined.withColumn("completion", F.when(F.col("_there").isNull(), F.raise_error(said)).otherwise(F.col("completion"))).drop("_there")
+
+
+def generated(rows: DataFrame, system: str, user: str, model: Callable[[str, str], str], into: str = "completion") -> DataFrame:
+    """Adds what an injected model answers to (system, user) prompts, in Arrow batches; a null prompt gets null."""
+
+    def run(systems: pd.Series, users: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or u is None else model(s, u) for s, u in zip(systems, users)], dtype=object)
+
+    return rows.withColumn(into, F.pandas_udf(run, StringType())(F.col(system), F.col(user)))

@@ -116,3 +116,24 @@ def test_export_and_checks(spark):
     assert set(export.rl_rows(staged, "x").columns) == {"data_source", "prompt", "ability", "reward_model", "extra_info"}
     with pytest.raises(Exception, match="not in the corpus"):
         choices.bundle_rows(rows.withColumn("candidates", F.array(F.lit("Q"))), corpus_rows, "source_id").collect()
+
+
+def test_reinforcement_rows_and_pairs(spark):
+    ids = list("ABCDEF")
+    corpus_rows = spark.createDataFrame([(c, c, None) for c in ids], "category_id string, name string, description string")
+    staged = export.stage_rows(spark.createDataFrame([("s1", "B"), ("s2", "F")], "source_id string, truth string"), ids, ids, corpus_rows, {"v": F.col("source_id")})
+    rl = export.rl_rows(staged, "x")
+    assert export.check_rl(rl, ids, "x").isEmpty() and export.check_rl(rl, ids[:2], "y").count() == 4
+    sft = export.sft_rows(staged)
+    assert export.unpaired(sft).isEmpty()
+    assert [r["source_id"] for r in export.unpaired(sft.where("not (source_id = 's2' and stage = 'stage1')")).collect()] == ["s2"]
+
+
+def test_completions(spark):
+    rows = spark.createDataFrame([("stage2", "a", "sys", "u1"), ("stage2", "b", "sys", None)], "stage string, source_id string, s string, u string")
+    made = scoring.generated(rows, "s", "u", lambda s, u: u.upper())
+    assert [r["completion"] for r in made.orderBy("source_id").collect()] == ["U1", None]
+    done = spark.createDataFrame([("stage2", "a", "old", 0), ("stage2", "a", "new", 1)], "stage string, source_id string, completion string, n int")
+    assert scoring.join_completions(rows.where("source_id = 'a'"), done, "n").first()["completion"] == "new"
+    with pytest.raises(Exception, match="no completion for stage2 of b"):
+        scoring.join_completions(rows, done, "n").collect()
