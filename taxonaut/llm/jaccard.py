@@ -27,11 +27,13 @@ ORDERS = 2
 SMALL = 16
 CENTRES = 3
 #: A shingle counts as heavy in a block of documents from so many of them on; the heaviest so many are kept.
-HEAVY_IN_BLOCK = 16
+HEAVY_IN_BLOCK = 8
 HEAVY = 1 << 16
 BLOCK_WORDS = 1_000_000
 #: Cells of a parity sketch: about one a shingle, a power of two between these.
 LEAST_CELLS, MOST_CELLS = 512, 1 << 15
+#: Rows of a block of a large group.
+BLOCK_ROWS = 1024
 #: Bits of the filter that tells which sets a verification needs; its false positives only cost work.
 FILTER_BITS = 1 << 23
 
@@ -234,6 +236,51 @@ def _meet(num: int, den: int):
     return run
 
 
+def _apart(num: int, den: int):
+    """Sorted rows (key, hi, lo, mine, f, n, component, sketch) -> (key, a, b) of block hi against block lo.
+
+    Pairs of different components whose sizes fit and whose sketches allow the threshold. A block
+    pair has at most twice BLOCK_ROWS rows, about; only those are held.
+    """
+
+    def meet(rows):
+        key, hi, lo = rows[0][:3]
+        mine, f, n, component = (np.array([r[c] for r in rows], np.int64) for c in range(3, 7))
+        left, right = np.nonzero(mine == hi)[0], np.nonzero(mine == lo)[0]
+        size, other = n[left][:, None], n[right][None]
+        fits = (den * np.minimum(size, other) >= num * np.maximum(size, other)) & (component[left][:, None] != component[right][None])
+        if hi == lo:
+            fits &= f[left][:, None] < f[right][None]
+        i, j = np.nonzero(fits)
+        if not len(i):
+            return []
+        width = min(len(r[7]) for r in rows)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[7], np.uint8).reshape(-1, width), axis=0) for r in rows])
+        i, j = left[i], right[j]
+        keep = []
+        for k in range(0, len(i), 1 << 15):
+            a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            odd = np.bitwise_count(folded[a] ^ folded[b]).sum(axis=1, dtype=np.int64)
+            keep.append(odd * (den + num) <= (den - num) * (n[a] + n[b]))
+        keep = np.concatenate(keep)
+        return [(key, int(a), int(b)) for a, b in zip(f[i[keep]], f[j[keep]])]
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                if held and held[0][:3] != row[:3]:
+                    out += meet(held) if len(held) > 1 else []
+                    held = []
+                held.append(row)
+            yield _batch(out, "key a b", pa.int64(), pa.int64(), pa.int64())
+        if len(held) > 1:
+            yield _batch(meet(held), "key a b", pa.int64(), pa.int64(), pa.int64())
+
+    return run
+
+
 def _rows(out) -> pa.RecordBatch:
     columns = [np.concatenate([np.full(len(x[1]), x[0], np.int64) for x in out])] if out else [np.zeros(0, np.int64)]
     for c in range(1, 5):
@@ -275,13 +322,16 @@ class _Join:
         label = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "f")
         labelled = large.join(label, "f", "left").withColumn("component", F.coalesce("component", "f"))
         mixed = labelled.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").drop("mixed")
-        step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(self.den / self.num)))
-        rest = cut(labelled.join(mixed, "key").withColumn("size", step))
-        if rest.isEmpty():
+        rest = labelled.join(mixed, "key")
+        # Blocks of a group meet pairwise; what comes out are the pairs that the sketches leave, not all pairs.
+        blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+        dealt = rest.join(blocks, "key").join(self.sets.select("f", "sketch"), "f").withColumn("mine", F.pmod(F.xxhash64("f"), "blocks"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.greatest("mine", "other").alias("hi"), F.least("mine", "other").alias("lo"), "mine", "f", "n", "component", "sketch")
+        far = dealt.repartition(n, "key", "hi", "lo").sortWithinPartitions("key", "hi", "lo").mapInArrow(_apart(self.num, self.den), "key long, a long, b long")
+        far = cut(_ordered(far).select("a", "b", order.alias("orders")).distinct())
+        if far.isEmpty():
             return first
-        near = rest.select("key", F.col("f").alias("g"), F.col("n").alias("m"), F.col("component").alias("other"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-        fit = (F.col("f") < F.col("g")) & (F.col("component") != F.col("other")) & (F.least("n", "m") * self.den >= F.greatest("n", "m") * self.num)
-        far = rest.join(near, ["key", "size"]).where(fit).select(F.col("f").alias("a"), F.col("g").alias("b"), order.alias("orders"))
         # A pair may meet in a large group under one order and in a small one under the other.
         again = far.unionByName(small.select("a", "b", "orders")).groupBy("a", "b").agg(F.bit_or("orders").alias("orders"), F.count("*").alias("n")).where((F.col("orders") == both)).select("a", "b")
         again = again.join(small.where(F.col("orders") == both).select("a", "b"), ["a", "b"], "left_anti")
