@@ -57,13 +57,12 @@ def match_corpora(records: DataFrame, corpora: DataFrame, leaf: str, path: Seque
     entries = corpora.select("corpus", "pos", text.compact(F.col("leaf")).alias("key"), F.col("ancestors").alias("entry_path"))
     size = entries.groupBy("corpus", "key").agg(F.count("*").alias("n_entries"))
     agree = counted.select("key", "ancestors").distinct().join(entries, "key").where(F.col("entry_path").isNull() | (F.col("entry_path") == F.col("ancestors"))).groupBy("corpus", "key", "ancestors").agg(F.min("pos").alias("first_hit"))
-    every = counted.crossJoin(F.broadcast(entries.select("corpus").distinct()))  # a handful of corpora: a row for each, not pairs of rows
-    joined = every.join(size, ["corpus", "key"], "left").join(agree, ["corpus", "key", "ancestors"], "left")
-    matched, n = F.col("n_entries").isNotNull(), F.col("n")
-    return joined.groupBy("corpus").agg(
-        F.sum("n").alias("samples"), F.sum(F.when(matched, n).otherwise(0)).alias("matched"), F.sum(F.when(F.col("n_entries") > 1, n).otherwise(0)).alias("ambiguous"), F.sum(F.when(F.col("first_hit").isNotNull(), n).otherwise(0)).alias("path_agrees"),
-        F.count_distinct("key").alias("leaves"), F.count_distinct(F.when(matched, F.col("key"))).alias("matched_leaves"),
-    ).withColumn("rate", F.col("matched").cast("double") / F.col("samples"))
+    n = F.col("n")
+    found = counted.join(size, "key").join(agree, ["corpus", "key", "ancestors"], "left")
+    matches = found.groupBy("corpus").agg(F.sum("n").alias("matched"), F.sum(F.when(F.col("n_entries") > 1, n).otherwise(0)).alias("ambiguous"), F.sum(F.when(F.col("first_hit").isNotNull(), n).otherwise(0)).alias("path_agrees"), F.count_distinct("key").alias("matched_leaves"))
+    totals = counted.agg(F.sum("n").alias("samples"), F.count_distinct("key").alias("leaves"))  # one row
+    out = entries.select("corpus").distinct().join(matches, "corpus", "left").crossJoin(totals).fillna(0)
+    return out.select("corpus", "samples", "matched", "ambiguous", "path_agrees", "leaves", "matched_leaves", F.coalesce(F.try_divide(F.col("matched").cast("double"), F.col("samples")), F.lit(0.0)).alias("rate"))
 
 
 def best_corpus(matches: DataFrame) -> DataFrame:
