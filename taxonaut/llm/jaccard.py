@@ -30,8 +30,8 @@ CENTRES = 3
 HEAVY_IN_BLOCK = 8
 HEAVY = 1 << 16
 BLOCK_WORDS = 1_000_000
-#: Cells of a parity sketch: about one a shingle, a power of two between these.
-LEAST_CELLS, MOST_CELLS = 512, 1 << 15
+#: Cells of a parity sketch: four a shingle and more, a power of two between these.
+LEAST_CELLS, MOST_CELLS = 1024, 1 << 17
 #: Rows of a block of a large group.
 BLOCK_ROWS = 1024
 #: Bits of the filter that tells which sets a verification needs; its false positives only cost work.
@@ -70,12 +70,12 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray]) -> list[bytes]:
-    """Parity of the number of shingles in each of as many cells as the set is large."""
+    """Parity of the number of shingles in each cell; four times as many cells as the set is large, at least."""
     tokens, sizes, starts = _laid(sets)
     mixed = mix64(tokens, 7)
     out = []
     for n, at in zip(sizes.tolist(), starts.tolist()):
-        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, n - 1).bit_length()))
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 4 << max(0, n - 1).bit_length()))
         odd = np.bincount((mixed[at : at + n] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
         out.append(np.packbits(odd.astype(np.uint8)).tobytes())
     return out
