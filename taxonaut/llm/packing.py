@@ -27,9 +27,9 @@ PLACED = PIECES + ", sequence_id long, offset long"
 
 
 class ChunkIds(dict):
-    """Ids (little-endian uint32 bytes) of a chunk: one optional gap character and the non-space run after it."""
+    """Ids (little-endian uint32 bytes) of a word after a space, or of a line feed and the word after it."""
 
-    def __init__(self, ranks, pattern: str, limit: int = 300_000):
+    def __init__(self, ranks, pattern: str, limit: int = 400_000):
         super().__init__()
         import tiktoken
 
@@ -38,9 +38,12 @@ class ChunkIds(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        self[chunk] = ids = np.array(self.encoding.encode_ordinary(chunk), "<u4").tobytes()
+        self[chunk] = ids = self.encode(chunk if chunk[0] == "\n" else " " + chunk)
         return ids
 
+    def encode(self, text: str) -> bytes:
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+
 
 class ByteLevelEncoder:
     """Ids of whole texts as the tokenizers library gives them for a byte-level BPE file.
@@ -51,7 +54,9 @@ class ByteLevelEncoder:
     may differ between Unicode versions), go to the tokenizers library whole.
     """
 
-    ODD = ("  ", " \n", "\n ", "\n\n")
+    #: White space but single spaces and line feeds, as UTF-8; below LAST_BYTE all characters are Latin.
+    ODD = tuple(x.encode() for x in ("  ", " \n", "\n ", "\n\n", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0"))
+    LAST_BYTE = 0xC8
 
     def __init__(self, json_file: str):
         import json
@@ -75,11 +80,11 @@ class ByteLevelEncoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(x in text for x in self.ODD) or text[0].isspace() or text[-1].isspace() or max(text) >= "ɐ" or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        raw = text.encode("utf-8", "surrogatepass")
+        if text[0].isspace() or text[-1].isspace() or np.frombuffer(raw, np.uint8).max() > self.LAST_BYTE or any(x in raw for x in self.ODD):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         head, *rest = text.replace("\n", " \n").split(" ")
-        of = self.chunks
-        return b"".join([of[head], *[of[x] if x[0] == "\n" else of[" " + x] for x in rest]])
+        return self.chunks.encode(head) + b"".join(map(self.chunks.__getitem__, rest))
 
 
 def _byte_of_char() -> dict[str, int]:
