@@ -136,15 +136,17 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trees = shared.value
         for texts in batches:
-            lettered = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
             lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            if trees.languages and lettered.any():
-                data = [t.encode("utf-8", "surrogatepass") for t in texts[lettered]]
+            for k in range(0, len(texts) if trees.languages else 0, 500):
+                some = texts.iloc[k : k + 500]
+                rows = k + np.nonzero([bool(t) and LETTER.search(t) is not None for t in some])[0]
+                data = [t.encode("utf-8", "surrogatepass") for t in texts.iloc[rows]]
+                if not data:
+                    continue
                 bits = trees.many(data)
-                best = bits.argmin(axis=1)
                 excess = (bits - bits.min(axis=1, keepdims=True)) / np.maximum(1.0, np.array([len(x) for x in data]) / 32)[:, None]
-                lang[lettered] = np.array(trees.languages, object)[best]
-                score[lettered] = 1.0 / np.exp2(-excess).sum(axis=1)
+                lang[rows] = np.array(trees.languages, object)[bits.argmin(axis=1)]
+                score[rows] = 1.0 / np.exp2(-excess).sum(axis=1)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     guess = F.pandas_udf(run, "lang_pred string, score double")

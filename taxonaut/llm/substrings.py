@@ -28,7 +28,7 @@ from taxonaut.llm.common import hash_words, mix64, words_of
 WINDOW = 20
 GRAM = 6
 #: Words a mapper holds at a time; a longer document is held whole.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 300_000
 LAST = (1 << 63) - 1
 
 RECORDS = "g long, ord long, at long, leaves binary"
