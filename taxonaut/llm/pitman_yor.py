@@ -1,31 +1,34 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Customers are the training tokens. A token is seated in the restaurant of its context; each table opened
-there sends a customer to the parent restaurant, so restaurants share parents:
+Customers are the training tokens. A token is seated in the restaurant of its context, the previous word; each
+table opened there sends a customer to the parent restaurant, so restaurants share parents:
 
-    two last characters of the previous word -> its last character -> root
+    previous word -> its two last characters -> its last character -> root
 
 The root's new tables draw from a diffuse base, whose share is the probability of a word
 outside the training vocabulary (one class, as in the add-half base model). Seating is sampled by
 Gibbs sweeps over tables of every (restaurant, word); probabilities are averaged over samples.
 
 Everything about a word (its counts in all restaurants, its tables) is kept in one shard by the word's
-hash; restaurants are a bounded number (slots of a hash of those characters), so what couples the
-shards are three arrays of restaurant totals, summed between the two jobs:
+hash. Restaurants of words are as many as there are words, so their totals are dealt by the hash of the context
+and sent only to shards that hold the context; those of the classes of characters are a bounded
+number (slots of a hash), so their totals are arrays summed between jobs:
 
-1. blocks of documents become requests: for each shard the block's distinct (word, restaurant) pairs
+1. blocks of documents become requests: for each shard the block's distinct (word, context) pairs
    with their training counts, pre-aggregated, and the block's documents as indices of those pairs;
-2. shards sum the counts, sample seatings and send restaurant totals;
-3. shards sample the same seatings again (same seeds), and with the summed totals answer each block's pairs
+2. shards sum the counts and learn each context's customers and distinct words in the whole corpus;
+3. shards sample seatings and send restaurant totals;
+4. shards sample the same seatings again (same seeds), and with the summed totals answer each block's pairs
    with averaged log probabilities; blocks add them up by document.
 
-Sweeps see the totals of their own shard, scaled to the corpus; a shard holds a random part of the
+Sweeps see a context's tables as one for each distinct word in other shards and as they are in their own, and the
+totals of the classes from their own shard, scaled to the corpus; a shard holds a random part of the
 vocabulary. The final probabilities use the exact totals of each sample.
 """
 
 from __future__ import annotations
 
-import os
+import itertools
 import zlib
 
 import numpy as np
@@ -36,14 +39,16 @@ from taxonaut.llm.common import WordHashes, cut, words_of
 
 LAST_SLOTS = 64
 PAIR_SLOTS = 64
-#: Discounts and strengths of root, last-character and two-character restaurants.
-DISCOUNT = (0.75, 0.8, 0.85)
-STRENGTH = (10.0, 10.0, 10.0)
+#: Discounts and strengths of root, last-character, two-character and word restaurants.
+DISCOUNT = (0.75, 0.8, 0.85, 0.85)
+STRENGTH = (10.0, 10.0, 10.0, 10.0)
 SWEEPS = 3
 SAMPLES = 3
 #: Shards of the vocabulary at least; spark.sql.shuffle.partitions of them if that is more.
 SHARDS = 64
 BLOCK_TOKENS = 1_500_000
+#: Pairs a shard takes in before it sums them.
+HELD_PAIRS = 2_000_000
 MARKS = b".,;:!?*$%&#|\"'()"
 END = b"\n"  # no word holds a line feed
 
@@ -66,6 +71,31 @@ class Contexts(dict):
 RESTAURANTS = LAST_SLOTS * PAIR_SLOTS
 _contexts = Contexts()
 _START = zlib.crc32(b"start") % RESTAURANTS
+#: A context's number: 40 bits of its word's hash above its two-character restaurant.
+CLASS_BITS = 12
+ID_BITS = 52
+assert RESTAURANTS == 1 << CLASS_BITS
+
+
+def _context_ids(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - ID_BITS + CLASS_BITS) << np.uint64(CLASS_BITS)) | classes.astype(np.uint64)
+
+
+def _planes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of contexts as class, low and high part of the hash, which pack better apart."""
+    return (ids & np.uint64(RESTAURANTS - 1)).astype("u2"), (ids >> np.uint64(CLASS_BITS) & np.uint64(0xFFFFFFFF)).astype("u4"), (ids >> np.uint64(CLASS_BITS + 32)).astype("u1")
+
+
+PLANES = ("u2", "u4", "u1")
+
+
+def _ids(rest: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(CLASS_BITS + 32)) | (low.astype(np.uint64) << np.uint64(CLASS_BITS)) | rest.astype(np.uint64)
+
+
+def _range_of(ids: np.ndarray, shards: int) -> np.ndarray:
+    """Which of `shards` ranges of contexts, in order."""
+    return (ids >> np.uint64(ID_BITS - 16)).astype(np.int64) * shards >> 16
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -87,17 +117,16 @@ def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _encode_block(block, shards: int):
-    """(shard or -1, kind, block id, data) rows of a block [(doc_id, learn, hashes, contexts)]."""
-    block_id = int.from_bytes(os.urandom(8), "little") >> 1
+def _encode_block(block, shards: int, block_id: int):
+    """(shard, kind, block id, data) rows of a block [(doc_id, learn, hashes, contexts)]: requests, and of kind 1 the documents."""
     size = np.array([len(x[2]) for x in block], np.int64)
     word = np.concatenate([x[2] for x in block])
-    context = np.concatenate([x[3] for x in block]).astype(np.int64)
+    contexts, context = np.unique(np.concatenate([x[3] for x in block]), return_inverse=True)
     learn = np.repeat(np.array([x[1] for x in block], bool), size)
     unique, word_at = np.unique(word, return_inverse=True)
-    pair, index = np.unique(word_at.astype(np.int64) * RESTAURANTS + context, return_inverse=True)
+    pair, index = np.unique(word_at.astype(np.int64) * len(contexts) + context, return_inverse=True)
     count = np.bincount(index, weights=learn, minlength=len(pair)).astype(np.uint32)
-    first = np.searchsorted(pair // RESTAURANTS, np.arange(len(unique) + 1))
+    first = np.searchsorted(pair // len(contexts), np.arange(len(unique) + 1))
     # Shards are ranges of the hash, so words, and with them pairs, stay in order.
     shard = (unique >> np.uint64(48)).astype(np.int64) * shards >> 16
     for s in range(shards):
@@ -108,27 +137,32 @@ def _encode_block(block, shards: int):
         pairs_of = np.diff(first[a : b + 1])
         own = unique[a:b]
         step = np.concatenate([own[:1], np.diff(own)])
-        yield s, block_id, _pack(step, pairs_of.astype(np.uint16), (pair[pairs] % RESTAURANTS).astype(np.uint16), count[pairs])
+        yield s, 0, block_id, _pack(step, pairs_of.astype(np.uint32), *_planes(contexts[pair[pairs] % len(contexts)]), count[pairs])
     ids = np.array([x[0] if x[0] is not None else 0 for x in block], np.int64)
     null = np.array([x[0] is None for x in block], np.uint8)
     flags = np.array([x[1] for x in block], np.uint8)
-    yield -1, block_id, _pack(ids, null, flags, size, index.astype(np.uint32))
+    yield block_id % shards, 1, block_id, _pack(ids, null, flags, size, index.astype(np.uint32))
 
 
 def _encode(shards: int):
     def run(batches):
+        from pyspark import TaskContext
+
         block, tokens = [], 0
+        # A task that runs again gives its blocks the same numbers.
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
         def out():
-            rows = list(_encode_block(block, shards))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "block", "data"])
+            rows = list(_encode_block(block, shards, next(numbers)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["shard", "kind", "block", "data"])
 
         for batch in batches:
             for doc_id, text, learn in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = words_of(text.as_py(), lower=True)
                 words.append(END)
-                contexts = np.fromiter(map(_contexts.__getitem__, words), np.int64, len(words))
-                block.append((doc_id, bool(learn), _hashes.of(words), np.concatenate([[_START], contexts[:-1]])))
+                hashes = _hashes.of(words)
+                contexts = _context_ids(hashes, np.fromiter(map(_contexts.__getitem__, words), np.int64, len(words)))
+                block.append((doc_id, bool(learn), hashes, np.concatenate([np.array([_START], np.uint64), contexts[:-1]])))
                 tokens += len(words)
                 if tokens >= BLOCK_TOKENS:
                     yield out()
@@ -154,13 +188,18 @@ class Shard:
             counts.append(count[keep])
         h, r, c = np.concatenate(hashes), np.concatenate(rests).astype(np.int64), np.concatenate(counts).astype(np.int64)
         self.words, w = np.unique(h, return_inverse=True)
-        key, at = np.unique(w.astype(np.int64) * RESTAURANTS + r, return_inverse=True)
-        self.key, self.c2 = key, np.bincount(at, weights=c, minlength=len(key)).astype(np.int64)
-        self.rest2 = key % RESTAURANTS
-        key1, self.up1 = np.unique(key // PAIR_SLOTS, return_inverse=True)
+        at = self._parents(w.astype(np.int64) * RESTAURANTS + r)
+        self.c2 = np.bincount(at, weights=c, minlength=len(self.key)).astype(np.int64)
+        self.count = np.bincount(self.up0[self.up1], weights=self.c2, minlength=len(self.words)).astype(np.int64)
+
+    def _parents(self, key2: np.ndarray) -> np.ndarray:
+        """Rows of the character restaurants over all `key2`; returns each key's row."""
+        self.key, at = np.unique(key2, return_inverse=True)
+        self.rest2 = self.key % RESTAURANTS
+        key1, self.up1 = np.unique(self.key // PAIR_SLOTS, return_inverse=True)
         self.rest1 = key1 % LAST_SLOTS
         self.up0 = key1 // LAST_SLOTS  # word number
-        self.count = np.bincount(self.up0[self.up1], weights=self.c2, minlength=len(self.words)).astype(np.int64)
+        return at
 
     def seatings(self, seed: int, scale: float):
         """Samples of tables (t2, t1, t0) of each row; customers of a parent are its children's tables."""
@@ -196,6 +235,77 @@ class Shard:
         return (customers - DISCOUNT[level] * tables) / (STRENGTH[level] + n[rest]) + share[rest] * parent, share
 
 
+class WordShard(Shard):
+    """Counts of a shard's words in restaurants of whole words: (word, context) rows above those of Shard.
+
+    `contexts` are all that the shard's blocks ask for, `key3` and `c3` the pairs with training counts.
+    """
+
+    def __init__(self, requests: list[bytes]):
+        h = i = np.zeros(0, np.uint64)
+        c, self.contexts = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held, size = [], 0
+        for k, data in enumerate(requests):
+            words, pairs_of, ids, count = self.request(data)
+            keep = count > 0
+            held.append((np.repeat(words, pairs_of)[keep], ids[keep], count[keep].astype(np.int64), np.unique(ids)))
+            size += len(ids)
+            if size > HELD_PAIRS or k == len(requests) - 1:
+                h, i, c = (np.concatenate([old, *(x[n] for x in held)]) for n, old in enumerate((h, i, c)))
+                order = np.lexsort((i, h))
+                h, i, c = h[order], i[order], c[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (i[1:] != i[:-1])
+                first = np.nonzero(new)[0]
+                h, i, c = h[first], i[first], np.add.reduceat(c, first) if len(first) else c
+                self.contexts = np.unique(np.concatenate([self.contexts, *(x[3] for x in held)]))
+                held, size = [], 0
+        self.words, w = np.unique(h, return_inverse=True)
+        self.context3 = np.searchsorted(self.contexts, i)
+        self.key3, self.c3 = w.astype(np.int64) * max(1, len(self.contexts)) + self.context3, c
+        self.up2 = self._parents(w.astype(np.int64) * RESTAURANTS + (i & np.uint64(RESTAURANTS - 1)).astype(np.int64))
+        self.count = np.bincount(w, weights=c, minlength=len(self.words)).astype(np.int64)
+
+    @staticmethod
+    def request(data: bytes):
+        """Words, pairs of each, their contexts and training counts."""
+        step, pairs_of, rest, low, high, count = _unpack(data, "u8", "u4", *PLANES, "u4")
+        with np.errstate(over="ignore"):
+            return np.cumsum(step, dtype=np.uint64), pairs_of, _ids(rest, low, high), count
+
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context3, weights=values, minlength=len(self.contexts)).astype(np.int64)
+
+    def word_seatings(self, seed: int, scale: float, kinds: np.ndarray):
+        """Samples of tables (t3, c2, t2, c1, t1, c0, t0); kinds: distinct words of each context in the whole corpus."""
+        rng = np.random.default_rng(seed)
+        elsewhere = kinds - self.by_context(np.minimum(self.c3, 1))
+        t3 = np.minimum(self.c3, 1)
+        t1 = t2 = t0 = None
+        for sweep in range(SWEEPS + SAMPLES):
+            c2 = np.bincount(self.up2, weights=t3, minlength=len(self.key)).astype(np.int64)
+            t2 = np.minimum(c2, 1) if t2 is None else _seat(rng, c2, DISCOUNT[2], self._opens(2, t2, p1[self.up1], self.rest2, RESTAURANTS, scale))
+            c1 = np.bincount(self.up1, weights=t2, minlength=len(self.rest1)).astype(np.int64)
+            t1 = np.minimum(c1, 1) if t1 is None else _seat(rng, c1, DISCOUNT[1], self._opens(1, t1, p0[self.up0], self.rest1, LAST_SLOTS, scale))
+            c0 = np.bincount(self.up0, weights=t1, minlength=len(self.words)).astype(np.int64)
+            t0 = np.minimum(c0, 1) if t0 is None else _seat(rng, c0, DISCOUNT[0], np.full(len(c0), (STRENGTH[0] + DISCOUNT[0] * t0.sum() * scale) / max(1.0, len(self.words) * scale)))
+            if sweep > SWEEPS:
+                yield t3, c2, t2, c1, t1, c0, t0
+            n0, k0 = max(1.0, c0.sum() * scale), t0.sum() * scale
+            p0 = (c0 - DISCOUNT[0] * t0 + (STRENGTH[0] + DISCOUNT[0] * k0) / max(1.0, len(self.words) * scale)) / (STRENGTH[0] + n0)
+            p1, _ = self._predict(1, c1, t1, p0[self.up0], self.rest1, LAST_SLOTS, scale)
+            p2, _ = self._predict(2, c2, t2, p1[self.up1], self.rest2, RESTAURANTS, scale)
+            tables = (elsewhere + self.by_context(t3))[self.context3]
+            t3 = _seat(rng, self.c3, DISCOUNT[3], (STRENGTH[3] + DISCOUNT[3] * tables) * p2[self.up2])
+        c2 = np.bincount(self.up2, weights=t3, minlength=len(self.key)).astype(np.int64)
+        t2 = _seat(rng, c2, DISCOUNT[2], self._opens(2, t2, p1[self.up1], self.rest2, RESTAURANTS, scale))
+        c1 = np.bincount(self.up1, weights=t2, minlength=len(self.rest1)).astype(np.int64)
+        t1 = _seat(rng, c1, DISCOUNT[1], self._opens(1, t1, p0[self.up0], self.rest1, LAST_SLOTS, scale))
+        c0 = np.bincount(self.up0, weights=t1, minlength=len(self.words)).astype(np.int64)
+        t0 = _seat(rng, c0, DISCOUNT[0], np.full(len(c0), (STRENGTH[0] + DISCOUNT[0] * t0.sum() * scale) / max(1.0, len(self.words) * scale)))
+        yield t3, c2, t2, c1, t1, c0, t0
+
+
 def _seat(rng, customers: np.ndarray, discount: float, opens: np.ndarray, exact: int = 24) -> np.ndarray:
     """Tables that `customers` of one dish take when each opens one with weight `opens`, or joins with n - discount * tables.
 
@@ -219,18 +329,59 @@ def _seat(rng, customers: np.ndarray, discount: float, opens: np.ndarray, exact:
     return tables
 
 
-def _grouped(batches):
-    """(shard, [(block, data)]) of batches sorted by shard and block."""
-    shard, rows = None, []
-    for batch in batches:
-        for s, b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if s != shard:
-                if rows:
-                    yield shard, rows
-                shard, rows = s, []
-            rows.append((b, d.as_py()))
-    if rows:
-        yield shard, rows
+def _rows(table: pa.Table) -> list[tuple[int, int, bytes]]:
+    """(kind, block, data) in order."""
+    kinds, blocks = (table.column(c).to_pylist() for c in ("kind", "block"))
+    data = table.column("data")
+    return [(kinds[k], blocks[k], data[k].as_py()) for k in sorted(range(len(blocks)), key=lambda k: (kinds[k], blocks[k]))]
+
+
+MESSAGE = "shard int, kind int, block long, data binary"
+
+
+def _table(rows) -> pa.Table:
+    return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array([r[2] for r in rows], pa.int64()), "data": pa.array([r[3] for r in rows], pa.binary())})
+
+
+def _dealt(own: WordShard, shard: int, shards: int, *values: np.ndarray):
+    """Messages to the ranges of contexts: the shard's contexts and its values of each."""
+    of = _range_of(own.contexts, shards)
+    for s in np.unique(of).tolist():
+        a, b = np.searchsorted(of, [s, s + 1])
+        yield s, 0, shard, _pack(*_planes(own.contexts[a:b]), *(v[a:b].astype("u4") for v in values))
+
+
+def _summed(messages: DataFrame, count: int, kind: int) -> DataFrame:
+    """Totals over all shards of what _dealt() sent, back to each shard, in the order of its contexts."""
+
+    def total(table: pa.Table) -> pa.Table:
+        rows = _rows(table)
+        parts = [_unpack(data, *PLANES, *["u4"] * count) for _, _, data in rows]
+        ids = [_ids(*x[:3]) for x in parts]
+        all_ids, at = np.unique(np.concatenate(ids), return_inverse=True)
+        sums = [np.bincount(at, weights=np.concatenate([x[3 + k] for x in parts]), minlength=len(all_ids)).astype("u8") for k in range(count)]
+        here = table.column("shard")[0].as_py()
+        ends = np.cumsum([len(x) for x in ids])
+        return _table([(shard, kind, here, _pack(*(v[at[end - len(own) : end]] for v in sums))) for (_, shard, _), own, end in zip(rows, ids, ends.tolist())])
+
+    return messages.groupBy("shard").applyInArrow(total, MESSAGE)
+
+
+def _answers(rows, kind: int, count: int) -> list[np.ndarray]:
+    """The totals that _summed() sent back, over all contexts of the shard."""
+    parts = [_unpack(data, *["u8"] * count) for k, _, data in rows if k == kind]
+    return [np.concatenate([np.zeros(0, np.int64), *(p[n].astype(np.int64) for p in parts)]) for n in range(count)]
+
+
+def _kept_in_place(df: DataFrame) -> DataFrame:
+    """cut(), whose result is still known to be dealt by its key (adaptive plans forget that), so that it is not dealt again."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.select("*"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
 
 
 def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataFrame:
@@ -243,83 +394,102 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
     spark = docs.sparkSession
     shards = shards or max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     flagged = docs.select(F.col("doc_id").cast("long"), F.col("text"), (~held_out).alias("learn"))
-    encoded = cut(flagged.mapInArrow(_encode(shards), "shard int, block long, data binary"))
-    requests = encoded.where("shard >= 0").repartition(shards, "shard").sortWithinPartitions("shard", "block")
-
-    def totals(batches):
-        """Restaurant totals of a shard: level, sample, slot, customers, tables; level -1: tokens and words."""
-        for shard, rows in _grouped(batches):
-            own = Shard([d for _, d in rows])
-            out = [(-1, 0, 0, int(own.count.sum()), len(own.words))]
-            if len(own.words):
-                n2 = np.bincount(own.rest2, weights=own.c2, minlength=RESTAURANTS)
-                for m, (t2, c1, t1, c0, t0) in enumerate(own.seatings(shard, float(shards))):
-                    k2 = np.bincount(own.rest2, weights=t2, minlength=RESTAURANTS)
-                    n1, k1 = (np.bincount(own.rest1, weights=x, minlength=LAST_SLOTS) for x in (c1, t1))
-                    out += [(2, m, int(s), int(n2[s]), int(k2[s])) for s in np.nonzero(n2)[0]]
-                    out += [(1, m, int(s), int(n1[s]), int(k1[s])) for s in np.nonzero(n1)[0]]
-                    out.append((0, m, 0, int(c0.sum()), int(t0.sum())))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], names=["level", "sample", "slot", "n", "k"])
+    encoded = _kept_in_place(flagged.mapInArrow(_encode(shards), MESSAGE).repartition(shards, "shard"))
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the files of the shuffle
+    requests = encoded.where("kind = 0")
+
+    def learnt(table: pa.Table) -> pa.Table:
+        own, shard = WordShard([d for _, _, d in _rows(table)]), table.column("shard")[0].as_py()
+        return _table(list(_dealt(own, shard, shards, own.by_context(own.c3), own.by_context(np.ones(len(own.c3))))))
+
+    # Customers and distinct words of every context, for the shards that hold it.
+    known = cut(_summed(requests.groupBy("shard").applyInArrow(learnt, MESSAGE), 2, 2))
+
+    def totals(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Messages on contexts; restaurant totals of characters, of kind 1: level, sample, slot, customers, tables; level -1: tokens and words."""
+        if not left.num_rows:
+            return _table([])
+        shard = left.column("shard")[0].as_py()
+        own = WordShard([d for _, _, d in _rows(left)])
+        kinds = _answers(_rows(right), 2, 2)[1]
+        out, k3 = [(-1, 0, 0, int(own.count.sum()), len(own.words))], [np.zeros(len(own.contexts), np.int64)] * SAMPLES
+        if len(own.words):
+            for m, (t3, c2, t2, c1, t1, c0, t0) in enumerate(own.word_seatings(shard, float(shards), kinds)):
+                k3[m] = own.by_context(t3)
+                for level, rest, slots, c, t in ((2, own.rest2, RESTAURANTS, c2, t2), (1, own.rest1, LAST_SLOTS, c1, t1)):
+                    nn, kk = (np.bincount(rest, weights=x, minlength=slots) for x in (c, t))
+                    out += [(level, m, int(s), int(nn[s]), int(kk[s])) for s in np.nonzero(nn)[0]]
+                out.append((0, m, 0, int(c0.sum()), int(t0.sum())))
+        return _table([*_dealt(own, shard, shards, *k3), (shard, 1, shard, np.array(out, "<i8").tobytes())])
+
+    def apart(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                rows = np.frombuffer(data.as_py(), "<i8").reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(5)], names=["level", "sample", "slot", "n", "k"])
 
     n = {0: np.zeros((SAMPLES, 1)), 1: np.zeros((SAMPLES, LAST_SLOTS)), 2: np.zeros((SAMPLES, RESTAURANTS))}
     k = {level: np.zeros_like(x) for level, x in n.items()}
     tokens = words = 0
-    summed = requests.mapInArrow(totals, "level long, sample long, slot long, n long, k long").groupBy("level", "sample", "slot").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    for r in summed.collect():  # samples * restaurants rows
+    sent = cut(requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(totals, MESSAGE))
+    summed = sent.where("kind = 1").select("data").mapInArrow(apart, "level long, sample long, slot long, n long, k long").groupBy("level", "sample", "slot").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    for r in summed.collect():  # samples * restaurants of characters rows
         if r["level"] < 0:
             tokens, words = r["n"], r["k"]
         else:
             n[r["level"]][r["sample"], r["slot"]], k[r["level"]][r["sample"], r["slot"]] = r["n"], r["k"]
     shared = spark.sparkContext.broadcast((n, k, tokens, words))
+    told = known.unionByName(_summed(sent.where("kind = 0"), SAMPLES, 3))
 
-    def answer(batches):
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         """A block's pairs: log10 of the averaged probability, and the training counts of its words."""
+        if not left.num_rows:
+            return _table([])
         n, k, _, _ = shared.value
         share = [(STRENGTH[v] + DISCOUNT[v] * k[v]) / (STRENGTH[v] + n[v]) for v in range(3)]
-        for shard, rows in _grouped(batches):
-            own = Shard([d for _, d in rows])
-            samples = list(own.seatings(shard, float(shards))) if len(own.words) else []
-            # Probabilities of a word at the root and in parents, for words of the shard and (last row) unknown ones.
-            root = [np.concatenate([(c0 - DISCOUNT[0] * t0) / (STRENGTH[0] + n[0][m, 0]), [share[0][m, 0]]]) for m, (_, _, _, c0, t0) in enumerate(samples)]
-            key1 = own.up0 * LAST_SLOTS + own.rest1
-            for block, data in rows:
-                step, pairs_of, rest, _ = _unpack(data, "u8", "u2", "u2", "u4")
-                with np.errstate(over="ignore"):
-                    hashes = np.cumsum(step, dtype=np.uint64)
-                at = np.searchsorted(own.words, hashes) if len(own.words) else np.zeros(len(hashes), np.int64)
-                known = np.zeros(len(hashes), bool)
-                if len(own.words):
-                    known = own.words[np.minimum(at, len(own.words) - 1)] == hashes
-                w = np.repeat(np.where(known, at, len(own.words)), pairs_of)
-                rest = rest.astype(np.int64)
-                last = rest // PAIR_SLOTS
-                i2 = _find(own.key, w * RESTAURANTS + rest)
-                i1 = _find(key1, w * LAST_SLOTS + last)
-                p = np.zeros(len(rest))
-                for m, (t2, c1, t1, _, _) in enumerate(samples):
-                    p0 = root[m][w]
-                    p1 = _rest(c1 - DISCOUNT[1] * t1, i1) / (STRENGTH[1] + n[1][m, last]) + share[1][m, last] * p0
-                    p += _rest(own.c2 - DISCOUNT[2] * t2, i2) / (STRENGTH[2] + n[2][m, rest]) + share[2][m, rest] * p1
-                logs = np.log10(p / SAMPLES) if samples else np.log10(share[2][0, rest] * share[1][0, last] * share[0][0, 0])
-                count = np.concatenate([own.count, [0]])[np.where(known, at, len(own.words))]
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([_pack(logs.astype(np.float32), count.astype(np.uint32), pairs_of)], pa.binary())], names=["shard", "block", "data"])
-
-    answers = requests.mapInArrow(answer, "shard int, block long, data binary")
-    blocks = answers.unionByName(encoded.where("shard = -1"))
+        shard, rows = left.column("shard")[0].as_py(), _rows(left)
+        own = WordShard([d for _, _, d in rows])
+        replies = _rows(right)
+        n3, kinds = _answers(replies, 2, 2)
+        k3 = _answers(replies, 3, SAMPLES)
+        samples = list(own.word_seatings(shard, float(shards), kinds)) if len(own.words) else []
+        # Probabilities of a word at the root and in parents, for words of the shard and (last row) unknown ones.
+        root = [np.append((x[5] - DISCOUNT[0] * x[6]) / (STRENGTH[0] + n[0][m, 0]), share[0][m, 0]) for m, x in enumerate(samples)]
+        key1 = own.up0 * LAST_SLOTS + own.rest1
+        counts, out = np.append(own.count, 0), []
+        for _, block, data in rows:
+            hashes, pairs_of, ids, _ = own.request(data)
+            at = _find(own.words, hashes)
+            w = np.repeat(np.where(at < 0, len(own.words), at), pairs_of)
+            context = np.searchsorted(own.contexts, ids)
+            rest = (ids & np.uint64(RESTAURANTS - 1)).astype(np.int64)
+            last = rest // PAIR_SLOTS
+            i3, i2, i1 = _find(own.key3, w * len(own.contexts) + context), _find(own.key, w * RESTAURANTS + rest), _find(key1, w * LAST_SLOTS + last)
+            p = np.zeros(len(rest))
+            below = STRENGTH[3] + n3[context]
+            for m, (t3, c2, t2, c1, t1, _, _) in enumerate(samples):
+                p1 = _rest(c1 - DISCOUNT[1] * t1, i1) / (STRENGTH[1] + n[1][m, last]) + share[1][m, last] * root[m][w]
+                p2 = _rest(c2 - DISCOUNT[2] * t2, i2) / (STRENGTH[2] + n[2][m, rest]) + share[2][m, rest] * p1
+                p += (_rest(own.c3 - DISCOUNT[3] * t3, i3) + (STRENGTH[3] + DISCOUNT[3] * k3[m][context]) * p2) / below
+            # A shard without training words still backs off by the whole corpus's totals.
+            unknown = np.mean([(STRENGTH[3] + DISCOUNT[3] * k3[m][context]) / below * share[2][m, rest] * share[1][m, last] * share[0][m, 0] for m in range(SAMPLES)], axis=0)
+            logs = np.log10(p / SAMPLES if samples else unknown)
+            out.append((block % shards, 2, block, _pack(logs.astype(np.float32), counts[at].astype(np.uint32), pairs_of, np.array([shard], np.int64))))
+        return _table(out)
+
+    answers = requests.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, MESSAGE)
+    blocks = answers.unionByName(encoded.where("kind = 1")).select("kind", "block", "data")
 
     def add_up(table: pa.Table) -> pa.Table:
         _, _, tokens, words = shared.value
-        order = np.argsort(table.column("shard").to_numpy(), kind="stable")
-        data = table.column("data").combine_chunks() if table.num_rows else table.column("data")
-        logs, counts = [], []
-        for i in order:
-            raw = data[int(i)].as_py()
-            if table.column("shard")[int(i)].as_py() < 0:
-                ids, null, learn, size, index = _unpack(raw, "i8", "u1", "u1", "i8", "u4")
+        parts = []
+        for kind, data in zip(table.column("kind").to_pylist(), table.column("data")):
+            if kind == 1:
+                ids, null, learn, size, index = _unpack(data.as_py(), "i8", "u1", "u1", "i8", "u4")
             else:
-                own, count, pairs_of = _unpack(raw, "f4", "u4", "u2")
-                logs.append(own)
-                counts.append(np.repeat(count, pairs_of))
+                parts.append(_unpack(data.as_py(), "f4", "u4", "u4", "i8"))
+        parts.sort(key=lambda x: x[3][0])
+        logs, counts = [x[0] for x in parts], [np.repeat(x[1], x[2]) for x in parts]
         logs, counts = np.concatenate(logs).astype(np.float64), np.concatenate(counts)
         base = np.log10((counts + 0.5) / (tokens + 0.5 * (words + 1)))
         ends = np.cumsum(size)

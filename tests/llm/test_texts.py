@@ -217,3 +217,33 @@ def test_lm_without_training(spark):
     assert pitman_yor.score(spark.createDataFrame([], DOCS), held_out("doc_id", 5)).isEmpty()
     got = pitman_yor.score(spark.createDataFrame([(1, "a b")], DOCS), F.lit(True)).first()
     assert (got["n_known"], got["train_tokens"]) == (0, 0) and abs(got["score"]) < 1e-6
+
+
+def test_lm_contexts_are_words(spark):
+    """Words with the same two last letters are contexts of their own, and so are any number of them."""
+    rows = [(i, f"{'xq' if i % 2 else 'yq'}{i // 2 % 50}aba {'left' if i % 2 else 'right'}") for i in range(4000)] + [(5000, "xq7aba left"), (5001, "xq7aba right"), (5002, "yq7aba right")]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(spark.createDataFrame(rows, DOCS), F.col("doc_id") >= 5000).where("held_out").collect()}
+    assert got[5000] > got[5001] + 0.5 and got[5002] > got[5001] + 0.5
+
+
+def test_lm_words_are_a_distribution():
+    """After any word, known words and the unknown class sum to one."""
+    rng = np.random.default_rng(0)
+    contexts = pitman_yor._context_ids(rng.integers(0, 1 << 63, 6).astype(np.uint64), np.array([3, 3, 70, 71, 900, 3]))
+    count = rng.integers(0, 30, 300).astype(np.uint32)
+    own = pitman_yor.WordShard([pitman_yor._pack(np.cumsum(rng.integers(1, 9, 50)).astype("u8"), np.full(50, 6, np.uint32), *pitman_yor._planes(np.tile(contexts, 50)), count)] * 2)
+    assert own.c3.sum() == 2 * count.sum() and len(own.contexts) == 6 and own.count.sum() == own.c3.sum()
+    kinds = own.by_context(np.ones(len(own.c3)))
+    samples = list(own.word_seatings(1, 1.0, kinds))
+    assert len(samples) == pitman_yor.SAMPLES
+    d, s = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    for t3, c2, t2, c1, t1, c0, t0 in samples:
+        assert (t3 <= own.c3).all() and (t3 > 0).all() and c2.sum() == t3.sum() and c1.sum() == t2.sum() and c0.sum() == t1.sum()
+        p = np.append((c0 - d[0] * t0) / (s[0] + c0.sum()), (s[0] + d[0] * t0.sum()) / (s[0] + c0.sum()))
+        context = 0
+        rest = int(own.contexts[context]) % pitman_yor.RESTAURANTS
+        one, two, three = own.rest1 == rest // pitman_yor.PAIR_SLOTS, own.rest2 == rest, own.context3 == context
+        for v, at, c, t, word in ((1, one, c1, t1, own.up0), (2, two, c2, t2, own.up0[own.up1]), (3, three, own.c3, t3, own.up0[own.up1[own.up2]])):
+            p = p * (s[v] + d[v] * t[at].sum()) / (s[v] + c[at].sum())
+            np.add.at(p, word[at], ((c - d[v] * t) / (s[v] + c[at].sum()))[at])
+            assert math.isclose(p.sum(), 1)
