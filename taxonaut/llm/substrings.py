@@ -12,6 +12,10 @@ maximal repeats. Of a node's leaves all but the first, in document order, are re
 
 Each mapper first reads its own block of documents in this way, so that a passage in a third of
 all documents sends one record a block, not one a document.
+
+A first pass counts the suffixes of each anchor, by slots of its hash. Anchors in slots over HOT_SUFFIXES (a phrase
+in very many documents, with different words around it) are extended to the whole window: their suffixes are filed
+one by one under the window's hash, so that equal windows still meet, but the anchor's suffixes spread over all tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ GRAM = 6
 #: Words a mapper holds at a time; a longer document is held whole.
 BLOCK_WORDS = 300_000
 LAST = (1 << 63) - 1
+#: Suffixes of a slot of anchors beyond which their prefixes are extended. Slots never miss a frequent anchor; a rare one beside it is extended too.
+HOT_SUFFIXES = 300_000
+SLOTS = 1 << 18
 
 RECORDS = "g long, ord long, at long, leaves binary"
 
@@ -74,6 +81,37 @@ def suffixes(h: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[
     return start, anchor, least, whole[start]
 
 
+def _slot(g: np.ndarray) -> np.ndarray:
+    return (mix64(g, 3) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _count(window: int, gram: int):
+    """Suffixes of each slot of anchors in a task: slot, n."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                h, sizes = hash_words(batch.column(0).slice(k, 200).to_pylist())
+                if len(h) < window:
+                    continue
+                ends = np.repeat(np.cumsum(sizes), sizes)[: len(h) - window + 1]
+                least = _extreme(_rolled(h, gram, 1), window - gram + 1, np.minimum)
+                np.add.at(total, _slot(least[np.arange(len(least)) + window <= ends]), 1)
+        slots = np.nonzero(total)[0]
+        for k in range(0, len(slots), 50_000):
+            part = slots[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+
+    return run
+
+
+def hot_slots(docs: DataFrame, window: int, gram: int, bound: int) -> np.ndarray:
+    """Slots with more than `bound` suffixes; as many as the suffixes of the corpus over `bound` at most reach the driver."""
+    counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_count(window, gram), "slot long, n long")
+    return np.array(sorted(r["slot"] for r in counts.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > bound).collect()), np.int64)
+
+
 def _ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive starts of a document: document, first start, end start."""
     if not len(doc):
@@ -102,7 +140,7 @@ def _later(keys: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _file_block(block: list[tuple[int, int, np.ndarray]], window: int, gram: int):
+def _file_block(block: list[tuple[int, int, np.ndarray]], window: int, gram: int, hot: np.ndarray):
     """Record batch of a block of (order, text crc, word hashes): its own repeats, and the records of the rest."""
     block.sort(key=lambda x: x[:2])
     sizes = np.array([len(x[2]) for x in block], np.int64)
@@ -115,12 +153,16 @@ def _file_block(block: list[tuple[int, int, np.ndarray]], window: int, gram: int
     # Repeats inside the block, as records without leaves: `at` is the first start, g the number of starts.
     d, a, b = _ranges(doc[later], place[later])
     own = (b - a, np.array([x[0] for x in block], np.int64)[d] if len(d) else d, a, [b""] * len(d))
-    # The rest: a record for each run of starts with one anchor.
+    # The rest: a record for each run of starts with one anchor, or for each start of a hot one.
     keep = ~later
     start, anchor, g, whole, place, order_of = (x[keep] for x in (start, anchor, g, whole, place, order_of))
     if not len(start):
         return _batch([own])
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
+    if len(hot):
+        alone = np.isin(_slot(g), hot)
+        g = np.where(alone, mix64(whole, 5), g)
+        new |= alone
     first = np.nonzero(new)[0]
     check = (whole >> np.uint64(32)).astype("<u4")
     data = check.tobytes()
@@ -135,7 +177,7 @@ def _batch(parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array([x for p in parts for x in p[3]], pa.binary())], names=["g", "ord", "at", "leaves"])
 
 
-def _file(window: int, gram: int):
+def _file(window: int, gram: int, hot: np.ndarray = np.zeros(0, np.int64)):
     def run(batches):
         block, words = [], 0
         for batch in batches:
@@ -149,10 +191,10 @@ def _file(window: int, gram: int):
                     block.append((order, zlib.crc32(text.encode("utf-8", "surrogatepass")), own))
                     words += len(own)
                     if words >= BLOCK_WORDS:
-                        yield _file_block(block, window, gram)
+                        yield _file_block(block, window, gram, hot)
                         block, words = [], 0
         if block:
-            yield _file_block(block, window, gram)
+            yield _file_block(block, window, gram, hot)
 
     return run
 
@@ -210,13 +252,14 @@ def _order() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bound: int | None = None) -> DataFrame:
     """Ranges of window starts whose words also start earlier: (ord, crc, ranges array<struct<a, n>>) a document.
 
     ord is doc_id, null ids last; crc tells rows that share a doc_id apart by their text.
     """
     spark = docs.sparkSession
-    filed = docs.select(_order().alias("ord"), F.col("text")).where(F.col("text").isNotNull()).mapInArrow(_file(window, gram), RECORDS)
+    hot = hot_slots(docs, window, gram, HOT_SUFFIXES if bound is None else bound)
+    filed = docs.select(_order().alias("ord"), F.col("text")).where(F.col("text").isNotNull()).mapInArrow(_file(window, gram, hot), RECORDS)
     n = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     group = F.when(F.length("leaves") > 0, F.col("g")).otherwise(F.xxhash64("ord", "at"))
     found = filed.repartition(n, group).sortWithinPartitions("g", "ord", "at").mapInArrow(_read_groups, "ord long, at long, n long")

@@ -104,6 +104,34 @@ def test_substrings(spark, monkeypatch):
     assert sorted((r["doc_id"] or 99, r["n_removed"]) for r in twice) == [(1, 0), (1, 0), (2, 30), (99, 30)]
 
 
+def test_hot_anchors_spread(spark, monkeypatch):
+    """A phrase in many documents, with different words around it, is not one group, and results stay the same."""
+    import pyarrow as pa
+
+    random.seed(8)
+    phrase = min((f"the same six words stand here{i}" for i in range(300)), key=lambda p: substrings._rolled(hash_words([p])[0], 6, 1)[0])
+    texts = [" ".join([*(f"w{random.randrange(10**9)}" for _ in range(25)), phrase, *(f"w{random.randrange(10**9)}" for _ in range(25))]) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:40])]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    hot = substrings.hot_slots(df, 20, 6, 200)
+
+    def groups(hot):
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["ord", "text"])
+        sizes = Counter()
+        for out in substrings._file(20, 6, hot)([batch]):
+            for g, leaves in zip(out.column(0).to_pylist(), out.column(3).to_pylist()):
+                sizes[g] += max(0, len(leaves) - 1) // 4
+        return max(sizes.values())
+
+    assert len(hot) and groups(np.zeros(0, np.int64)) > 200 >= groups(hot)
+    monkeypatch.setattr(substrings, "HOT_SUFFIXES", 200)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digest(df).collect()}
+    assert got == brute_repeats(rows, 20)
+    monkeypatch.setattr(substrings, "HOT_SUFFIXES", 0)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digest(df).collect()}
+    assert got == brute_repeats(rows, 20)
+
+
 def test_suffix_records_in_small_blocks():
     """Blocks and batches of any size give what one block gives."""
     import pyarrow as pa
