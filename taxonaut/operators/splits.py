@@ -1,7 +1,7 @@
 """Dataset splits: exact sizes by stratum, whole groups, overlap.
 
 Both greedy assignments are sequential by definition and run on the driver over their summary only
-(keys of strata with row numbers, or groups with label counts); rows are joined back in Spark.
+(counts of strata, or groups with label counts); rows take their split in Spark.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import random
 from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 SPLITS = ("train", "val", "test")
 
@@ -36,38 +36,51 @@ def check_ratios(ratios: Sequence[float]) -> None:
 
 
 def split_random(rows: DataFrame, order: str, strata: Sequence[str], ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
-    """rows with split: exact sizes overall, strata as even as they can be.
+    """rows with split: exact sizes overall, strata as even as they can be. Every row stays once, with a null or repeated `order` too.
 
-    The driver holds one row number a row: for datasets of labelled metadata, not for corpora.
+    The driver sees one count for each stratum and salt; rows take their split by a seeded hash order, numbered
+    within (stratum, salt). Ties are ordered by the other columns, so only equal rows are interchangeable.
     """
     check_ratios(ratios)
+    spark = rows.sparkSession
     label = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata])
-    by_stratum: dict[str, list] = defaultdict(list)
-    for r in rows.select(order, label.alias("_s")).orderBy(order).toLocalIterator():
-        by_stratum[r["_s"]].append(r[order])
-    generator = random.Random(seed)
-    sizes = allocate(sum(map(len, by_stratum.values())), ratios)
+    others = [f.name for f in rows.schema if f.name != order and "map<" not in f.dataType.simpleString()]
+    tie = F.xxhash64(F.lit(seed), order, *others)
+    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = rows.withColumns({"_s": label, "_h": tie}).withColumn("_salt", F.pmod("_h", F.lit(salts)).cast("int"))
+    counts: dict[str, dict[int, int]] = defaultdict(dict)
+    for r in keyed.groupBy("_s", "_salt").count().orderBy("_s", "_salt").collect():
+        counts[r["_s"]][r["_salt"]] = r["count"]
+    size_of = {s: sum(c.values()) for s, c in counts.items()}
+    sizes = allocate(sum(size_of.values()), ratios)
     left = list(sizes)
-    groups = list(by_stratum.values())
-    generator.shuffle(groups)
-    groups.sort(key=len, reverse=True)
-    chosen: list[tuple] = []
-    for group in groups:
-        members = list(group)
-        generator.shuffle(members)
-        due, given = [len(members) * r for r in ratios], [0, 0, 0]
+    groups = list(counts)
+    random.Random(seed).shuffle(groups)
+    groups.sort(key=size_of.__getitem__, reverse=True)
+    places = []
+    for s in groups:
+        due = [size_of[s] * r for r in ratios]
+        # What a greedy choice gives each split in any case; the last few rows are chosen one by one.
+        given = [min(left[i], max(0, int(due[i]) - 2)) for i in range(3)]
+        left = [x - g for x, g in zip(left, given)]
 
         def cost(i: int, due=due, given=given) -> tuple:
             step = (given[i] + 1 - due[i]) ** 2 - (given[i] - due[i]) ** 2
             return step / max(due[i], 1), -left[i] / max(sizes[i], 1), i
 
-        for member in members:
+        for _ in range(size_of[s] - sum(given)):
             i = min((k for k in range(3) if left[k] > 0), key=cost)
-            chosen.append((member, SPLITS[i]))
             given[i] += 1
             left[i] -= 1
-    kind = rows.schema[order].dataType.simpleString()
-    return rows.join(rows.sparkSession.createDataFrame(chosen, f"`{order}` {kind}, split string"), order)
+        before = 0
+        for salt, n in counts[s].items():
+            places.append((s, salt, before, given[0], given[0] + given[1]))
+            before += n
+    table = F.broadcast(spark.createDataFrame(places, "_s string, _salt int, _before long, _train long, _val long"))
+    ranked = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h", *[F.col(c) for c in (order, *others)])))
+    rank = F.col("_before") + F.col("_n")
+    split = F.when(rank <= F.col("_train"), SPLITS[0]).when(rank <= F.col("_val"), SPLITS[1]).otherwise(SPLITS[2])
+    return ranked.join(table, ["_s", "_salt"]).select(order, *[c for c in rows.columns if c != order], split.alias("split"))
 
 
 def split_groups(rows: DataFrame, key: str, labels: Sequence[str], ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42, missing: str = "error") -> DataFrame:

@@ -80,6 +80,20 @@ def test_splits(spark):
         splits.split_groups(rows.withColumn("g", F.lit("")), "g", ["l"])
 
 
+def test_split_random_keeps_every_row(spark, monkeypatch):
+    """Null and repeated keys stay once, sizes are exact, and no row passes through the driver."""
+    rows = spark.range(200).select(F.when(F.col("id") % 10 > 0, F.floor(F.col("id") / 2)).alias("id"), (F.col("id") % 3).alias("l"), F.col("id").alias("x"))
+    monkeypatch.setattr(type(rows), "toLocalIterator", None)
+    parts = splits.split_random(rows, "id", ["l"]).collect()
+    assert sorted(r["x"] for r in parts) == list(range(200))
+    sizes = [sum(r["split"] == s for r in parts) for s in splits.SPLITS]
+    assert sizes == splits.allocate(200, (0.8, 0.1, 0.1))
+    for l in range(3):
+        own = [r["split"] for r in parts if r["l"] == l]
+        assert all(abs(own.count(s) - len(own) * r) < 2 for s, r in zip(splits.SPLITS, (0.8, 0.1, 0.1)))
+    assert splits.split_random(rows.limit(0), "id", ["l"]).isEmpty()
+
+
 def test_standards(spark):
     rows = [(1, "a", "b", "名", "3"), (2, "a", "b", "", "1"), (3, "a", "b", "——", "1"), (4, "a", "", "名", "3 4")]
     out = standards.build_entries(spark.createDataFrame(rows, "n int, x string, y string, z string, g string"), "s", ["x", "y", "z"], ["x", "z"], "n", "g").orderBy("n").collect()
