@@ -9,33 +9,41 @@ its sizes fit; a parity sketch then bounds the symmetric difference, and what is
 verified on whole sets.
 
 Equal sets are one vertex (the set's fingerprint), so copies never meet. Small groups of a
-shared shingle give their pairs; in large ones every set is first compared with a few centres, and only
-sets of different components then meet, so nothing is lost and no group gives all its pairs.
+shared shingle give their pairs. Sets in large groups meet in blocks of bounded size:
+
+1. each set once, under the first of its large groups: a block gives a spanning forest of the closest pairs its
+   sketches allow, which is verified; groups of near copies collapse into few components here;
+2. where a group has several blocks, two sets of each component meet again, until a block has seen all;
+3. groups that still hold several components: the sets outside the largest component meet all others, block by
+   block, first for a forest, and after that has been verified for every pair that the sketches leave.
+
+Only pairs of different components are ever given, so nothing is lost and no group gives all its pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from taxonaut.llm.common import components, cut, hash_words, mix64
 from taxonaut.llm.substrings import _rolled
 
 ORDERS = 2
-#: Sets a group may hold to give all its pairs; centres of a larger one.
+BOTH = (1 << ORDERS) - 1
+#: Sets a group may hold to give all its pairs.
 SMALL = 16
-CENTRES = 3
 #: A shingle counts as heavy in a block of documents from so many of them on; the heaviest so many are kept.
 HEAVY_IN_BLOCK = 8
 HEAVY = 1 << 16
 BLOCK_WORDS = 1_000_000
-#: Cells of a parity sketch: four a shingle and more, a power of two between these.
-LEAST_CELLS, MOST_CELLS = 1024, 1 << 17
-#: Rows of a block of a large group.
-BLOCK_ROWS = 1024
-#: Bits of the filter that tells which sets a verification needs; its false positives only cost work.
-FILTER_BITS = 1 << 23
+#: Cells of a parity sketch: two a shingle and more, a power of two between these.
+LEAST_CELLS, MOST_CELLS = 512, 1 << 15
+#: Sets of a block of a large group, and of a tile of it that is compared at once.
+BLOCK_ROWS = 4096
+TILE = 256
+#: Bits of the filter that tells which sets a verification needs, eight a set up to this; its false positives only cost work.
+MOST_FILTER_BITS = 1 << 25
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -70,12 +78,12 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray]) -> list[bytes]:
-    """Parity of the number of shingles in each cell; four times as many cells as the set is large, at least."""
+    """Parity of the number of shingles in each cell; twice as many cells as the set is large, at least."""
     tokens, sizes, starts = _laid(sets)
     mixed = mix64(tokens, 7)
     out = []
     for n, at in zip(sizes.tolist(), starts.tolist()):
-        cells = min(MOST_CELLS, max(LEAST_CELLS, 4 << max(0, n - 1).bit_length()))
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 2 << max(0, n - 1).bit_length()))
         odd = np.bincount((mixed[at : at + n] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
         out.append(np.packbits(odd.astype(np.uint8)).tobytes())
     return out
@@ -151,7 +159,7 @@ def _prefixes(k: int, num: int, den: int, heavy):
                 n = len(tokens)
                 if not n or f in seen:
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(f)
                 p = n + (-num * n) // den + 1  # n - ceil(num n / den) + 1
@@ -173,10 +181,10 @@ def _prefixes(k: int, num: int, den: int, heavy):
     return run
 
 
-def _meet(num: int, den: int):
-    """Sorted (key, f, n) -> rows (kind, key, a, b, n): 0 pair of a small group, 1 pair with a centre, 2 set of a large group (a).
+def _meet(num: int, den: int, most: int):
+    """Sorted (key, f, n) -> rows (kind, key, a, b, n): 0 pair of a small group, 2 set of a large group (a).
 
-    Between batches only the rows of the last group are held, and of a large one its centres.
+    Between batches only the rows of the last group are held, and of a large one its last.
     """
 
     def fits(x, y):
@@ -184,7 +192,7 @@ def _meet(num: int, den: int):
 
     def run(batches):
         held = [np.zeros(0, np.int64)] * 3
-        large = False  # the held rows are centres of a large group whose other rows are out
+        large = False  # the held row is of a large group and is out already
         for batch in batches:
             key, f, n = (np.concatenate([h, batch.column(c).to_numpy()]) for c, h in enumerate(held))
             fresh_from = len(held[0]) if large else 0
@@ -195,8 +203,8 @@ def _meet(num: int, den: int):
             size = np.diff(np.concatenate([start, [len(key)]]))
             out = []
             if len(start):
-                last, last_large = start[-1], size[-1] > SMALL or (large and len(start) == 1)
-                is_large = size > SMALL
+                last, last_large = start[-1], size[-1] > most or (large and len(start) == 1)
+                is_large = size > most
                 if large:
                     is_large[0] = True
                 if not last_large:
@@ -206,23 +214,19 @@ def _meet(num: int, den: int):
                 done[-1] = False
                 # Pairs at distance d inside small, finished groups.
                 small = np.repeat(done & ~is_large & (size > 1), size)
-                for d in range(1, SMALL):
+                for d in range(1, most):
                     i = np.nonzero(small & (within >= d))[0]
                     if not len(i):
                         break
                     i = i[fits(n[i], n[i - d])]
                     out.append((0, key[i], f[i - d], f[i], n[i]))
-                # Large groups: every row out, and met with the first rows.
+                # Large groups: every row out.
                 row = np.nonzero(np.repeat(is_large, size))[0]
                 row = row[row >= fresh_from]
                 if len(row):
                     out.append((2, key[row], f[row], f[row], n[row]))
-                    first = np.repeat(start, size)[row]
-                    for c in range(CENTRES):
-                        ok = (within[row] > c) & fits(n[row], n[np.minimum(first + c, len(n) - 1)])
-                        out.append((1, key[row][ok], f[first[ok] + c], f[row][ok], n[row][ok]))
                 large = bool(is_large[-1])
-                keep = slice(last, last + CENTRES) if large else slice(last, None)
+                keep = slice(len(key) - 1, None) if large else slice(last, None)
                 held = [key[keep], f[keep], n[keep]]
             yield _rows(out)
         key, f, n = held
@@ -236,34 +240,86 @@ def _meet(num: int, den: int):
     return run
 
 
-def _apart(num: int, den: int):
-    """Sorted rows (key, hi, lo, mine, f, n, component, sketch) -> (key, a, b) of block hi against block lo.
-
-    Pairs of different components whose sizes fit and whose sketches allow the threshold. A block
-    pair has at most twice BLOCK_ROWS rows, about; only those are held.
+class _Block:
+    """Sets of a block pair, by size, compared tile by tile on their sketches."""
+
+    def __init__(self, rows, num: int, den: int, tile: int = TILE):
+        rows.sort(key=lambda r: (r[5], r[4]))
+        _, self.hi, self.lo = rows[0][:3]
+        self.num, self.den, self.tile = num, den, tile
+        self.mine, self.f, self.n, component = (np.array([r[c] for r in rows], np.int64) for c in range(3, 7))
+        self.label = np.unique(component, return_inverse=True)[1]
+        self.sketches = [r[7] for r in rows]
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def _tile(self, at: int, width: int) -> np.ndarray:
+        key = (at, width)
+        if key not in self.folded:
+            if len(self.folded) > 64:
+                self.folded.clear()
+            self.folded[key] = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in self.sketches[at : at + self.tile]]).view(np.uint64)
+        return self.folded[key]
+
+    def near(self):
+        """(i, j, odd) of the pairs of different labels whose sizes fit and whose sketches allow the threshold."""
+        num, den, tile, n, line = self.num, self.den, self.tile, self.n, np.arange(len(self.n))
+        for p in range(0, len(n), tile):
+            for q in range(p, len(n), tile):
+                a, b = slice(p, p + tile), slice(q, q + tile)
+                if den * n[a][-1] < num * n[b][0]:
+                    break  # sorted by size: no later tile fits
+                if self.label[a].min() == self.label[b].max() == self.label[a].max() == self.label[b].min():
+                    continue
+                ok = (den * np.minimum(n[a][:, None], n[b][None]) >= num * np.maximum(n[a][:, None], n[b][None])) & (self.label[a][:, None] != self.label[b][None])
+                if self.hi != self.lo:
+                    ok &= self.mine[a][:, None] != self.mine[b][None]
+                if p == q:
+                    ok &= line[a][:, None] < line[b][None]
+                i, j = np.nonzero(ok)
+                if not len(i):
+                    continue
+                width = min(len(x) for x in (*self.sketches[a], *self.sketches[b]))
+                x, y = self._tile(p, width), self._tile(q, width)
+                odd = np.zeros(ok.shape, np.int64)
+                for word in range(x.shape[1]):
+                    odd += np.bitwise_count(x[:, word][:, None] ^ y[:, word][None])
+                odd = odd[i, j]
+                i, j = i + p, j + q
+                near = odd * (den + num) <= (den - num) * (n[i] + n[j])
+                yield i[near], j[near], odd[near]
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Pairs that connect what the near pairs connect: each component's closest, round by round."""
+        out, size, none = [], len(self.n), 1 << 62
+        while True:
+            best = np.full(size, none)
+            for i, j, odd in self.near():
+                place = (odd * size + i) * size + j
+                np.minimum.at(best, self.label[i], place)
+                np.minimum.at(best, self.label[j], place)
+            chosen = np.unique(best[best < none])
+            if not len(chosen):
+                return out
+            i, j = chosen // size % size, chosen % size
+            out += zip(self.f[i].tolist(), self.f[j].tolist())
+            while (self.label[i] != self.label[j]).any():
+                low = np.arange(size)
+                np.minimum.at(low, np.maximum(self.label[i], self.label[j]), np.minimum(self.label[i], self.label[j]))
+                self.label = low[self.label]
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return [x for i, j, _ in self.near() for x in zip(self.f[i].tolist(), self.f[j].tolist())]
+
+
+def _blocks(num: int, den: int, every: bool, tile: int):
+    """Sorted rows (key, hi, lo, mine, f, n, component, sketch) -> (key, a, b) of block hi against block lo: every near pair, or a forest.
+
+    A block pair has at most twice BLOCK_ROWS rows, about; only those are held.
     """
 
     def meet(rows):
-        key, hi, lo = rows[0][:3]
-        mine, f, n, component = (np.array([r[c] for r in rows], np.int64) for c in range(3, 7))
-        left, right = np.nonzero(mine == hi)[0], np.nonzero(mine == lo)[0]
-        size, other = n[left][:, None], n[right][None]
-        fits = (den * np.minimum(size, other) >= num * np.maximum(size, other)) & (component[left][:, None] != component[right][None])
-        if hi == lo:
-            fits &= f[left][:, None] < f[right][None]
-        i, j = np.nonzero(fits)
-        if not len(i):
-            return []
-        width = min(len(r[7]) for r in rows)
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[7], np.uint8).reshape(-1, width), axis=0) for r in rows])
-        i, j = left[i], right[j]
-        keep = []
-        for k in range(0, len(i), 1 << 15):
-            a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-            odd = np.bitwise_count(folded[a] ^ folded[b]).sum(axis=1, dtype=np.int64)
-            keep.append(odd * (den + num) <= (den - num) * (n[a] + n[b]))
-        keep = np.concatenate(keep)
-        return [(key, int(a), int(b)) for a, b in zip(f[i[keep]], f[j[keep]])]
+        block = _Block(rows, num, den, tile)
+        return [(rows[0][0], a, b) for a, b in (block.pairs() if every else block.forest())]
 
     def run(batches):
         held = []
@@ -292,13 +348,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
 
 
+def _order() -> Column:
+    """The order that a key's prefix is of, as a bit."""
+    return F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, 2).otherwise(1)
+
+
 class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.docs, self.k, self.num, self.den = docs, k, num, den
         self.spark = docs.sparkSession
         described = cut(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_describe(k), "doc_id long, f long, n long, sketch binary"))
         self.rows = described.where("sketch is not null").select("doc_id", "f", "n")
-        self.sets = described.where("sketch is not null and f is not null").groupBy("f").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        self.sets = cut(described.where("sketch is not null and f is not null").groupBy("f").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        self.bits = min(MOST_FILTER_BITS, 1 << (8 * max(1024, self.sets.count()) - 1).bit_length())
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         heavy = described.where("sketch is null").groupBy("f").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f").limit(HEAVY).collect()
         tokens = np.array([r["f"] for r in heavy], np.int64).view(np.uint64)
         order = np.argsort(tokens)
@@ -306,61 +369,74 @@ class _Join:
 
     def edges(self) -> DataFrame:
         """Verified links (a, b) between fingerprints that leave every pair at or above the threshold connected."""
-        n = max(64, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         postings = self.docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_prefixes(self.k, self.num, self.den, self.heavy), "key long, f long, n long")
-        met = postings.repartition(n, "key").sortWithinPartitions("key", "f").mapInArrow(_meet(self.num, self.den), "kind long, key long, a long, b long, n long")
-        met = cut(met)
-        order = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, 2).otherwise(1)
-        small = _ordered(met.where("kind = 0")).groupBy("a", "b").agg(F.bit_or(order).alias("orders"))
-        both = (1 << ORDERS) - 1
-        stars = _ordered(met.where("kind = 1").select("a", "b").distinct())
-        first = self.verified(small.where(F.col("orders") == both).select("a", "b").union(stars.select("a", "b")).distinct())
+        met = cut(postings.repartition(self.parts, "key").sortWithinPartitions("key", "f").mapInArrow(_meet(self.num, self.den, SMALL), "kind long, key long, a long, b long, n long"))
+        small = cut(_ordered(met.where("kind = 0")).groupBy("a", "b").agg(F.bit_or(_order()).alias("orders")))
+        pairs = cut(self.close(small.where(F.col("orders") == BOTH).select("a", "b")))
         large = met.where("kind = 2").select("key", F.col("a").alias("f"), "n")
+        self.tokens = self.whole(pairs.select(F.explode(F.array("a", "b")).alias("f")).union(large.select("f")))
+        linked = self.verified(pairs)
         if large.isEmpty():
-            return first
-        # Sets of large groups that are in different components still have to meet, in every order.
-        label = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "f")
-        labelled = large.join(label, "f", "left").withColumn("component", F.coalesce("component", "f"))
-        mixed = labelled.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").drop("mixed")
-        rest = labelled.join(mixed, "key")
-        # Blocks of a group meet pairwise; what comes out are the pairs that the sketches leave, not all pairs.
-        blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-        dealt = rest.join(blocks, "key").join(self.sets.select("f", "sketch"), "f").withColumn("mine", F.pmod(F.xxhash64("f"), "blocks"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.greatest("mine", "other").alias("hi"), F.least("mine", "other").alias("lo"), "mine", "f", "n", "component", "sketch")
-        far = dealt.repartition(n, "key", "hi", "lo").sortWithinPartitions("key", "hi", "lo").mapInArrow(_apart(self.num, self.den), "key long, a long, b long")
-        far = cut(_ordered(far).select("a", "b", order.alias("orders")).distinct())
+            return linked
+        # 1. Each set under the first of its large groups.
+        once = large.groupBy("f").agg(F.min_by(F.struct("key", "n"), "key").alias("at")).select("at.key", "f", "at.n").withColumn("component", F.col("f"))
+        linked = linked.union(self.verified(self.met(self.dealt(once, inside=True), every=False)))
+        mixed = cut(self.mixed(large, linked))
+        # 2. Sets that stand for their components, while a group needs several blocks.
+        while (mixed.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > BLOCK_ROWS:
+            ends = mixed.groupBy("key", "component").agg(*[of(F.struct("f", "n"), F.xxhash64("f", "key")).alias(name) for name, of in (("x", F.min_by), ("y", F.max_by))])
+            few = ends.select("key", "component", F.explode(F.array_distinct(F.array("x", "y"))).alias("set")).select("key", "set.f", "set.n", "component")
+            more = self.verified(self.met(self.dealt(few, inside=True), every=False))
+            if more.isEmpty():
+                break
+            linked = linked.union(more)
+            mixed = cut(self.mixed(large, linked))
+        # 3. What is outside the largest component of a group meets the rest of it: for a forest, then for every pair.
+        linked = linked.union(self.verified(self.met(self.dealt(mixed), every=False)))
+        far = cut(self.met(self.dealt(self.mixed(large, linked)), every=True))
         if far.isEmpty():
-            return first
+            return linked
         # A pair may meet in a large group under one order and in a small one under the other.
-        again = far.unionByName(small.select("a", "b", "orders")).groupBy("a", "b").agg(F.bit_or("orders").alias("orders"), F.count("*").alias("n")).where((F.col("orders") == both)).select("a", "b")
-        again = again.join(small.where(F.col("orders") == both).select("a", "b"), ["a", "b"], "left_anti")
-        return first.union(self.verified(again))
+        both = far.unionByName(small).groupBy("a", "b").agg(F.bit_or("orders").alias("orders")).where(F.col("orders") == BOTH).select("a", "b")
+        return linked.union(self.verified(both.join(small.where(F.col("orders") == BOTH), ["a", "b"], "left_anti")))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs of fingerprints, those whose sets reach the threshold."""
-        num, den, k = self.num, self.den, self.k
-        sketches = self.sets.select("f", "n", "sketch")
-        sized = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
-
-        def close(batches):
-            for batch in batches:
-                a, b, na, sa, nb, sb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "na", "sa", "nb", "sb"))
-                # |A xor B| <= (1 - t) / (1 + t) (|A| + |B|) at the threshold.
-                odd = np.array([least_difference(x, y) for x, y in zip(sa.to_pylist(), sb.to_pylist())], np.int64)
-                keep = pa.array(odd * (den + num) <= (den - num) * (na.to_numpy() + nb.to_numpy()))
-                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+    def mixed(self, large: DataFrame, linked: DataFrame) -> DataFrame:
+        """Sets (key, f, n, component) of the large groups that hold more than one component."""
+        label = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "f")
+        labelled = large.join(label, "f", "left").withColumn("component", F.coalesce("component", "f"))
+        mixed = labelled.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").drop("mixed")
+        return labelled.join(mixed, "key").select("key", "f", "n", "component")
 
-        pairs = cut(sized.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(close, "a long, b long"))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("f")).select(F.pmod("f", F.lit(FILTER_BITS)).cast("int").alias("bit"))
-        bits = np.zeros(FILTER_BITS // 64, np.int64)
-        for r in wanted.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")).collect():  # at most FILTER_BITS / 64 rows
+    def dealt(self, rows: DataFrame, inside: bool = False) -> DataFrame:
+        """Rows for block pairs of each group: `inside` blocks only, or every block with those outside the group's largest component."""
+        block = lambda n: F.pmod(F.xxhash64("f"), n)
+        if inside:
+            counted = rows.join(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")), "key").withColumn("mine", block("blocks")).withColumn("other", F.col("mine"))
+        else:
+            sizes = rows.groupBy("key", "component").count()
+            counts = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.max("count").alias("within"), F.sum("count").alias("all"))
+            counts = counts.select("key", "largest", F.ceil(F.col("within") / BLOCK_ROWS).alias("within"), F.ceil((F.col("all") - F.col("within")) / BLOCK_ROWS).alias("outside"))
+            counted = rows.join(counts, "key")
+            counted = counted.withColumn("mine", F.when(F.col("component") == F.col("largest"), block("within")).otherwise(F.col("within") + block("outside")))
+            first = F.when(F.col("component") == F.col("largest"), F.col("within")).otherwise(F.lit(0).cast("long"))
+            counted = counted.withColumn("other", F.explode(F.sequence(first, F.col("within") + F.col("outside") - 1)))
+        return counted.join(self.sets.select("f", "sketch"), "f").select("key", F.greatest("mine", "other").alias("hi"), F.least("mine", "other").alias("lo"), "mine", "f", "n", "component", "sketch")
+
+    def met(self, dealt: DataFrame, every: bool) -> DataFrame:
+        """Pairs (a, b, orders) of different components that blocks of large groups give."""
+        found = dealt.repartition(self.parts, "key", "hi", "lo").sortWithinPartitions("key", "hi", "lo").mapInArrow(_blocks(self.num, self.den, every, TILE), "key long, a long, b long")
+        return _ordered(found).groupBy("a", "b").agg(F.bit_or(_order()).alias("orders"))
+
+    def whole(self, wanted: DataFrame) -> DataFrame:
+        """(f, tokens) of the sets that `wanted` (f) names, and of some others."""
+        k, size = self.k, self.bits
+        bits = np.zeros(size // 64, np.int64)
+        at = wanted.select(F.pmod("f", F.lit(size)).cast("int").alias("bit"))
+        for r in at.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")).collect():  # at most MOST_FILTER_BITS / 64 rows
             bits[r["at"]] = r["bits"]
-        if not bits.any():
-            return pairs
         needed = self.spark.sparkContext.broadcast(bits)
 
-        def whole(batches):
+        def run(batches):
             seen: set[int] = set()
             for part in _sliced(batches):
                 rows = []
@@ -368,17 +444,22 @@ class _Join:
                 for tokens, f in zip(sets, fingerprints(sets).tolist()):
                     if not len(tokens):
                         continue
-                    bit = f % FILTER_BITS
+                    bit = f % size
                     if f not in seen and (int(needed.value[bit >> 6]) >> (bit & 63)) & 1:
-                        if len(seen) > 200_000:
+                        if len(seen) > 100_000:
                             seen.clear()
                         seen.add(f)
                         rows.append((f, tokens.tobytes()))
                 yield _batch(rows, "f tokens", pa.int64(), pa.binary())
 
-        sets = self.docs.select("text").where(F.col("text").isNotNull()).mapInArrow(whole, "f long, tokens binary").groupBy("f").agg(F.first("tokens").alias("tokens"))
+        sets = self.docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "f long, tokens binary")
+        return cut(sets.groupBy("f").agg(F.first("tokens").alias("tokens")))
 
-        def similar(batches):
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs of fingerprints, those whose sets reach the threshold."""
+        num, den = self.num, self.den
+
+        def run(batches):
             for batch in batches:
                 a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "ta", "tb"))
                 keep = []
@@ -390,8 +471,23 @@ class _Join:
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-        met = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-        return cut(met.select("a", "b", "ta", "tb").mapInArrow(similar, "a long, b long"))
+        met = pairs.select("a", "b").join(self.tokens.toDF("a", "ta"), "a").join(self.tokens.toDF("b", "tb"), "b")
+        return cut(met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that their sketches allow."""
+        num, den = self.num, self.den
+        sized = pairs.join(self.sets.toDF("a", "na", "sa"), "a").join(self.sets.toDF("b", "nb", "sb"), "b")
+
+        def run(batches):
+            for batch in batches:
+                a, b, na, sa, nb, sb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "na", "sa", "nb", "sb"))
+                # |A xor B| <= (1 - t) / (1 + t) (|A| + |B|) at the threshold.
+                odd = np.array([least_difference(x, y) for x, y in zip(sa.to_pylist(), sb.to_pylist())], np.int64)
+                keep = pa.array(odd * (den + num) <= (den - num) * (na.to_numpy() + nb.to_numpy()))
+                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+        return sized.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -89,6 +89,25 @@ def test_jaccard_of_one_large_group(spark):
     assert got == brute_jaccard(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize(("small", "rows_a_block"), [(2, 8), (4, 40)])
+def test_jaccard_in_small_blocks(spark, monkeypatch, small, rows_a_block):
+    """Groups of many blocks and components of any size give what brute force gives."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows_a_block)
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    random.seed(rows_a_block)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(random.randint(0, 9)):
+            w[random.randrange(60)] = f"v{random.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, t) for i, t in mutated(100, 3, 60)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS), 2, 85, 100).collect()}
+    assert got == brute_jaccard(rows, 2, 85, 100)
+
+
 def test_jaccard_edges(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).isEmpty()
     got = jaccard.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "q r s t u v"), (5, "q r s t u v"), (7, None)], DOCS)).collect()
