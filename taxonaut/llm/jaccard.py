@@ -33,9 +33,9 @@ ORDERS = 2
 BOTH = (1 << ORDERS) - 1
 #: Sets a group may hold to give all its pairs.
 SMALL = 16
-#: A shingle counts as heavy in a block of documents from so many of them on; the heaviest so many are kept.
-HEAVY_IN_BLOCK = 8
-HEAVY = 1 << 16
+#: A shingle counts as heavy in a block of documents from so many of them on; the heaviest so many are kept (4 MB).
+HEAVY_IN_BLOCK = 2
+HEAVY = 1 << 18
 BLOCK_WORDS = 1_000_000
 #: Cells of a parity sketch: two a shingle and more, a power of two between these.
 LEAST_CELLS, MOST_CELLS = 512, 1 << 15
@@ -362,10 +362,10 @@ class _Join:
         self.sets = cut(described.where("sketch is not null and f is not null").groupBy("f").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
         self.bits = min(MOST_FILTER_BITS, 1 << (8 * max(1024, self.sets.count()) - 1).bit_length())
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        heavy = described.where("sketch is null").groupBy("f").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f").limit(HEAVY).collect()
-        tokens = np.array([r["f"] for r in heavy], np.int64).view(np.uint64)
+        heavy = described.where("sketch is null").groupBy("f").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f").limit(HEAVY).toArrow()
+        tokens = heavy.column("f").to_numpy().view(np.uint64)
         order = np.argsort(tokens)
-        self.heavy = self.spark.sparkContext.broadcast((tokens[order], np.array([r["n"] for r in heavy], np.int64)[order]))
+        self.heavy = self.spark.sparkContext.broadcast((tokens[order], heavy.column("n").to_numpy()[order]))
 
     def edges(self) -> DataFrame:
         """Verified links (a, b) between fingerprints that leave every pair at or above the threshold connected."""
