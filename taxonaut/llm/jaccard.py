@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import components, cut, hash_words, mix64
+from taxonaut.llm.common import components, cut, cut_in_place, hash_words, mix64, stored
 from taxonaut.llm.substrings import _rolled
 
 ORDERS = 2
 BOTH = (1 << ORDERS) - 1
 #: Sets a group may hold to give all its pairs.
-SMALL = 16
+SMALL = 40
 #: A shingle counts as heavy in a block of documents from so many of them on; the heaviest so many are kept (4 MB).
 HEAVY_IN_BLOCK = 2
 HEAVY = 1 << 18
@@ -182,7 +182,7 @@ def _prefixes(k: int, num: int, den: int, heavy):
 
 
 def _meet(num: int, den: int, most: int):
-    """Sorted (key, f, n) -> rows (kind, key, a, b, n): 0 pair of a small group, 2 set of a large group (a).
+    """Sorted (key, f, n) -> rows (key, a, b, n): pairs (a, b) of small groups, key their order; sets (a, no b) of large groups.
 
     Between batches only the rows of the last group are held, and of a large one its last.
     """
@@ -219,12 +219,12 @@ def _meet(num: int, den: int, most: int):
                     if not len(i):
                         break
                     i = i[fits(n[i], n[i - d])]
-                    out.append((0, key[i], f[i - d], f[i], n[i]))
+                    out.append((key[i] & 1, f[i - d], f[i], None))
                 # Large groups: every row out.
                 row = np.nonzero(np.repeat(is_large, size))[0]
                 row = row[row >= fresh_from]
                 if len(row):
-                    out.append((2, key[row], f[row], f[row], n[row]))
+                    out.append((key[row], f[row], None, n[row]))
                 large = bool(is_large[-1])
                 keep = slice(len(key) - 1, None) if large else slice(last, None)
                 held = [key[keep], f[keep], n[keep]]
@@ -234,7 +234,7 @@ def _meet(num: int, den: int, most: int):
             out = []
             for d in range(1, len(key)):
                 ok = fits(n[d:], n[:-d])
-                out.append((0, key[d:][ok], f[:-d][ok], f[d:][ok], n[d:][ok]))
+                out.append((key[d:][ok] & 1, f[:-d][ok], f[d:][ok], None))
             yield _rows(out)
 
     return run
@@ -338,10 +338,10 @@ def _blocks(num: int, den: int, every: bool, tile: int):
 
 
 def _rows(out) -> pa.RecordBatch:
-    columns = [np.concatenate([np.full(len(x[1]), x[0], np.int64) for x in out])] if out else [np.zeros(0, np.int64)]
-    for c in range(1, 5):
-        columns.append(np.concatenate([x[c] for x in out]) if out else np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "a", "b", "n"])
+    """Columns key, a, b, n of parts; None is a column of nulls."""
+    sizes = [len(x[1]) for x in out]
+    columns = [pa.concat_arrays([pa.nulls(size, pa.int64()) if x[c] is None else pa.array(x[c], pa.int64()) for x, size in zip(out, sizes)] or [pa.nulls(0, pa.int64())]) for c in range(4)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "n"])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -370,17 +370,15 @@ class _Join:
     def edges(self) -> DataFrame:
         """Verified links (a, b) between fingerprints that leave every pair at or above the threshold connected."""
         postings = self.docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_prefixes(self.k, self.num, self.den, self.heavy), "key long, f long, n long")
-        met = cut(postings.repartition(self.parts, "key").sortWithinPartitions("key", "f").mapInArrow(_meet(self.num, self.den, SMALL), "kind long, key long, a long, b long, n long"))
-        small = cut(_ordered(met.where("kind = 0")).groupBy("a", "b").agg(F.bit_or(_order()).alias("orders")))
-        pairs = cut(self.close(small.where(F.col("orders") == BOTH).select("a", "b")))
-        large = met.where("kind = 2").select("key", F.col("a").alias("f"), "n")
-        self.tokens = self.whole(pairs.select(F.explode(F.array("a", "b")).alias("f")).union(large.select("f")))
-        linked = self.verified(pairs)
-        if large.isEmpty():
-            return linked
+        met = stored(postings.repartition(self.parts, "key").sortWithinPartitions("key", "f").mapInArrow(_meet(self.num, self.den, SMALL), "key long, a long, b long, n long"))
+        small = stored(_ordered(met.where("b is not null")).groupBy("a", "b").agg(F.bit_or(_order()).alias("orders")))
+        pairs = self.close(small.where(F.col("orders") == BOTH).select("a", "b"))
+        large = met.where("b is null").select("key", F.col("a").alias("f"), "n")
         # 1. Each set under the first of its large groups.
         once = large.groupBy("f").agg(F.min_by(F.struct("key", "n"), "key").alias("at")).select("at.key", "f", "at.n").withColumn("component", F.col("f"))
-        linked = linked.union(self.verified(self.met(self.dealt(once, inside=True), every=False)))
+        linked = self.verified(pairs.union(self.met(self.dealt(once, inside=True), every=False).select("a", "b")))
+        if large.isEmpty():
+            return linked
         mixed = cut(self.mixed(large, linked))
         # 2. Sets that stand for their components, while a group needs several blocks.
         while (mixed.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > BLOCK_ROWS:
@@ -393,12 +391,13 @@ class _Join:
             mixed = cut(self.mixed(large, linked))
         # 3. What is outside the largest component of a group meets the rest of it: for a forest, then for every pair.
         linked = linked.union(self.verified(self.met(self.dealt(mixed), every=False)))
-        far = cut(self.met(self.dealt(self.mixed(large, linked)), every=True))
+        far = stored(self.met(self.dealt(self.mixed(large, linked)), every=True))
         if far.isEmpty():
             return linked
         # A pair may meet in a large group under one order and in a small one under the other.
-        both = far.unionByName(small).groupBy("a", "b").agg(F.bit_or("orders").alias("orders")).where(F.col("orders") == BOTH).select("a", "b")
-        return linked.union(self.verified(both.join(small.where(F.col("orders") == BOTH), ["a", "b"], "left_anti")))
+        half = far.where(F.col("orders") != BOTH).join(small.where(F.col("orders") != BOTH).select("a", "b", F.col("orders").alias("other")), ["a", "b"])
+        both = far.where(F.col("orders") == BOTH).select("a", "b").union(half.where(F.col("orders").bitwiseOR(F.col("other")) == BOTH).select("a", "b"))
+        return linked.union(self.verified(both))
 
     def mixed(self, large: DataFrame, linked: DataFrame) -> DataFrame:
         """Sets (key, f, n, component) of the large groups that hold more than one component."""
@@ -453,11 +452,13 @@ class _Join:
                 yield _batch(rows, "f tokens", pa.int64(), pa.binary())
 
         sets = self.docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "f long, tokens binary")
-        return cut(sets.groupBy("f").agg(F.first("tokens").alias("tokens")))
+        return cut_in_place(sets.groupBy("f").agg(F.first("tokens").alias("tokens")))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs of fingerprints, those whose sets reach the threshold."""
+        """Of pairs of fingerprints, those whose sets reach the threshold; only sets in pairs are fetched, once."""
         num, den = self.num, self.den
+        pairs = cut(pairs.select("a", "b").distinct())
+        tokens = self.whole(pairs.select(F.explode(F.array("a", "b")).alias("f")))
 
         def run(batches):
             for batch in batches:
@@ -471,7 +472,7 @@ class _Join:
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-        met = pairs.select("a", "b").join(self.tokens.toDF("a", "ta"), "a").join(self.tokens.toDF("b", "tb"), "b")
+        met = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
         return cut(met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
     def close(self, pairs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import WordHashes, cut, words_of
+from taxonaut.llm.common import WordHashes, cut, cut_in_place, words_of
 
 LAST_SLOTS = 64
 PAIR_SLOTS = 64
@@ -373,17 +373,6 @@ def _answers(rows, kind: int, count: int) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, np.int64), *(p[n].astype(np.int64) for p in parts)]) for n in range(count)]
 
 
-def _kept_in_place(df: DataFrame) -> DataFrame:
-    """cut(), whose result is still known to be dealt by its key (adaptive plans forget that), so that it is not dealt again."""
-    conf = df.sparkSession.conf
-    before = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut(df.select("*"))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", before)
-
-
 def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataFrame:
     """Score whole documents (doc_id, text) under the model learnt from rows where `held_out` is false.
 
@@ -394,7 +383,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
     spark = docs.sparkSession
     shards = shards or max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     flagged = docs.select(F.col("doc_id").cast("long"), F.col("text"), (~held_out).alias("learn"))
-    encoded = _kept_in_place(flagged.mapInArrow(_encode(shards), MESSAGE).repartition(shards, "shard"))
+    encoded = cut_in_place(flagged.mapInArrow(_encode(shards), MESSAGE).repartition(shards, "shard"))
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the files of the shuffle
     requests = encoded.where("kind = 0")
 
