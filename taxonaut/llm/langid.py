@@ -2,113 +2,143 @@
 
 One variable-order byte context tree per language, up to three bytes of context, with
 escape probabilities (method C, no exclusions across orders). Counts are frozen after fitting, so
-the code length of a byte depends on its three predecessors alone; it is worked out once for
-every known context and byte and looked up for whole texts, array-wise, for all languages
-together. The language with the shortest code wins.
+the code length of a byte depends on its three predecessors alone. Only observed (context, byte) pairs
+are kept, in hash tables that whole texts look up array-wise: a pair that was not seen pays its
+context's escape and goes on with a byte less. The language with the shortest code wins.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 ORDER = 3
-#: Documented bound of the fit: about so many documents a language, drawn by hash, each with its first so many bytes.
+#: Documented bound of the fit: about so many documents a language, drawn by hash, whole.
 FIT_DOCS = 400
-FIT_BYTES = 4000
 LETTER = re.compile(r"[^\W\d_]")
+EMPTY = np.uint64((1 << 64) - 1)
+
+
+class Table:
+    """Values by 32-bit code, with open addressing over arrays."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (4 * len(codes)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, EMPTY), np.zeros(1 << self.bits, np.float32)
+        codes, values, at = codes.astype(np.uint64), values.astype(np.float32), self._slot(codes)
+        while len(codes):
+            free = self.keys[at] == EMPTY
+            first = np.unique(at[free], return_index=True)[1]
+            put = np.nonzero(free)[0][first]
+            self.keys[at[put]], self.values[at[put]] = codes[put], values[put]
+            left = np.ones(len(codes), bool)
+            left[put] = False
+            codes, values, at = codes[left], values[left], (at[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - min(32, self.bits))).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found); the value of a code that is not there is zero."""
+        codes = codes.astype(np.uint64)
+        at = self._slot(codes)
+        there = self.keys[at]
+        found = there == codes
+        out = np.where(found, self.values[at], np.float32(0))
+        more = np.nonzero(~found & (there != EMPTY))[0]
+        while len(more):
+            at[more] = (at[more] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[more]]
+            hit = there == codes[more]
+            out[more[hit]], found[more[hit]] = self.values[at[more[hit]]], True
+            more = more[~hit & (there != EMPTY)]
+        return out, found
+
+
+class Tree:
+    """Context tree of a language: code lengths of one and no byte of context dense, of two and three for observed pairs."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.concatenate([np.frombuffer(bytes(ORDER) + t, np.uint8) for t in texts] or [np.zeros(0, np.uint8)]).astype(np.uint64)
+        own = np.concatenate([np.repeat([False, True], [ORDER, len(t)]) for t in texts] or [np.zeros(0, bool)])
+        code = _codes(data)[own]
+        counts = np.bincount((code & np.uint64(255)).astype(np.int64), minlength=256)
+        total, kinds = counts.sum(), (counts > 0).sum()
+        lower = (counts + kinds / 256) / (total + kinds) if total else np.full(256, 1 / 256)
+        counts = np.bincount((code & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16).reshape(256, 256)
+        total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+        dense = np.where(total > 0, (counts + kinds * lower) / np.maximum(1, total + kinds), lower).ravel()
+        self.dense = -np.log2(dense).astype(np.float32)
+        self.pairs, self.escapes = [], []
+        pair, shorter = np.arange(1 << 16).astype(np.uint64), dense
+        for order in (2, 3):
+            seen, counts = np.unique(code & np.uint64((1 << 8 * (order + 1)) - 1), return_counts=True)
+            context, at, kinds = np.unique(seen >> np.uint64(8), return_inverse=True, return_counts=True)
+            total = np.bincount(at, weights=counts, minlength=len(context))
+            lower = shorter[np.searchsorted(pair, seen & np.uint64((1 << 8 * order) - 1))] if len(seen) else np.zeros(0)
+            p = (counts + kinds[at] * lower) / (total + kinds)[at] if len(seen) else lower
+            self.pairs.append(Table(seen, -np.log2(p)))
+            self.escapes.append(Table(context, -np.log2(kinds / np.maximum(1, total + kinds))))
+            pair, shorter = seen, p
+
+    def bits(self, code: np.ndarray) -> np.ndarray:
+        """Code length of each byte, given as the byte below its three predecessors."""
+        out, found = self.pairs[1].find(code)
+        miss = np.nonzero(~found)[0]
+        if len(miss):
+            shorter = code[miss] & np.uint64(0xFFFFFF)
+            out[miss] = self.escapes[1].find(code[miss] >> np.uint64(8))[0]
+            length, found = self.pairs[0].find(shorter)
+            out[miss] += length
+            miss, shorter = miss[~found], shorter[~found]
+            out[miss] += self.escapes[0].find(shorter >> np.uint64(8))[0] + self.dense[(shorter & np.uint64(0xFFFF)).astype(np.int64)]
+        return out
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """Each byte with the three before it above it, as a 32-bit number; zeros before the start."""
+    code = data.astype(np.uint64)
+    for back in range(1, ORDER + 1):
+        code[back:] |= data[:-back].astype(np.uint64) << np.uint64(8 * back)
+    return code
 
 
 @dataclass
 class ContextTrees:
-    """`state[context code]` numbers the longest known context; `bits[state, byte class]` has a column a language."""
-
     languages: list[str]
-    byte_class: np.ndarray
-    classes: int
-    state: np.ndarray
-    bits: np.ndarray
-
-    def code_lengths(self, data: bytes) -> np.ndarray:
-        """Bits of a text in every language."""
-        c = self.byte_class[np.frombuffer(data, np.uint8)].astype(np.int64)
-        k = self.classes
-        padded = np.concatenate([np.zeros(ORDER, np.int64), c])
-        context = (padded[:-3] * k + padded[1:-2]) * k + padded[2:-1]
-        return self.bits[self.state[context], c].sum(axis=0, dtype=np.float64)
-
-    def many(self, texts: list[bytes], block: int = 1 << 19) -> np.ndarray:
+    trees: list[Tree]
+
+    def many(self, texts: list[bytes], block: int = 1 << 18) -> np.ndarray:
         """Bits of many texts: (texts, languages)."""
         out = np.zeros((len(texts), len(self.languages)))
-        pad = b"\x00" * ORDER
-        k = 0
-        while k < len(texts):
-            to, size = k, 0
-            while to < len(texts) and (to == k or size + len(texts[to]) < block):
-                size += len(texts[to]) + ORDER
-                to += 1
-            c = self.byte_class[np.frombuffer(b"".join([pad + x for x in texts[k:to]]), np.uint8)]
-            context = np.zeros(len(c), np.int32)
-            context[1:] = c[:-1]
-            context[2:] += self.classes * c[:-2].astype(np.int32)
-            context[3:] += self.classes**2 * c[:-3].astype(np.int32)
-            at = self.state[context] * np.int32(self.classes) + c
-            ends = np.cumsum([len(x) + ORDER for x in texts[k:to]])
-            starts = ends - [len(x) for x in texts[k:to]]
-            flat = self.bits.reshape(-1, len(self.languages))
-            for lang in range(len(self.languages)):
-                total = np.concatenate([[0.0], np.cumsum(flat[:, lang][at], dtype=np.float64)])
-                out[k:to, lang] = total[ends] - total[starts]
-            k = to
+        sizes = np.array([len(t) for t in texts], np.int64)
+        data = np.frombuffer(b"".join([bytes(ORDER) + t for t in texts]), np.uint8)
+        ends = np.cumsum(sizes + ORDER)
+        own = np.ones(len(data), bool)
+        for back in range(ORDER):
+            own[ends - sizes - 1 - back] = False
+        text = np.repeat(np.arange(len(texts)), sizes + ORDER)
+        for k in range(0, len(data), block):
+            before = min(k, ORDER)
+            code = _codes(data[k - before : k + block])[before:][own[k : k + block]]
+            of = text[k : k + block][own[k : k + block]]
+            for lang, tree in enumerate(self.trees):
+                out[:, lang] += np.bincount(of, weights=tree.bits(code), minlength=len(texts))
         return out
 
 
 def grow(samples: dict[str, list[bytes]]) -> ContextTrees:
-    """Context trees of the languages in `samples` (sorted by name), class 0 standing for unseen bytes and text starts."""
+    """Context trees of the languages in `samples`, sorted by name."""
     languages = sorted(samples)
-    seen = np.zeros(256, bool)
-    for texts in samples.values():
-        for text in texts:
-            seen[np.frombuffer(text, np.uint8)] = True
-    seen[0] = False
-    byte_class = np.where(seen, np.cumsum(seen), 0).astype(np.int32)
-    k = int(seen.sum()) + 1
-    joined = {lang: np.concatenate([np.concatenate([np.zeros(ORDER, np.int64), byte_class[np.frombuffer(t, np.uint8)]]) for t in texts] or [np.zeros(ORDER, np.int64)]) for lang, texts in samples.items()}
-    # Known contexts of the highest order, over all languages; every other context falls back to its last two bytes.
-    known = np.unique(np.concatenate([np.zeros(0, np.int64), *[(c[:-3] * k + c[1:-2]) * k + c[2:-1] for c in joined.values()]]))
-    state = np.arange(k**3) % (k * k)
-    state = state.astype(np.int32)
-    state[known] = k * k + np.arange(len(known))
-    bits = np.empty((k * k + len(known), k, len(languages)), np.float32)
-    for n, lang in enumerate(languages):
-        c = joined[lang]
-        probability = np.full((1, k), 1.0 / max(k, 256))
-        last = c[3:]
-        own = last > 0  # the zeros between texts are contexts, never predicted
-        for order in range(3):  # 0, 1 and 2 bytes of context, dense
-            code = np.zeros(len(last), np.int64)
-            for j in range(order):
-                code = code * k + c[3 - order + j : len(c) - order + j]
-            counts = np.bincount((code * k + last)[own], minlength=k ** (order + 1)).reshape(-1, k)
-            total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            lower = probability[np.arange(k**order) % max(1, k ** (order - 1))] if order else probability
-            probability = np.where(total > 0, (counts + kinds * lower) / np.maximum(1, total + kinds), lower)
-        bits[: k * k, :, n] = -np.log2(probability)
-        code = (c[:-3] * k + c[1:-2]) * k + c[2:-1]
-        row = np.searchsorted(known, code)
-        counts = np.bincount((row * k + last)[own], minlength=len(known) * k).reshape(-1, k)
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        lower = probability[known % (k * k)]
-        bits[k * k :, :, n] = -np.log2(np.where(total > 0, (counts + kinds * lower) / np.maximum(1, total + kinds), lower))
-    return ContextTrees(languages, byte_class, k, state, bits)
-
-
-def fit(docs: DataFrame, may_learn: Column, docs_a_language: int = FIT_DOCS, bytes_a_doc: int = FIT_BYTES) -> ContextTrees:
+    return ContextTrees(languages, [Tree(samples[x]) for x in languages])
+
+
+def fit(docs: DataFrame, may_learn: Column, docs_a_language: int = FIT_DOCS) -> ContextTrees:
     """Fit on a bounded sample of the rows of (doc_id, text, lang) that may be learnt from and have text and lang.
 
     The sample is drawn by a hash of doc_id: about `docs_a_language` documents of each
@@ -120,34 +150,36 @@ def fit(docs: DataFrame, may_learn: Column, docs_a_language: int = FIT_DOCS, byt
     share = {r["lang"]: min(1.0, docs_a_language / r["count"]) for r in labelled.groupBy("lang").count().collect()}
     if share:
         of = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])
-        for r in labelled.where(draw < of[F.col("lang")]).select("lang", F.substring("text", 1, bytes_a_doc).alias("text")).orderBy("lang", "doc_id", "text").collect():
-            samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8")[:bytes_a_doc])
+        for r in labelled.where(draw < of[F.col("lang")]).select("lang", "text").orderBy("lang", "doc_id", "text").collect():
+            samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8"))
     return grow(samples)
 
 
 def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
-    """`docs` with lang_pred and score, from the text alone.
+    """`docs` with lang_pred and score, from the text alone; repeated rows each get theirs.
 
     `und` with score 0 if the text is null or has no letter (or nothing was learnt). The score is the
-    winner's posterior, every language alike beforehand, at the text's mean code length a letter run of 32 bytes.
+    winner's posterior, every language alike beforehand, at the text's mean code length a letter run of 32 bytes;
+    of languages with equal codes the first by name wins. Columns of the names lang_pred and score are replaced.
     """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    names = docs.columns
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         trees = shared.value
-        for texts in batches:
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            for k in range(0, len(texts) if trees.languages else 0, 500):
-                some = texts.iloc[k : k + 500]
-                rows = k + np.nonzero([bool(t) and LETTER.search(t) is not None for t in some])[0]
-                data = [t.encode("utf-8", "surrogatepass") for t in texts.iloc[rows]]
-                if not data:
-                    continue
-                bits = trees.many(data)
-                excess = (bits - bits.min(axis=1, keepdims=True)) / np.maximum(1.0, np.array([len(x) for x in data]) / 32)[:, None]
-                lang[rows] = np.array(trees.languages, object)[bits.argmin(axis=1)]
-                score[rows] = 1.0 / np.exp2(-excess).sum(axis=1)
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
-
-    guess = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.withColumn("__guess", guess("text")).withColumns({"lang_pred": F.col("__guess.lang_pred"), "score": F.col("__guess.score")}).drop("__guess")
+        for whole in batches:
+            for k in range(0, max(1, whole.num_rows), 200):
+                batch = whole.slice(k, 200)
+                texts = batch.column("text").to_pylist()
+                lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+                rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if trees.languages else []
+                if rows:
+                    data = [texts[i].encode("utf-8", "surrogatepass") for i in rows]
+                    bits = trees.many(data)
+                    excess = (bits - bits.min(axis=1, keepdims=True)) / np.maximum(1.0, np.array([len(x) for x in data]) / 32)[:, None]
+                    lang[rows] = np.array(trees.languages, object)[bits.argmin(axis=1)]
+                    score[rows] = 1.0 / np.exp2(-excess).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

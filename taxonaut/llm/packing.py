@@ -50,8 +50,8 @@ class ByteLevelEncoder:
 
     Pieces of such a vocabulary never cross a gap before a word, so texts with single
     gaps are cut at them and each distinct chunk is encoded once, by the tiktoken form of the
-    same ranks. Texts with other white space, or characters beyond Latin (whose classes
-    may differ between Unicode versions), go to the tokenizers library whole.
+    same ranks. Texts with other white space, the text of an added token, or characters beyond Latin (whose
+    classes may differ between Unicode versions), go to the tokenizers library whole.
     """
 
     #: White space but single spaces and line feeds, as UTF-8; below LAST_BYTE all characters are Latin.
@@ -65,10 +65,11 @@ class ByteLevelEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(json_file)
-        self.tokenizer.encode_special_tokens = True
         with open(json_file, encoding="utf-8") as f:
             spec = json.load(f)
         added = {x["content"] for x in spec.get("added_tokens", ())}
+        #: The library gives the text of an added token, alone in the text or not, its own id.
+        self.odd = (*self.ODD, *(x.encode() for x in sorted(added)))
         self.of_char = _byte_of_char()
         if not set(self.of_char) >= set(ByteLevel.alphabet()):
             raise ValueError("the vocabulary's byte alphabet is unknown")
@@ -81,7 +82,7 @@ class ByteLevelEncoder:
         if not text:
             return b""
         raw = text.encode("utf-8", "surrogatepass")
-        if text[0].isspace() or text[-1].isspace() or np.frombuffer(raw, np.uint8).max() > self.LAST_BYTE or any(x in raw for x in self.ODD):
+        if text[0].isspace() or text[-1].isspace() or np.frombuffer(raw, np.uint8).max() > self.LAST_BYTE or any(x in raw for x in self.odd):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         head, *rest = text.replace("\n", " \n").split(" ")
         return self.chunks.encode(head) + b"".join(map(self.chunks.__getitem__, rest))

@@ -38,7 +38,6 @@ def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(5), path).toPandas()
     reference = Tokenizer.from_file(path)
-    reference.encode_special_tokens = True
     for doc_id, own in rows.groupby("doc_id"):
         ids = np.array([*reference.encode(texts[doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
         own = own.sort_values("piece")
@@ -197,10 +196,40 @@ def test_language_id(spark):
     assert [got[i]["lang_pred"] for i in (900, 901, 903)] == ["und"] * 3 and got[902]["lang_pred"] == "aa" and got[904]["lang_pred"] in kinds
     nothing = langid.fit(df.limit(0), F.lit(True))
     assert {r["lang_pred"] for r in langid.predict(df, nothing).collect()} == {"und"}
-    text = "balañ x".encode()
-    assert np.allclose(trees.many([b"", text])[1], trees.code_lengths(text)) and trees.many([b""]).sum() == 0
-    # Under every context the code is a probability distribution, but for what escapes to bytes outside the alphabet.
-    assert (np.exp2(-trees.bits.astype(float)).sum(axis=1) <= 1 + 1e-5).all()
+    assert langid.predict(df.limit(0), trees).isEmpty()
+    long = langid.predict(spark.createDataFrame([(1, "bala lam " * 100_000), (1, "bala")], DOCS), trees).collect()
+    assert [r["lang_pred"] for r in long] == ["aa", "aa"]
+
+
+def brute_code(samples, text):
+    """Bits of a text by a plain context tree: counts in dictionaries, method C."""
+    counts = [{} for _ in range(4)]
+    for sample in samples:
+        data = bytes(3) + sample
+        for i in range(3, len(data)):
+            for order in range(4):
+                own = counts[order].setdefault(data[i - order : i], Counter())
+                own[data[i]] += 1
+
+    def p(order, context, byte):
+        if order < 0:
+            return 1 / 256
+        lower = p(order - 1, context[1:], byte)
+        own = counts[order].get(context)
+        return (own[byte] + len(own) * lower) / (own.total() + len(own)) if own else lower
+
+    data = bytes(3) + text
+    return -sum(math.log2(p(3, data[i - 3 : i], data[i])) for i in range(3, len(data)))
+
+
+def test_language_codes_are_those_of_a_plain_tree():
+    random.seed(8)
+    samples = {"aa": [b"bala lam abal", b"lam\x00 la", b""], "bb": ["ñoñu uñó".encode(), b"tik tiki"]}
+    texts = [b"", b"b", b"bala", "lam ñoñ".encode(), bytes(range(256)), *(bytes(random.choice(b"balm tiko") for _ in range(90)) for _ in range(20))]
+    trees = langid.grow(samples)
+    for block in (7, 1 << 18):
+        got = trees.many(texts, block)
+        assert np.allclose(got, [[brute_code(samples[x], t) for x in trees.languages] for t in texts], rtol=1e-4)
 
 
 @pytest.fixture(scope="module")
