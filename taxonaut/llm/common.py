@@ -53,6 +53,27 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter of keys, eight a key up to this (4 MB); its false positives only cost work.
+MOST_FILTER_BITS = 1 << 25
+
+
+def split_by_filter(rows: DataFrame, on: list[str], keys: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`rows` that may have a partner in `keys` (few: a bit of their hash is set), and those that surely have none.
+
+    The filter is broadcast as words of 64 bits; its size is bounded, and with too many keys for it more rows are taken for partners.
+    """
+    size = min(MOST_FILTER_BITS, 1 << (8 * max(1024, keys.count()) - 1).bit_length())
+
+    def bit(names):
+        return F.pmod(F.xxhash64(*names), F.lit(size))
+
+    one = F.expr("shiftleft(1L, cast(__bit & 63 as int))")
+    words = keys.select(bit(key).alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__at")).agg(F.bit_or(one).alias("__word"))
+    flagged = rows.withColumn("__bit", bit(on)).join(F.broadcast(words), F.shiftright("__bit", 6) == F.col("__at"), "left")
+    there = F.coalesce(F.col("__word").bitwiseAND(one) != 0, F.lit(False))
+    return tuple(flagged.where(x).drop("__bit", "__at", "__word") for x in (there, ~there))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

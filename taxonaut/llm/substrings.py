@@ -5,9 +5,9 @@ suffix tree if they share their first `window` words. To split the suffixes into
 memory-sized groups, each is filed under a prefix of its own length: it reaches from the
 suffix's start to the end of its anchor, the smallest-hashed run of `GRAM` words among its first
 `window`. Equal windows have equal anchors, so every subtree lies in one group; suffixes of
-one document with the same anchor lie side by side and travel as one record, a check
-value a suffix. A group is read in sorted order: neighbours that agree in prefix
-and check value hang below one node at depth `window`, and runs of such starts are the
+one document with the same anchor lie side by side and travel as one record, with the 64-bit hash of
+each suffix's window. A group is read in sorted order: neighbours that agree in prefix (64 bits of the
+anchor, and where it lies) and window hang below one node at depth `window`, and runs of such starts are the
 maximal repeats. Of a node's leaves all but the first, in document order, are removed.
 
 Each mapper first reads its own block of documents in this way, so that a passage in a third of
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import hash_words, mix64, words_of
+from taxonaut.llm.common import cut, hash_words, mix64, split_by_filter, words_of
 
 WINDOW = 20
 GRAM = 6
@@ -144,7 +144,9 @@ def _file_block(block: list[tuple[int, int, np.ndarray]], window: int, gram: int
     """Record batch of a block of (order, text crc, word hashes): its own repeats, and the records of the rest."""
     block.sort(key=lambda x: x[:2])
     sizes = np.array([len(x[2]) for x in block], np.int64)
-    start, anchor, g, whole = suffixes(np.concatenate([x[2] for x in block]), sizes, window, gram)
+    words = np.concatenate([x[2] for x in block])
+    start, anchor, g, whole = suffixes(words, sizes, window, gram)
+    second = _rolled(words, window, 7)[start] if len(hot) and len(start) else g  # a hot suffix is told by two hashes of its window
     doc = np.repeat(np.arange(len(block)), sizes)[start] if len(start) else start
     begin = np.cumsum(sizes) - sizes
     place = (np.array([x[1] for x in block], np.int64) << 32)[doc] + (start - begin[doc])
@@ -161,13 +163,12 @@ def _file_block(block: list[tuple[int, int, np.ndarray]], window: int, gram: int
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
     if len(hot):
         alone = np.isin(_slot(g), hot)
-        g = np.where(alone, mix64(whole, 5), g)
+        g = np.where(alone, second[keep], g)
         new |= alone
     first = np.nonzero(new)[0]
-    check = (whole >> np.uint64(32)).astype("<u4")
-    data = check.tobytes()
+    data = whole.astype("<u8").tobytes()
     lead = (anchor - start)[first].astype(np.uint8).tobytes()
-    cuts = np.concatenate([first, [len(start)]]) * 4
+    cuts = np.concatenate([first, [len(start)]]) * 8
     leaves = [lead[k : k + 1] + data[cuts[k] : cuts[k + 1]] for k in range(len(first))]
     return _batch([own, (g[first].view(np.int64), order_of[first], place[first], leaves)])
 
@@ -222,11 +223,13 @@ def _read_groups(batches):
             if state is not None:
                 single[g == state[0][0]] = False
             rows = np.nonzero(~own & ~single)[0]
-            m = (sizes[rows] - 1) // 4
+            m = (sizes[rows] - 1) // 8
             row = np.repeat(rows, m)
             k = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-            place = offsets[row] + 1 + 4 * k
-            check = sum(buffer[place + b].astype(np.int64) << (8 * b) for b in range(4))
+            place = offsets[row] + 1 + 8 * k
+            check = np.zeros(len(place), np.int64)
+            for b in range(8):
+                check |= buffer[place + b].astype(np.int64) << (8 * b)
             columns = [g[row], buffer[offsets[row]].astype(np.int64) - k, check, order[row], at[row] + k]
             carried = 0
             if state is not None:
@@ -291,9 +294,12 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     and short texts lose nothing. Other columns stay, but for any named like the three new ones.
     """
     docs = docs.drop("n_words", "n_removed", "kept")
-    ranged = repeats(docs, window, gram).toDF("__ord", "__crc", "__ranges")
+    ranged = cut(repeats(docs, window, gram).toDF("__ord", "__crc", "__ranges"))
     keyed = docs.withColumns({"__o": _order(), "__c": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
-    joined = keyed.join(ranged, (F.col("__o") == F.col("__ord")) & (F.col("__c") == F.col("__crc")), "left").drop("__o", "__c", "__ord", "__crc")
+    # Only documents with ranges, and a few others, meet them in a shuffle.
+    here, away = split_by_filter(keyed, ["__o", "__c"], ranged, ["__ord", "__crc"])
+    met = here.join(ranged, (F.col("__o") == F.col("__ord")) & (F.col("__c") == F.col("__crc")), "left")
+    joined = met.drop("__o", "__c", "__ord", "__crc").unionByName(away.drop("__o", "__c"), allowMissingColumns=True)
     fields = [f for f in joined.schema if f.name != "__ranges"]
     names = [f.name for f in fields]
 

@@ -103,6 +103,18 @@ def test_substrings(spark, monkeypatch):
     assert sorted((r["doc_id"] or 99, r["n_removed"]) for r in twice) == [(1, 0), (1, 0), (2, 30), (99, 30)]
 
 
+def test_equal_halves_of_a_hash_remove_nothing():
+    """Windows around one anchor are told apart by 64 bits and more: equal upper or lower halves are no repeat."""
+    import pyarrow as pa
+
+    base = np.uint64(0x123456789ABCDEF0)
+    for other in (base ^ np.uint64(1), base ^ np.uint64(1 << 63), base):
+        leaves = [bytes([3]) + np.array([x], "<u8").tobytes() for x in (base, other)]
+        batch = pa.RecordBatch.from_arrays([pa.array([7, 7]), pa.array([1, 2]), pa.array([0, 0]), pa.array(leaves, pa.binary())], names=["g", "ord", "at", "leaves"])
+        removed = sum(out.num_rows for out in substrings._read_groups([batch]))
+        assert removed == (other == base)
+
+
 def test_hot_anchors_spread(spark, monkeypatch):
     """A phrase in many documents, with different words around it, is not one group, and results stay the same."""
     import pyarrow as pa
@@ -119,7 +131,7 @@ def test_hot_anchors_spread(spark, monkeypatch):
         sizes = Counter()
         for out in substrings._file(20, 6, hot)([batch]):
             for g, leaves in zip(out.column(0).to_pylist(), out.column(3).to_pylist()):
-                sizes[g] += max(0, len(leaves) - 1) // 4
+                sizes[g] += max(0, len(leaves) - 1) // 8
         return max(sizes.values())
 
     assert len(hot) and groups(np.zeros(0, np.int64)) > 200 >= groups(hot)
