@@ -6,8 +6,8 @@ numbers the grid cells along a Hilbert curve. The keys are range-partitioned at
 same sample; a query looks through the windows of neighbouring ranges on every curve,
 block against block, and what it finds is merged and ranked by the exact measure.
 
-All rows are indexed. On vectors without structure, projections tell little: the default
-windows hold about a third of the rows a curve, which keeps recall above 0.9 there, too.
+All rows are indexed. A window holds WINDOW * n ** POWER rows, so its share of the table, and with it the
+share of all pairs that is compared, falls as the table grows; ranges are as many as that takes.
 """
 
 from __future__ import annotations
@@ -19,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taxonaut.llm.common import cut
-from taxonaut.llm.vectors import cosines, doubles, fitted, matrix, unit, usable
-
-CURVES = 8
-DIMENSIONS = 4
-BITS = 7
-#: Ranges of a curve, and how many on either side of a query's own it looks through.
-RANGES = 64
-REACH = 10
-#: Documented bound of the sample that quantiles are fitted on.
-SAMPLE = 4096
+from taxonaut.llm.vectors import cosines, fitted, matrix, unit, usable
+
+CURVES = 32
+DIMENSIONS = 12
+BITS = 3
+#: Rows of a query's window on one curve: its own range of keys and REACH on either side.
+WINDOW, POWER = 1.5, 0.6
+REACH = 1
+#: Documented bound of the sample that quantiles and range bounds are fitted on.
+SAMPLE = 16384
 BLOCK = 8192
 QUERY_BLOCK = 4096
 
@@ -83,7 +83,12 @@ class Curves:
         return np.searchsorted(self.bounds[c], self.key(c, x), side="right")
 
 
-def fit(sample: np.ndarray, curves: int = CURVES, dimensions: int = DIMENSIONS, bits: int = BITS, ranges: int = RANGES, seed: int = 17) -> Curves:
+def window_rows(n: int) -> float:
+    """Rows that a query looks at on one curve of a table of n."""
+    return min(float(n), WINDOW * n**POWER)
+
+
+def fit(sample: np.ndarray, ranges: int, curves: int = CURVES, dimensions: int = DIMENSIONS, bits: int = BITS, seed: int = 17) -> Curves:
     rng = np.random.default_rng(seed)
     width = sample.shape[1]
     directions, quantiles, shifts = [], [], rng.random((curves, min(dimensions, width)))
@@ -107,13 +112,13 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", v
     rows count once. Empty tables, or tables without queries, give no rows.
     """
     spark = rows.sparkSession
-    used = cut(rows.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), doubles(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")))
-    drawn = used.select("v", "id").orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(SAMPLE).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not drawn:
-        return spark.createDataFrame([], empty)
-    width = max(len(r["v"]) for r in drawn)
-    index = fit(np.stack([np.pad(np.array(r["v"], float), (0, width - len(r["v"]))) for r in drawn]), **shape)
+    used = cut(rows.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")))
+    n = used.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    drawn = used.select("v", "id").orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(SAMPLE).toArrow()
+    ranges = min(SAMPLE // 2, max(1, int((2 * reach + 1) * n / window_rows(n))))
+    index = fit(matrix(drawn.column("v"))[0], ranges, **shape)
     first = spark.sparkContext.broadcast(index)
 
     def count(batches):
@@ -164,7 +169,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", v
                 row = pa.array(columns[0])
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[1:]), pa.array(side), batch.column(0).take(row), batch.column(1).take(row)], names=["curve", "range", "block", "asked", "side", "id", "v"])
 
-    dealt = used.mapInArrow(deal, "curve long, range long, block long, asked long, side byte, id long, v array<double>")
+    dealt = used.mapInArrow(deal, f"curve long, range long, block long, asked long, side byte, id long, v {dict(used.dtypes)['v']}")
     near = dealt.groupBy("curve", "range", "block", "asked").applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
     merged = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
