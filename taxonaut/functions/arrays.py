@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from taxonaut.functions.text import strip
+
 
 def filled(parts: Sequence[Column]) -> Column:
     """Array of the parts that are not empty."""
@@ -14,7 +16,7 @@ def filled(parts: Sequence[Column]) -> Column:
 
 def dedupe_path(path: Column) -> Column:
     """Trimmed parts without blanks and without a part that repeats the one before it."""
-    kept = F.filter(F.transform(path, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    kept = F.filter(F.transform(path, strip), lambda x: x.isNotNull() & (x != ""))
     return F.filter(kept, lambda x, i: (i == 0) | (x != F.get(kept, i - 1)))
 
 
@@ -22,7 +24,7 @@ def deepest_level(levels: Sequence[Column]) -> Column:
     """Index of the last part that is not blank, -1 if all are."""
     found = F.lit(-1)
     for i, level in enumerate(levels):
-        found = F.when(F.coalesce(F.trim(level), F.lit("")) != "", F.lit(i)).otherwise(found)
+        found = F.when(F.coalesce(strip(level), F.lit("")) != "", F.lit(i)).otherwise(found)
     return found
 
 

@@ -18,22 +18,48 @@ LEADING_CODE = rf"^{SPACE}*({CODE}){SPACE}*[:：]{SPACE}*"
 CJK = r"[\x{4e00}-\x{9fff}]"
 LONG_TEXT = 60
 
-# Column types by their first word.
+# The family of a column type, by its first word.
 TYPES = {
-    "STRING": "varchar varchar2 nvarchar nvarchar2 string char nchar text clob",
-    "INTEGER": "tinyint smallint mediumint int integer bigint",
-    "DECIMAL": "decimal numeric number",
-    "FLOAT": "float real double",
-    "BOOLEAN": "bool boolean",
-    "DATETIME": "datetime timestamp",
-    "DATE": "date",
-    "TIME": "time",
-    "BINARY": "binary varbinary blob",
-    "JSON": "json",
+    "bigint": "INTEGER",
+    "binary": "BINARY",
+    "blob": "BINARY",
+    "bool": "BOOLEAN",
+    "boolean": "BOOLEAN",
+    "char": "STRING",
+    "clob": "STRING",
+    "date": "DATE",
+    "datetime": "DATETIME",
+    "decimal": "DECIMAL",
+    "double": "FLOAT",
+    "float": "FLOAT",
+    "int": "INTEGER",
+    "integer": "INTEGER",
+    "json": "JSON",
+    "mediumint": "INTEGER",
+    "nchar": "STRING",
+    "number": "DECIMAL",
+    "numeric": "DECIMAL",
+    "nvarchar": "STRING",
+    "nvarchar2": "STRING",
+    "real": "FLOAT",
+    "smallint": "INTEGER",
+    "string": "STRING",
+    "text": "STRING",
+    "time": "TIME",
+    "timestamp": "DATETIME",
+    "tinyint": "INTEGER",
+    "varbinary": "BINARY",
+    "varchar": "STRING",
+    "varchar2": "STRING",
 }
 LEVELS = ("L1", "L2", "L3", "L4")
 
 
+def strip(x: Column) -> Column:
+    """White space trimmed off both ends, inner runs kept; null stays null."""
+    return F.regexp_replace(x.cast("string"), f"^{SPACE}+|{SPACE}+$", "")
+
+
 def clean(x: Column) -> Column:
     """White space runs as one space, ends trimmed; null as ''."""
     return F.trim(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), f"{SPACE}+", " "))
@@ -71,7 +97,7 @@ def normalize_name(x: Column) -> Column:
 def normalize_type(x: Column) -> Column:
     """Type family of the first word; an unknown type in upper case."""
     text = F.lower(clean(x))
-    families = F.create_map(*[F.lit(v) for family, names in TYPES.items() for name in names.split() for v in (name, family)])
+    families = F.create_map(*[F.lit(v) for pair in TYPES.items() for v in pair])
     return F.coalesce(families[F.element_at(F.split(text, r"[\s(]", 2), 1)], F.upper(text))
 
 
@@ -95,7 +121,7 @@ def parse_category(x: Column) -> Column:
     Parts are split at '-' only if there are two or more and each holds a CJK character.
     """
     text, found = clean(x), split_code(x)
-    parts = F.transform(F.split(found["name"], "-"), lambda p: F.trim(p))
+    parts = F.transform(F.split(found["name"], "-"), strip)
     multi = (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(CJK))
     return F.struct(
         found["name"].alias("name"), found["code"].alias("code"), F.when(multi, parts).otherwise(F.array(found["name"])).alias("parts"),
@@ -105,5 +131,5 @@ def parse_category(x: Column) -> Column:
 
 def labelled_lines(head: str, labels: dict[str, str]) -> Column:
     """`head`, then a line "label：value" for every column that is not blank, in order."""
-    lines = [F.when(clean(F.col(c)) != "", F.concat(F.lit(f"{label}："), F.trim(F.col(c).cast("string")))) for c, label in labels.items()]
+    lines = [F.when(clean(F.col(c)) != "", F.concat(F.lit(f"{label}："), strip(F.col(c)))) for c, label in labels.items()]
     return F.concat_ws("\n", F.lit(head), *lines)

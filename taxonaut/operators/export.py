@@ -28,7 +28,7 @@ def require_empty(df: DataFrame, what: str) -> None:
 
 
 def stage_rows(rows: DataFrame, registry: list[str], names: list[str], corpus: DataFrame, metadata: dict[str, Column]) -> DataFrame:
-    """Two rows (stage1, stage2) for each resolved row (source_id, truth): system, user, answer, truth, candidates.
+    """Two rows (stage1, stage2) for each resolved row (source_id, truth): system, user, answer, truth, candidates, metadata (JSON).
 
     The catalogue is one literal; candidates are worked out once and fan out to both stages. registry
     and names are in registry order, of bounded size.
@@ -40,12 +40,12 @@ def stage_rows(rows: DataFrame, registry: list[str], names: list[str], corpus: D
     picked = F.transform("candidates", lambda c: choice_of[c])
     one = F.struct(F.lit("stage1").alias("stage"), F.lit(choices.STAGE1_SYSTEM).alias("system"), choices.stage1_prompt(catalogue, F.col("metadata")).alias("user"), choices.stage1_answer(picked).alias("answer"))
     two = F.struct(F.lit("stage2").alias("stage"), F.lit(choices.STAGE2_SYSTEM).alias("system"), choices.stage2_prompt(F.col("bundle"), F.col("metadata")).alias("user"), choices.stage2_answer(F.col("truth"), F.col("candidates")).alias("answer"))
-    return based.join(bundles, "source_id").select("source_id", "truth", "candidates", F.explode(F.array(one, two)).alias("s")).select("source_id", "s.*", "truth", "candidates")
+    return based.join(bundles, "source_id").select("source_id", "truth", "candidates", "metadata", F.explode(F.array(one, two)).alias("s")).select("source_id", "s.*", "truth", "candidates", "metadata")
 
 
 def sft_rows(stages: DataFrame) -> DataFrame:
     message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    return stages.select(F.array(message("system", "system"), message("user", "user"), message("assistant", "answer")).alias("messages"), "stage", "source_id", F.col("truth").alias("ground_truth"), "candidates")
+    return stages.select(F.array(message("system", "system"), message("user", "user"), message("assistant", "answer")).alias("messages"), "stage", "source_id", F.col("truth").alias("ground_truth"), "candidates", "metadata")
 
 
 def rl_rows(stages: DataFrame, source: str, ability: str = "classification") -> DataFrame:
@@ -55,43 +55,83 @@ def rl_rows(stages: DataFrame, source: str, ability: str = "classification") ->
         F.array(message("system", "system"), message("user", "user")).alias("prompt"),
         F.lit(ability).alias("ability"),
         F.struct(F.lit("rule").alias("style"), F.col("truth").alias("ground_truth")).alias("reward_model"),
-        F.struct("stage", "source_id", "candidates").alias("extra_info"),
+        F.struct("stage", "source_id", "metadata", F.when(F.col("stage") == "stage2", F.col("candidates")).alias("candidates")).alias("extra_info"),
     )
 
 
-def check_sft(rows: DataFrame, registry: list[str]) -> DataFrame:
-    """source_id, stage and errors (in check order) of rows that break the contract; empty for a good export."""
-    roles = F.transform("messages", lambda m: m["role"])
-    blank = F.exists("messages", lambda m: F.trim(m["content"]) == "")
-    fresh = choices.candidate_bundle(F.col("ground_truth"), registry, F.col("source_id"))
+def _errors(checks: list[tuple[Column, str]]) -> Column:
+    """What is said of the checks that fail, in order; a check that a null leaves open fails."""
+    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(said)) for bad, said in checks]), lambda e: e.isNotNull())
+
+
+def _sample_checks(registry: list[str], stage: Column, source: Column, truth: Column, candidates: Column) -> list[tuple[Column, str]]:
+    fresh = choices.candidate_bundle(truth, registry, source)
+    return [
+        (~stage.isin("stage1", "stage2"), "unknown stage"),
+        (text.strip(source) == "", "blank source id"),
+        (~truth.isin(*registry), "ground truth is not in the registry"),
+        ((F.size(candidates) != 5) | (F.size(F.array_distinct(candidates)) != 5), "five different candidates are needed"),
+        (~F.array_contains(candidates, truth), "candidates lack the ground truth"),
+        (fresh != candidates, "candidate order is not the reproducible one"),
+    ]
+
+
+def _with_expected(rows: DataFrame, source: Column, stage: Column, expected: DataFrame) -> DataFrame:
+    """Rows beside what stage_rows() gives for their sample and stage, null where there is none."""
+    again = expected.select(F.struct("system", "user", "answer", "truth", "metadata").alias("_e"), F.col("source_id").alias("_source"), F.col("stage").alias("_stage"))
+    return rows.join(again, (source == F.col("_source")) & (stage == F.col("_stage")), "left")
+
+
+def _differs(x: Column, y: Column) -> Column:
+    return ~x.eqNullSafe(y)
+
+
+def check_sft(rows: DataFrame, registry: list[str], expected: DataFrame) -> DataFrame:
+    """source_id, stage and errors (in check order) of rows that break the contract; empty for a good export.
+
+    `expected` (stage_rows() of the samples) holds the prompts and answers built anew: messages must equal them, so
+    stage 1 answers the candidates and stage 2 the truth. Null fields are errors.
+    """
+    rows = _with_expected(rows, rows["source_id"], rows["stage"], expected)
+    content = lambda i: F.get(F.col("messages"), F.lit(i))["content"]
+    sample = _sample_checks(registry, F.col("stage"), F.col("source_id"), F.col("ground_truth"), F.col("candidates"))
     checks = [
-        (roles != F.array(*[F.lit(r) for r in ("system", "user", "assistant")]), "roles must be system, user, assistant"),
-        (blank, "blank message"),
-        (~F.col("stage").isin("stage1", "stage2"), "unknown stage"),
-        (~F.col("ground_truth").isin(*registry), "ground truth is not in the registry"),
-        ((F.size("candidates") != 5) | (F.size(F.array_distinct("candidates")) != 5), "five different candidates are needed"),
-        (~F.array_contains("candidates", F.col("ground_truth")), "candidates lack the ground truth"),
-        (fresh != F.col("candidates"), "candidate order is not the reproducible one"),
+        (F.transform("messages", lambda m: m["role"]) != F.array(*[F.lit(r) for r in ("system", "user", "assistant")]), "roles must be system, user, assistant"),
+        (F.exists("messages", lambda m: text.strip(m["content"]) == ""), "blank message"),
+        *sample,
+        (F.col("_e").isNull(), "no such sample"),
+        (_differs(F.col("ground_truth"), F.col("_e.truth")), "ground truth is not the sample's"),
+        (_differs(content(0), F.col("_e.system")), "system prompt differs"),
+        (_differs(content(1), F.col("_e.user")), "user prompt differs"),
+        (_differs(content(2), F.col("_e.answer")), "answer differs"),
+        (_differs(F.col("metadata"), F.col("_e.metadata")), "metadata differ"),
     ]
-    errors = F.filter(F.array(*[F.when(bad, F.lit(said)) for bad, said in checks]), lambda e: e.isNotNull())
-    return rows.select("source_id", "stage", errors.alias("errors")).where(F.size("errors") > 0)
+    return rows.select("source_id", "stage", _errors(checks).alias("errors")).where(F.size("errors") > 0)
 
 
-def check_rl(rows: DataFrame, registry: list[str], source: str) -> DataFrame:
-    """source_id, stage and errors (in check order) of reinforcement rows that break the contract; empty for a good export."""
+def check_rl(rows: DataFrame, registry: list[str], source: str, expected: DataFrame, ability: str = "classification") -> DataFrame:
+    """source_id, stage and errors (in check order) of reinforcement rows that break the contract; empty for a good export. `expected` as for check_sft()."""
+    rows = _with_expected(rows, rows["extra_info"]["source_id"], rows["extra_info"]["stage"], expected)
     info, truth = F.col("extra_info"), F.col("reward_model")["ground_truth"]
-    roles = F.transform("prompt", lambda m: m["role"])
+    content = lambda i: F.get(F.col("prompt"), F.lit(i))["content"]
+    # Only the second stage shows its candidates.
+    first = info["stage"] == "stage1"
+    sample = [(F.when(first, False).otherwise(bad) if "candidate" in said else bad, said) for bad, said in _sample_checks(registry, info["stage"], info["source_id"], truth, info["candidates"])]
+    sample.append((first & info["candidates"].isNotNull(), "stage1 shows candidates"))
     checks = [
         (F.col("data_source") != source, "unknown data source"),
-        (roles != F.array(F.lit("system"), F.lit("user")), "roles must be system, user"),
-        (F.exists("prompt", lambda m: F.trim(m["content"]) == ""), "blank message"),
-        (~info["stage"].isin("stage1", "stage2"), "unknown stage"),
-        (~truth.isin(*registry), "ground truth is not in the registry"),
-        ((F.size(info["candidates"]) != 5) | (F.size(F.array_distinct(info["candidates"])) != 5), "five different candidates are needed"),
-        (~F.array_contains(info["candidates"], truth), "candidates lack the ground truth"),
+        (F.col("ability") != ability, "unknown ability"),
+        (F.col("reward_model")["style"] != "rule", "unknown reward style"),
+        (F.transform("prompt", lambda m: m["role"]) != F.array(F.lit("system"), F.lit("user")), "roles must be system, user"),
+        (F.exists("prompt", lambda m: text.strip(m["content"]) == ""), "blank message"),
+        *sample,
+        (F.col("_e").isNull(), "no such sample"),
+        (_differs(truth, F.col("_e.truth")), "ground truth is not the sample's"),
+        (_differs(content(0), F.col("_e.system")), "system prompt differs"),
+        (_differs(content(1), F.col("_e.user")), "user prompt differs"),
+        (_differs(info["metadata"], F.col("_e.metadata")), "metadata differ"),
     ]
-    errors = F.filter(F.array(*[F.when(bad, F.lit(said)) for bad, said in checks]), lambda e: e.isNotNull())
-    return rows.select(info["source_id"].alias("source_id"), info["stage"].alias("stage"), errors.alias("errors")).where(F.size("errors") > 0)
+    return rows.select(info["source_id"].alias("source_id"), info["stage"].alias("stage"), _errors(checks).alias("errors")).where(F.size("errors") > 0)
 
 
 def unpaired(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taxonaut.functions.arrays import filled
 from taxonaut.functions.ids import qualified_id
+from taxonaut.functions.text import strip
 
 # Outcomes of a resolution.
 STATUSES = ("resolved", "missing_leaf", "path_mismatch", "placeholder", "unlabeled", "code_unresolved", "invalid_record")
@@ -34,7 +35,7 @@ class DatasetConfig:
             raise ValueError("identity_fields must be among path_fields")
 
     def level(self, name: str) -> Column:
-        return F.trim(F.coalesce(F.col(name), F.lit("")))
+        return strip(F.coalesce(F.col(name), F.lit("")))
 
     def category_id(self) -> Column:
         return qualified_id(self.dataset, [self.level(f) for f in (self.identity_fields or self.path_fields)])
@@ -55,7 +56,7 @@ def resolve(records: DataFrame, config: DatasetConfig, code_map: DataFrame | Non
     else:
         out = out.withColumn("category_id", config.category_id())
     status = (
-        F.when(F.lower(F.trim(F.coalesce("label_status", F.lit("")))) == "unlabeled", "unlabeled")
+        F.when(F.lower(strip(F.coalesce("label_status", F.lit("")))) == "unlabeled", "unlabeled")
         .when(F.col("leaf") == "", "invalid_record")
         .when(F.col("leaf").isin(*config.placeholders) if config.placeholders else F.lit(False), "placeholder")
         .when(F.col("category_id").isNull(), "code_unresolved")

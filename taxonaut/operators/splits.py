@@ -1,33 +1,38 @@
 """Dataset splits: exact sizes by stratum, whole groups, overlap.
 
-Both greedy assignments are sequential by definition and run on the driver over their summary only
-(counts of strata, or groups with label counts); rows take their split in Spark.
+Random splits are systematic: rows are lined up by stratum and seeded hash, and each split takes evenly spaced
+places of the line, so its share of every stratum is exact but for one row. Only counts reach the driver.
+Groups are dealt on the driver over one summary row a group, of bounded number, each to the split that lacks most of
+what the group holds.
 """
 
 from __future__ import annotations
 
-import random
-from collections import defaultdict
 from collections.abc import Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from taxonaut.functions.text import strip
 
 SPLITS = ("train", "val", "test")
+#: Strata, and groups, that a split may have.
+MOST_GROUPS = 1_000_000
 
 
 def allocate(total: int, ratios: Sequence[float]) -> list[int]:
-    """Sizes that sum to `total`: largest remainders get the rest, larger ratios first on ties; train is never empty if it can be helped."""
-    exact = [total * r for r in ratios]
-    sizes = [int(x) for x in exact]
-    by_rest = sorted(range(len(ratios)), key=lambda i: (exact[i] - sizes[i], ratios[i]), reverse=True)
-    for i in by_rest[: total - sum(sizes)]:
-        sizes[i] += 1
-    if total and ratios[0] and not sizes[0]:
-        others = [i for i in range(1, len(sizes)) if sizes[i]]
-        if others:
-            sizes[max(others, key=sizes.__getitem__)] -= 1
-            sizes[0] += 1
-    return sizes
+    """Sizes that sum to `total`, by largest remainder: of equal remainders the larger ratio's comes first.
+
+    If train would stay empty although its ratio is positive, the largest other split gives it a row.
+    """
+    shares = [Fraction(str(r)) * total for r in ratios]
+    sizes = np.array([s.numerator // s.denominator for s in shares])
+    order = sorted(range(len(sizes)), key=lambda i: (int(sizes[i]) - shares[i], -ratios[i]))
+    sizes[order[: total - int(sizes.sum())]] += 1
+    if ratios[0] > 0 and sizes[0] == 0 and sizes.any():
+        sizes[[0, int(sizes.argmax())]] += (1, -1)
+    return sizes.tolist()
 
 
 def check_ratios(ratios: Sequence[float]) -> None:
@@ -35,103 +40,104 @@ def check_ratios(ratios: Sequence[float]) -> None:
         raise ValueError("three ratios that sum to one are needed")
 
 
+def _wide(x) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast("decimal(18,0)")
+
+
+def before(place: Column, size: int, total: int) -> Column:
+    """How many of `size` evenly spaced places of 0 to total - 1 come before one; in 38 digits, so it is exact for any table."""
+    product = _wide(place) * _wide(size)
+    return ((product - product % _wide(max(1, total))) / _wide(max(1, total))).cast("long")
+
+
+def spaced(place: Column, size: int, total: int) -> Column:
+    """True at the evenly spaced places."""
+    return before(place + 1, size, total) > before(place, size, total)
+
+
 def split_random(rows: DataFrame, order: str, strata: Sequence[str], ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
-    """rows with split: exact sizes overall, strata as even as they can be. Every row stays once, with a null or repeated `order` too.
+    """rows with split: exact sizes overall, and in each stratum but for one row. Every row stays once, with a null or repeated `order` too.
 
-    The driver sees one count for each stratum and salt; rows take their split by a seeded hash order, numbered
+    The driver sees one count for each stratum and salt, of which there are at most MOST_GROUPS; rows are numbered
     within (stratum, salt). Ties are ordered by the other columns, so only equal rows are interchangeable.
     """
     check_ratios(ratios)
-    spark = rows.sparkSession
     label = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata])
     others = [f.name for f in rows.schema if f.name != order and "map<" not in f.dataType.simpleString()]
-    tie = F.xxhash64(F.lit(seed), order, *others)
-    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = rows.withColumns({"_s": label, "_h": tie}).withColumn("_salt", F.pmod("_h", F.lit(salts)).cast("int"))
-    counts: dict[str, dict[int, int]] = defaultdict(dict)
-    for r in keyed.groupBy("_s", "_salt").count().orderBy("_s", "_salt").collect():
-        counts[r["_s"]][r["_salt"]] = r["count"]
-    size_of = {s: sum(c.values()) for s, c in counts.items()}
-    sizes = allocate(sum(size_of.values()), ratios)
-    left = list(sizes)
-    groups = list(counts)
-    random.Random(seed).shuffle(groups)
-    groups.sort(key=size_of.__getitem__, reverse=True)
-    places = []
-    for s in groups:
-        due = [size_of[s] * r for r in ratios]
-        # What a greedy choice gives each split in any case; the last few rows are chosen one by one.
-        given = [min(left[i], max(0, int(due[i]) - 2)) for i in range(3)]
-        left = [x - g for x, g in zip(left, given)]
-
-        def cost(i: int, due=due, given=given) -> tuple:
-            step = (given[i] + 1 - due[i]) ** 2 - (given[i] - due[i]) ** 2
-            return step / max(due[i], 1), -left[i] / max(sizes[i], 1), i
-
-        for _ in range(size_of[s] - sum(given)):
-            i = min((k for k in range(3) if left[k] > 0), key=cost)
-            given[i] += 1
-            left[i] -= 1
-        before = 0
-        for salt, n in counts[s].items():
-            places.append((s, salt, before, given[0], given[0] + given[1]))
-            before += n
-    table = F.broadcast(spark.createDataFrame(places, "_s string, _salt int, _before long, _train long, _val long"))
-    ranked = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h", *[F.col(c) for c in (order, *others)])))
-    rank = F.col("_before") + F.col("_n")
-    split = F.when(rank <= F.col("_train"), SPLITS[0]).when(rank <= F.col("_val"), SPLITS[1]).otherwise(SPLITS[2])
-    return ranked.join(table, ["_s", "_salt"]).select(order, *[c for c in rows.columns if c != order], split.alias("split"))
+    salts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = rows.withColumns({"_s": label, "_h": F.xxhash64(F.lit(seed), order, *others)}).withColumn("_salt", F.pmod("_h", F.lit(salts)).cast("int"))
+    counts = keyed.groupBy("_s", "_salt").count().orderBy("_s", "_salt").limit(MOST_GROUPS + 1).collect()
+    if len(counts) > MOST_GROUPS:
+        raise ValueError("too many strata for a stratified split")
+    ends = np.cumsum([r["count"] for r in counts], dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    _, val, test = allocate(total, ratios)
+    starts = [(r["_s"], r["_salt"], int(end) - r["count"]) for r, end in zip(counts, ends)]
+    table = F.broadcast(rows.sparkSession.createDataFrame(starts, "_s string, _salt int, _start long"))
+    numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h", *[F.col(c) for c in (order, *others)])) - 1)
+    place = F.col("_start") + F.col("_n")
+    in_val = spaced(place, val, total)
+    # Places among what validation leaves.
+    rest = place - before(place, val, total)
+    split = F.when(in_val, SPLITS[1]).when(spaced(rest, test, total - val), SPLITS[2]).otherwise(SPLITS[0])
+    return numbered.join(table, ["_s", "_salt"]).select(order, *[c for c in rows.columns if c != order], split.alias("split"))
+
+
+def deal_groups(counts: np.ndarray, ratios: Sequence[float]) -> np.ndarray:
+    """Split of each group, given rows of what it holds (its size and label counts), in order of choice.
+
+    A group goes to the split that lacks the largest share of it; the last groups go to splits that have none yet.
+    """
+    active = np.array([i for i, r in enumerate(ratios) if r > 0])
+    due = counts.sum(axis=0)[None] * np.array(ratios)[active][:, None]
+    lack = due.astype(float)
+    chosen = np.zeros(len(counts), np.int64)
+    empty = np.ones(len(active), bool)
+    for g, held in enumerate(counts):
+        open_ = empty if len(counts) - g <= empty.sum() else np.ones(len(active), bool)
+        need = (lack / np.maximum(due, 1e-12)) @ held / max(1, held.sum())
+        best = int(np.where(open_, need, -np.inf).argmax())
+        lack[best] -= held
+        empty[best] = False
+        chosen[g] = active[best]
+    return chosen
 
 
 def split_groups(rows: DataFrame, key: str, labels: Sequence[str], ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42, missing: str = "error") -> DataFrame:
-    """rows with split: whole groups, sizes and label shares as close to the ratios as a greedy choice gets.
+    """rows with split: whole groups, sizes and label shares as close to the ratios as dealing large groups first gets.
 
-    Label counts of groups are aggregated in Spark; the driver sees one row a group and label. Rows
-    without a key are refused or, with missing="drop", left out.
+    The driver sees one row a group and label, at most MOST_GROUPS; ties of size are in the order of a seeded hash.
+    Rows without a key are refused or, with missing="drop", left out.
     """
     check_ratios(ratios)
-    blank = F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")
+    blank = F.col(key).isNull() | (strip(F.col(key)) == "")
     if missing == "error" and not rows.where(blank).isEmpty():
         raise ValueError(f"rows without {key}")
     rows = rows.where(~blank)
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("label")) for c in labels]))
-    counts: dict = defaultdict(dict)
-    for r in rows.select(key, pairs.alias("p")).groupBy(key, "p").agg(F.count("*").alias("n")).orderBy(key, "p").collect():
-        counts[r[key]][tuple(r["p"])] = r["n"]
-    size_of = {g: sum(c.values()) // len(labels) for g, c in counts.items()}
-    active = [i for i, r in enumerate(ratios) if r > 0]
-    if len(counts) < len(active):
-        raise ValueError(f"{len(counts)} groups cannot fill {len(active)} splits")
-    total: dict = defaultdict(int)
-    for c in counts.values():
-        for label, n in c.items():
-            total[label] += n
-    want = [sum(size_of.values()) * r for r in ratios]
-    sizes, held = [0, 0, 0], [defaultdict(int) for _ in ratios]
-    order = list(counts)
-    random.Random(seed).shuffle(order)
-    order.sort(key=size_of.__getitem__, reverse=True)
-    chosen = []
-    for position, g in enumerate(order):
-
-        def cost(i: int, g=g) -> tuple:
-            size_error = sum((sizes[j] + (size_of[g] if j == i else 0) - want[j]) ** 2 / max(want[j], 1) for j in active)
-            label_error = sum((held[j][x] + (n if j == i else 0) - total[x] * ratios[j]) ** 2 / max(total[x] * ratios[j], 1) for j in active for x, n in counts[g].items())
-            return size_error + label_error / max(len(counts[g]), 1), sizes[i] / max(want[i], 1), i
-
-        i = active[position] if position < len(active) else min(active, key=cost)
-        chosen.append((g, SPLITS[i]))
-        sizes[i] += size_of[g]
-        for x, n in counts[g].items():
-            held[i][x] += n
+    held = rows.select(key, _labelled(labels)).groupBy(key, "p").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(F.lit(seed), key))
+    found = held.limit(MOST_GROUPS + 1).toPandas()
+    if len(found) > MOST_GROUPS:
+        raise ValueError("too many groups for a split by groups")
+    found["p"] = found["p"].map(tuple)
+    table = found.pivot_table(index=[key, "h"], columns="p", values="n", fill_value=0, aggfunc="sum")
+    size = table.sum(axis=1) // max(1, len(labels))
+    if len(table) < sum(r > 0 for r in ratios):
+        raise ValueError(f"{len(table)} groups cannot fill {sum(r > 0 for r in ratios)} splits")
+    order = np.lexsort([table.index.get_level_values("h"), -size])
+    counts = np.column_stack([size, table])[order]
+    groups = table.index.get_level_values(key)[order].tolist()
+    chosen = [(g, SPLITS[i]) for g, i in zip(groups, deal_groups(counts, ratios))]
     kind = rows.schema[key].dataType.simpleString()
     return rows.join(rows.sparkSession.createDataFrame(chosen, f"`{key}` {kind}, split string"), key)
 
 
+def _labelled(labels: Sequence[str]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("label")) for c in labels])).alias("p")
+
+
 def label_report(rows: DataFrame, split: str, labels: Sequence[str]) -> DataFrame:
     """(field, split, label, n)."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("label")) for c in labels]))
-    return rows.select(split, pairs.alias("p")).groupBy("p.field", split, "p.label").agg(F.count("*").alias("n"))
+    return rows.select(split, _labelled(labels)).groupBy("p.field", split, "p.label").agg(F.count("*").alias("n"))
 
 
 def overlap(rows: DataFrame, key: str, split: str) -> DataFrame:
@@ -144,3 +150,22 @@ def overlap(rows: DataFrame, key: str, split: str) -> DataFrame:
 def join_canonical(members: DataFrame, canonical: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(joined, orphans of the split, canonical rows outside all splits)."""
     return members.join(canonical, key), members.join(canonical, key, "left_anti"), canonical.join(members, key, "left_anti")
+
+
+def missing_labels(rows: DataFrame, split: str, labels: Sequence[str], train: str = SPLITS[0]) -> DataFrame:
+    """(field, split, label, n) of labels that a split other than training has and training lacks."""
+    found = label_report(rows, split, labels)
+    return found.where(F.col(split) != train).join(found.where(F.col(split) == train).select("field", "label"), ["field", "label"], "left_anti").select("field", split, "label", "n")
+
+
+def joined_canonical(members: DataFrame, canonical: DataFrame, key: str) -> DataFrame:
+    """Members with their canonical rows. Blank keys, repeated canonical keys and members without a canonical row raise."""
+    for side, rows in (("split", members), ("canonical", canonical)):
+        if not rows.where(F.col(key).isNull() | (strip(F.col(key)) == "")).isEmpty():
+            raise ValueError(f"{side} rows without {key}")
+    if again := canonical.groupBy(key).count().where("count > 1").limit(5).collect():
+        raise ValueError(f"canonical rows repeat {[r[key] for r in again]}")
+    joined, orphans, _ = join_canonical(members, canonical, key)
+    if lost := orphans.select(key).limit(5).collect():
+        raise ValueError(f"no canonical row for {[r[key] for r in lost]}")
+    return joined

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from taxonaut.functions import arrays, ids, text
-from taxonaut.operators import corpus, preprocess, profile, resolve, splits, standards
+from taxonaut.operators import corpus, preprocess, profile, resolve, scoring, splits, standards
 from taxonaut.plans.tables import CONFIG, RECORDS, REGISTRY, RESOLVED, query, records, registry, sql_clean, sql_compact, table
 
 CODE = r"[A-Za-z]+\p{Nd}*(?:-\p{Nd}+)*"
@@ -58,9 +58,28 @@ def code_lookup(spark, sf_dir):
     return resolve.resolve(rows, config, _code_map(spark, sf_dir)).groupBy("category_id", "resolution_status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS name, CAST(0 AS BIGINT) AS n_codes WHERE false")
+@query("SELECT p_name AS name, CAST(count(DISTINCT p_brand) AS BIGINT) AS n_codes FROM part WHERE p_size > 45 GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def ambiguous_codes(spark, sf_dir):
-    return resolve.ambiguous_codes(_code_map(spark, sf_dir))
+    return resolve.ambiguous_codes(table(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_name").alias("name"), F.col("p_brand").alias("code")))
+
+
+_SPACES = ("", "\u3000", "\u00a0", "\t", "\n", "\u2028")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'unlabeled' WHEN 1 THEN 'invalid_record' WHEN 2 THEN 'placeholder' ELSE 'resolved' END AS resolution_status,
+  CASE WHEN p_partkey % 7 = 1 THEN p_brand ELSE p_brand || '>' || CASE WHEN p_partkey % 7 = 2 THEN 'none' ELSE p_name END END AS path FROM part""")
+def white_space_of_labels(spark, sf_dir):
+    """Leaves, placeholders, flags and paths between white space of every kind."""
+    space = F.get(F.array(*[F.lit(x) for x in _SPACES]), F.col("p_partkey") % len(_SPACES))
+    around = lambda x: F.concat(space, x, space)
+    kind = F.col("p_partkey") % 7
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(kind == 0, around(F.lit("Unlabeled"))).otherwise("labeled").alias("label_status"), around(F.col("p_brand")).alias("level_1"),
+        F.when(kind == 1, space).when(kind == 2, around(F.lit("none"))).otherwise(around(F.col("p_name"))).alias("level_2"),
+    )
+    config = resolve.DatasetConfig("d", path_fields=("level_1", "level_2"), leaf_level="level_2", placeholders=("none",))
+    found = resolve.resolve(rows, config)
+    return found.select("p_partkey", "resolution_status", F.array_join(arrays.dedupe_path(F.concat("category_path", F.array("level_2"))), ">").alias("path"))
 
 
 @query(f"SELECT doc_id, CAST(length({sql_clean('text')}) AS BIGINT) AS n_chars, sha256({sql_clean('text')}) AS cleaned FROM documents")
@@ -194,13 +213,23 @@ def split_group_counts(spark, sf_dir):
     return splits.label_report(docs, "source", ["lang", "long"])
 
 
-@query()
+# Of a split of whole groups: rows, groups, groups in two splits, splits in use, and whether train has between half and all of the rows.
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT source) AS BIGINT) AS n_groups, CAST(0 AS BIGINT) AS torn, CAST(3 AS BIGINT) AS n_splits, true AS train_largest FROM documents")
 def split_assignment(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return splits.split_groups(docs, "source", ["lang"]).groupBy("split", "lang").agg(F.count("*").alias("n"))
-
-
-@query()
+    parts = splits.split_groups(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "source", ["lang"])
+    groups = parts.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"), F.min("split").alias("split"))
+    return groups.agg(
+        F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.count_if(F.col("splits") > 1).alias("torn"), F.count_distinct("split").alias("n_splits"),
+        (F.sum(F.when(F.col("split") == "train", F.col("n")).otherwise(0)) * 2 > F.sum("n")).alias("train_largest"),
+    )
+
+
+# Tenths by largest remainder: what is left over goes to train first if eight tenths leave the largest remainder, to val before test on ties.
+@query("""WITH n AS (SELECT count(*) AS n, count(*) * 8 % 10 AS a, count(*) % 10 AS b FROM labels),
+  s AS (SELECT n, n // 10 + CASE WHEN (n - 8 * n // 10 - 2 * (n // 10)) > CASE WHEN a >= b THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS v, n // 10 + CASE WHEN (n - 8 * n // 10 - 2 * (n // 10)) > CASE WHEN a >= b THEN 2 ELSE 1 END THEN 1 ELSE 0 END AS t FROM n),
+  p AS (SELECT quality, toxic, row_number() OVER (ORDER BY CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR)) - 1 AS p FROM labels),
+  q AS (SELECT quality, toxic, p - p * v // n AS r, (p + 1) * v // n > p * v // n AS val, n, v, t FROM p, s)
+  SELECT CASE WHEN val THEN 'val' WHEN (r + 1) * t // (n - v) > r * t // (n - v) THEN 'test' ELSE 'train' END AS split, quality, toxic, CAST(count(*) AS BIGINT) AS n FROM q GROUP BY 1, 2, 3""")
 def split_random(spark, sf_dir):
     return splits.split_random(table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"]).groupBy("split", "quality", "toxic").agg(F.count("*").alias("n"))
 
@@ -357,12 +386,12 @@ def dedupe_path(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(arrays.dedupe_path(raw), ">").alias("path"))
 
 
-@query("SELECT sha256(string_agg('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}', ',' ORDER BY n_nationkey)) AS fingerprint FROM nation")
+@query("SELECT sha256(string_agg('{\"s_name\":\"' || s_name || '\",\"s_suppkey\":' || s_suppkey || '}', ',' ORDER BY s_suppkey)) AS fingerprint FROM supplier")
 def fingerprint_rows(spark, sf_dir):
-    return ids.fingerprint(table(spark, sf_dir, "nation"), ["n_nationkey"])
+    return ids.fingerprint(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"])
 
 
-@query("SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id, source ORDER BY n_chars DESC) AS INT) AS rn FROM documents")
+@query("SELECT 'stage1' AS stage, CAST(o_custkey AS VARCHAR) AS source_id, arg_max(o_orderpriority, o_orderkey) AS completion FROM orders GROUP BY 1, 2")
 def last_write_wins(spark, sf_dir):
-    w = Window.partitionBy("doc_id", "source").orderBy(F.desc("n_chars"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.row_number().over(w).alias("rn"))
+    orders = table(spark, sf_dir, "orders").select(F.lit("stage1").alias("stage"), F.col("o_custkey").cast("string").alias("source_id"), F.col("o_orderpriority").alias("completion"), "o_orderkey")
+    return scoring.join_completions(orders.select("stage", "source_id").distinct(), orders, "o_orderkey")

@@ -14,10 +14,9 @@ def _nation_ids():
     return [f"N{i}" for i in range(NATIONS)]
 
 
-@query("SELECT 'N' || n_nationkey AS category_id, n_name AS name, CAST(row_number() OVER (ORDER BY n_nationkey) AS VARCHAR) AS choice_id FROM nation")
+@query(f"WITH {REGISTRY} SELECT category_id, CAST(row_number() OVER (ORDER BY category_id) AS VARCHAR) AS choice_id FROM registry")
 def choice_ids(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("category_id"), F.col("n_name").alias("name"), "n_nationkey")
-    return choices.choice_ids(nations, "n_nationkey").drop("n_nationkey")
+    return choices.choice_ids(registry(spark, sf_dir).select("category_id"), "category_id")
 
 
 @query(f"""WITH {REGISTRY}, c AS (SELECT category_id, name, level_2, level_1, count(*) OVER (PARTITION BY name) AS n1, count(*) OVER (PARTITION BY level_2, name) AS n2 FROM registry)
@@ -89,11 +88,53 @@ def stage1_prompts(spark, sf_dir):
     return rows.select("o_orderkey", F.sha2(user, 256).alias("prompt"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS source_id, CAST(NULL AS VARCHAR) AS stage, CAST(NULL AS VARCHAR) AS errors WHERE false")
-def sft_contract(spark, sf_dir):
+def _staged(spark, sf_dir):
     names = [f"NATION_{i}" for i in range(NATIONS)]
-    staged = export.stage_rows(_orders(spark, sf_dir), _nation_ids(), names, _corpus(spark, sf_dir), {"order": F.col("source_id")})
-    return export.check_sft(export.sft_rows(staged), _nation_ids()).withColumn("errors", F.array_join("errors", "; "))
+    return export.stage_rows(_orders(spark, sf_dir), _nation_ids(), names, _corpus(spark, sf_dir), {"order": F.col("source_id")})
+
+
+# Faults planted by order key, and what the check says of them.
+_FAULTS = (
+    "ground truth is not in the registry; candidates lack the ground truth; candidate order is not the reproducible one; ground truth is not the sample''s",
+    "roles must be system, user, assistant; blank message; system prompt differs; user prompt differs; answer differs",
+    "user prompt differs",
+    "answer differs",
+    "candidate order is not the reproducible one",
+)
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, stage, CASE o_orderkey % 20 " + " ".join(f"WHEN {i} THEN '{said}'" for i, said in enumerate(_FAULTS)) + " END AS errors FROM orders JOIN customer ON o_custkey = c_custkey, (SELECT unnest(['stage1', 'stage2']) AS stage) WHERE o_orderkey % 20 < 5"
+)
+def sft_contract(spark, sf_dir):
+    """Rows of an export of which some are broken."""
+    staged = _staged(spark, sf_dir)
+    kind = F.col("source_id").cast("long") % 20
+    altered = lambda i: F.transform("messages", lambda m, k: F.struct(m["role"].alias("role"), F.when(k == i, F.concat(m["content"], F.lit(" x"))).otherwise(m["content"]).alias("content")))
+    broken = export.sft_rows(staged).withColumns({
+        "ground_truth": F.when(kind == 0, "ZZ").otherwise(F.col("ground_truth")),
+        "messages": F.when(kind == 1, F.lit(None)).when(kind == 2, altered(1)).when(kind == 3, altered(2)).otherwise(F.col("messages")),
+        "candidates": F.when(kind == 4, F.reverse("candidates")).otherwise(F.col("candidates")),
+    })
+    return export.check_sft(broken, _nation_ids(), staged).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS source_id, stage, CASE o_orderkey % 20 WHEN 0 THEN 'unknown ability' WHEN 1 THEN 'user prompt differs' WHEN 2 THEN 'unknown data source' ELSE CASE stage WHEN 'stage1' THEN 'stage1 shows candidates' ELSE 'five different candidates are needed; candidate order is not the reproducible one' END END AS errors FROM orders JOIN customer ON o_custkey = c_custkey, (SELECT unnest(['stage1', 'stage2']) AS stage) WHERE o_orderkey % 20 < 4"
+)
+def rl_contract(spark, sf_dir):
+    """Reinforcement rows of which some are broken."""
+    staged = _staged(spark, sf_dir)
+    kind = F.col("extra_info.source_id").cast("long") % 20
+    altered = F.transform("prompt", lambda m, k: F.struct(m["role"].alias("role"), F.when(k == 1, F.concat(m["content"], F.lit(" x"))).otherwise(m["content"]).alias("content")))
+    shown = F.when(F.col("extra_info.stage") == "stage1", F.array(F.lit("N0"))).otherwise(F.concat("extra_info.candidates", F.slice("extra_info.candidates", 1, 1)))
+    broken = export.rl_rows(staged, "orders").withColumns({
+        "ability": F.when(kind == 0, "x").otherwise(F.col("ability")),
+        "prompt": F.when(kind == 1, altered).otherwise(F.col("prompt")),
+        "data_source": F.when(kind == 2, "y").otherwise(F.col("data_source")),
+        "extra_info": F.when(kind == 3, F.col("extra_info").withField("candidates", shown)).otherwise(F.col("extra_info")),
+    })
+    return export.check_rl(broken, _nation_ids(), "orders", staged).withColumn("errors", F.array_join("errors", "; "))
 
 
 # Outputs of a model, by key: good, wrong type, trailing text, unknown id, another key, single quotes, repeated key.

@@ -70,7 +70,7 @@ def test_ids(spark):
 
 
 def test_paths(spark):
-    df = spark.createDataFrame([(["a", "a ", None, "", "b", "a"],)], "p array<string>")
+    df = spark.createDataFrame([(["a", "a\u3000", None, "\t", "\u00a0a\n", "b", "a"],)], "p array<string>")
     assert df.select(arrays.dedupe_path(F.col("p"))).first()[0] == ["a", "b", "a"]
     assert df.select(arrays.path_with_leaf(F.array().cast("array<string>"), F.lit("x"))).first()[0] == ["x"]
     assert df.select(arrays.suffix(F.array(F.lit("a"), F.lit("b")), F.lit(5))).first()[0] == "a / b"

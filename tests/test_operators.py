@@ -30,6 +30,9 @@ def test_resolution_order(spark):
     got = {r["id"]: r for r in resolve.canonical(spark.createDataFrame(rows, "id string, label_status string, level_1 string, level_4 string"), config, registry).collect()}
     assert [got[str(i)]["resolution_status"] for i in range(1, 7)] == ["unlabeled", "invalid_record", "placeholder", "resolved", "path_mismatch", "missing_leaf"]
     assert got["4"]["target"]["category_path"] == ["a", "x"] and got["5"]["target"] is None
+    spaces = [(str(i), f"{s}Unlabeled{s}" if i % 2 else "labeled", "a", f"{s}——{s}" if i % 4 == 2 else s) for i, s in enumerate("\u3000\u00a0\t\n\u2003\x1f")]
+    got = {r["id"]: r["resolution_status"] for r in resolve.resolve(spark.createDataFrame(spaces, "id string, label_status string, level_1 string, level_4 string"), config).collect()}
+    assert [got[str(i)] for i in range(6)] == ["invalid_record", "unlabeled", "placeholder", "unlabeled", "invalid_record", "unlabeled"]
     with pytest.raises(ValueError):
         resolve.DatasetConfig("d", id_strategy="other")
 
@@ -94,6 +97,30 @@ def test_split_random_keeps_every_row(spark, monkeypatch):
     assert splits.split_random(rows.limit(0), "id", ["l"]).isEmpty()
 
 
+def test_groups_are_dealt_by_what_splits_lack(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    size = np.sort(rng.integers(1, 60, 400))[::-1]
+    ones = rng.binomial(size, 0.3)
+    counts = np.column_stack([size, ones, size - ones])
+    chosen = splits.deal_groups(counts, (0.8, 0.1, 0.1))
+    for i, r in enumerate((0.8, 0.1, 0.1)):
+        assert np.allclose(counts[chosen == i].sum(axis=0), counts.sum(axis=0) * r, rtol=0.05)
+    assert sorted(splits.deal_groups(np.array([[9], [1], [1]]), (0.8, 0.1, 0.1)).tolist()) == [0, 1, 2]
+
+
+def test_canonical_rows_are_required(spark):
+    members = spark.createDataFrame([("a", "train"), ("b", "val")], "id string, split string")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, x int")
+    assert splits.joined_canonical(members, rows, "id").count() == 2
+    for m, c, said in ((members, rows.where("id <> 'b'"), "no canonical row"), (members.union(spark.createDataFrame([("\u3000", "test")], members.schema)), rows, "split rows without"), (members, rows.union(rows), "repeat")):
+        with pytest.raises(ValueError, match=said):
+            splits.joined_canonical(m, c, "id")
+    labelled = members.withColumn("l", F.col("id"))
+    assert [tuple(r) for r in splits.missing_labels(labelled, "split", ["l"]).collect()] == [("l", "val", "b", 1)]
+
+
 def test_standards(spark):
     rows = [(1, "a", "b", "名", "3"), (2, "a", "b", "", "1"), (3, "a", "b", "——", "1"), (4, "a", "", "名", "3 4")]
     out = standards.build_entries(spark.createDataFrame(rows, "n int, x string, y string, z string, g string"), "s", ["x", "y", "z"], ["x", "z"], "n", "g").orderBy("n").collect()
@@ -120,9 +147,11 @@ def test_export_and_checks(spark):
     rows = spark.createDataFrame([("s1", "B", 'v"1'), ("s2", "F", None)], "source_id string, truth string, v string")
     staged = export.stage_rows(rows, ids, [f"name {c}" for c in ids], corpus_rows, {"v": F.col("v")})
     sft = export.sft_rows(staged)
-    assert sft.count() == 4 and export.check_sft(sft, ids).isEmpty()
+    assert sft.count() == 4 and export.check_sft(sft, ids, staged).isEmpty()
     bad = sft.withColumn("ground_truth", F.lit("Z"))
-    assert export.check_sft(bad, ids).first()["errors"][0] == "ground truth is not in the registry"
+    assert export.check_sft(bad, ids, staged).first()["errors"][0] == "ground truth is not in the registry"
+    nulls = sft.withColumns({c: F.lit(None).cast(sft.schema[c].dataType) for c in ("stage", "messages", "ground_truth", "metadata")})
+    assert {"unknown stage", "blank message", "no such sample"} <= set(export.check_sft(nulls, ids, staged).first()["errors"])
     two = staged.where("stage = 'stage2' and source_id = 's1'").first()
     bundle = json.loads(two["user"].split("\n")[1])
     assert [b["name"] for b in bundle] == [f"name {c}" for c in two["candidates"]] and two["candidates"][int(json.loads(two["answer"])["answer"]) - 1] == "B"
@@ -137,7 +166,7 @@ def test_reinforcement_rows_and_pairs(spark):
     corpus_rows = spark.createDataFrame([(c, c, None) for c in ids], "category_id string, name string, description string")
     staged = export.stage_rows(spark.createDataFrame([("s1", "B"), ("s2", "F")], "source_id string, truth string"), ids, ids, corpus_rows, {"v": F.col("source_id")})
     rl = export.rl_rows(staged, "x")
-    assert export.check_rl(rl, ids, "x").isEmpty() and export.check_rl(rl, ids[:2], "y").count() == 4
+    assert export.check_rl(rl, ids, "x", staged).isEmpty() and export.check_rl(rl, ids[:2], "y", staged).count() == 4
     sft = export.sft_rows(staged)
     assert export.unpaired(sft).isEmpty()
     assert [r["source_id"] for r in export.unpaired(sft.where("not (source_id = 's2' and stage = 'stage1')")).collect()] == ["s2"]
