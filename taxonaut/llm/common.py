@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -46,6 +48,43 @@ def cut_in_place(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", before)
 
 
+def tidy(run):
+    """A function over batches that gives back what its worker no longer needs when it ends: Spark reuses workers, and allocators keep pages."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what runs inside: rows with whole sets of shingles are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder: smaller than cut() where there are many, and read by column."""
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import components, cut, cut_in_place, hash_words, mix64, stored
+from taxonaut.llm.common import batches_of, components, cut, cut_in_place, hash_words, mix64, stored, tidy
 from taxonaut.llm.substrings import _rolled
 
 ORDERS = 2
@@ -36,12 +36,14 @@ SMALL = 40
 #: A shingle counts as heavy in a block of documents from so many of them on; the heaviest so many are kept (4 MB).
 HEAVY_IN_BLOCK = 2
 HEAVY = 1 << 18
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 1_000_000  # shingles whose counts are taken at once, 8 bytes each
 #: Cells of a parity sketch: two a shingle and more, a power of two between these.
 LEAST_CELLS, MOST_CELLS = 512, 1 << 15
 #: Sets of a block of a large group, and of a tile of it that is compared at once.
 BLOCK_ROWS = 4096
 TILE = 256
+#: Rows of an Arrow batch.
+BATCH = 1000
 #: Bits of the filter that tells which sets a verification needs, eight a set up to this; its false positives only cost work.
 MOST_FILTER_BITS = 1 << 25
 
@@ -357,7 +359,7 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.docs, self.k, self.num, self.den = docs, k, num, den
         self.spark = docs.sparkSession
-        described = cut(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_describe(k), "doc_id long, f long, n long, sketch binary"))
+        described = cut(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(_describe(k)), "doc_id long, f long, n long, sketch binary"))
         self.rows = described.where("sketch is not null").select("doc_id", "f", "n")
         self.sets = cut(described.where("sketch is not null and f is not null").groupBy("f").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
         self.bits = min(MOST_FILTER_BITS, 1 << (8 * max(1024, self.sets.count()) - 1).bit_length())
@@ -369,8 +371,8 @@ class _Join:
 
     def edges(self) -> DataFrame:
         """Verified links (a, b) between fingerprints that leave every pair at or above the threshold connected."""
-        postings = self.docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_prefixes(self.k, self.num, self.den, self.heavy), "key long, f long, n long")
-        met = stored(postings.repartition(self.parts, "key").sortWithinPartitions("key", "f").mapInArrow(_meet(self.num, self.den, SMALL), "key long, a long, b long, n long"))
+        postings = self.docs.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(_prefixes(self.k, self.num, self.den, self.heavy)), "key long, f long, n long")
+        met = stored(postings.repartition(self.parts, "key").sortWithinPartitions("key", "f").mapInArrow(tidy(_meet(self.num, self.den, SMALL)), "key long, a long, b long, n long"))
         small = stored(_ordered(met.where("b is not null")).groupBy("a", "b").agg(F.bit_or(_order()).alias("orders")))
         pairs = self.close(small.where(F.col("orders") == BOTH).select("a", "b"))
         large = met.where("b is null").select("key", F.col("a").alias("f"), "n")
@@ -423,7 +425,7 @@ class _Join:
 
     def met(self, dealt: DataFrame, every: bool) -> DataFrame:
         """Pairs (a, b, orders) of different components that blocks of large groups give."""
-        found = dealt.repartition(self.parts, "key", "hi", "lo").sortWithinPartitions("key", "hi", "lo").mapInArrow(_blocks(self.num, self.den, every, TILE), "key long, a long, b long")
+        found = dealt.repartition(self.parts, "key", "hi", "lo").sortWithinPartitions("key", "hi", "lo").mapInArrow(tidy(_blocks(self.num, self.den, every, TILE)), "key long, a long, b long")
         return _ordered(found).groupBy("a", "b").agg(F.bit_or(_order()).alias("orders"))
 
     def whole(self, wanted: DataFrame) -> DataFrame:
@@ -451,7 +453,7 @@ class _Join:
                         rows.append((f, tokens.tobytes()))
                 yield _batch(rows, "f tokens", pa.int64(), pa.binary())
 
-        sets = self.docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "f long, tokens binary")
+        sets = self.docs.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(run), "f long, tokens binary")
         return cut_in_place(sets.groupBy("f").agg(F.first("tokens").alias("tokens")))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -473,7 +475,7 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
         met = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
-        return cut(met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+        return cut(met.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long"))
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """Pairs that their sketches allow."""
@@ -488,7 +490,7 @@ class _Join:
                 keep = pa.array(odd * (den + num) <= (den - num) * (na.to_numpy() + nb.to_numpy()))
                 yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-        return sized.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+        return sized.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -499,10 +501,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     words. Equal sets are linked. Rows with a null doc_id are described but link nothing and have
     no component; rows that share a doc_id are one vertex with the links of each.
     """
-    join = _Join(docs, k, num, den)
+    with batches_of(docs.sparkSession, BATCH):
+        join = _Join(docs, k, num, den)
+        edges = cut(join.edges())
     named = join.rows.where("f is not null and doc_id is not null")
     doc_of = named.groupBy("f").agg(F.min("doc_id").alias("doc"))
-    edges = join.edges()
     between = edges.join(doc_of.toDF("a", "src"), "a").join(doc_of.toDF("b", "dst"), "b").select("src", "dst")
     copies = named.join(doc_of, "f").where("doc_id <> doc").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
     found = components(between.union(copies))

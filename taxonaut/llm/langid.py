@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from taxonaut.llm.common import tidy
+
 ORDER = 3
 #: Documented bound of the fit: about so many documents a language, drawn by hash, whole.
 FIT_DOCS = 400
@@ -182,4 +184,4 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
                     score[rows] = 1.0 / np.exp2(-excess).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

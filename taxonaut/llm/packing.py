@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from taxonaut.llm.common import cut
+from taxonaut.llm.common import cut, tidy
 
 CAPACITY = 1024
 END_ID = 2
@@ -29,7 +29,7 @@ PLACED = PIECES + ", sequence_id long, offset long"
 class ChunkIds(dict):
     """Ids (little-endian uint32 bytes) of a word after a space, or of a line feed and the word after it."""
 
-    def __init__(self, ranks, pattern: str, limit: int = 400_000):
+    def __init__(self, ranks, pattern: str, limit: int = 200_000):
         super().__init__()
         import tiktoken
 
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, json_file: str, capacity: int = CAPACITY, end_id: in
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(run), PIECES)
 
 
 def patterns(capacity: int, lengths: np.ndarray) -> np.ndarray:

@@ -5,8 +5,8 @@ table opened there sends a customer to the parent restaurant, so restaurants sha
 
     previous word -> its two last characters -> its last character -> root
 
-The root's new tables draw from a diffuse base, whose share is the probability of a word
-outside the training vocabulary (one class, as in the add-half base model). Seating is sampled by
+The root's new tables draw from a uniform base over the V training words and one class of unknown words, each
+1 / (V + 1), in seating and in scoring alike. Seating is sampled by
 Gibbs sweeps over tables of every (restaurant, word); probabilities are averaged over samples.
 
 Everything about a word (its counts in all restaurants, its tables) is kept in one shard by the word's
@@ -211,13 +211,13 @@ class Shard:
         t0 = np.minimum(c0, 1)
         for sweep in range(SWEEPS + SAMPLES):
             n0, k0 = max(1.0, c0.sum() * scale), t0.sum() * scale
-            p0 = (c0 - DISCOUNT[0] * t0 + (STRENGTH[0] + DISCOUNT[0] * k0) / max(1.0, len(self.words) * scale)) / (STRENGTH[0] + n0)
+            p0 = (c0 - DISCOUNT[0] * t0 + (STRENGTH[0] + DISCOUNT[0] * k0) / (1.0 + len(self.words) * scale)) / (STRENGTH[0] + n0)
             p1, _ = self._predict(1, c1, t1, p0[self.up0], self.rest1, LAST_SLOTS, scale)
             t2 = _seat(rng, self.c2, DISCOUNT[2], self._opens(2, t2, p1[self.up1], self.rest2, RESTAURANTS, scale))
             c1 = np.bincount(self.up1, weights=t2, minlength=len(self.rest1)).astype(np.int64)
             t1 = _seat(rng, c1, DISCOUNT[1], self._opens(1, t1, p0[self.up0], self.rest1, LAST_SLOTS, scale))
             c0 = np.bincount(self.up0, weights=t1, minlength=len(self.words)).astype(np.int64)
-            t0 = _seat(rng, c0, DISCOUNT[0], np.full(len(c0), (STRENGTH[0] + DISCOUNT[0] * t0.sum() * scale) / max(1.0, len(self.words) * scale)))
+            t0 = _seat(rng, c0, DISCOUNT[0], np.full(len(c0), (STRENGTH[0] + DISCOUNT[0] * t0.sum() * scale) / (1.0 + len(self.words) * scale)))
             if sweep >= SWEEPS:
                 yield t2, c1, t1, c0, t0
 
@@ -288,11 +288,11 @@ class WordShard(Shard):
             c1 = np.bincount(self.up1, weights=t2, minlength=len(self.rest1)).astype(np.int64)
             t1 = np.minimum(c1, 1) if t1 is None else _seat(rng, c1, DISCOUNT[1], self._opens(1, t1, p0[self.up0], self.rest1, LAST_SLOTS, scale))
             c0 = np.bincount(self.up0, weights=t1, minlength=len(self.words)).astype(np.int64)
-            t0 = np.minimum(c0, 1) if t0 is None else _seat(rng, c0, DISCOUNT[0], np.full(len(c0), (STRENGTH[0] + DISCOUNT[0] * t0.sum() * scale) / max(1.0, len(self.words) * scale)))
+            t0 = np.minimum(c0, 1) if t0 is None else _seat(rng, c0, DISCOUNT[0], np.full(len(c0), (STRENGTH[0] + DISCOUNT[0] * t0.sum() * scale) / (1.0 + len(self.words) * scale)))
             if sweep > SWEEPS:
                 yield t3, c2, t2, c1, t1, c0, t0
             n0, k0 = max(1.0, c0.sum() * scale), t0.sum() * scale
-            p0 = (c0 - DISCOUNT[0] * t0 + (STRENGTH[0] + DISCOUNT[0] * k0) / max(1.0, len(self.words) * scale)) / (STRENGTH[0] + n0)
+            p0 = (c0 - DISCOUNT[0] * t0 + (STRENGTH[0] + DISCOUNT[0] * k0) / (1.0 + len(self.words) * scale)) / (STRENGTH[0] + n0)
             p1, _ = self._predict(1, c1, t1, p0[self.up0], self.rest1, LAST_SLOTS, scale)
             p2, _ = self._predict(2, c2, t2, p1[self.up1], self.rest2, RESTAURANTS, scale)
             tables = (elsewhere + self.by_context(t3))[self.context3]
@@ -302,33 +302,56 @@ class WordShard(Shard):
         c1 = np.bincount(self.up1, weights=t2, minlength=len(self.rest1)).astype(np.int64)
         t1 = _seat(rng, c1, DISCOUNT[1], self._opens(1, t1, p0[self.up0], self.rest1, LAST_SLOTS, scale))
         c0 = np.bincount(self.up0, weights=t1, minlength=len(self.words)).astype(np.int64)
-        t0 = _seat(rng, c0, DISCOUNT[0], np.full(len(c0), (STRENGTH[0] + DISCOUNT[0] * t0.sum() * scale) / max(1.0, len(self.words) * scale)))
+        t0 = _seat(rng, c0, DISCOUNT[0], np.full(len(c0), (STRENGTH[0] + DISCOUNT[0] * t0.sum() * scale) / (1.0 + len(self.words) * scale)))
         yield t3, c2, t2, c1, t1, c0, t0
 
 
-def _seat(rng, customers: np.ndarray, discount: float, opens: np.ndarray, exact: int = 24) -> np.ndarray:
+def _seat(rng, customers: np.ndarray, discount: float, opens: np.ndarray, exact: int = 16) -> np.ndarray:
     """Tables that `customers` of one dish take when each opens one with weight `opens`, or joins with n - discount * tables.
 
-    The first `exact` customers are seated one by one; further ones in doubling batches, at the
-    mean number of new tables of a batch, rounded at random.
+    The first `exact` customers are seated one by one. After them the next customer who opens a table is drawn from its
+    distribution, by the Gamma functions that the product of joining customers is; both are the same process.
     """
     tables = np.minimum(customers, 1)
     live = np.nonzero(customers > 1)[0]
     n = 1
-    while len(live):
+    while len(live) and n < exact:
         t, w = tables[live].astype(float), opens[live]
-        if n < exact:
-            tables[live] += rng.random(len(live)) < w / (w + np.maximum(n - discount * t, 1e-9))
-            n += 1
-        else:
-            batch = np.minimum(customers[live] - n, n)
-            mean = batch * w / (w + np.maximum(n + batch / 2 - discount * t, 1e-9))
-            tables[live] = np.minimum(customers[live], tables[live] + np.floor(mean + rng.random(len(live))).astype(np.int64))
-            n *= 2
+        tables[live] += rng.random(len(live)) < w / (w + n - discount * t)
+        n += 1
         live = live[customers[live] > n]
+    seated = np.full(len(live), n)
+    while len(live):
+        t, w, last = tables[live].astype(float), opens[live], customers[live]
+        drawn = np.log1p(-rng.random(len(live)))
+
+        def joined(to, t=t, w=w, seated=seated):
+            """Log probability that the customers after `seated`, up to `to`, all join."""
+            a, b = to - discount * t, seated - discount * t
+            return (_log_gamma(a) - _log_gamma(a + w)) - (_log_gamma(b) - _log_gamma(b + w))
+
+        opened = joined(last) < drawn
+        live, low, high = live[opened], seated[opened], last[opened]
+        drawn, t, w, start = drawn[opened], t[opened], w[opened], seated[opened]
+        while len(live) and (high - low > 1).any():
+            middle = (low + high) // 2
+            late = joined(middle, t, w, start) < drawn
+            low, high = np.where(late, low, middle), np.where(late, middle, high)
+        tables[live] += 1
+        more = high < customers[live]
+        live, seated = live[more], high[more]
     return tables
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma of positive numbers by Stirling's series, from eight above."""
+    shift = np.zeros_like(x, float)
+    for k in range(8):
+        shift += np.log(x + k)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
 def _rows(table: pa.Table) -> list[tuple[int, int, bytes]]:
     """(kind, block, data) in order."""
     kinds, blocks = (table.column(c).to_pylist() for c in ("kind", "block"))
@@ -434,7 +457,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
         """A block's pairs: log10 of the averaged probability, and the training counts of its words."""
         if not left.num_rows:
             return _table([])
-        n, k, _, _ = shared.value
+        n, k, _, words = shared.value
         share = [(STRENGTH[v] + DISCOUNT[v] * k[v]) / (STRENGTH[v] + n[v]) for v in range(3)]
         shard, rows = left.column("shard")[0].as_py(), _rows(left)
         own = WordShard([d for _, _, d in rows])
@@ -443,7 +466,8 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
         k3 = _answers(replies, 3, SAMPLES)
         samples = list(own.word_seatings(shard, float(shards), kinds)) if len(own.words) else []
         # Probabilities of a word at the root and in parents, for words of the shard and (last row) unknown ones.
-        root = [np.append((x[5] - DISCOUNT[0] * x[6]) / (STRENGTH[0] + n[0][m, 0]), share[0][m, 0]) for m, x in enumerate(samples)]
+        new = [share[0][m, 0] / (words + 1) for m in range(SAMPLES)]
+        root = [np.append((x[5] - DISCOUNT[0] * x[6]) / (STRENGTH[0] + n[0][m, 0]) + new[m], new[m]) for m, x in enumerate(samples)]
         key1 = own.up0 * LAST_SLOTS + own.rest1
         counts, out = np.append(own.count, 0), []
         for _, block, data in rows:
@@ -461,7 +485,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
                 p2 = _rest(c2 - DISCOUNT[2] * t2, i2) / (STRENGTH[2] + n[2][m, rest]) + share[2][m, rest] * p1
                 p += (_rest(own.c3 - DISCOUNT[3] * t3, i3) + (STRENGTH[3] + DISCOUNT[3] * k3[m][context]) * p2) / below
             # A shard without training words still backs off by the whole corpus's totals.
-            unknown = np.mean([(STRENGTH[3] + DISCOUNT[3] * k3[m][context]) / below * share[2][m, rest] * share[1][m, last] * share[0][m, 0] for m in range(SAMPLES)], axis=0)
+            unknown = np.mean([(STRENGTH[3] + DISCOUNT[3] * k3[m][context]) / below * share[2][m, rest] * share[1][m, last] * new[m] for m in range(SAMPLES)], axis=0)
             logs = np.log10(p / SAMPLES if samples else unknown)
             out.append((block % shards, 2, block, _pack(logs.astype(np.float32), counts[at].astype(np.uint32), pairs_of, np.array([shard], np.int64))))
         return _table(out)

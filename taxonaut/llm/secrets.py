@@ -16,6 +16,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from taxonaut.llm.common import tidy
+
 # Fixed values of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -113,20 +115,17 @@ def scan(docs: DataFrame, threshold: float = NOVELTY) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]", threshold: float = NOVELTY) -> DataFrame:
     """`docs` with the text of every span replaced by `mark` (overlapping spans by one); n_chars follows the text."""
 
-    def clean(texts):
-        novelty = Novelty()
-        for batch in texts:
-            yield batch.map(lambda text: text if text is None else _without(text, sorted(base_spans(text) + novel_spans(text, novelty, threshold)), mark))
-
-    from collections.abc import Iterator
+    names = docs.columns
 
-    import pandas as pd
-
-    def typed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from clean(texts)
+    def run(batches):
+        novelty = Novelty()
+        for whole in batches:
+            for k in range(0, max(1, whole.num_rows), 200):
+                batch = whole.slice(k, 200)
+                texts = [t if t is None else _without(t, sorted(base_spans(t) + novel_spans(t, novelty, threshold)), mark) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    typed.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("text", F.pandas_udf(typed, "string")("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return docs.mapInArrow(tidy(run), docs.schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def _without(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import cut, hash_words, mix64, split_by_filter, words_of
+from taxonaut.llm.common import cut, hash_words, mix64, split_by_filter, tidy, words_of
 
 WINDOW = 20
 GRAM = 6
@@ -108,7 +108,7 @@ def _count(window: int, gram: int):
 
 def hot_slots(docs: DataFrame, window: int, gram: int, bound: int) -> np.ndarray:
     """Slots with more than `bound` suffixes; as many as the suffixes of the corpus over `bound` at most reach the driver."""
-    counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(_count(window, gram), "slot long, n long")
+    counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(_count(window, gram)), "slot long, n long")
     return np.array(sorted(r["slot"] for r in counts.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > bound).collect()), np.int64)
 
 
@@ -262,10 +262,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bound: int
     """
     spark = docs.sparkSession
     hot = hot_slots(docs, window, gram, HOT_SUFFIXES if bound is None else bound)
-    filed = docs.select(_order().alias("ord"), F.col("text")).where(F.col("text").isNotNull()).mapInArrow(_file(window, gram, hot), RECORDS)
+    filed = docs.select(_order().alias("ord"), F.col("text")).where(F.col("text").isNotNull()).mapInArrow(tidy(_file(window, gram, hot)), RECORDS)
     n = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     group = F.when(F.length("leaves") > 0, F.col("g")).otherwise(F.xxhash64("ord", "at"))
-    found = filed.repartition(n, group).sortWithinPartitions("g", "ord", "at").mapInArrow(_read_groups, "ord long, at long, n long")
+    found = filed.repartition(n, group).sortWithinPartitions("g", "ord", "at").mapInArrow(tidy(_read_groups), "ord long, at long, n long")
     return (
         found.select("ord", F.shiftrightunsigned("at", 32).alias("crc"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("a"), "n")
         .groupBy("ord", "crc").agg(F.collect_list(F.struct("a", "n")).alias("ranges"))
@@ -316,7 +316,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

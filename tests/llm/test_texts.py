@@ -282,6 +282,34 @@ def test_lm_is_a_distribution():
         assert math.isclose(p1.sum(), 1)
 
 
+def test_lm_gibberish_is_unlikely(spark):
+    """Words that training never saw score far below text of its kind, a token, and below the known words of any order."""
+    random.seed(7)
+    words = ["la", "lo", "li", "ka", "ko", "ki", *(f"w{i}" for i in range(200))]
+    rows = [(i, " ".join(random.choices(words, [1 / (k + 1) for k in range(len(words))], k=60))) for i in range(300)] + [(1000, " ".join(f"zz{i}qx" for i in range(60)))]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in pitman_yor.score(spark.createDataFrame(rows, DOCS), F.col("doc_id") >= 290).where("held_out").collect()}
+    assert got[1000] < min(s for i, s in got.items() if i < 1000) - 0.5
+
+
+def test_seating_follows_its_process():
+    """The number of tables has the distribution of seating customers one by one, below and above the switch of the sampler."""
+    rng = np.random.default_rng(3)
+    for n, d, w in ((10, 0.8, 0.7), (60, 0.8, 2.5), (400, 0.75, 0.2)):
+        p = {1: 1.0}  # exact: tables after each customer
+        for seated in range(1, n):
+            new: dict = {}
+            for t, q in p.items():
+                o = w / (w + seated - d * t)
+                new[t + 1] = new.get(t + 1, 0) + q * o
+                new[t] = new.get(t, 0) + q * (1 - o)
+            p = new
+        mean = sum(t * q for t, q in p.items())
+        sd = math.sqrt(sum((t - mean) ** 2 * q for t, q in p.items()))
+        got = pitman_yor._seat(rng, np.full(20000, n), d, np.full(20000, w))
+        assert abs(got.mean() - mean) < 5 * sd / math.sqrt(20000) and abs(got.std() - sd) < 0.05 * sd + 0.01
+        assert abs((got == 1).mean() - p[1]) < 0.02
+
+
 def test_lm_without_training(spark):
     assert pitman_yor.score(spark.createDataFrame([], DOCS), held_out("doc_id", 5)).isEmpty()
     got = pitman_yor.score(spark.createDataFrame([(1, "a b")], DOCS), F.lit(True)).first()
