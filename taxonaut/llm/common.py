@@ -202,6 +202,18 @@ def held_out(doc_id: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == 1, F.lit(False))
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files (and with cleanCheckpoints the checkpoints) of frames that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a loop of small jobs on a large cluster may never bring about.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Edges that a task of components() takes.
+EDGES_A_TASK = 200_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of `edges` (src long, dst long): (id, component), component the smallest id.
 
@@ -210,18 +222,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     nothing. Isolated vertices do not appear. Only two numbers a round reach the driver.
     """
     edges = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    seen = None
+    seen, count = None, edges.count()
     for _ in range(rounds):
+        # Few edges need few tasks, and so few files, whatever the number of shuffle partitions.
+        edges = edges.coalesce(max(1, -(-count // EDGES_A_TASK)))
         both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
         large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         small_low = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(small_low, "src")
-        edges = cut(small.select("src", F.col("low").alias("dst")).union(small.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))).where("src <> dst").distinct())
+        edges = cut(small.select("src", F.col("low").alias("dst")).union(small.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))).where("src <> dst").distinct().coalesce(max(1, -(-2 * count // EDGES_A_TASK))))
+        forget(edges.sparkSession)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first())
         if now == seen:
             break
-        seen = now
+        seen, count = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(edges.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())

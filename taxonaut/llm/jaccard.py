@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import batches_of, components, cut, cut_in_place, hash_words, mix64, stored, tidy
+from taxonaut.llm.common import batches_of, components, cut, cut_in_place, forget, hash_words, mix64, stored, tidy
 from taxonaut.llm.substrings import _rolled
 
 ORDERS = 2
@@ -475,7 +475,10 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
         met = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
-        return cut(met.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long"))
+        linked = cut(met.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long"))
+        del pairs, tokens, met
+        forget(self.spark)
+        return linked
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """Pairs that their sketches allow."""

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import WordHashes, cut, cut_in_place, words_of
+from taxonaut.llm.common import WordHashes, cut, cut_in_place, forget, words_of
 
 LAST_SLOTS = 64
 PAIR_SLOTS = 64
@@ -407,7 +407,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
     shards = shards or max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     flagged = docs.select(F.col("doc_id").cast("long"), F.col("text"), (~held_out).alias("learn"))
     encoded = cut_in_place(flagged.mapInArrow(_encode(shards), MESSAGE).repartition(shards, "shard"))
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the files of the shuffle
+    forget(spark)
     requests = encoded.where("kind = 0")
 
     def learnt(table: pa.Table) -> pa.Table:
