@@ -257,7 +257,11 @@ class PieceModel:
             self.learn(fresh)
             coded = [b"".join([begin, *[self.chunks[p] for p in parts], end]) for parts in cut[k:to]]
             ends = np.cumsum([len(x) // 4 for x in coded]).tolist()
-            out.extend(zip(coded, self.decode(np.frombuffer(b"".join(coded), "<u4"), ends)))
+            decoded = self.decode(np.frombuffer(b"".join(coded), "<u4"), ends)
+            for ids, own in zip(coded, decoded):
+                if self.library.decode(np.frombuffer(ids, "<u4").tolist()).encode("utf-8", "surrogatepass") != own:
+                    raise ValueError("a decoded text differs from the sentencepiece library's")
+            out.extend(zip(coded, decoded))
             k = to
         return out
 

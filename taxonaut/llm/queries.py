@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from taxonaut.llm import jaccard, langid, metric_join, neighbours, pitman_yor, substrings, warc
+from taxonaut.llm import jaccard, langid, metric_join, neighbours, pitman_yor, sql, substrings, warc
 from taxonaut.llm.common import held_out, load
 from taxonaut.llm.packing import pack
 from taxonaut.llm.pieces import encode_and_decode
@@ -16,7 +16,6 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-
 def op2_lm_scoring(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     return pitman_yor.score(docs, held_out("doc_id", 5))
@@ -30,7 +29,6 @@ def op4_sentencepiece(spark, sf_dir):
     return encode_and_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-
 def op5_warc_revisits(spark, sf_dir):
     return warc.archive(load(spark, sf_dir, "pages"))
 
@@ -62,4 +60,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(sql.QUERIES)

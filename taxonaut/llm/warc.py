@@ -24,8 +24,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Date of all records: archives of the same pages are the same bytes.
 DATE = "1970-01-01T00:00:00Z"
-#: Records of an archive file at most; one record is never split.
-ARCHIVE_RECORDS = 5000
+#: Payload bytes of an archive file at most, but for a larger record alone; one record is never split.
+ARCHIVE_BYTES = 128 << 20
+#: Records of up to this many payload bytes share archives; larger ones are filed by size, four times wider each time.
+SMALL_BYTES = 24 << 10
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -45,7 +47,8 @@ def resolve_revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
     Null html is an empty payload. Among records with equal payloads of `at_least` bytes or more,
     those with the largest page_id are responses, the others revisits of it; smaller
     payloads are always responses. Rows with a null page_id are responses; repeated rows are
-    alike. Payloads are not shuffled: only their digests and ids are.
+    alike. Only digests and ids are shuffled to find the answers; the join of revisits to the pages shuffles
+    pages once, unless Spark sees that the revisits are few enough to broadcast.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     headed = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumns({"payload_bytes": F.length(payload).cast("long"), "payload_digest": base32_sha1(payload)})
@@ -88,7 +91,17 @@ def record(resolved: DataFrame) -> Column:
     )
 
 
-def write(resolved: DataFrame, path: str, archive_records: int = ARCHIVE_RECORDS, compression: str = "gzip") -> None:
+def size_class(payload_bytes: Column) -> Column:
+    """0 up to SMALL_BYTES, then one more for each four times that."""
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(payload_bytes, F.lit(1)) / SMALL_BYTES) - 1e-9)).cast("int")
+
+
+def records_of(size: int) -> int:
+    """Records an archive of size class `size` may hold: at ARCHIVE_BYTES of payload at most."""
+    return max(1, ARCHIVE_BYTES // (SMALL_BYTES * 4**size))
+
+
+def write(resolved: DataFrame, path: str, archive_records: int, compression: str = "gzip") -> None:
     """Write an archive a partition, or more where it has over `archive_records` records."""
     resolved.select(record(resolved).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", archive_records).option("compression", compression).text(path)
 
@@ -122,7 +135,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(run, "headers map<string,string>, block binary")
 
 
@@ -134,13 +147,17 @@ def archive(pages: DataFrame, at_least: int = 0, path: str | None = None) -> Dat
     """Write `pages` as deduplicated archives and read them back: one row per record.
 
     Columns page_id, payload_bytes, payload_digest, record_type, refers_to. The archives go to
-    `path`, or to a new folder in the shared checkpoint folder. An empty table gives no rows.
+    `path`, or to a new folder in the shared checkpoint folder, in a folder for each size class: equal payloads are
+    of one class, and a bound on records bounds the bytes of a file. An empty table gives no rows.
     Digests of responses are worked out again from the blocks that were read.
     """
     spark = pages.sparkSession
     if path is None:
         path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write(resolve_revisits(pages, at_least), path)
+    sizes = size_class(F.octet_length(F.coalesce(F.col("html"), F.lit(""))))
+    # One small number for each fourfold size that there is; an empty table still writes an empty archive.
+    for size in sorted(r[0] for r in pages.select(sizes).distinct().collect()) or [0]:
+        write(resolve_revisits(pages.where(sizes == size), at_least), f"{path}/size={size}", records_of(size))
     got = read(spark, path)
     of = F.col("headers")
     response = of["WARC-Type"] == "response"
