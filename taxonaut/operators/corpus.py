@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taxonaut.functions import ids, text
 
+# Category texts that name nothing.
+MALFORMED = ("nan", "")
+
 
 def documents(guide: DataFrame, dataset: str, order: str, label: str, content: str) -> DataFrame:
     """Rows of a guide with label, document_id and first_row, the first row with the same label and content.
@@ -46,3 +49,64 @@ def aggregate_categories(entries: DataFrame, keys: list[str], order: str, descri
     out = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
     later = F.filter(F.transform(F.slice("_all", 2, F.greatest(F.size("_all"), F.lit(1))), lambda x: x["d"]), lambda d: d != "")
     return out.select(*keys, F.get("_all", F.lit(0))["d"].alias("description"), later.alias("descriptions"), (F.size("_all") - 1).cast("long").alias("extra"))
+
+
+def code_dictionary(entries: DataFrame, dataset: str, order: str, key: str, category: str) -> DataFrame:
+    """Entries of a dictionary whose category texts end in a code, described by their key.
+
+    Returns order, category_id (the code, or dataset:name without one), name, description, path (empty), code and issue:
+    null, malformed_skipped (then category_id is null) or no_code.
+    """
+    raw, code = text.clean(F.col(category)), text.extract_code(F.col(category))
+    name = text.strip_code(F.col(category))
+    bad = F.lower(raw).isin(*MALFORMED)
+    return entries.select(
+        F.col(order).alias("order"), F.when(~bad, F.coalesce(code, ids.qualified_id(dataset, [name]))).alias("category_id"), name.alias("name"), text.clean(F.col(key)).alias("description"),
+        F.array().cast("array<string>").alias("path"), code.alias("code"), F.when(bad, "malformed_skipped").when(code.isNull(), "no_code").alias("issue"),
+    )
+
+
+def path_dictionary(entries: DataFrame, dataset: str, order: str, key: str, category: str) -> DataFrame:
+    """Entries of a dictionary whose category texts are paths joined by dashes; columns as of code_dictionary().
+
+    Two or more parts, none blank, are a path; any other text is kept as a single leaf with the issue unexpected_format.
+    """
+    raw = text.clean(F.col(category))
+    parts = F.transform(F.split(raw, "-", -1), text.strip)
+    good = (F.size(parts) >= 2) & F.forall(parts, lambda p: p != "")
+    slots = F.when(good, parts).otherwise(F.array(raw))
+    category_id = F.concat(F.lit(f"{dataset}:"), F.array_join(F.transform(slots, text.compact), "."))
+    return entries.select(
+        F.col(order).alias("order"), F.when(raw != "", category_id).alias("category_id"), F.element_at(slots, -1).alias("name"), text.clean(F.col(key)).alias("description"),
+        F.when(good, parts).otherwise(F.array().cast("array<string>")).alias("path"), F.lit(None).cast("string").alias("code"), F.when(raw == "", "malformed_skipped").when(~good, "unexpected_format").alias("issue"),
+    )
+
+
+def universe(records: DataFrame, dataset: str, leaf: str) -> DataFrame:
+    """The different non-blank leaves of a whole dataset as categories without description; columns as of code_dictionary(), the order is the name."""
+    name = text.clean(F.col(leaf))
+    found = records.select(name.alias("name")).where("name <> ''").distinct()
+    return found.select(
+        F.col("name").alias("order"), ids.qualified_id(dataset, [F.col("name")]).alias("category_id"), "name", F.lit("").alias("description"), F.array("name").alias("path"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("issue")
+    )
+
+
+def build_corpus(entries: DataFrame) -> DataFrame:
+    """Categories of parsed entries: the first entry of an id gives name, description, path and code, later non-blank descriptions follow in order.
+
+    extra counts the entries merged away. Entries without an id are left out (see build_report()).
+    """
+    head = F.struct("name", "description", "path", "code")
+    later = F.collect_list(F.when(F.col("description") != "", F.struct("order", "description")))
+    out = entries.where(F.col("category_id").isNotNull()).groupBy("category_id").agg(F.min_by(head, "order").alias("h"), F.min("order").alias("_first"), later.alias("_all"), (F.count("*") - 1).alias("extra"))
+    rest = F.filter(F.array_sort("_all"), lambda x: x["order"] != F.col("_first"))
+    return out.select("category_id", "h.*", F.transform(rest, lambda x: x["description"]).alias("descriptions"), "extra")
+
+
+def build_report(entries: DataFrame) -> DataFrame:
+    """One row: entries read, categories, merged kinds and instances, and how many entries have each issue."""
+    issues = ("malformed_skipped", "no_code", "unexpected_format")
+    by_id = entries.groupBy("category_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("issue") == i).alias(i) for i in issues])
+    known = F.col("category_id").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return by_id.agg(zero(F.sum("n")).alias("entries"), F.count_if(known).alias("categories"), F.count_if(known & (F.col("n") > 1)).alias("kinds"), zero(F.sum(F.when(known, F.col("n") - 1))).alias("instances"), *[zero(F.sum(i)).alias(i) for i in issues])

@@ -78,3 +78,23 @@ def dictionary(entries: DataFrame, raw: str) -> DataFrame:
         F.sum("n").alias("total"), F.count("*").alias("names"), F.count_if(F.col("n") > 1).alias("repeated_kinds"), F.sum(F.col("n") - 1).alias("extra_instances"), F.sum("coded").alias("coded"),
         F.sum("multi").alias("multi_part"), F.sum("long").alias("long"), F.sum("bad").alias("malformed"), F.count_if(F.col("codes") > 1).alias("ambiguous"),
     )
+
+
+def vocabulary(records: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(level, label): the different compacted non-blank labels of each level, levels counted from 0."""
+    stacked = records.select(F.posexplode(F.array(*[text.compact(F.col(f)) for f in fields])).alias("level", "label"))
+    return stacked.where("label <> ''").distinct()
+
+
+def entry_paths(entries: DataFrame, key: str, raw: str, words: DataFrame) -> DataFrame:
+    """Per entry (key, unique): path and leaf of its category text against the vocabulary() of a dataset.
+
+    A text of several parts is a path if all parts but the last are labels of their levels, or the first one is a label
+    of level 0; otherwise path is null and the whole name is the leaf.
+    """
+    parsed = entries.select(key, text.parse_category(F.col(raw)).alias("p"))
+    upper = parsed.where("p.multi_part").select(key, F.posexplode(F.slice("p.parts", 1, F.size("p.parts") - 1)).alias("level", "label")).withColumn("label", text.compact(F.col("label")))
+    met = upper.join(words.select("level", "label", F.lit(True).alias("_met")), ["level", "label"], "left").withColumn("_met", F.coalesce("_met", F.lit(False)))
+    is_path = met.groupBy(key).agg((F.every("_met") | F.bool_or((F.col("level") == 0) & F.col("_met"))).alias("_path"))
+    path = F.when(F.coalesce("_path", F.lit(False)), F.col("p.parts"))
+    return parsed.join(is_path, key, "left").select(key, path.alias("path"), F.coalesce(F.element_at(path, -1), F.col("p.name")).alias("leaf"))

@@ -88,11 +88,11 @@ def status_counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("resolution_status").agg(F.count("*").alias("n"))
 
 
-def coverage(resolved: DataFrame) -> DataFrame:
-    """One row: covered, uncovered, skipped, and the covered share of what has an id (0 where nothing has)."""
+def coverage(resolved: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each value of `by`: covered, uncovered, skipped, and the covered share of what has an id (0 where nothing has)."""
     status = F.col("resolution_status")
     covered, uncovered = F.count_if(status == "resolved"), F.count_if(status.isin("missing_leaf", "path_mismatch", "code_unresolved"))
-    return resolved.agg(covered.alias("covered"), uncovered.alias("uncovered"), F.count_if(status.isin("unlabeled", "placeholder", "invalid_record")).alias("skipped")).withColumn(
+    return resolved.groupBy(*by).agg(covered.alias("covered"), uncovered.alias("uncovered"), F.count_if(status.isin("unlabeled", "placeholder", "invalid_record")).alias("skipped")).withColumn(
         "rate", F.coalesce(F.try_divide(F.col("covered").cast("double"), (F.col("covered") + F.col("uncovered")).cast("double")), F.lit(0.0))
     )
 
@@ -100,3 +100,21 @@ def coverage(resolved: DataFrame) -> DataFrame:
 def ambiguous_codes(code_map: DataFrame) -> DataFrame:
     """Names with more than one code; must be empty for a code map."""
     return code_map.groupBy("name").agg(F.count_distinct("code").alias("n_codes")).where("n_codes > 1")
+
+
+def training_target(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds truth, the category of rows whose resolution_status is resolved, null for all others.
+
+    A resolved row must have a target whose category_id the registry (category_id unique, name) has under the target's
+    leaf_name; one that breaks this raises.
+    """
+    stripped = lambda c: strip(F.coalesce(c, F.lit("")))
+    joined = rows.withColumn("_id", stripped(F.col("target.category_id"))).join(registry.select(F.col("category_id").alias("_known"), F.col("name").alias("_name")), F.col("_id") == F.col("_known"), "left")
+    fault = (
+        F.when(F.col("target").isNull(), "resolved without a target")
+        .when(F.col("_id") == "", "empty target.category_id")
+        .when(F.col("_known").isNull(), F.concat(F.lit("not in the leaf registry: "), F.col("_id")))
+        .when(~stripped(F.col("target.leaf_name")).eqNullSafe(F.col("_name")), F.concat(F.lit("leaf_name is not the registry's name of "), F.col("_id")))
+    )
+    resolved = stripped(F.col("resolution_status")) == "resolved"
+    return joined.withColumn("truth", F.when(resolved, F.when(fault.isNull(), F.col("_id")).otherwise(F.raise_error(fault)))).drop("_id", "_known", "_name")

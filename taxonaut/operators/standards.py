@@ -72,10 +72,11 @@ def projection(entries: DataFrame) -> DataFrame:
 def align(records: DataFrame, categories: DataFrame) -> DataFrame:
     """Samples (category_id, data_level) against categories (category_id, levels): adds bucket.
 
-    unresolved without an id, missing if the standard lacks it, matched if any entry has the sample's level, else mismatched.
+    unresolved without an id, missing if the standard lacks it, unavailable if none of its entries has a level, matched if
+    any entry has the sample's level, else mismatched.
     """
     joined = records.join(categories.select("category_id", "levels"), "category_id", "left")
-    bucket = F.when(F.col("category_id").isNull(), "unresolved").when(F.col("levels").isNull(), "missing").when(F.array_contains("levels", F.col("data_level")), "matched").otherwise("mismatched")
+    bucket = F.when(F.col("category_id").isNull(), "unresolved").when(F.col("levels").isNull(), "missing").when(F.size("levels") == 0, "unavailable").when(F.array_contains("levels", F.col("data_level")), "matched").otherwise("mismatched")
     return joined.withColumn("bucket", bucket).drop("levels")
 
 
@@ -94,3 +95,29 @@ def registry_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """(side, category_id) of ids on one side only."""
     a, b = (x.select("category_id").distinct().withColumn(s, F.lit(True)) for x, s in ((left, "_l"), (right, "_r")))
     return a.join(b, "category_id", "full_outer").where(F.col("_l").isNull() | F.col("_r").isNull()).select(F.when(F.col("_l"), "left").otherwise("right").alias("side"), "category_id")
+
+
+def level_distribution(entries: DataFrame) -> DataFrame:
+    """Per level ('' for none): entries and different categories."""
+    return entries.groupBy(F.coalesce("level", F.lit("")).alias("level")).agg(F.count("*").alias("n"), F.count_distinct("category_id").alias("categories"))
+
+
+def alignment_report(aligned: DataFrame) -> DataFrame:
+    """One row: samples, how many are in each bucket of align(), and the matched share of those with an id (0 without any).
+
+    The share is rounded half to even at four places, as reports state it.
+    """
+    n = {b: F.count_if(F.col("bucket") == b) for b in ("matched", "mismatched", "missing", "unavailable", "unresolved")}
+    resolved = (F.count("*") - n["unresolved"]).cast("double")
+    return aligned.agg(F.count("*").alias("samples"), *[c.alias(b) for b, c in n.items()], F.bround(F.coalesce(F.try_divide(n["matched"].cast("double"), resolved), F.lit(0.0)), 4).alias("match_rate"))
+
+
+def unresolved_evidence(records: DataFrame, entries: DataFrame) -> DataFrame:
+    """Unresolved records (resolution_status, leaf) counted by status and leaf, each with the sorted category ids of entries of that name, repeats kept.
+
+    Records without a leaf have no candidates.
+    """
+    counted = records.groupBy("resolution_status", F.coalesce("leaf", F.lit("")).alias("leaf")).agg(F.count("*").alias("n"))
+    by_name = entries.groupBy(F.col("name").alias("_name")).agg(F.array_sort(F.collect_list("category_id")).alias("candidates"))
+    met = counted.join(by_name, (F.col("leaf") == F.col("_name")) & (F.col("leaf") != ""), "left").drop("_name")
+    return met.withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))

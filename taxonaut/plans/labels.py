@@ -395,3 +395,84 @@ def fingerprint_rows(spark, sf_dir):
 def last_write_wins(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.lit("stage1").alias("stage"), F.col("o_custkey").cast("string").alias("source_id"), F.col("o_orderpriority").alias("completion"), "o_orderkey")
     return scoring.join_completions(orders.select("stage", "source_id").distinct(), orders, "o_orderkey")
+
+
+# `part` as a dictionary: names with a code, paths, and entries that name nothing.
+_ENTRY = "CASE WHEN p_partkey % 11 = 0 THEN 'NaN' WHEN p_partkey % 11 = 1 THEN '' WHEN p_partkey % 11 < 4 THEN p_name ELSE p_name || '（A' || (p_partkey % 9) || '-1）' END"
+_DASHED = "CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 11 < 4 THEN p_name WHEN p_partkey % 11 = 4 THEN p_type || '--' || p_name ELSE p_type || ' - ' || p_name END"
+
+
+def _dictionary(spark, sf_dir):
+    k = F.col("p_partkey") % 11
+    coded = F.concat("p_name", F.lit("（A"), (F.col("p_partkey") % 9).cast("string"), F.lit("-1）"))
+    dashed = F.when(k == 0, "").when(k < 4, F.col("p_name")).when(k == 4, F.concat("p_type", F.lit("--"), "p_name")).otherwise(F.concat("p_type", F.lit(" - "), "p_name"))
+    return table(spark, sf_dir, "part").withColumns({"coded": F.when(k == 0, "NaN").when(k == 1, "").when(k < 4, F.col("p_name")).otherwise(coded), "dashed": dashed})
+
+
+def _flat(built):
+    """Corpus rows with arrays as texts; descriptions as a digest."""
+    return built.select("category_id", "name", "description", F.array_join("path", ">").alias("path"), F.coalesce("code", F.lit("")).alias("code"), F.sha2(F.array_join("descriptions", ","), 256).alias("descriptions"), "extra")
+
+
+_FLAT = "first(name ORDER BY p_partkey) AS name, first(p_brand ORDER BY p_partkey) AS description, first(path ORDER BY p_partkey) AS path, first(code ORDER BY p_partkey) AS code, sha256(coalesce(array_to_string(list(p_brand ORDER BY p_partkey)[2:], ','), '')) AS descriptions, CAST(count(*) - 1 AS BIGINT) AS extra"
+
+
+@query(f"""WITH e AS (SELECT *, {_ENTRY} AS raw FROM part), p AS (SELECT p_partkey, p_brand, p_name AS name, '' AS path, CASE WHEN p_partkey % 11 < 4 THEN '' ELSE 'A' || (p_partkey % 9) || '-1' END AS code FROM e WHERE p_partkey % 11 > 1)
+  SELECT CASE WHEN code = '' THEN 'guide:' || {sql_compact('name')} ELSE code END AS category_id, {_FLAT} FROM p GROUP BY 1""")
+def corpus_code_build(spark, sf_dir):
+    return _flat(corpus.build_corpus(corpus.code_dictionary(_dictionary(spark, sf_dir), "guide", "p_partkey", "p_brand", "coded")))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 11 = 4 THEN p_type || '--' || p_name ELSE p_name END AS name, CASE WHEN p_partkey % 11 > 4 THEN p_type || '>' || p_name ELSE '' END AS path, '' AS code,
+    'bank:' || {sql_compact(f"replace({_DASHED}, ' - ', '.')")} AS category_id FROM part WHERE p_partkey % 11 > 0)
+  SELECT category_id, {_FLAT} FROM p GROUP BY 1""")
+def corpus_path_build(spark, sf_dir):
+    return _flat(corpus.build_corpus(corpus.path_dictionary(_dictionary(spark, sf_dir), "bank", "p_partkey", "p_brand", "dashed")))
+
+
+@query(f"SELECT DISTINCT 'people:' || {sql_compact('p_name')} AS category_id, p_name AS name, p_name AS path FROM part")
+def corpus_universe(spark, sf_dir):
+    return corpus.build_corpus(corpus.universe(table(spark, sf_dir, "part"), "people", "p_name")).select("category_id", "name", F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH c AS (SELECT CASE WHEN p_partkey % 11 < 2 THEN NULL WHEN p_partkey % 11 < 4 THEN 'guide:' || {sql_compact('p_name')} ELSE 'A' || (p_partkey % 9) || '-1' END AS id, p_partkey % 11 AS k FROM part),
+  g AS (SELECT id, count(*) AS n FROM c WHERE id IS NOT NULL GROUP BY 1)
+  SELECT CAST((SELECT count(*) FROM c) AS BIGINT) AS entries, CAST(count(*) AS BIGINT) AS categories, CAST(count(*) FILTER (n > 1) AS BIGINT) AS kinds, CAST(sum(n - 1) AS BIGINT) AS instances,
+    CAST((SELECT count(*) FROM c WHERE k < 2) AS BIGINT) AS malformed_skipped, CAST((SELECT count(*) FROM c WHERE k IN (2, 3)) AS BIGINT) AS no_code, CAST(0 AS BIGINT) AS unexpected_format FROM g""")
+def corpus_build_report(spark, sf_dir):
+    return corpus.build_report(corpus.code_dictionary(_dictionary(spark, sf_dir), "guide", "p_partkey", "p_brand", "coded"))
+
+
+@query(f"WITH {RECORDS} SELECT CASE WHEN p_size % 5 = 0 THEN '' ELSE data_level END AS level, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT category_id) AS BIGINT) AS categories FROM records GROUP BY 1")
+def level_distribution(spark, sf_dir):
+    graded = records(spark, sf_dir).withColumn("grade", F.when(F.col("p_size") % 5 != 0, F.col("data_level")))
+    return standards.level_distribution(standards.build_entries(graded, "part", ["level_1", "level_2", "level_3", "level_4"], ["level_1", "level_2", "level_4"], "row_no", "grade"))
+
+
+@query(f"""WITH {RESOLVED} SELECT level_2, CAST(count(*) FILTER (resolution_status = 'resolved') AS BIGINT) AS covered, CAST(count(*) FILTER (resolution_status IN ('missing_leaf', 'path_mismatch')) AS BIGINT) AS uncovered,
+  CAST(count(*) FILTER (resolution_status IN ('unlabeled', 'placeholder')) AS BIGINT) AS skipped, coalesce(CAST(count(*) FILTER (resolution_status = 'resolved') AS DOUBLE) / nullif(count(*) FILTER (resolution_status IN ('resolved', 'missing_leaf', 'path_mismatch')), 0), 0.0) AS rate FROM resolved GROUP BY 1""")
+def coverage_by_level(spark, sf_dir):
+    return resolve.coverage(_resolved(spark, sf_dir), "level_2")
+
+
+@query(f"WITH {RESOLVED} SELECT id, CASE WHEN resolution_status = 'resolved' THEN category_id END AS truth FROM resolved")
+def training_targets(spark, sf_dir):
+    return resolve.training_target(_resolved(spark, sf_dir), registry(spark, sf_dir)).select("id", "truth")
+
+
+@query(f"""WITH {_STANDARD}, s AS (SELECT resolution_status, level_4, count(*) AS n FROM (SELECT *, CASE WHEN label_status = 'unlabeled' THEN 'unlabeled' WHEN level_4 = 'red widget' THEN 'placeholder' END AS resolution_status FROM records) WHERE resolution_status IS NOT NULL GROUP BY 1, 2)
+  SELECT resolution_status, level_4 AS leaf, CAST(n AS BIGINT) AS n, coalesce((SELECT array_to_string(list(category_id ORDER BY category_id), '|') FROM standard WHERE name = level_4), '') AS candidates FROM s""")
+def unresolved_evidence(spark, sf_dir):
+    open_ = resolve.resolve(records(spark, sf_dir), CONFIG).where("resolution_status <> 'resolved'")
+    return standards.unresolved_evidence(open_, _standard(spark, sf_dir)).withColumn("candidates", F.array_join("candidates", "|"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '类' || s_suppkey % 25 || '>子' || s_suppkey % 25 END AS path, CASE s_suppkey % 3 WHEN 0 THEN '子' || s_suppkey % 25 WHEN 1 THEN '外' || s_suppkey % 25 || '-子' || s_suppkey % 25 ELSE '单' || s_suppkey % 25 END AS leaf FROM supplier")
+def entry_paths(spark, sf_dir):
+    """Supplier entries of one part, and of two whose first one the nations know or do not know."""
+    n = (F.col("s_suppkey") % 25).cast("string")
+    kind = F.col("s_suppkey") % 3
+    raw = F.when(kind == 0, F.concat(F.lit("类"), n, F.lit("-子"), n)).when(kind == 1, F.concat(F.lit("外"), n, F.lit("-子"), n)).otherwise(F.concat(F.lit("单"), n))
+    words = profile.vocabulary(table(spark, sf_dir, "nation").select(F.concat(F.lit("类"), F.col("n_nationkey").cast("string")).alias("a"), F.lit("").alias("b")), ["a", "b"])
+    found = profile.entry_paths(table(spark, sf_dir, "supplier").select("s_suppkey", raw.alias("raw")), "s_suppkey", "raw", words)
+    return found.select("s_suppkey", F.array_join("path", ">").alias("path"), "leaf")

@@ -235,3 +235,101 @@ def rft_messages(spark, sf_dir):
     rows = records(spark, sf_dir).withColumns({"table_name": F.col("level_2"), "field_name": F.col("level_4"), "field_description": F.lit("  ")})
     answer = export.reference_answer([F.col(f"level_{i}") for i in range(1, 5)], F.col("data_level"))
     return export.rft_messages(rows).select("id", F.sha2("user_content", 256).alias("user_content"), answer.alias("answer"))
+
+
+# Outputs of both stages by order key, with what is said of them; then (reward, reason) by choice id.
+_S1_OUTPUTS = (
+    ('{"candidates":["1","2","3","4","5"]}', ""),
+    ('{"candidates":["1","2","3","4"]}', "stage1 prediction must contain exactly 5 candidates"),
+    ('{"candidates":["1","1","3","4","77"]}', "stage1 candidates must be unique; choice id ''77'' is not in the prompt catalog"),
+    ('{"candidates":[1,2,3,4,5]}', "stage1 candidates must be an array of strings"),
+    ('{"candidates":[],"x":1}', "stage1 prediction must contain only candidates"),
+    ("[]", "prediction must be a JSON object"),
+)
+_S1_INVALID = "stage1 output violates candidate constraints: "
+
+
+def _said_of_stage1(alias: str) -> str:
+    return "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{said}'" for i, (_, said) in enumerate(_S1_OUTPUTS)) + f" END AS {alias}"
+
+
+@query(f"""WITH {ORDERS}, x AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(substr(truth, 2) AS INT) < 5 AS inside, {_said_of_stage1("errors")} FROM samples)
+  SELECT o_orderkey, k < 3 AS format_valid, k = 0 AS contract_valid, k = 0 AND inside AS task_correct, errors, CASE WHEN k > 0 THEN 0.0 WHEN inside THEN 1.0 ELSE 0.3 END::DOUBLE AS reward,
+    CASE WHEN k > 2 THEN 'stage1 output is not a valid JSON object with schema candidates' WHEN k > 0 THEN '{_S1_INVALID}' || errors WHEN inside THEN 'stage1 candidates contain the ground truth' ELSE 'stage1 output is valid but misses the ground truth' END AS reason FROM x""")
+def reward_stage1_choices(spark, sf_dir):
+    said = F.get(F.array(*[F.lit(o) for o, _ in _S1_OUTPUTS]), (F.col("o_orderkey") % 6).cast("int"))
+    choice_of = {str(i + 1): c for i, c in enumerate(_nation_ids())}
+    judged = scoring.rewarded(scoring.evaluate_stage1(_orders(spark, sf_dir).withColumn("completion", said), "completion", "truth", choice_of), "stage1")
+    return judged.select("o_orderkey", "format_valid", "contract_valid", "task_correct", F.array_join("errors", "; ").alias("errors"), "reward", "reason")
+
+
+@query(f"""WITH {ORDERS}, x AS (SELECT o_orderkey, o_orderkey % 3 AS k, CAST(substr(truth, 2) AS INT) < 5 AS inside FROM samples) SELECT o_orderkey, true AS format_valid, k < 2 AS contract_valid, k < 2 AND (k = 1 OR inside) AS task_correct, CASE k WHEN 2 THEN 'stage1 candidates must belong to the leaf registry' ELSE '' END AS errors,
+    CASE WHEN k = 2 THEN 0.0 WHEN k = 1 OR inside THEN 1.0 ELSE 0.3 END::DOUBLE AS reward FROM x""")
+def reward_stage1_ids(spark, sf_dir):
+    """By category ids: the first five of the registry, the sample's own candidates, or choice ids, which are no categories."""
+    kind = F.col("o_orderkey") % 3
+    first = F.array(*[F.lit(c) for c in _nation_ids()[:5]])
+    said = choices.stage1_answer(F.when(kind == 0, first).when(kind == 1, F.col("candidates")).otherwise(F.array(*[F.lit(str(i)) for i in range(1, 6)])))
+    judged = scoring.rewarded(scoring.evaluate_stage1(_orders(spark, sf_dir).withColumn("completion", said), "completion", "truth", _nation_ids()), "stage1")
+    return judged.select("o_orderkey", "format_valid", "contract_valid", "task_correct", F.array_join("errors", "; ").alias("errors"), "reward")
+
+
+@query(f"""WITH {ORDERS}, x AS (SELECT o_orderkey, o_orderkey % 4 AS k, truth, a0 FROM samples) SELECT o_orderkey, k < 3 AS format_valid, k < 2 AS contract_valid, k = 0 OR k = 1 AND a0 = truth AS task_correct,
+    CASE k WHEN 2 THEN 'stage2 answer must be one of the candidates' WHEN 3 THEN 'stage2 answer must be a string' ELSE '' END AS errors, CASE WHEN k > 1 THEN 0.0 WHEN k = 0 OR a0 = truth THEN 1.0 ELSE 0.25 END::DOUBLE AS reward,
+    CASE WHEN k = 3 THEN 'stage2 output is not a valid JSON object with schema answer' WHEN k = 2 THEN 'stage2 answer is not one of the candidates' WHEN k = 0 OR a0 = truth THEN 'stage2 answer is correct' ELSE 'stage2 answer is valid but wrong' END AS reason FROM x""")
+def reward_stage2_ids(spark, sf_dir):
+    """By category ids: the truth, the first candidate, a local id, or a number; a partial reward of a quarter."""
+    kind = F.col("o_orderkey") % 4
+    answer = F.when(kind == 0, F.col("truth")).when(kind == 1, F.get("candidates", F.lit(0))).otherwise(F.lit("1"))
+    said = F.when(kind == 3, '{"answer":1}').otherwise(F.to_json(F.struct(answer.alias("answer"))))
+    judged = scoring.rewarded(scoring.evaluate_stage2(_orders(spark, sf_dir).withColumn("completion", said), "completion", "truth", "candidates", _nation_ids(), local=False), "stage2", 0.25)
+    return judged.select("o_orderkey", "format_valid", "contract_valid", "task_correct", F.array_join("errors", "; ").alias("errors"), "reward", "reason")
+
+
+@query(f"""WITH {ORDERS} SELECT o_orderkey, 'stage1' AS stage, true AS format_valid, true AS contract_valid, CAST(substr(truth, 2) AS INT) < 5 AS task_correct, 'N0,N1,N2,N3,N4' AS predicted, '' AS errors FROM samples
+  UNION ALL SELECT o_orderkey, 'stage2', true, o_orderkey % 2 = 0, o_orderkey % 2 = 0 AND a2 = truth, CASE o_orderkey % 2 WHEN 0 THEN a2 END, CASE o_orderkey % 2 WHEN 1 THEN 'stage2 answer ''6'' must be one of 1..5' ELSE '' END FROM samples""")
+def row_evaluation(spark, sf_dir):
+    two = F.when(F.col("o_orderkey") % 2 == 0, '{"answer":"3"}').otherwise('{"answer":"6"}')
+    said = F.struct(F.lit("stage1").alias("stage"), F.lit('{"candidates":["1","2","3","4","5"]}').alias("completion")), F.struct(F.lit("stage2").alias("stage"), two.alias("completion"))
+    rows = _orders(spark, sf_dir).select("source_id", "truth", "candidates", F.explode(F.array(*said)).alias("s")).select("source_id", "truth", "candidates", "s.*")
+    judged = scoring.evaluate_rows(rows, {str(i + 1): c for i, c in enumerate(_nation_ids())})
+    return judged.select(F.col("source_id").cast("long").alias("o_orderkey"), "stage", "format_valid", "contract_valid", "task_correct", F.array_join("predicted", ",").alias("predicted"), F.array_join("errors", "; ").alias("errors"))
+
+
+def _fake_model(system: str, user: str) -> str:
+    """Answers from the order and customer in the metadata: five choices in a row, every tenth too few; then a local id of 1 to 6."""
+    import json
+
+    from taxonaut.operators.choices import METADATA_HEAD, STAGE1_SYSTEM
+
+    metadata = json.loads(user.rsplit(METADATA_HEAD, 1)[1])
+    order, customer = int(metadata["order"]), int(metadata["customer"])
+    if system == STAGE1_SYSTEM:
+        return json.dumps({"candidates": [str(order % 21 + i) for i in range(1, 5 if order % 10 == 0 else 6)]})
+    return json.dumps({"answer": str(customer % 6 + 1)})
+
+
+_TWO = f"""{ORDERS}, x AS (SELECT o_orderkey, truth, o_orderkey % 10 <> 0 AS ok1, CAST(substr(truth, 2) AS INT) BETWEEN o_orderkey % 21 AND o_orderkey % 21 + 4 AS inside, o_orderkey % 21 < 20 AS built, o_custkey % 6 AS a FROM samples),
+  y AS (SELECT o_orderkey, truth, ok1, ok1 AND inside AS recalled, ok1 AND built AS attempted, ok1 AND built AND a < 5 AS valid2, CASE WHEN ok1 AND built AND a < 5 THEN 'N' || (o_orderkey % 21 + a) END AS final,
+    CASE WHEN NOT ok1 THEN 'stage1 prediction must contain exactly 5 candidates' WHEN NOT built THEN 'stage2 build: a predicted category is not in the corpus' WHEN a = 5 THEN 'stage2 answer ''6'' must be one of 1..5' ELSE '' END AS failures FROM x)"""
+
+
+def _outcomes(spark, sf_dir):
+    """The last nation is not in the corpus."""
+    rows = _orders(spark, sf_dir).withColumn("metadata", choices.metadata_json({"order": F.col("source_id"), "customer": F.col("o_custkey")}))
+    choice_of = {str(i + 1): c for i, c in enumerate(_nation_ids())}
+    corpus = _corpus(spark, sf_dir).where(f"category_id <> 'N{NATIONS - 1}'")
+    return scoring.two_step(rows, choice_of, [f"NATION_{i}" for i in range(NATIONS)], corpus, _fake_model)
+
+
+@query(f"WITH {_TWO} SELECT o_orderkey, true AS stage1_format, ok1 AS stage1_contract, recalled, attempted, attempted AS stage2_format, valid2 AS stage2_contract, final, coalesce(final = truth, false) AS correct, failures FROM y")
+def two_step_e2e(spark, sf_dir):
+    kept = ["stage1_format", "stage1_contract", "recalled", "attempted", "stage2_format", "stage2_contract", "final", "correct"]
+    return _outcomes(spark, sf_dir).select(F.col("source_id").cast("long").alias("o_orderkey"), *kept, F.array_join("failures", "; ").alias("failures"))
+
+
+@query(f"""WITH {_TWO} SELECT CAST(count(*) AS BIGINT) AS sources, 1.0::DOUBLE AS stage1_format, avg(ok1::INT) AS stage1_contract, avg(recalled::INT) AS recall_at_5, CAST(count(*) FILTER (recalled) AS BIGINT) AS recalled, CAST(count(*) FILTER (attempted) AS BIGINT) AS attempted,
+  0.0::DOUBLE AS stage2_format_failures, CAST(count(*) FILTER (attempted AND NOT valid2) AS DOUBLE) / count(*) FILTER (attempted) AS stage2_contract_failures, CAST(count(*) FILTER (final = truth) AS DOUBLE) / count(*) FILTER (recalled) AS conditional_accuracy,
+  CAST(count(*) FILTER (final = truth) AS DOUBLE) / count(*) AS e2e_accuracy, CAST(count(*) FILTER (final = truth) AS BIGINT) AS e2e_correct FROM y""")
+def two_step_metrics(spark, sf_dir):
+    return scoring.two_step_metrics(_outcomes(spark, sf_dir))

@@ -180,3 +180,112 @@ def test_completions(spark):
     assert scoring.join_completions(rows.where("source_id = 'a'"), done, "n").first()["completion"] == "new"
     with pytest.raises(Exception, match="no completion for stage2 of b"):
         scoring.join_completions(rows, done, "n").collect()
+
+
+IDS = list("ABCDEFG")
+CHOICES = {str(i + 1): c for i, c in enumerate(IDS)}
+
+
+@pytest.mark.parametrize(
+    "said, errors",
+    [
+        (None, [scoring.NOT_AN_OBJECT]),
+        ("[]", [scoring.NOT_AN_OBJECT]),
+        ('{"candidates":[],"b":1}', [scoring.OTHER_KEYS["candidates"]]),
+        ('{"candidates":["1",2]}', [scoring.WRONG_TYPE["candidates"]]),
+        ('{"candidates":[]}', [scoring.WRONG_COUNT.format(5)]),
+        ('{"candidates":["1","1","x","y"]}', [scoring.WRONG_COUNT.format(5), scoring.REPEATED, "choice id 'x' is not in the prompt catalog", "choice id 'y' is not in the prompt catalog"]),
+        ('{"candidates":["7","6","5","4","3"]}', []),
+    ],
+)
+def test_stage1_errors(spark, said, errors):
+    row = scoring.parse_stage1(spark.createDataFrame([(said,)], "o string"), "o", CHOICES).first()
+    assert row["errors"] == errors and row["contract_valid"] == (not errors)
+    assert row["decoded"] == (list("GFEDC") if not errors else None)
+
+
+def test_evaluation_and_rewards(spark):
+    rows = [("A", '{"answer":"A"}'), ("A", '{"answer":"B"}'), ("A", '{"answer":"G"}'), ("A", "x"), ("G", '{"answer":"B"}')]
+    df = spark.createDataFrame([(t, a, IDS[:5]) for t, a in rows], "t string, o string, c array<string>")
+    judged = scoring.rewarded(scoring.evaluate_stage2(df, "o", "t", "c", IDS, local=False), "stage2").collect()
+    assert [(r["reward"], r["task_correct"]) for r in judged] == [(1.0, True), (0.5, False), (0.0, False), (0.0, False), (0.5, False)]
+    assert [r["reason"] for r in judged[1:4]] == ["stage2 answer is valid but wrong", "stage2 answer is not one of the candidates", "stage2 output is not a valid JSON object with schema answer"]
+    for truth, five in (("Z", IDS[:5]), ("A", IDS[:4]), ("A", ["A"] * 5), (None, IDS[:5]), ("A", None)):
+        with pytest.raises(Exception, match="must belong"):
+            scoring.evaluate_stage2(spark.createDataFrame([(truth, '{"answer":"1"}', five)], df.schema), "o", "t", "c", IDS).collect()
+    with pytest.raises(Exception, match="ground truth"):
+        scoring.evaluate_stage1(spark.createDataFrame([("Z", "x")], "t string, o string"), "o", "t", IDS).collect()
+    with pytest.raises(ValueError):
+        scoring.rewarded(df, "stage3")
+    assert scoring.evaluate_stage1(df.limit(0), "o", "t", IDS).count() == 0
+
+
+def test_rows_of_unknown_stages_raise(spark):
+    row = [("s", "stage3", "A", IDS[:5], "{}")]
+    with pytest.raises(Exception, match="stage must be"):
+        scoring.evaluate_rows(spark.createDataFrame(row, "source_id string, stage string, truth string, candidates array<string>, completion string"), CHOICES).collect()
+
+
+def test_two_steps_answer_from_predicted_candidates(spark):
+    corpus_rows = [(c, f"name {c}", None) for c in IDS[:6]]
+    known = spark.createDataFrame(corpus_rows, "category_id string, name string, description string")
+    rows = spark.createDataFrame([("good", "C", "{}"), ("lost", "A", "{}"), ("absent", "G", "{}"), ("junk", "A", "{}")], "source_id string, truth string, metadata string").withColumn("metadata", F.to_json(F.struct(F.col("source_id").alias("s"))))
+
+    def model(system, user):
+        if system == choices.STAGE1_SYSTEM:
+            picks = {"good": "65432", "lost": "65432", "absent": "76543"}
+            return next((json.dumps({"candidates": list(p)}) for s, p in picks.items() if s in user), "no")
+        assert '"id":"1","name":"name F","description":""' in user
+        return '{"answer":"4"}'
+
+    got = {r["source_id"]: r for r in scoring.two_step(rows, CHOICES, IDS, known, model).collect()}
+    assert got["good"]["correct"] and got["good"]["final"] == "C" and got["good"]["predicted"] == list("FEDCB")
+    assert got["lost"]["attempted"] and not got["lost"]["recalled"] and not got["lost"]["correct"]
+    assert not got["absent"]["attempted"] and got["absent"]["recalled"] and got["absent"]["final"] is None and "corpus" in got["absent"]["failures"][0]
+    assert got["junk"]["failures"] == [scoring.NOT_AN_OBJECT] and not got["junk"]["attempted"]
+    none = scoring.two_step_metrics(scoring.two_step(rows.limit(0), CHOICES, IDS, known, model)).first()
+    assert none["sources"] == 0 and none["e2e_accuracy"] == 0.0
+
+
+def test_dictionaries(spark):
+    rows = [(1, "k1", "车辆（A1-1）"), (2, "k2", "NaN"), (3, "k3", None), (4, "k4", " 无 码 "), (5, "k5", "别名[A1-1]"), (6, " ", "别名[A1-1]"), (7, "k7", "别名[A1-1]")]
+    parsed = corpus.code_dictionary(spark.createDataFrame(rows, "n int, k string, c string"), "d", "n", "k", "c")
+    assert [r["issue"] for r in parsed.orderBy("order").collect()] == [None, "malformed_skipped", "malformed_skipped", "no_code", None, None, None]
+    built = {r["category_id"]: r for r in corpus.build_corpus(parsed).collect()}
+    assert set(built) == {"A1-1", "d:无码"}
+    assert (built["A1-1"]["name"], built["A1-1"]["description"], built["A1-1"]["descriptions"], built["A1-1"]["extra"]) == ("车辆", "k1", ["k5", "k7"], 3)
+    assert corpus.build_report(parsed).first().asDict() == {"entries": 7, "categories": 2, "kinds": 1, "instances": 3, "malformed_skipped": 2, "no_code": 1, "unexpected_format": 0}
+    paths = [(1, "k", "甲 - 乙-丙"), (2, "k", "甲--丙"), (3, "k", ""), (4, "k", "单"), (5, "k", "甲-")]
+    got = {r["order"]: r for r in corpus.path_dictionary(spark.createDataFrame(paths, "n int, k string, c string"), "f", "n", "k", "c").collect()}
+    assert (got[1]["category_id"], got[1]["path"], got[1]["name"]) == ("f:甲.乙.丙", ["甲", "乙", "丙"], "丙")
+    assert [got[i]["issue"] for i in range(1, 6)] == [None, "unexpected_format", "malformed_skipped", "unexpected_format", "unexpected_format"]
+    assert got[2]["category_id"] == "f:甲--丙" and got[3]["category_id"] is None
+    leaves = spark.createDataFrame([(" b ",), ("a",), ("a",), (None,), ("　",)], "leaf string")
+    assert sorted(r["category_id"] for r in corpus.universe(leaves, "u", "leaf").collect()) == ["u:a", "u:b"]
+    assert corpus.build_report(parsed.limit(0)).first()["entries"] == 0
+
+
+def test_training_targets(spark):
+    schema = "resolution_status string, target struct<category_id:string,leaf_name:string>"
+    registry = spark.createDataFrame([("i", "n")], "category_id string, name string")
+    rows = [("resolved", (" i ", "n　")), ("placeholder", None), (None, None), ("missing_leaf", ("i", "other"))]
+    assert sorted(str(r["truth"]) for r in resolve.training_target(spark.createDataFrame(rows, schema), registry).collect()) == ["None", "None", "None", "i"]
+    for target, said in ((None, "without a target"), ((" ", "n"), "empty"), (("j", "n"), "not in the leaf registry"), (("i", "m"), "leaf_name"), (("i", None), "leaf_name")):
+        with pytest.raises(Exception, match=said):
+            resolve.training_target(spark.createDataFrame([("resolved", target)], schema), registry).collect()
+
+
+def test_entry_paths(spark):
+    words = profile.vocabulary(spark.createDataFrame([("甲 ", "乙", "叶"), ("", "丁", "")], "a string, b string, c string"), ["a", "b", "c"])
+    assert words.count() == 4
+    rows = [(1, "甲-乙-叶"), (2, "甲-别-叶"), (3, "丁-乙-叶"), (4, "叶"), (5, "甲-x"), (6, None), (7, "a-b")]
+    got = {r["k"]: (r["path"], r["leaf"]) for r in profile.entry_paths(spark.createDataFrame(rows, "k int, c string"), "k", "c", words).collect()}
+    assert got[1] == (["甲", "乙", "叶"], "叶") and got[2] == (["甲", "别", "叶"], "叶")
+    assert got[3] == (None, "丁-乙-叶") and got[4] == (None, "叶") and got[5] == (None, "甲-x") and got[6] == (None, "") and got[7] == (None, "a-b")
+
+
+def test_alignment_report(spark):
+    samples = spark.createDataFrame([("a", "L1"), ("a", "L2"), ("b", "L1"), ("z", "L1"), (None, "L1")], "category_id string, data_level string")
+    categories = spark.createDataFrame([("a", ["L1"]), ("b", [])], "category_id string, levels array<string>")
+    row = standards.alignment_report(standards.align(samples, categories)).first()
+    assert row.asDict() == {"samples": 5, "matched": 1, "mismatched": 1, "missing": 1, "unavailable": 1, "unresolved": 1, "match_rate": 0.25}
