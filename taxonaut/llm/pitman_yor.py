@@ -306,11 +306,17 @@ class WordShard(Shard):
         yield t3, c2, t2, c1, t1, c0, t0
 
 
+#: Candidates for a new table that are drawn at once for one dish.
+CANDIDATES = 1 << 16
+
+
 def _seat(rng, customers: np.ndarray, discount: float, opens: np.ndarray, exact: int = 16) -> np.ndarray:
     """Tables that `customers` of one dish take when each opens one with weight `opens`, or joins with n - discount * tables.
 
-    The first `exact` customers are seated one by one. After them the next customer who opens a table is drawn from its
-    distribution, by the Gamma functions that the product of joining customers is; both are the same process.
+    The first `exact` customers are seated one by one. After them customers are seated in runs that double the number of
+    those seated: the chance of the first of a run bounds all others of the run, so candidates for a new table are drawn by
+    their geometric gaps at this chance, and each is kept by the ratio of its own. Both are the same process; the second
+    costs as much as there are tables.
     """
     tables = np.minimum(customers, 1)
     live = np.nonzero(customers > 1)[0]
@@ -320,38 +326,35 @@ def _seat(rng, customers: np.ndarray, discount: float, opens: np.ndarray, exact:
         tables[live] += rng.random(len(live)) < w / (w + n - discount * t)
         n += 1
         live = live[customers[live] > n]
-    seated = np.full(len(live), n)
+    seated = np.full(len(live), float(n))
     while len(live):
-        t, w, last = tables[live].astype(float), opens[live], customers[live]
-        drawn = np.log1p(-rng.random(len(live)))
-
-        def joined(to, t=t, w=w, seated=seated):
-            """Log probability that the customers after `seated`, up to `to`, all join."""
-            a, b = to - discount * t, seated - discount * t
-            return (_log_gamma(a) - _log_gamma(a + w)) - (_log_gamma(b) - _log_gamma(b + w))
-
-        opened = joined(last) < drawn
-        live, low, high = live[opened], seated[opened], last[opened]
-        drawn, t, w, start = drawn[opened], t[opened], w[opened], seated[opened]
-        while len(live) and (high - low > 1).any():
-            middle = (low + high) // 2
-            late = joined(middle, t, w, start) < drawn
-            low, high = np.where(late, low, middle), np.where(late, middle, high)
-        tables[live] += 1
-        more = high < customers[live]
-        live, seated = live[more], high[more]
+        t, w, end = tables[live].astype(float), opens[live], np.minimum(2 * seated, customers[live])
+        total = w + seated - discount * t
+        expected = (end - seated) * w / total
+        tries = np.minimum(expected + 4 * np.sqrt(expected) + 2, CANDIDATES).astype(np.int64)
+        of, first = np.repeat(np.arange(len(live)), tries), np.cumsum(tries) - tries
+        with np.errstate(divide="ignore"):
+            gaps = np.ceil(np.log1p(-rng.random(len(of))) / np.log1p(-np.minimum(w / total, 1.0))[of])
+        run = np.cumsum(np.clip(gaps, 1, (end - seated + 1)[of]))
+        at = seated[of] + run - np.append(0.0, run)[first][of]
+        # A run whose candidates do not reach its end stops at the last of them.
+        stop = np.minimum(end, at[first + tries - 1])
+        inside = at <= end[of]
+        of, weight = of[inside], (w - discount * t)[of[inside]] + at[inside] - 1
+        limit, drawn = total[of], rng.random(len(of))
+        begin = np.searchsorted(of, np.arange(len(live)))
+        kept, opened = None, drawn * weight < limit
+        # Tables opened before a candidate raise its chance: adding them up again and again ends at what one by one gives.
+        while kept is None or (kept != opened).any():
+            kept = opened
+            upto = np.append(0, np.cumsum(kept))
+            opened = drawn * (weight - discount * (upto[:-1] - upto[begin][of])) < limit
+        tables[live] += np.bincount(of, weights=kept, minlength=len(live)).astype(tables.dtype)
+        more = stop < customers[live]
+        live, seated = live[more], stop[more]
     return tables
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma of positive numbers by Stirling's series, from eight above."""
-    shift = np.zeros_like(x, float)
-    for k in range(8):
-        shift += np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
-
-
 def _rows(table: pa.Table) -> list[tuple[int, int, bytes]]:
     """(kind, block, data) in order."""
     kinds, blocks = (table.column(c).to_pylist() for c in ("kind", "block"))
