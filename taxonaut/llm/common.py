@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -207,6 +208,7 @@ def forget(spark: SparkSession) -> None:
 
     It does so when the driver's garbage is collected, which a loop of small jobs on a large cluster may never bring about.
     """
+    gc.collect()  # frames in reference cycles hold their plans in the JVM
     spark.sparkContext._jvm.System.gc()
 
 

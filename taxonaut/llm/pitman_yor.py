@@ -419,6 +419,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
 
     # Customers and distinct words of every context, for the shards that hold it.
     known = cut(_summed(requests.groupBy("shard").applyInArrow(learnt, MESSAGE), 2, 2))
+    forget(spark)
 
     def totals(left: pa.Table, right: pa.Table) -> pa.Table:
         """Messages on contexts; restaurant totals of characters, of kind 1: level, sample, slot, customers, tables; level -1: tokens and words."""
@@ -447,6 +448,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
     k = {level: np.zeros_like(x) for level, x in n.items()}
     tokens = words = 0
     sent = cut(requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(totals, MESSAGE))
+    forget(spark)
     summed = sent.where("kind = 1").select("data").mapInArrow(apart, "level long, sample long, slot long, n long, k long").groupBy("level", "sample", "slot").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     for r in summed.collect():  # samples * restaurants of characters rows
         if r["level"] < 0:
