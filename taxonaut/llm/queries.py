@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from taxonaut.llm import jaccard, langid, metric_join, neighbours, pitman_yor, sql, substrings, warc
+from taxonaut.llm import jaccard, langid, metric_join, neighbours, pitman_yor, spelling, sql, substrings, warc
 from taxonaut.llm.common import held_out, load
 from taxonaut.llm.packing import pack
 from taxonaut.llm.pieces import encode_and_decode
@@ -55,6 +55,10 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs.select("doc_id", "text", "held_out"), trees).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.occurrences(load(spark, sf_dir, "documents")))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

