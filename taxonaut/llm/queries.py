@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from taxonaut.llm import jaccard, langid, metric_join, neighbours, pitman_yor, spelling, sql, substrings, warc
+from taxonaut.llm import jaccard, kd_trees, langid, metric_join, neighbours, pitman_yor, spelling, sql, substrings, warc, whitening
 from taxonaut.llm.common import held_out, load
 from taxonaut.llm.packing import pack
 from taxonaut.llm.pieces import encode_and_decode
 from taxonaut.llm.secrets import scan
+from taxonaut.llm.vectors import finite, fixed_point
 
 
 def op1_best_fit_packing(spark, sf_dir):
@@ -55,10 +56,22 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs.select("doc_id", "text", "held_out"), trees).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    offset = 1_000_000
+    rows = load(spark, sf_dir, "embeddings").where(finite()).select("vec_id", fixed_point(64, offset).alias("x"))
+    fit = whitening.fit(rows, "x", pad=offset)
+    return whitening.whiten(rows, fit, "x", "vec_id", most=32)
+
+
 def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(spelling.occurrences(load(spark, sf_dir, "documents")))
 
 
+def op13_exact_top_k(spark, sf_dir):
+    rows = load(spark, sf_dir, "embeddings").where(finite()).select("vec_id", fixed_point(1024).alias("embedding"))
+    return kd_trees.search(rows, F.col("vec_id") % 100 == 0, k=10)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

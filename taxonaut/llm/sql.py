@@ -99,4 +99,14 @@ ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHE
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
 """
 
-QUERIES = {"op3_substring_dedup": OP3, "op5_warc_revisits": OP5, "op6_embedding_near_dedup": OP6, "op7_ngram_jaccard": OP7, "op12_spelling_variants": OP12}
+OP13 = r"""
+WITH used AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM used q JOIN used c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+QUERIES = {"op3_substring_dedup": OP3, "op5_warc_revisits": OP5, "op6_embedding_near_dedup": OP6, "op7_ngram_jaccard": OP7, "op12_spelling_variants": OP12, "op13_exact_top_k": OP13}

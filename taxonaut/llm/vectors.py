@@ -7,6 +7,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def finite(vector: str = "embedding") -> Column:
+    """True for vectors that are not null and hold no null or non-finite component."""
+    v = F.col(vector)
+    return F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def fixed_point(scale: int, offset: int = 0, vector: str = "embedding") -> Column:
+    """Components as whole numbers floor(scale * x) + offset, in double precision."""
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale) + F.lit(offset).cast("long"))
+
+
 def usable(vector: str = "embedding") -> Column:
     """True for vectors that are not null, empty or zero and hold no null or non-finite component."""
     v = F.col(vector)
