@@ -181,7 +181,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
         kth = home.withColumn("at", best).where(F.col("at") == k).select("row", F.col("score").alias("kth_score"), F.col("vec_id").alias("kth_id"))
         asking = dealt.where("query").join(kth, "row", "left").withColumn("block", F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)).cast("int"))
         sent = asking.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))))
-        sent = sent.select(F.col("other").alias("shard"), "block", "row", "id", "v", "kth_score", "kth_id")
+        # Names of their own: both sides of the cogroup descend from the same rows.
+        sent = sent.select(F.col("other").alias("shard"), *[F.col(c).alias(c) for c in ("block", "row", "id", "v", "kth_score", "kth_id")])
         there = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "row", "id", "v")
         home = home.union(there.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(_abroad(k), FOUND))
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))

@@ -77,5 +77,8 @@ def test_boxes_prune_and_the_border_is_handed_on():
     score = x @ x[0]
     assert best == [(int(score[i]), int(i)) for i in np.lexsort([ids, -score]) if i != 0][:5]
     assert sum(seen) < len([m for m in members if m is not None]) / 4
+    before = sum(seen)
     seen.clear()
-    assert tree.search(x[:1], ids[:1], 5, [best[0]]) == [[]] and sum(seen) <= 2
+    assert tree.search(x[:1], ids[:1], 5, [best[0]]) == [[]] and sum(seen) <= before
+    seen.clear()
+    assert tree.search(x[:1], ids[:1], 5, [(1 << 50, 0)]) == [[]] and not seen
