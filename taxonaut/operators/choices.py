@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -81,6 +82,29 @@ def bundle_rows(rows: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     return joined.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"])).alias("bundle"))
 
 
+#: Categories that a registry, or the corpus that describes it, may have where it becomes a literal.
+MOST_CATEGORIES = 10_000
+
+
+def corpus_map(corpus: DataFrame, ids: Sequence[str] | None = None) -> Column:
+    """corpus (category_id, name, description) as a literal map for bundle(): at most MOST_CATEGORIES, without repeats, and with every one of `ids`."""
+    found = corpus.select("category_id", "name", F.coalesce("description", F.lit("")).alias("description")).limit(MOST_CATEGORIES + 1).collect()
+    described = {r["category_id"]: {"name": r["name"], "description": r["description"]} for r in found}
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"over {MOST_CATEGORIES} categories")
+    if len(described) < len(found):
+        raise ValueError("the corpus repeats a category_id")
+    if lacking := sorted(set(ids or ()) - set(described))[:5]:
+        raise ValueError(f"the corpus lacks categories of the registry: {lacking}")
+    return F.from_json(F.lit(json.dumps(described)), "map<string,struct<name:string,description:string>>")
+
+
+def bundle(candidates: Column, described: Column) -> Column:
+    """The candidates in order as JSON, from corpus_map(), without a join. A candidate that the corpus lacks raises."""
+    known = lambda c: F.when(described[c].isNull(), F.raise_error(F.concat(F.lit("candidate is not in the corpus: "), c))).otherwise(described[c])
+    return F.to_json(F.transform(candidates, lambda c, i: F.struct((i + 1).cast("string").alias("id"), known(c)["name"].alias("name"), known(c)["description"].alias("description"))))
+
+
 def stage1_answer(choice: Column) -> Column:
     return F.to_json(F.struct(choice.alias("candidates")))
 

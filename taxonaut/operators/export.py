@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taxonaut.functions import text
@@ -27,38 +29,44 @@ def require_empty(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {[tuple(r) for r in bad]}")
 
 
-def stage_rows(rows: DataFrame, registry: list[str], names: list[str], corpus: DataFrame, metadata: dict[str, Column]) -> DataFrame:
-    """Two rows (stage1, stage2) for each resolved row (source_id, truth): system, user, answer, truth, candidates, metadata (JSON).
+def stage_rows(rows: DataFrame, registry: list[str], names: list[str], corpus: DataFrame, metadata: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+    """Two rows (stage1, stage2) for each resolved row (source_id, truth): system, user, answer, truth, candidates, metadata (JSON), and the columns to `keep`.
 
-    The catalogue is one literal; candidates are worked out once and fan out to both stages. registry
-    and names are in registry order, of bounded size.
+    Catalogue and corpus are literals, so no row moves; candidates are worked out once and fan out to both stages. registry
+    and names are in registry order, of bounded size. A repeated source_id gives its rows again.
     """
     catalogue = choices.stage1_catalogue([(str(i), n) for i, n in enumerate(names, 1)])
     based = rows.withColumns({"candidates": choices.candidate_bundle(F.col("truth"), registry, F.col("source_id")), "metadata": choices.metadata_json(metadata)})
-    bundles = choices.bundle_rows(based, corpus, "source_id")
+    bundle = choices.bundle(F.col("candidates"), choices.corpus_map(corpus))
     choice_of = F.create_map(*[F.lit(x) for i, c in enumerate(registry, 1) for x in (c, str(i))])
     picked = F.transform("candidates", lambda c: choice_of[c])
     one = F.struct(F.lit("stage1").alias("stage"), F.lit(choices.STAGE1_SYSTEM).alias("system"), choices.stage1_prompt(catalogue, F.col("metadata")).alias("user"), choices.stage1_answer(picked).alias("answer"))
-    two = F.struct(F.lit("stage2").alias("stage"), F.lit(choices.STAGE2_SYSTEM).alias("system"), choices.stage2_prompt(F.col("bundle"), F.col("metadata")).alias("user"), choices.stage2_answer(F.col("truth"), F.col("candidates")).alias("answer"))
-    return based.join(bundles, "source_id").select("source_id", "truth", "candidates", "metadata", F.explode(F.array(one, two)).alias("s")).select("source_id", "s.*", "truth", "candidates", "metadata")
+    two = F.struct(F.lit("stage2").alias("stage"), F.lit(choices.STAGE2_SYSTEM).alias("system"), choices.stage2_prompt(bundle, F.col("metadata")).alias("user"), choices.stage2_answer(F.col("truth"), F.col("candidates")).alias("answer"))
+    return based.select("source_id", "truth", "candidates", "metadata", *keep, F.explode(F.array(one, two)).alias("s")).select("source_id", "s.*", "truth", "candidates", "metadata", *keep)
 
 
-def sft_rows(stages: DataFrame) -> DataFrame:
+def sft_rows(stages: DataFrame, *keep: str) -> DataFrame:
     message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    return stages.select(F.array(message("system", "system"), message("user", "user"), message("assistant", "answer")).alias("messages"), "stage", "source_id", F.col("truth").alias("ground_truth"), "candidates", "metadata")
+    return stages.select(F.array(message("system", "system"), message("user", "user"), message("assistant", "answer")).alias("messages"), "stage", "source_id", F.col("truth").alias("ground_truth"), "candidates", "metadata", *keep)
 
 
-def rl_rows(stages: DataFrame, source: str, ability: str = "classification") -> DataFrame:
+def rl_rows(stages: DataFrame, source: str | Column, *keep: str, ability: str = "classification") -> DataFrame:
+    """Reinforcement rows; `source` is the data source of all, or a column such as dataset_source()."""
     message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
     return stages.select(
-        F.lit(source).alias("data_source"),
+        (source if isinstance(source, Column) else F.lit(source)).alias("data_source"),
         F.array(message("system", "system"), message("user", "user")).alias("prompt"),
         F.lit(ability).alias("ability"),
         F.struct(F.lit("rule").alias("style"), F.col("truth").alias("ground_truth")).alias("reward_model"),
-        F.struct("stage", "source_id", "metadata", F.when(F.col("stage") == "stage2", F.col("candidates")).alias("candidates")).alias("extra_info"),
+        F.struct("stage", "source_id", "metadata", F.when(F.col("stage") == "stage2", F.col("candidates")).alias("candidates")).alias("extra_info"), *keep,
     )
 
 
+def dataset_source(dataset: str) -> Column:
+    """dataset/stage, by which reward functions tell the rows of a dataset apart."""
+    return F.concat_ws("/", F.lit(dataset), "stage")
+
+
 def _errors(checks: list[tuple[Column, str]]) -> Column:
     """What is said of the checks that fail, in order; a check that a null leaves open fails."""
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(said)) for bad, said in checks]), lambda e: e.isNotNull())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from taxonaut.operators import choices, export, scoring
+from taxonaut.operators import choices, contract, datasets, export, scoring
 from taxonaut.plans.tables import REGISTRY, query, records, registry, table
+from taxonaut.sources import writers
 
 NATIONS = 25  # fixed size of the nation table: the registry of the order queries
 
@@ -333,3 +336,143 @@ def two_step_e2e(spark, sf_dir):
   CAST(count(*) FILTER (final = truth) AS DOUBLE) / count(*) AS e2e_accuracy, CAST(count(*) FILTER (final = truth) AS BIGINT) AS e2e_correct FROM y""")
 def two_step_metrics(spark, sf_dir):
     return scoring.two_step_metrics(_outcomes(spark, sf_dir))
+
+
+def _nation_catalogue(spark, sf_dir) -> datasets.Catalogue:
+    named = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("category_id"), F.col("n_name").alias("name"), F.array().cast("array<string>").alias("path"), "n_nationkey")
+    return datasets.Catalogue.of(named, _corpus(spark, sf_dir), "n_nationkey")
+
+
+def _canonical_orders(spark, sf_dir):
+    """Orders as canonical rows: those of status P are not resolved, and every fiftieth of them has no id."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    open_ = F.col("o_orderstatus") == "P"
+    nation = F.col("c_nationkey").cast("string")
+    target = F.struct(F.lit("level_4").alias("leaf_level"), F.concat(F.lit("NATION_"), nation).alias("leaf_name"), F.concat(F.lit("N"), nation).alias("category_id"), F.array().cast("array<string>").alias("category_path"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "o_custkey", F.when(open_ & (F.col("o_orderkey") % 50 == 0), " ").otherwise(F.col("o_orderkey").cast("string")).alias("id"),
+        F.when(open_, "missing_leaf").otherwise("resolved").alias("resolution_status"), F.when(~open_, target).alias("target"),
+    )
+
+
+def _split_of(key):
+    return F.when(key % 10 == 8, "val").when(key % 10 == 9, "test").otherwise("train")
+
+
+def _exported(spark, sf_dir, name, make_rows):
+    """The report of an export, and the rows that its files hold."""
+    canonical = _canonical_orders(spark, sf_dir)
+    members = canonical.where("o_orderkey % 13 <> 0 and trim(id) <> ''").select("id", _split_of(F.col("o_orderkey")).alias("split"))
+    path = f"{writers.scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    report = datasets.export_dataset(canonical, members, _nation_catalogue(spark, sf_dir), {"order": F.col("source_id"), "customer": F.col("o_custkey")}, path, make_rows)
+    written = spark.read.parquet(path)
+    return datasets.report_rows(spark, report).union(written.groupBy("split").agg(F.lit("rows_in_files").alias("metric"), F.count("*").alias("n")))
+
+
+_EXPORT = """WITH c AS (
+    SELECT o_orderkey AS k, o_orderstatus <> 'P' AS resolved, o_orderstatus = 'P' AND o_orderkey % 50 = 0 AS nameless, CASE o_orderkey % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split
+    FROM orders JOIN customer ON o_custkey = c_custkey),
+  m AS (SELECT * FROM c WHERE k % 13 <> 0 AND NOT nameless),
+  s AS (SELECT split, count(*) AS split_records, 2 * count(*) FILTER (resolved) AS exported_rows, count(*) FILTER (NOT resolved) AS skipped_not_resolved, 2 * count(*) FILTER (resolved) AS rows_in_files FROM m GROUP BY 1)
+  SELECT split, metric, CAST(n AS BIGINT) AS n FROM (UNPIVOT s ON split_records, exported_rows, skipped_not_resolved, rows_in_files INTO NAME metric VALUE n)
+  UNION ALL SELECT NULL, 'registry_size', count(*) FROM nation
+  UNION ALL SELECT NULL, 'canonical_resolved', count(*) FILTER (resolved) FROM c
+  UNION ALL SELECT NULL, 'idless_non_resolved_records', count(*) FILTER (nameless) FROM c
+  UNION ALL SELECT NULL, 'trainable_resolved', count(*) FILTER (resolved) FROM m
+  UNION ALL SELECT NULL, 'resolved_outside_splits', count(*) FILTER (resolved AND k % 13 = 0) FROM c"""
+
+
+@query(_EXPORT)
+def sft_export(spark, sf_dir):
+    return _exported(spark, sf_dir, "sft", datasets.sft)
+
+
+@query(_EXPORT)
+def rl_export(spark, sf_dir):
+    return _exported(spark, sf_dir, "rl", datasets.rl("orders"))
+
+
+def _task(spark, sf_dir) -> contract.Task:
+    catalogue = _nation_catalogue(spark, sf_dir)
+    return contract.Task(catalogue.ids, catalogue.displays, choices.corpus_map(catalogue.corpus, catalogue.ids), ["order"])
+
+
+def _clean_export(spark, sf_dir):
+    key = F.col("source_id").cast("long")
+    return _staged(spark, sf_dir).withColumns({"split": _split_of(key), "kind": F.floor(key / 10) % 40})
+
+
+def _fault(name, where, n="1", split="split", key="CAST(o_orderkey AS VARCHAR)"):
+    return f"SELECT '{name}' AS \"check\", {split} AS split, {key} AS key, {n} AS n FROM s WHERE {where}"
+
+
+def _contract_sql(faults):
+    return f"""WITH {ORDERS}, s AS (SELECT *, o_orderkey // 10 % 40 AS kind, CASE o_orderkey % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM samples),
+  f AS ({' UNION ALL '.join(faults)}), k AS (SELECT "check", split, key, row_number() OVER (PARTITION BY "check", split ORDER BY key) AS place, sum(n) OVER (PARTITION BY "check", split) AS n FROM (SELECT "check", split, key, sum(n) AS n FROM f GROUP BY ALL))
+  SELECT "check", split, CAST(max(n) AS BIGINT) AS n, string_agg(key, ',' ORDER BY key) AS samples FROM k WHERE place <= {contract.SAMPLES} GROUP BY 1, 2"""
+
+
+_NEXT = "CASE split WHEN 'train' THEN 'train, val' WHEN 'val' THEN 'val, test' ELSE 'train, test' END"
+
+
+def _twice(rows):
+    """Rows of kind 0 have their first stage twice, those of kind 1 lack the second, those of kind 6 stand in the next split, too, those of kind 8 in one of no name."""
+    stage1 = F.col("stage") == "stage1" if "stage" in rows.columns else F.col("extra_info.stage") == "stage1"
+    kept = rows.where(~((F.col("kind") == 1) & ~stage1)).withColumn("split", F.when(F.col("kind") == 8, "dev").otherwise(F.col("split")))
+    after = F.when(F.col("split") == "train", "val").when(F.col("split") == "val", "test").otherwise("train")
+    return kept.withColumn("split", F.explode(F.when((F.col("kind") == 0) & stage1, F.array("split", "split")).when(F.col("kind") == 6, F.array(F.col("split"), after)).otherwise(F.array("split"))))
+
+
+_SFT_ROLES, _RL_ROLES = "messages are not system, user, assistant", "messages are not system, user"
+_TWICE = [_fault("one row a stage is needed", "kind < 2"), _fault("key in two splits", "kind = 6", split=_NEXT), _fault("unknown split", "kind = 8", "2", "'dev'")]
+_SFT_FAULTS = [
+    *_TWICE,
+    *[_fault(name, "kind = 2", "2") for name in (_SFT_ROLES, "message without text", "chat template written into a message", "prompt is not that of registry and task", "answer is not that of the stage")],
+    _fault("ground truth is not in the registry", "kind = 3", "2"), _fault("answer is not that of the stage", "kind = 3"),
+    _fault("candidates are not in the reproducible order", "kind = 4"), _fault("prompt is not that of registry and task", "kind = 4"),
+    _fault("answer is not that of the stage", "kind = 4 AND a2 <> truth"), _fault("stages differ", "kind = 4"),
+    _fault("metadata fields are not those of the task", "kind = 5", "2"), _fault("prompt is not that of registry and task", "kind = 5", "2"),
+    _fault("chat template written into a message", "kind = 7"), _fault("prompt is not that of registry and task", "kind = 7"),
+    _fault("blank source id", "kind = 9", "2", key="''"), _fault("candidates are not in the reproducible order", "kind = 9", "2", key="''"),
+]
+
+
+@query(_contract_sql(_SFT_FAULTS))
+def dataset_contract(spark, sf_dir):
+    """An export of fine-tuning rows with a fault of every kind, judged in one scan."""
+    kind, second = F.col("kind"), F.col("stage") == "stage2"
+    marked = F.transform("messages", lambda m, k: F.struct(m["role"].alias("role"), F.when(k == 1, F.concat(m["content"], F.lit("<|im_end|>"))).otherwise(m["content"]).alias("content")))
+    rows = export.sft_rows(_clean_export(spark, sf_dir), "split", "kind").withColumns({
+        "messages": F.when(kind == 2, F.lit(None)).when((kind == 7) & ~second, marked).otherwise(F.col("messages")),
+        "ground_truth": F.when(kind == 3, "ZZ").otherwise(F.col("ground_truth")),
+        "candidates": F.when((kind == 4) & second, F.reverse("candidates")).otherwise(F.col("candidates")),
+        "metadata": F.when(kind == 5, F.replace("metadata", F.lit('"order"'), F.lit('"other"'))).otherwise(F.col("metadata")),
+        "source_id": F.when(kind != 9, F.col("source_id")),
+    })
+    found = contract.run(_twice(rows), contract.sft_contract(_task(spark, sf_dir)))
+    return found.withColumn("samples", F.array_join("samples", ","))
+
+
+_RL_FAULTS = [
+    *_TWICE,
+    *[_fault(name, "kind = 2", "2") for name in (_RL_ROLES, "message without text", "chat template written into a message", "prompt is not that of registry and task")],
+    _fault("ground truth is not in the registry", "kind = 3"), _fault("stages differ", "kind = 3"),
+    _fault("stage1 shows candidates", "kind = 4"), _fault("unknown ability", "kind = 5", "2"), _fault("unknown reward style", "kind = 7", "2"),
+    _fault("data source is not dataset and stage", "kind = 10"), _fault("unknown dataset", "kind = 11", "2"),
+]
+
+
+@query(_contract_sql(_RL_FAULTS))
+def rl_dataset_contract(spark, sf_dir):
+    """An export of reinforcement rows with a fault of every kind, judged in one scan."""
+    kind, first, info = F.col("kind"), F.col("extra_info.stage") == "stage1", F.col("extra_info")
+    model = F.col("reward_model")
+    rows = datasets.rl("orders")(_clean_export(spark, sf_dir).withColumn("split", F.struct("split", "kind"))).select("*", "split.kind").withColumn("split", F.col("split.split")).withColumns({
+        "prompt": F.when(kind == 2, F.lit(None)).otherwise(F.col("prompt")),
+        "reward_model": F.when((kind == 3) & first, model.withField("ground_truth", F.lit("ZZ"))).when(kind == 7, model.withField("style", F.lit("x"))).otherwise(model),
+        "extra_info": F.when((kind == 4) & first, info.withField("candidates", F.array(F.lit("N0")))).when(kind == 11, info.withField("dataset", F.lit("x"))).otherwise(info),
+        "ability": F.when(kind == 5, "x").otherwise(F.col("ability")),
+        "data_source": F.when((kind == 10) & first, "orders/stage2").otherwise(F.col("data_source")),
+    })
+    found = contract.run(_twice(rows), contract.rl_contract(_task(spark, sf_dir), "orders"))
+    return found.withColumn("samples", F.array_join("samples", ","))
