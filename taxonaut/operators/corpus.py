@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taxonaut.functions import ids, text
+from taxonaut.operators.ordered import CHUNK, chunked
 
 # Category texts that name nothing.
 MALFORMED = ("nan", "")
@@ -43,12 +44,15 @@ def label_coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return sides.agg(F.count_if(F.col("s") == 3).alias("in_both"), F.count_if(F.col("s") == 1).alias("left_only"), F.count_if(F.col("s") == 2).alias("right_only"))
 
 
-def aggregate_categories(entries: DataFrame, keys: list[str], order: str, description: str) -> DataFrame:
-    """Per category the first row's description, the later non-blank ones in order, and how many rows came after the first."""
-    item = F.struct(order, text.clean(F.col(description)).alias("d"))
-    out = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    later = F.filter(F.transform(F.slice("_all", 2, F.greatest(F.size("_all"), F.lit(1))), lambda x: x["d"]), lambda d: d != "")
-    return out.select(*keys, F.get("_all", F.lit(0))["d"].alias("description"), later.alias("descriptions"), (F.size("_all") - 1).cast("long").alias("extra"))
+def aggregate_categories(entries: DataFrame, keys: list[str], order: str, description: str, chunk: int = CHUNK) -> DataFrame:
+    """Per category the first row's description, the later non-blank ones in order, and how many rows came after the first.
+
+    A category of more than `chunk` rows has several rows, numbered by the column chunk: chunk 0 holds what comes of its first
+    `chunk` rows, and so on; description is null behind chunk 0. Rows of equal order are taken by their description.
+    """
+    item = entries.select(*keys, F.col(order).alias("_order"), text.clean(F.col(description)).alias("_d"))
+    out = chunked(item, keys, ["_order", "_d"], "_d", (F.col("position") > 0) & (F.col("_d") != ""), {"description": F.col("_d")}, chunk)
+    return out.select(*keys, "chunk", "description", F.col("items").alias("descriptions"), (F.col("total") - 1).alias("extra"))
 
 
 def code_dictionary(entries: DataFrame, dataset: str, order: str, key: str, category: str) -> DataFrame:
@@ -91,16 +95,17 @@ def universe(records: DataFrame, dataset: str, leaf: str) -> DataFrame:
     )
 
 
-def build_corpus(entries: DataFrame) -> DataFrame:
+def build_corpus(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Categories of parsed entries: the first entry of an id gives name, description, path and code, later non-blank descriptions follow in order.
 
-    extra counts the entries merged away. Entries without an id are left out (see build_report()).
+    extra counts the entries merged away. Entries without an id are left out (see build_report()). A category of more than `chunk`
+    entries has several rows, numbered by chunk, as in aggregate_categories(); behind chunk 0 only the id, extra and descriptions stand.
     """
-    head = F.struct("name", "description", "path", "code")
-    later = F.collect_list(F.when(F.col("description") != "", F.struct("order", "description")))
-    out = entries.where(F.col("category_id").isNotNull()).groupBy("category_id").agg(F.min_by(head, "order").alias("h"), F.min("order").alias("_first"), later.alias("_all"), (F.count("*") - 1).alias("extra"))
-    rest = F.filter(F.array_sort("_all"), lambda x: x["order"] != F.col("_first"))
-    return out.select("category_id", "h.*", F.transform(rest, lambda x: x["description"]).alias("descriptions"), "extra")
+    known = entries.where(F.col("category_id").isNotNull())
+    heads = {name: F.col(name) for name in ("name", "description", "path", "code")}
+    rows = known.select("category_id", "order", *heads)
+    out = chunked(rows, ["category_id"], ["order", "description", "name"], "description", (F.col("position") > 0) & (F.col("description") != ""), heads, chunk)
+    return out.select("category_id", "chunk", *heads, F.col("items").alias("descriptions"), (F.col("total") - 1).alias("extra"))
 
 
 def build_report(entries: DataFrame) -> DataFrame:

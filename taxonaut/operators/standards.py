@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from taxonaut.functions import text
 from taxonaut.functions.arrays import dedupe_path
 from taxonaut.functions.ids import qualified_id
+from taxonaut.operators.ordered import CHUNK, chunked, same
+from taxonaut.operators.ranges import within
 
 # Names that stand for no category.
 PLACEHOLDERS = ("——", "nan", "none", "-", "")
@@ -17,17 +19,44 @@ PLACEHOLDERS = ("——", "nan", "none", "-", "")
 def merged_cells(cells: DataFrame, ranges: DataFrame, key: Sequence[str], row: str) -> DataFrame:
     """Cells with anchor, the start of the merged range (key, first, last) that holds their row, else the row itself.
 
-    Ranges are expanded to rows and joined on equality; of overlapping ranges the first wins.
+    Of overlapping ranges the first wins. Ranges of any length are joined without expanding them.
     """
-    rows = ranges.select(*key, "first", F.explode(F.sequence("first", "last")).alias(row)).groupBy(*key, row).agg(F.min("first").alias("_anchor"))
+    held = within(cells.select(*key, row), ranges.select(*key, F.col("first").alias("_first"), F.col("last").alias("_last")), [(row, "_first", "_last")], key)
+    rows = held.groupBy(*key, row).agg(F.min("_first").alias("_anchor"))
     return cells.join(rows, [*key, row], "left").withColumn("inherited", F.col("_anchor").isNotNull() & (F.col("_anchor") != F.col(row))).withColumn("anchor", F.coalesce("_anchor", row)).drop("_anchor")
 
 
-def annotations(rows: DataFrame, key: Sequence[str], row: str, member: str) -> DataFrame:
-    """Rows with one text and range as one annotation: first and last row, the first row's member, sorted members."""
-    return rows.groupBy(*key).agg(
-        F.min(row).alias("start_row"), F.max(row).alias("end_row"), F.min_by(member, F.struct(row, member)).alias("first_member"), F.array_sort(F.collect_set(member)).alias("members")
-    )
+def merged_grid(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Cells (sheet, row, col, value) as the merged ranges (sheet, r1, c1, r2, c2) show them.
+
+    Returns sheet, row, col, value (the anchor's inside a range, null where the anchor is not among the cells), anchor_row, anchor_col, start_row and
+    end_row of the range (null outside of ranges), end_col, and inherited. Of overlapping ranges the one that starts first wins.
+    """
+    boxes = ranges.select("sheet", "r1", "c1", "r2", "c2")
+    held = within(cells.select("sheet", "row", "col"), boxes, [("row", "r1", "r2"), ("col", "c1", "c2")], ["sheet"])
+    merged = held.groupBy("sheet", "row", "col").agg(F.min(F.struct("r1", "c1", "r2", "c2")).alias("m"))
+    met = cells.select("sheet", "row", "col", "value").join(merged, ["sheet", "row", "col"], "left")
+    placed = met.select("sheet", "row", "col", "value", "m", F.coalesce("m.r1", "row").alias("anchor_row"), F.coalesce("m.c1", "col").alias("anchor_col"))
+    anchors = cells.groupBy("sheet", F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col")).agg(F.min("value").alias("_anchor"))
+    inside = F.col("m").isNotNull()
+    out = placed.join(anchors, ["sheet", "anchor_row", "anchor_col"], "left")
+    return out.select(
+        "sheet", "row", "col", F.when(inside, F.col("_anchor")).otherwise(F.col("value")).alias("value"), "anchor_row", "anchor_col", F.col("m.r1").alias("start_row"), F.col("m.r2").alias("end_row"), F.col("m.c2").alias("end_col"),
+        (inside & ((F.col("row") != F.col("anchor_row")) | (F.col("col") != F.col("anchor_col")))).alias("inherited"),
+    )
+
+
+def annotations(rows: DataFrame, key: Sequence[str], row: str, member: str, chunk: int = CHUNK) -> DataFrame:
+    """Rows with one text and range as one annotation: first and last row, the first row's member, sorted different members.
+
+    More than `chunk` members go on in further rows, numbered by the column chunk; an annotation without a member has an empty list.
+    """
+    spans = rows.groupBy(*key).agg(F.min(row).alias("start_row"), F.max(row).alias("end_row"), F.min_by(member, F.struct(row, member)).alias("first_member"))
+    members = chunked(rows.select(*key, F.col(member).alias("_member")).where("_member is not null").distinct(), key, ["_member"], "_member", chunk=chunk)
+    named = members.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("chunk").alias("_chunk"), "items")
+    met = spans.join(named, same(spans, named, [(k, f"_k{i}") for i, k in enumerate(key)]), "left")
+    none = F.array().cast(dict(members.dtypes)["items"])
+    return met.select(*key, F.coalesce("_chunk", F.lit(0)).alias("chunk"), "start_row", "end_row", "first_member", F.coalesce("items", none).alias("members"))
 
 
 def build_entries(rows: DataFrame, domain: str, levels: Sequence[str], identity: Sequence[str], order: str, level: str | None = None) -> DataFrame:

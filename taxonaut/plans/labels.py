@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taxonaut.functions import arrays, ids, text
-from taxonaut.operators import corpus, preprocess, profile, resolve, scoring, splits, standards
+from taxonaut.operators import corpus, ordered, preprocess, profile, ranges, resolve, scoring, splits, standards
 from taxonaut.plans.tables import CONFIG, RECORDS, REGISTRY, RESOLVED, query, records, registry, sql_clean, sql_compact, table
 
 CODE = r"[A-Za-z]+\p{Nd}*(?:-\p{Nd}+)*"
@@ -187,7 +187,28 @@ def first_labelled_part(spark, sf_dir):
 
 @query("SELECT p_brand, p_name, first(p_type ORDER BY p_partkey) AS description, array_to_string(list(p_type ORDER BY p_partkey)[2:], ',') AS descriptions, CAST(count(*) - 1 AS BIGINT) AS extra FROM part GROUP BY 1, 2")
 def aggregate_categories(spark, sf_dir):
-    return corpus.aggregate_categories(table(spark, sf_dir, "part"), ["p_brand", "p_name"], "p_partkey", "p_type").withColumn("descriptions", F.array_join("descriptions", ","))
+    return corpus.aggregate_categories(table(spark, sf_dir, "part"), ["p_brand", "p_name"], "p_partkey", "p_type").drop("chunk").withColumn("descriptions", F.array_join("descriptions", ","))
+
+
+HOT_CHUNK = 50
+
+
+@query(f"""WITH p AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'hot' WHEN p_partkey % 31 = 1 THEN NULL ELSE p_brand END AS category, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END AS said FROM part),
+  n AS (SELECT category, said, row_number() OVER (PARTITION BY category ORDER BY p_partkey) - 1 AS spot, count(*) OVER (PARTITION BY category) - 1 AS extra FROM p)
+  SELECT category, (spot // {HOT_CHUNK})::INT AS chunk, max(said) FILTER (spot = 0) AS description, coalesce(string_agg(said, ',' ORDER BY spot) FILTER (spot > 0 AND said <> ''), '') AS descriptions, CAST(max(extra) AS BIGINT) AS extra FROM n GROUP BY 1, 2""")
+def hot_category_chunks(spark, sf_dir):
+    """Categories of which one holds half of the rows, in rows of at most HOT_CHUNK descriptions."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(key, F.when(key % 2 == 0, "hot").when(key % 31 == 1, F.lit(None)).otherwise(F.col("p_brand")).alias("category"), F.when(F.col("p_size") % 4 == 0, " ").otherwise(F.col("p_type")).alias("said"))
+    return corpus.aggregate_categories(rows, ["category"], "p_partkey", "said", HOT_CHUNK).withColumn("descriptions", F.array_join("descriptions", ","))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey % 3 = 0, l_returnflag ORDER BY l_partkey, l_orderkey, l_linenumber, l_extendedprice) - 1 AS BIGINT) AS position, CAST(count(*) OVER (PARTITION BY l_orderkey % 3 = 0, l_returnflag) AS BIGINT) AS total FROM lineitem")
+def positions_within_hot_keys(spark, sf_dir):
+    """Places of all lines within six keys of any size."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_orderkey") % 3 == 0).alias("third"), "l_returnflag")
+    placed = ordered.numbered(lines, ["third", "l_returnflag"], ["l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice"])
+    return placed.select("l_orderkey", "l_linenumber", "l_partkey", "position", "total")
 
 
 @query(f"""WITH g AS (SELECT doc_id, source AS label, {sql_clean('text')} AS content FROM documents WHERE {sql_clean('text')} <> '')
@@ -305,10 +326,26 @@ def merged_range_lookup(spark, sf_dir):
     return _cells(spark, sf_dir).select("l_orderkey", "l_linenumber", "anchor", "inherited")
 
 
+@query("""WITH d AS (SELECT l_partkey, l_quantity, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS day FROM lineitem),
+  b AS (SELECT s_suppkey, CASE WHEN s_suppkey = 7 THEN -500000 ELSE 9131 + 2 * s_suppkey END AS d1, CASE WHEN s_suppkey = 7 THEN 500000 ELSE 9131 + 2 * s_suppkey + s_suppkey % 40 END AS d2,
+    s_suppkey * 19 % 2000 AS p1, s_suppkey * 19 % 2000 + CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 7 - 3 ELSE 1000 END AS p2 FROM supplier)
+  SELECT s_suppkey, CAST(count(*) AS BIGINT) AS lines, CAST(sum(l_quantity) AS BIGINT) AS quantity, CAST(min(day) AS BIGINT) AS first_day, CAST(max(l_partkey) AS BIGINT) AS last_part FROM d JOIN b ON day BETWEEN d1 AND d2 AND l_partkey BETWEEN p1 AND p2 GROUP BY 1""")
+def lines_in_boxes(spark, sf_dir):
+    """Lines inside each supplier's span of days and parts; one span is a million days wide, some are a single part, some end before they start."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", F.unix_date(F.col("l_shipdate").cast("date")).cast("long").alias("day"))
+    k = F.col("s_suppkey")
+    start, part = F.lit(9131) + k * 2, k * 19 % 2000
+    boxes = table(spark, sf_dir, "supplier").select(
+        k, F.when(k == 7, -500_000).otherwise(start).alias("d1"), F.when(k == 7, 500_000).otherwise(start + k % 40).alias("d2"), part.alias("p1"), (part + F.when(k % 5 == 0, k % 7 - 3).otherwise(1000)).alias("p2")
+    )
+    found = ranges.within(lines, boxes, [("day", "d1", "d2"), ("l_partkey", "p1", "p2")])
+    return found.groupBy("s_suppkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("quantity"), F.min("day").alias("first_day"), F.max("l_partkey").alias("last_part"))
+
+
 @query("SELECT l_orderkey, l_returnflag, min(l_linenumber) AS start_row, max(l_linenumber) AS end_row, first(l_partkey ORDER BY l_linenumber, l_partkey) AS first_member, array_to_string(list(DISTINCT l_partkey ORDER BY l_partkey), ',') AS members FROM lineitem GROUP BY 1, 2")
 def scoped_annotations(spark, sf_dir):
     found = standards.annotations(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag"], "l_linenumber", "l_partkey")
-    return found.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+    return found.drop("chunk").withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
 
 
 def _holey(spark, sf_dir):

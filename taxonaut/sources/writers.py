@@ -43,8 +43,9 @@ def _rename(spark: SparkSession, source: str, target: str) -> None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: that of spark.checkpoint.dir, or a temporary one for a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder that driver and executors share: the session's checkpoint folder, or a temporary one for a local master."""
+    there = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = there.get() if there.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local["):
@@ -52,6 +53,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the scratch folder: computed once, and read again by tasks that are repeated."""
+    path = f"{scratch_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def journal_of(targets: Iterable[str]) -> str:
     """The commit record of a set of targets, beside the first of them."""
     names = sorted(targets)
