@@ -26,24 +26,21 @@ def merged_cells(cells: DataFrame, ranges: DataFrame, key: Sequence[str], row: s
     return cells.join(rows, [*key, row], "left").withColumn("inherited", F.col("_anchor").isNotNull() & (F.col("_anchor") != F.col(row))).withColumn("anchor", F.coalesce("_anchor", row)).drop("_anchor")
 
 
-def merged_grid(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Cells (sheet, row, col, value) as the merged ranges (sheet, r1, c1, r2, c2) show them.
+def merged_grid(cells: DataFrame, ranges: DataFrame, key: Sequence[str] = ("sheet",), points: DataFrame | None = None) -> DataFrame:
+    """What the merged ranges (key, r1, c1, r2, c2) show at the places of cells (key, row, col, value), or at `points` (key, row, col) instead.
 
-    Returns sheet, row, col, value (the anchor's inside a range, null where the anchor is not among the cells), anchor_row, anchor_col, start_row and
-    end_row of the range (null outside of ranges), end_col, and inherited. Of overlapping ranges the one that starts first wins.
+    Returns key, row, col, value (the first cell's inside a range), anchor_row, anchor_col, start_row, end_row and end_col of the range (null outside
+    of ranges), and inherited. Of overlapping ranges the one that starts first wins; of repeated cells the smallest value.
     """
-    boxes = ranges.select("sheet", "r1", "c1", "r2", "c2")
-    held = within(cells.select("sheet", "row", "col"), boxes, [("row", "r1", "r2"), ("col", "c1", "c2")], ["sheet"])
-    merged = held.groupBy("sheet", "row", "col").agg(F.min(F.struct("r1", "c1", "r2", "c2")).alias("m"))
-    met = cells.select("sheet", "row", "col", "value").join(merged, ["sheet", "row", "col"], "left")
-    placed = met.select("sheet", "row", "col", "value", "m", F.coalesce("m.r1", "row").alias("anchor_row"), F.coalesce("m.c1", "col").alias("anchor_col"))
-    anchors = cells.groupBy("sheet", F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col")).agg(F.min("value").alias("_anchor"))
-    inside = F.col("m").isNotNull()
-    out = placed.join(anchors, ["sheet", "anchor_row", "anchor_col"], "left")
-    return out.select(
-        "sheet", "row", "col", F.when(inside, F.col("_anchor")).otherwise(F.col("value")).alias("value"), "anchor_row", "anchor_col", F.col("m.r1").alias("start_row"), F.col("m.r2").alias("end_row"), F.col("m.c2").alias("end_col"),
-        (inside & ((F.col("row") != F.col("anchor_row")) | (F.col("col") != F.col("anchor_col")))).alias("inherited"),
-    )
+    asked = (cells if points is None else points).select(*key, "row", "col").distinct()
+    held = within(asked, ranges.select(*key, "r1", "c1", "r2", "c2"), [("row", "r1", "r2"), ("col", "c1", "c2")], key)
+    merged = held.groupBy(*key, "row", "col").agg(F.min(F.struct("r1", "c1", "r2", "c2")).alias("m"))
+    placed = asked.join(merged, [*key, "row", "col"], "left").select(*key, "row", "col", "m", F.coalesce("m.r1", "row").alias("anchor_row"), F.coalesce("m.c1", "col").alias("anchor_col"))
+    values = cells.groupBy(*key, F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col")).agg(F.min("value").alias("value"))
+    inherited = F.col("m").isNotNull() & ((F.col("row") != F.col("anchor_row")) | (F.col("col") != F.col("anchor_col")))
+    return placed.join(values, [*key, "anchor_row", "anchor_col"], "left").select(
+        *key, "row", "col", "value", "anchor_row", "anchor_col", F.col("m.r1").alias("start_row"), F.col("m.r2").alias("end_row"), F.col("m.c2").alias("end_col"), inherited.alias("inherited")
+    )
 
 
 def annotations(rows: DataFrame, key: Sequence[str], row: str, member: str, chunk: int = CHUNK) -> DataFrame:
