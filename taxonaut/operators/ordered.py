@@ -24,22 +24,44 @@ def same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) ->
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
+def _lined(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows sorted by (key, order), stored once, with _part, their partition, and _at, numbered without gaps within it."""
+    sort = [F.col(c) for c in (*keys, *order)]
+    lined = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id())
+    return stored(lined).withColumn("_part", F.shiftright("_at", 33))
+
+
+def _based(lined: DataFrame, keys: Sequence[str], amount: Column, *more: Column) -> tuple[DataFrame, Column]:
+    """One row for each key and partition: _base, the amounts of the partitions before it, total, and `more`; and how lined rows meet it."""
+    runs = lined.groupBy(*keys, "_part").agg(amount.cast("long").alias("_n"), *more)
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    kept = [c for c in runs.columns if c not in (*keys, "_part", "_n")]
+    based = runs.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_run"), F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(*keys)).alias("total"), *kept
+    )
+    return based, same(lined, based, [*[(k, f"_k{i}") for i, k in enumerate(keys)], ("_part", "_run")])
+
+
 def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """rows with position, from 0 by `order` within the key, and total, the rows of the key.
 
     Rows that agree in key and order have neighbouring places in no stated sequence; null keys are a key, and null orders come
     first. The sorted rows are stored once in the scratch folder, so places stay what they are if a task runs again.
     """
-    sort = [F.col(c) for c in (*keys, *order)]
-    lined = stored(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
-    runs = lined.groupBy(*keys, "_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    based = runs.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_run"), (F.coalesce(before, F.lit(0)) - F.col("_start")).alias("_base"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("total"),
-    )
-    pairs = [*[(k, f"_k{i}") for i, k in enumerate(keys)], ("_part", "_run")]
-    return lined.join(based, same(lined, based, pairs)).select(*rows.columns, (F.col("_at") + F.col("_base")).alias("position"), "total")
+    lined = _lined(rows, keys, order)
+    based, met = _based(lined, keys, F.count("*"), F.min("_at").alias("_start"))
+    return lined.join(based, met).select(*rows.columns, (F.col("_at") - F.col("_start") + F.col("_base")).alias("position"), "total")
+
+
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str) -> DataFrame:
+    """rows with before, the sum of `amount` (whole numbers, not null) over the key's rows that come earlier by `order`, and total, that over all of them.
+
+    Stored and spread as in numbered(), so one key may hold all rows.
+    """
+    lined = _lined(rows, keys, order)
+    based, met = _based(lined, keys, F.sum(amount))
+    here = F.sum(amount).over(Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    return lined.withColumn("_here", F.coalesce(here, F.lit(0))).join(based, met).select(*rows.columns, (F.col("_here") + F.col("_base")).alias("before"), "total")
 
 
 def chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], item: str, keep: Column | None = None, heads: dict[str, Column] | None = None, chunk: int = CHUNK) -> DataFrame:

@@ -245,6 +245,16 @@ def split_assignment(spark, sf_dir):
     )
 
 
+# Groups of a few lines: whole, and sizes within two groups for each label line of their share.
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n_groups, CAST(0 AS BIGINT) AS torn, CAST(3 AS BIGINT) AS n_splits, true AS in_shares FROM lineitem")
+def split_small_groups(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    groups = splits.split_groups(lines, "l_orderkey", ["l_returnflag"]).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"), F.min("split").alias("split"))
+    held = lambda split: F.sum(F.when(F.col("split") == split, F.col("n")).otherwise(0))
+    off = [F.abs(held(s) - F.sum("n") * r) <= 8 * F.max("n") for s, r in zip(splits.SPLITS, (0.8, 0.1, 0.1))]
+    return groups.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.count_if(F.col("splits") > 1).alias("torn"), F.count_distinct("split").alias("n_splits"), (off[0] & off[1] & off[2]).alias("in_shares"))
+
+
 # Tenths by largest remainder: what is left over goes to train first if eight tenths leave the largest remainder, to val before test on ties.
 @query("""WITH n AS (SELECT count(*) AS n, count(*) * 8 % 10 AS a, count(*) % 10 AS b FROM labels),
   s AS (SELECT n, n // 10 + CASE WHEN (n - 8 * n // 10 - 2 * (n // 10)) > CASE WHEN a >= b THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS v, n // 10 + CASE WHEN (n - 8 * n // 10 - 2 * (n // 10)) > CASE WHEN a >= b THEN 2 ELSE 1 END THEN 1 ELSE 0 END AS t FROM n),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
-from taxonaut.operators import choices, contract, datasets, export, scoring
+from taxonaut.functions import nested
+from taxonaut.operators import census, choices, contract, conversations, datasets, export, rft, scoring
 from taxonaut.plans.tables import REGISTRY, query, records, registry, table
 from taxonaut.sources import writers
 
@@ -476,3 +478,95 @@ def rl_dataset_contract(spark, sf_dir):
     })
     found = contract.run(_twice(rows), contract.rl_contract(_task(spark, sf_dir), "orders"))
     return found.withColumn("samples", F.array_join("samples", ","))
+
+
+def _items(spark, sf_dir):
+    """Parts as nested items: some fields null, every ninth without a label."""
+    p = records(spark, sf_dir)
+    bare = F.col("row_no") % 9 == 0
+    level = lambda c: F.when(bare, "").otherwise(F.col(c))
+    metadata = [F.col("level_2").alias("table_name"), F.col("level_4").alias("field_name"), F.when(F.col("row_no") % 4 == 0, F.col("level_1")).alias("field_description")]
+    metadata += [F.lit(" ").alias(c) for c in export.METADATA_LABELS if c not in ("table_name", "field_name", "field_description")]
+    item = F.struct("id", F.struct(*metadata).alias("metadata"), F.struct(*[level(f"level_{i}").alias(f"level_{i}") for i in range(1, 5)]).alias("classification"), F.when(bare, "unlabeled").otherwise("labeled").alias("label_status"), F.when(~bare, F.col("data_level")).alias("data_level"))
+    return p.select("row_no", _split_of(F.col("row_no")).alias("split"), F.parse_json(F.to_json(item, {"ignoreNullFields": "false"})).alias("item"))
+
+
+def _escaped(x):
+    return json.dumps(x, ensure_ascii=False)[1:-1].replace("'", "''")
+
+
+@query(f"""WITH {REGISTRY}, r AS (SELECT *, CASE row_no % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM records),
+  u AS (SELECT *, '{_escaped(export.USER_HEAD)}\\n表名称：' || level_2 || '\\n字段名称：' || level_4 || CASE WHEN row_no % 4 = 0 THEN '\\n字段描述：' || level_1 ELSE '' END AS said,
+    '{{"classification":{{"level_1":"' || level_1 || '","level_2":"' || level_2 || '","level_3":"","level_4":"' || level_4 || '"}},"data_level":"' || data_level || '"}}' AS answer FROM r WHERE row_no % 9 <> 0),
+  l AS (SELECT split, '{{"messages":[{{"role":"developer","content":"{_escaped(rft.DEVELOPER_PROMPT)}"}},{{"role":"user","content":"' || said || '"}}],"reference_answer":' || answer || ',"reference_answer_json":"' || replace(answer, '"', '\\"') || '","source_id":"' || id || '"}}' AS line FROM u)
+  SELECT split, 'input_records' AS metric, CAST(count(*) AS BIGINT) AS n, '' AS digest FROM r GROUP BY 1 UNION ALL SELECT split, 'exported_records', count(*), '' FROM u GROUP BY 1
+  UNION ALL SELECT split, 'skipped_unlabeled', count(*) FILTER (row_no % 9 = 0), '' FROM r GROUP BY 1
+  UNION ALL SELECT split, 'lines', count(*), min(sha256(line)) FROM l GROUP BY 1""")
+def rft_export(spark, sf_dir):
+    """The report of an export as JSON lines, and the lines that its files hold."""
+    path = f"{writers.scratch_folder(spark)}/rft-{uuid.uuid4().hex}"
+    report = rft.export_rft(_items(spark, sf_dir).drop("row_no"), path)
+    rows = spark.createDataFrame([(s, name, n, "") for s, found in report["splits"].items() for name, n in found.items()], "split string, metric string, n long, digest string")
+    lines = spark.read.text(path).groupBy("split").agg(F.lit("lines").alias("metric"), F.count("*").alias("n"), F.min(F.sha2("value", 256)).alias("digest"))
+    return rows.union(lines)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'null' WHEN 4 THEN 'missing' ELSE 'present' END AS state, CASE p_partkey % 5 WHEN 2 THEN p_brand WHEN 3 THEN CAST(p_size AS VARCHAR) END AS value,
+  CASE p_partkey % 5 WHEN 2 THEN p_brand WHEN 3 THEN CAST(p_size AS VARCHAR) ELSE '' END AS label FROM part""")
+def nested_fields(spark, sf_dir):
+    """A field that is absent, null, a text, a number, or behind something that is no object."""
+    k = F.col("p_partkey") % 5
+    said = F.when(k == 0, '{"a":{}}').when(k == 1, '{"a":{"b":null}}').when(k == 2, F.concat(F.lit('{"a":{"b":"'), "p_brand", F.lit('"}}'))).when(k == 3, F.concat(F.lit('{"a":{"b":'), F.col("p_size").cast("string"), F.lit("}}"))).otherwise('{"a":["b"]}')
+    document = F.parse_json(said)
+    found = nested.get(document, "a.b")
+    return table(spark, sf_dir, "part").select("p_partkey", found["state"].alias("state"), found["value"].alias("value"), nested.label(document, "a.b").alias("label"))
+
+
+@query("""WITH k AS (SELECT p_partkey, p_partkey % 3 AS kind, p_size % 4 AS items FROM part),
+  c AS (SELECT '$' AS path, 'object' AS kinds, count(*) AS n, 0 AS nulls FROM k
+    UNION ALL SELECT '$.key', 'integer', count(*), 0 FROM k
+    UNION ALL SELECT '$.size', 'integer,null', count(*), count(*) FILTER (kind = 1) FROM k
+    UNION ALL SELECT '$.tags', 'array', count(*), 0 FROM k
+    UNION ALL SELECT '$.tags[]', 'string', sum(items), 0 FROM k
+    UNION ALL SELECT '$.more', 'object,string', count(*) FILTER (kind > 0), 0 FROM k
+    UNION ALL SELECT '$.more.price', 'number', count(*) FILTER (kind = 2), 0 FROM k
+    UNION ALL SELECT '$.more.at', 'array', count(*) FILTER (kind = 2), 0 FROM k
+    UNION ALL SELECT '$.more.at[]', 'object', count(*) FILTER (kind = 2), 0 FROM k
+    UNION ALL SELECT '$.more.at[].ok', 'boolean', count(*) FILTER (kind = 2), 0 FROM k)
+  SELECT path, kinds, CAST(n AS BIGINT) AS n, CAST(nulls AS BIGINT) AS nulls FROM c""")
+def dictionary_census(spark, sf_dir):
+    """Keys and types of nested documents of parts, whose fields differ by part."""
+    kind = F.col("p_partkey") % 3
+    more = F.when(kind == 1, F.lit(',"more":"none"')).when(kind == 2, F.lit(',"more":{"price":1.5,"at":[{"ok":true}]}')).otherwise("")
+    size = F.when(kind == 1, "null").otherwise(F.col("p_size").cast("string"))
+    tags = F.array_join(F.array_repeat(F.lit('"x"'), (F.col("p_size") % 4).cast("int")), ",")
+    text_ = F.concat(F.lit('{"key":'), F.col("p_partkey").cast("string"), F.lit(',"size":'), size, F.lit(',"tags":['), tags, F.lit("]"), more, F.lit("}"))
+    return census.census(table(spark, sf_dir, "part").select(F.parse_json(text_).alias("v")), "v").withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query("SELECT CAST(CASE WHEN p_size % 3 = 0 THEN 1 ELSE p_size % 3 + 1 END AS INT) AS depth, CAST(count(*) AS BIGINT) AS n, min(CASE p_size % 3 WHEN 0 THEN 'A' || p_size WHEN 1 THEN 'A' || p_size || '-1' ELSE 'A' || p_size || '-1-2' END) AS first FROM part WHERE p_size % 10 <> 0 GROUP BY 1")
+def code_depths(spark, sf_dir):
+    head = F.concat(F.lit("A"), F.col("p_size").cast("string"))
+    code = F.when(F.col("p_size") % 10 == 0, "").when(F.col("p_size") % 3 == 0, head).when(F.col("p_size") % 3 == 1, F.concat(head, F.lit("-1"))).otherwise(F.concat(head, F.lit("-1-2")))
+    return census.code_depths(table(spark, sf_dir, "part").select(code.alias("code")), "code")
+
+
+_RENDERED = "'<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)"
+
+
+@query(f"""WITH c AS (SELECT conv_id, count(*) AS turns, sum(length(coalesce(text, ''))) AS chars, sum(len(list_filter(regexp_split_to_array({_RENDERED}, '[ \\t\\n\\r]+'), lambda x: x <> ''))) AS tokens FROM conversations GROUP BY 1),
+  s AS (SELECT *, CASE conv_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM c)
+  SELECT split, CAST(count(*) AS BIGINT) AS rows, CAST(max(tokens) AS BIGINT) AS max_tokens, first(conv_id ORDER BY tokens DESC, conv_id) AS longest, CAST(count(*) FILTER (tokens > 300) AS BIGINT) AS over_limit FROM s GROUP BY 1""")
+def conversation_budget(spark, sf_dir):
+    """Conversations under a chat template by split, against a limit of tokens."""
+    counted = conversations.conversation_tokens(table(spark, sf_dir, "conversations"), "conv_id", "role", "text", lambda t: len(t.split()))
+    return conversations.budget(counted.withColumn("split", _split_of(F.col("conv_id"))), "split", "conv_id", "tokens", 300)
+
+
+@query(f"""WITH c AS (SELECT conv_id, sum(length(coalesce(text, ''))) AS chars FROM conversations GROUP BY 1), r AS (SELECT conv_id % 3 AS part, chars, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY chars) AS k, count(*) OVER (PARTITION BY conv_id % 3) AS n FROM c)
+  SELECT part, CAST(count(*) AS BIGINT) AS rows, CAST(max(chars) AS BIGINT) AS max, CAST(min(chars) FILTER (k = greatest(1, CAST(floor(n::DOUBLE * 0.95::DOUBLE) AS BIGINT))) AS BIGINT) AS p95, CAST(sum(chars) AS DOUBLE) / count(*) AS mean FROM r GROUP BY 1""")
+def conversation_lengths(spark, sf_dir):
+    """Characters of whole conversations, by a third of them."""
+    turns = table(spark, sf_dir, "conversations")
+    whole = turns.groupBy("conv_id").agg(F.sum(F.length(F.coalesce("text", F.lit(""))).cast("long")).alias("chars")).withColumn("part", F.col("conv_id") % 3)
+    return scoring.legacy_p95(whole, "part", "chars")

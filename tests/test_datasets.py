@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from taxonaut.operators import choices, contract, datasets, export
+from taxonaut.operators import choices, contract, datasets, export, ordered, splits
 from taxonaut.sources import writers
 
 CANONICAL = "id string, resolution_status string, target struct<leaf_level:string,leaf_name:string,category_id:string,category_path:array<string>>, note string, split string"
@@ -193,3 +193,69 @@ def test_a_failed_write_leaves_the_old_set(spark, tmp_path):
     with pytest.raises(Exception, match="no good"):
         writers.publish({path: spark.range(1).select(F.raise_error(F.lit("no good")).alias("x")), str(tmp_path / "more"): spark.range(1)}, overwrite=True)
     assert [p.name for p in tmp_path.iterdir()] == ["out"] and spark.read.parquet(path).count() == 1
+
+
+@pytest.mark.parametrize("settings", [("3", "200")])
+def test_random_splits_do_not_depend_on_partitions(spark, settings):
+    rows = spark.range(2000).select("id", (F.col("id") % 5).alias("l"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in settings:
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append({r["id"]: r["split"] for r in splits.split_random(rows, "id", ["l"]).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len(found[0]) == 2000
+
+
+def test_small_groups_are_cut_in_spark(spark, monkeypatch):
+    """With few large groups most are lined up; sizes and labels stay near their shares, groups whole, the hot group in train."""
+    monkeypatch.setattr(splits, "LARGE", 50)
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 797).cast("string"))).alias("g"), (F.col("id") % 4).cast("string").alias("l"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("2", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append({r["id"]: (r["g"], r["l"], r["split"]) for r in splits.split_groups(rows, "g", ["l"]).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len(found[0]) == 6000
+    where = {}
+    for g, _, split in found[0].values():
+        assert where.setdefault(g, split) == split
+    assert where["hot"] == "train"
+    for share, split in zip((0.8, 0.1, 0.1), splits.SPLITS):
+        own = [l for _, l, s in found[0].values() if s == split]
+        assert abs(len(own) - 6000 * share) < 80 and all(abs(own.count(l) - 1500 * share) < 80 for l in "0123")
+    for ratios in ((1.0, 0.0, 0.0), (0.5, 0.0, 0.5)):
+        assert {s for s, r in zip(splits.SPLITS, ratios) if r} == {r["split"] for r in splits.split_groups(rows, "g", [], ratios).select("split").distinct().collect()}
+
+
+def test_running_sums(spark):
+    rows = [("hot" if i % 3 else None, i % 50, i, i % 7) for i in range(300)]
+    found = {r["i"]: (r["before"], r["total"]) for r in ordered.running(spark.createDataFrame(rows, "k string, o int, i int, n long").repartition(4), ["k"], ["o", "i"], "n").collect()}
+    for key in ("hot", None):
+        own, sofar = sorted((o, i, n) for k, o, i, n in rows if k == key), 0
+        for _, i, n in own:
+            assert found[i] == (sofar, sum(x[2] for x in own))
+            sofar += n
+
+
+def test_split_datasets_report_and_publish(spark, tmp_path):
+    path = str(tmp_path / "split")
+    rows = spark.range(100).select("id", F.when(F.col("id") >= 5, (F.col("id") % 20).cast("string")).alias("g"), F.when(F.col("id") < 90, "common").when(F.col("id") == 99, "rare").alias("l"))
+    report = splits.split_dataset(rows, path, ["l"], order="id")
+    assert report["sizes"] == {"train": 80, "val": 10, "test": 10} and report["skipped_records"] == {"count": 0, "reasons": []} and report["input_size"] == 100
+    assert sum(sum(d.values()) for d in report["distributions"]["l"].values()) == 100 and sum(report["distributions"]["l"][s].get("<EMPTY>", 0) for s in splits.SPLITS) == 9
+    assert {w["type"] for w in report["warnings"]} <= {"labels_missing_from_train", "train_labels_missing_from_val", "train_labels_missing_from_test"} and any(w["labels"] == ["rare"] for w in report["warnings"])
+    with pytest.raises(FileExistsError):
+        splits.split_dataset(rows, path, ["l"], order="id")
+    with pytest.raises(ValueError, match="rows without g"):
+        splits.split_dataset(rows, path, ["l"], group="g", overwrite=True)
+    assert spark.read.parquet(path).count() == 100
+    report = splits.split_dataset(rows, path, ["l"], group="g", missing="skip", overwrite=True)
+    assert (report["input_size"], report["included_size"], report["skipped_records"]["count"]) == (100, 95, 5) and json.loads((tmp_path / "split" / splits.REPORT).read_text()) == report
+    assert splits.overlap(spark.read.parquet(path), "g", "split").isEmpty() and [p.name for p in tmp_path.iterdir()] == ["split"]
+    for wrong in ({"order": "id", "group": "g"}, {}, {"order": "id", "missing": "drop"}, {"order": "id", "ratios": (0.0, 0.5, 0.5)}):
+        with pytest.raises(ValueError):
+            splits.split_dataset(rows, str(tmp_path / "x"), ["l"], **wrong)
