@@ -15,7 +15,8 @@ and sent only to shards that hold the context; those of the classes of character
 number (slots of a hash), so their totals are arrays summed between jobs:
 
 1. blocks of documents become requests: for each shard the block's distinct (word, context) pairs
-   with their training counts, pre-aggregated, and the block's documents as indices of those pairs;
+   with their training counts, pre-aggregated, and the block's documents as indices of those pairs. Both are
+   stored as they come; requests are then dealt to their shards part by part, documents stay where they are;
 2. shards sum the counts and learn each context's customers and distinct words in the whole corpus;
 3. shards sample seatings and send restaurant totals;
 4. shards sample the same seatings again (same seeds), and with the summed totals answer each block's pairs
@@ -28,14 +29,16 @@ vocabulary. The final probabilities use the exact totals of each sample.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import WordHashes, cut, cut_in_place, forget, words_of
+from taxonaut.llm.common import WordHashes, cut, cut_in_place, forget, shared_folder, stored, words_of
 
 LAST_SLOTS = 64
 PAIR_SLOTS = 64
@@ -44,9 +47,13 @@ DISCOUNT = (0.75, 0.8, 0.85, 0.85)
 STRENGTH = (10.0, 10.0, 10.0, 10.0)
 SWEEPS = 3
 SAMPLES = 3
-#: Shards of the vocabulary at least; spark.sql.shuffle.partitions of them if that is more.
+#: Shards of the vocabulary at least, and the text of a shard in a larger corpus, so that a shard's part of all pairs stays bounded.
 SHARDS = 64
-BLOCK_TOKENS = 1_500_000
+SHARD_TEXT = 16 << 20
+#: Parts in which shards are dealt, one after the other, so that only a part of all requests lies on disk twice; fewer where there is less text.
+PARTS = 4
+PART_TEXT = 64 << 20
+BLOCK_TOKENS = 2_500_000
 #: Pairs a shard takes in before it sums them.
 HELD_PAIRS = 2_000_000
 MARKS = b".,;:!?*$%&#|\"'()"
@@ -365,6 +372,35 @@ def _rows(table: pa.Table) -> list[tuple[int, int, bytes]]:
 MESSAGE = "shard int, kind int, block long, data binary"
 
 
+def _part_of(shards: int, parts: int) -> Column:
+    """The part of a request's shard; -1 for documents."""
+    return F.when(F.col("kind") == 1, F.lit(-1)).otherwise(F.floor(F.col("shard") * F.lit(parts) / F.lit(shards)).cast("int"))
+
+
+def _delete(spark, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _dealt_parts(encoded: DataFrame, shards: int, count: int) -> tuple[list[DataFrame], DataFrame]:
+    """Requests of each part, dealt by shard, and the blocks' documents."""
+    spark = encoded.sparkSession
+    path = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    # The data are packed already.
+    encoded.withColumn("part", _part_of(shards, count)).write.option("compression", "uncompressed").partitionBy("part").parquet(path)
+    read = spark.read.schema(f"{MESSAGE}, part int").parquet(path)
+    parts = []
+    for part in range(count):
+        parts.append(cut_in_place(read.where(F.col("part") == part).drop("part").repartition(shards, "shard")))
+        _delete(spark, f"{path}/part={part}")
+        forget(spark)
+    return parts, read.where("part = -1").drop("part")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
 def _table(rows) -> pa.Table:
     return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array([r[2] for r in rows], pa.int64()), "data": pa.array([r[3] for r in rows], pa.binary())})
 
@@ -407,18 +443,23 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
     each. With nothing to learn from, every token has probability one of a single unknown class.
     """
     spark = docs.sparkSession
-    shards = shards or max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, count = shards or max(SHARDS, -(-size // SHARD_TEXT)), max(1, min(PARTS, size // PART_TEXT))
     flagged = docs.select(F.col("doc_id").cast("long"), F.col("text"), (~held_out).alias("learn"))
-    encoded = cut_in_place(flagged.mapInArrow(_encode(shards), MESSAGE).repartition(shards, "shard"))
-    forget(spark)
-    requests = encoded.where("kind = 0")
+    parts, documents = _dealt_parts(flagged.mapInArrow(_encode(shards), MESSAGE), shards, count)
 
     def learnt(table: pa.Table) -> pa.Table:
         own, shard = WordShard([d for _, _, d in _rows(table)]), table.column("shard")[0].as_py()
         return _table(list(_dealt(own, shard, shards, own.by_context(own.c3), own.by_context(np.ones(len(own.c3))))))
 
     # Customers and distinct words of every context, for the shards that hold it.
-    known = cut(_summed(requests.groupBy("shard").applyInArrow(learnt, MESSAGE), 2, 2))
+    known = cut(_summed(_union([p.groupBy("shard").applyInArrow(learnt, MESSAGE) for p in parts]), 2, 2))
+
+    def beside(messages: DataFrame, part: int) -> DataFrame:
+        """Messages to the shards of a part, under column names of their own."""
+        own = messages.where(_part_of(shards, count) == part)
+        return own.select(*[F.col(c).alias(c) for c in own.columns])
+
     forget(spark)
 
     def totals(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -447,7 +488,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
     n = {0: np.zeros((SAMPLES, 1)), 1: np.zeros((SAMPLES, LAST_SLOTS)), 2: np.zeros((SAMPLES, RESTAURANTS))}
     k = {level: np.zeros_like(x) for level, x in n.items()}
     tokens = words = 0
-    sent = cut(requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(totals, MESSAGE))
+    sent = cut(_union([p.groupBy("shard").cogroup(beside(known, k).groupBy("shard")).applyInArrow(totals, MESSAGE) for k, p in enumerate(parts)]))
     forget(spark)
     summed = sent.where("kind = 1").select("data").mapInArrow(apart, "level long, sample long, slot long, n long, k long").groupBy("level", "sample", "slot").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     for r in summed.collect():  # samples * restaurants of characters rows
@@ -456,7 +497,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
         else:
             n[r["level"]][r["sample"], r["slot"]], k[r["level"]][r["sample"], r["slot"]] = r["n"], r["k"]
     shared = spark.sparkContext.broadcast((n, k, tokens, words))
-    told = known.unionByName(_summed(sent.where("kind = 0"), SAMPLES, 3))
+    told = cut(known.unionByName(_summed(sent.where("kind = 0"), SAMPLES, 3)))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         """A block's pairs: log10 of the averaged probability, and the training counts of its words."""
@@ -495,8 +536,15 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
             out.append((block % shards, 2, block, _pack(logs.astype(np.float32), counts[at].astype(np.uint32), pairs_of, np.array([shard], np.int64))))
         return _table(out)
 
-    answers = requests.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, MESSAGE)
-    blocks = answers.unionByName(encoded.where("kind = 1")).select("kind", "block", "data")
+    del known, sent, summed
+    answers = []
+    for part in range(count):
+        # Requests go as soon as they are answered.
+        requests = parts.pop(0)
+        answers.append(stored(requests.groupBy("shard").cogroup(beside(told, part).groupBy("shard")).applyInArrow(answer, MESSAGE)))
+        del requests
+        forget(spark)
+    blocks = _union([*answers, documents]).select("kind", "block", "data")
 
     def add_up(table: pa.Table) -> pa.Table:
         _, _, tokens, words = shared.value

@@ -252,6 +252,19 @@ def scored(spark):
     return rows, pitman_yor.score(df, held_out("doc_id", 5)).toPandas().set_index("doc_id")
 
 
+def test_lm_scores_do_not_depend_on_settings(spark, scored, monkeypatch):
+    """Neither shuffle partitions nor the parts in which requests are dealt change a score."""
+    rows, expected = scored
+    monkeypatch.setattr(pitman_yor, "PART_TEXT", 1 << 13)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = pitman_yor.score(spark.createDataFrame(rows, DOCS), held_out("doc_id", 5)).toPandas().set_index("doc_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert np.allclose(got.score.sort_index(), expected.score.sort_index(), rtol=1e-6)
+
+
 def test_lm_base(scored):
     rows, got = scored
     tokens = {i: [*words_of(t, lower=True), b"\n"] for i, t in rows}
