@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from taxonaut.sources import json_files
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, all columns text, header names trimmed; raises on names that are then the same."""
@@ -24,17 +26,15 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
-    """Items of JSON arrays (one array a file) with row_no and file; a leading byte-order mark is dropped.
+    """Items of JSON arrays (one array a file) with row_no and file; a leading byte-order mark is dropped. Large files are read by many tasks.
 
-    With `strict` an item that is no object raises; otherwise it has null fields and its text in `record`.
+    With `strict` an item that is no object or no JSON raises; otherwise it has null fields and its text in `record`.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\x{feff}", "").alias("value"), F.col("_metadata.file_path").alias("file"))
-    items = whole.select("file", F.posexplode(F.parse_json("value").cast("array<variant>")).alias("row_no", "item"))
-    shape = F.schema_of_variant("item").startswith("OBJECT")
-    record = F.to_json("item")
-    checked = F.when(shape, record).otherwise(F.raise_error(F.concat(F.lit("item is not an object: "), record)) if strict else F.lit(None).cast("string"))
-    parsed = F.from_json(checked, schema)
-    out = items.select("file", F.col("row_no").cast("long").alias("row_no"), parsed.alias("_r"), F.when(~shape, record).alias("record"))
+    found = json_files.items(spark, path)
+    shape = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
+    record = F.coalesce("bad", F.to_json("item"))
+    checked = F.when(shape, F.to_json("item")).otherwise(F.raise_error(F.concat(F.lit("item is not an object: "), record)) if strict else F.lit(None).cast("string"))
+    out = found.select("file", "row_no", F.from_json(checked, schema).alias("_r"), F.when(~shape, record).alias("record"))
     return out.select("file", "row_no", "_r.*", *([] if strict else ["record"]))
 
 
@@ -44,10 +44,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Entries (pos, key, value as JSON text) of a JSON object, in file order; of a repeated key the last value stays."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = F.map_entries(F.from_json("value", "map<string,string>"))
-    return whole.select(F.posexplode(entries).alias("pos", "e")).select("pos", "e.key", "e.value")
+    """Entries (pos, key, value as text or JSON text) of a JSON object, in file order; of a repeated key the first place and the last value stay.
+
+    An entry that is no JSON raises. Large files are read by many tasks.
+    """
+    found = json_files.entries(spark, path)
+    key = F.when(F.col("bad").isNotNull(), F.raise_error(F.concat(F.lit("entry is no JSON: "), "bad"))).otherwise(F.col("key"))
+    return found.select("row_no", key.alias("key"), "value").groupBy("key").agg(F.min("row_no").alias("pos"), F.max_by(F.struct("value"), "row_no")["value"].alias("value")).select("pos", "key", "value")
 
 
 def registry_from_items(spark: SparkSession, items: Sequence[str | dict], least: int = 5) -> DataFrame:
@@ -65,29 +68,46 @@ def registry_from_items(spark: SparkSession, items: Sequence[str | dict], least:
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """A registry file: a JSON array of strings or objects, read whole (a few hundred entries)."""
-    text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    return registry_from_items(spark, json.loads(text.lstrip("\ufeff")))
+    found = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} is not one file")
+    return registry_from_items(spark, json.loads(found[0]["value"].lstrip("\ufeff")))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256) of the files under a path."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    """(name, sha256) of the files under a path, at any depth; name is relative to the path, or the last part where the path is one file."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    plain = F.regexp_replace("path", "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
+    inside = F.startswith(plain, F.lit(f"{whole}/"))
+    name = F.when(inside, F.substring(plain, F.lit(len(whole) + 2), F.length(plain))).otherwise(F.element_at(F.split(plain, "/"), -1))
+    return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_digests(spark: SparkSession, path: str, manifest: dict[str, str]) -> None:
-    """Raise if a file that the manifest names (by its last path part) is absent or differs."""
+    """Raise if a file that the manifest names is absent or differs.
+
+    A name matches the file whose relative name it ends with, part by part (data/raw/x for x under data/raw); where it fits several files, the
+    longest decides, and two equally long ones raise.
+    """
     found = {r["name"]: r["sha256"] for r in file_digests(spark, path).collect()}
     for name, digest in manifest.items():
-        name = name.rsplit("/", 1)[-1]
-        if found.get(name) != digest:
-            raise ValueError(f"{name}: " + ("differs from the manifest" if name in found else "is not there"))
+        fits = [f for f in found if name == f or name.endswith(f"/{f}") or f.endswith(f"/{name}")]
+        if not fits:
+            raise ValueError(f"{name}: is not there")
+        longest = max(min(len(f), len(name)) for f in fits)
+        best = [f for f in fits if min(len(f), len(name)) == longest]
+        if len(best) > 1:
+            raise ValueError(f"{name}: names several files")
+        if found[best[0]] != digest:
+            raise ValueError(f"{name}: differs from the manifest")
 
 
 def expand_grid(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Cells (sheet, row, col, value) of a grid with merged ranges (sheet, r1, c1, r2, c2): every cell of a range gets its first cell's value.
 
-    Workbook files themselves need a reader that is not installed; any that yields these two tables serves.
+    sources.workbooks reads both tables from files; operators.standards.merged_grid() looks cells up without expanding ranges.
     """
     covered = ranges.select("sheet", "r1", "c1", F.explode(F.sequence("r1", "r2")).alias("row"), "c2").select("sheet", "r1", "c1", "row", F.explode(F.sequence("c1", "c2")).alias("col"))
     anchors = cells.select("sheet", F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("value").alias("_anchor"))
