@@ -69,7 +69,13 @@ def permuted(items: Column, source_id: Column, size: int) -> Column:
     return F.transform(F.get(table, pick), lambda k: F.get(items, k))
 
 
-def fingerprint(df, order: Sequence[str]):
-    """SHA-256 over all rows as JSON, in `order`: one row (fingerprint). For registries of bounded size."""
-    rows = df.select(F.struct(*order).alias("k"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("j"))
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]), ","), 256).alias("fingerprint"))
+#: Rows that one fingerprint may cover: they meet in one row.
+MOST_ROWS = 100_000
+
+
+def fingerprint(df, order: Sequence[str], without: Sequence[str] = ("source",)):
+    """SHA-256 over all rows as JSON, in `order`, but for the columns `without`: one row (fingerprint). For registries; more than MOST_ROWS rows raise."""
+    columns = sorted(c for c in df.columns if c not in without)
+    rows = df.limit(MOST_ROWS + 1).select(F.struct(*order).alias("k"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("j"))
+    found = rows.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]), ","), 256).alias("fingerprint"))
+    return found.select(F.when(F.col("n") > MOST_ROWS, F.raise_error(F.lit(f"over {MOST_ROWS} rows for a fingerprint"))).otherwise(F.col("fingerprint")).alias("fingerprint"))

@@ -11,6 +11,8 @@ from taxonaut.functions.arrays import path_with_leaf, suffix
 from taxonaut.functions.ids import permuted
 
 BUNDLE = 5
+#: Rows of a registry that one task may rank.
+MOST_RANKED = 1_000_000
 # The prompts that training data is exchanged with.
 STAGE1_SYSTEM = (
     'You are a leaf-category candidate retriever. Return exactly one JSON object with key "candidates". '
@@ -42,8 +44,10 @@ def display_names(registry: DataFrame) -> DataFrame:
 
 
 def choice_ids(registry: DataFrame, order: str = "ord") -> DataFrame:
-    """registry with choice_id "1".."N" in its order. A registry has a few hundred rows, so one small partition ranks it."""
-    return registry.withColumn("choice_id", F.row_number().over(Window.orderBy(order)).cast("string"))
+    """registry with choice_id "1".."N" in its order. One partition ranks it, so more than MOST_RANKED rows raise."""
+    ranked = registry.limit(MOST_RANKED + 1).withColumn("_n", F.row_number().over(Window.orderBy(order)))
+    checked = F.when(F.col("_n") > MOST_RANKED, F.raise_error(F.lit(f"over {MOST_RANKED} choices"))).otherwise(F.col("_n"))
+    return ranked.withColumn("choice_id", checked.cast("string")).drop("_n")
 
 
 def candidate_bundle(truth: Column, ids: list[str], source_id: Column) -> Column:

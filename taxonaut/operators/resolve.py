@@ -88,6 +88,18 @@ def status_counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("resolution_status").agg(F.count("*").alias("n"))
 
 
+def canonical_report(resolved: DataFrame) -> DataFrame:
+    """(section, name, n): rows of each status in the section "status", and for missing_leaf, path_mismatch and code_unresolved the rows of each leaf, id and leaf.
+
+    One scan and one aggregation give all counters.
+    """
+    status = F.col("resolution_status")
+    name = F.when(status.isin("missing_leaf", "code_unresolved"), F.col("leaf")).when(status == "path_mismatch", F.col("category_id"))
+    section = lambda said, what: F.struct(said.alias("section"), what.alias("name"))
+    counters = F.array(section(F.lit("status"), status), F.when(status.isin("missing_leaf", "path_mismatch", "code_unresolved"), section(status, F.coalesce(name, F.lit("")))))
+    return resolved.select(F.explode(counters).alias("c")).where("c is not null").groupBy("c.section", "c.name").agg(F.count("*").alias("n"))
+
+
 def coverage(resolved: DataFrame, *by: str) -> DataFrame:
     """One row, or one for each value of `by`: covered, uncovered, skipped, and the covered share of what has an id (0 where nothing has)."""
     status = F.col("resolution_status")

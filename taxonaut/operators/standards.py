@@ -123,6 +123,20 @@ def registry_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "category_id", "full_outer").where(F.col("_l").isNull() | F.col("_r").isNull()).select(F.when(F.col("_l"), "left").otherwise("right").alias("side"), "category_id")
 
 
+def information_loss(categories: DataFrame, registry: DataFrame, depth: int) -> DataFrame:
+    """One row: what a registry (category_id) that kept `depth` parts of paths lost of a standard's categories (category_id unique, path, level).
+
+    standard and registry ids, those on one side only, categories with longer and shorter paths, with any path, and with a level.
+    """
+    ids = registry.select(F.col("category_id").alias("_id")).where("_id is not null").distinct()
+    met = categories.where(F.col("category_id").isNotNull()).join(ids, F.col("category_id") == F.col("_id"), "full_outer")
+    own, size = F.col("category_id").isNotNull(), F.coalesce(F.size("path"), F.lit(0))
+    return met.agg(
+        F.count_if(own).alias("standard_categories"), F.count("_id").alias("registry_ids"), F.count_if(F.col("_id").isNull()).alias("standard_only"), F.count_if(~own).alias("registry_only"),
+        F.count_if(own & (size > depth)).alias("deeper"), F.count_if(own & (size <= depth)).alias("at_depth"), F.count_if(own & (size > 0)).alias("with_path"), F.count_if(own & (F.coalesce("level", F.lit("")) != "")).alias("with_level"),
+    )
+
+
 def level_distribution(entries: DataFrame) -> DataFrame:
     """Per level ('' for none): entries and different categories."""
     return entries.groupBy(F.coalesce("level", F.lit("")).alias("level")).agg(F.count("*").alias("n"), F.count_distinct("category_id").alias("categories"))

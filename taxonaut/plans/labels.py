@@ -523,3 +523,68 @@ def entry_paths(spark, sf_dir):
     words = profile.vocabulary(table(spark, sf_dir, "nation").select(F.concat(F.lit("类"), F.col("n_nationkey").cast("string")).alias("a"), F.lit("").alias("b")), ["a", "b"])
     found = profile.entry_paths(table(spark, sf_dir, "supplier").select("s_suppkey", raw.alias("raw")), "s_suppkey", "raw", words)
     return found.select("s_suppkey", F.array_join("path", ">").alias("path"), "leaf")
+
+
+@query(f"""WITH {RESOLVED} SELECT 'status' AS section, resolution_status AS name, CAST(count(*) AS BIGINT) AS n FROM resolved GROUP BY 2
+  UNION ALL SELECT 'missing_leaf', level_4, count(*) FROM resolved WHERE resolution_status = 'missing_leaf' GROUP BY 2
+  UNION ALL SELECT 'path_mismatch', category_id, count(*) FROM resolved WHERE resolution_status = 'path_mismatch' GROUP BY 2""")
+def canonical_report(spark, sf_dir):
+    return resolve.canonical_report(_resolved(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey // 2 AS k, p_name, p_size FROM part WHERE p_partkey // 2 % 11 <> 0)
+  SELECT '.T' || (k % 3) || '.f' || k AS key, CASE WHEN k % 7 = 0 THEN 'unlabeled' ELSE 'labeled' END AS label_status, 'f' || k AS field_name, 'STRING' AS field_type, first(p_name ORDER BY p_partkey) AS description,
+    CASE WHEN k % 7 = 0 THEN '' ELSE 'top' || (k % 5) END AS level_1, CASE WHEN k % 7 = 0 THEN '' ELSE '叶' || (k % 9) END AS level_4, CASE WHEN k % 7 = 0 THEN '' ELSE 'L' || (k % 4 + 1) END AS data_level FROM p GROUP BY k""")
+def preprocessed_records(spark, sf_dir):
+    """Two raw rows a field, written differently but labelled alike; every eleventh field without a name, every seventh without a label."""
+    k, odd = F.floor(F.col("p_partkey") / 2), F.col("p_partkey") % 2 == 1
+    text_of = lambda x: x.cast("string")
+    labelled = lambda x: F.when(k % 7 != 0, x)
+    raw = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.lit("T"), text_of(k % 3), F.when(odd, " ").otherwise("")).alias("t"), F.when(k % 11 != 0, F.concat(F.when(odd, "\u3000").otherwise(""), F.lit("f"), text_of(k))).alias("f"), F.when(odd, "VARCHAR2(8)").otherwise("char").alias("ty"),
+        F.col("p_name").alias("d"), labelled(F.concat(F.lit("top"), text_of(k % 5))).alias("l1"), labelled(F.concat(F.lit("叶"), text_of(k % 9), F.when(odd, "（A1-1）").otherwise(""))).alias("l4"), labelled(F.concat(F.when(odd, "level").otherwise("L"), text_of(k % 4 + 1))).alias("g"),
+    )
+    mapping = {"t": "table_name", "f": "field_name", "ty": "field_type", "d": "field_description", "l1": "level_1", "l4": "level_4", "g": "data_level"}
+    found = preprocess.preprocess(raw, mapping, "part.csv", "p_partkey")
+    return found.select("key", "label_status", "metadata.field_name", "metadata.field_type", F.col("metadata.field_description").alias("description"), "classification.level_1", "classification.level_4", "data_level")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'B' || p_size WHEN 2 THEN 'A7-2' END AS category_id, CASE p_partkey % 4 WHEN 0 THEN 'g:B' || p_size WHEN 2 THEN 'g:A7-2' END AS standard_entry_id,
+  CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 3 THEN '' ELSE p_name END AS name, CASE p_partkey % 4 WHEN 1 THEN 'no_code' WHEN 3 THEN 'empty_leaf' END AS issue FROM part""")
+def catalogue_entries(spark, sf_dir):
+    """A code catalogue whose leaves are blank, without a code, coded, or at the level above."""
+    k = F.col("p_partkey") % 4
+    leaf = F.when(k == 1, F.col("p_name")).when(k == 2, F.concat("p_name", F.lit(" [A7-2]"))).otherwise(" ")
+    higher = F.when(k == 0, F.concat("p_type", F.lit("（B"), F.col("p_size").cast("string"), F.lit("）"))).otherwise("")
+    return standards.build_catalog(table(spark, sf_dir, "part").select("p_partkey", leaf.alias("leaf"), higher.alias("up")), "g", "leaf", "up", "p_partkey")
+
+
+@query(f"""WITH {_STANDARD}, b AS (SELECT CASE WHEN label_status = 'unlabeled' OR level_4 = 'red widget' THEN 'unresolved' WHEN s.category_id IS NULL THEN 'missing'
+  WHEN list_contains(levels, data_level) THEN 'matched' ELSE 'mismatched' END AS bucket FROM records r LEFT JOIN standard s ON r.category_id = s.category_id),
+  n AS (SELECT CAST(count(*) AS BIGINT) AS samples, CAST(count(*) FILTER (bucket = 'matched') AS BIGINT) AS matched, CAST(count(*) FILTER (bucket = 'mismatched') AS BIGINT) AS mismatched, CAST(count(*) FILTER (bucket = 'missing') AS BIGINT) AS missing,
+    CAST(0 AS BIGINT) AS unavailable, CAST(count(*) FILTER (bucket = 'unresolved') AS BIGINT) AS unresolved FROM b)
+  SELECT *, round_even(matched::DOUBLE / (samples - unresolved)::DOUBLE, 4) AS match_rate FROM n""")
+def alignment_summary(spark, sf_dir):
+    return standards.alignment_report(standards.align(_samples(spark, sf_dir), _standard(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split, lang, CASE WHEN doc_id % 10 > 7 AND doc_id % 3 = 0 THEN 'kept ' || (doc_id % 10) ELSE source END AS source FROM documents),
+  l AS (SELECT 'lang' AS field, split, coalesce(lang, '') AS label FROM d UNION ALL SELECT 'source', split, source FROM d)
+  SELECT field, split, label, CAST(count(*) AS BIGINT) AS n FROM l WHERE split <> 'train' AND (field, label) NOT IN (SELECT (field, label) FROM l WHERE split = 'train') GROUP BY ALL""")
+def labels_outside_training(spark, sf_dir):
+    key = F.col("doc_id") % 10
+    docs = table(spark, sf_dir, "documents").select(
+        F.when(key == 8, "val").when(key == 9, "test").otherwise("train").alias("split"), "lang", F.when((key > 7) & (F.col("doc_id") % 3 == 0), F.concat(F.lit("kept "), key.cast("string"))).otherwise(F.col("source")).alias("source")
+    )
+    return splits.missing_labels(docs, "split", ["lang", "source"])
+
+
+@query("""WITH s AS (SELECT p_brand || '.' || p_name AS id, min(p_size) AS size FROM part WHERE p_size > 10 GROUP BY 1), r AS (SELECT DISTINCT p_brand || '.' || p_name AS id FROM part WHERE p_size < 40)
+  SELECT CAST(count(s.id) AS BIGINT) AS standard_categories, CAST(count(r.id) AS BIGINT) AS registry_ids, CAST(count(*) FILTER (r.id IS NULL) AS BIGINT) AS standard_only, CAST(count(*) FILTER (s.id IS NULL) AS BIGINT) AS registry_only,
+    CAST(count(*) FILTER (size % 3 = 2) AS BIGINT) AS deeper, CAST(count(*) FILTER (size % 3 < 2) AS BIGINT) AS at_depth, CAST(count(*) FILTER (size % 3 > 0) AS BIGINT) AS with_path, CAST(count(*) FILTER (size % 2 = 0) AS BIGINT) AS with_level FROM s FULL JOIN r ON s.id = r.id""")
+def information_loss(spark, sf_dir):
+    """What a registry with paths of one part lost of a standard whose paths have none to two."""
+    part = table(spark, sf_dir, "part").select(F.concat_ws(".", "p_brand", "p_name").alias("category_id"), "p_size")
+    size = F.min("p_size")
+    categories = part.where("p_size > 10").groupBy("category_id").agg(F.array_repeat(F.lit("x"), (size % 3).cast("int")).alias("path"), F.when(size % 2 == 0, "L1").alias("level"))
+    return standards.information_loss(categories, part.where("p_size < 40"), 1)
