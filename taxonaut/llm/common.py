@@ -179,25 +179,6 @@ def hash_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray
     return hashes, np.diff(np.concatenate([[0], upto]))
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered for up to `limit` words."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def held_out(doc_id: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus = 1; a null id is in no fold."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == 1, F.lit(False))

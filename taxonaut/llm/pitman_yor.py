@@ -19,7 +19,7 @@ number (slots of a hash), so their totals are arrays summed between jobs:
    stored as they come; requests are then dealt to their shards part by part, documents stay where they are;
 2. shards sum the counts and learn each context's customers and distinct words in the whole corpus;
 3. shards sample seatings and send restaurant totals;
-4. shards sample the same seatings again (same seeds), and with the summed totals answer each block's pairs
+4. with the tables of their samples and the summed totals shards answer each block's pairs
    with averaged log probabilities; blocks add them up by document.
 
 Sweeps see a context's tables as one for each distinct word in other shards and as they are in their own, and the
@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taxonaut.llm.common import WordHashes, cut, cut_in_place, forget, shared_folder, stored, words_of
+from taxonaut.llm.common import cut, cut_in_place, forget, shared_folder, stored, words_of
 
 LAST_SLOTS = 64
 PAIR_SLOTS = 64
@@ -59,24 +59,38 @@ HELD_PAIRS = 2_000_000
 MARKS = b".,;:!?*$%&#|\"'()"
 END = b"\n"  # no word holds a line feed
 
-_hashes = WordHashes()
+#: Words that a worker remembers between blocks.
+KNOWN_WORDS = 500_000
 
 
-class Contexts(dict):
-    """Restaurant of the word that follows: last character's slot and the pair's slot."""
+class Vocabulary(dict):
+    """Numbers of words, in the order in which they were met, with the hash of each and the class of the context that it makes for the word that follows."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
+        self.classes: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
+        import xxhash
+
+        self[word] = number = len(self)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
         stem = word.rstrip(MARKS) or word
         tail = stem.decode("utf-8", "replace")[-2:]
         last = zlib.crc32(tail[-1:].encode("utf-8", "replace")) % LAST_SLOTS
-        self[word] = value = last * PAIR_SLOTS + zlib.crc32(tail[:1].encode("utf-8", "replace")) % PAIR_SLOTS
-        return value
+        self.classes.append(last * PAIR_SLOTS + zlib.crc32(tail[:1].encode("utf-8", "replace")) % PAIR_SLOTS)
+        return number
+
+    def forget(self) -> None:
+        """Start anew once there are too many words; numbers given before hold no longer."""
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+            self.hashes, self.classes = [], []
 
 
 RESTAURANTS = LAST_SLOTS * PAIR_SLOTS
-_contexts = Contexts()
+_vocabulary = Vocabulary()
 _START = zlib.crc32(b"start") % RESTAURANTS
 #: A context's number: 40 bits of its word's hash above its two-character restaurant.
 CLASS_BITS = 12
@@ -124,14 +138,24 @@ def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _encode_block(block, shards: int, block_id: int):
-    """(shard, kind, block id, data) rows of a block [(doc_id, learn, hashes, contexts)]: requests, and of kind 1 the documents."""
+def _encode_block(block, words: Vocabulary, shards: int, block_id: int):
+    """(shard, kind, block id, data) rows of a block [(doc_id, learn, numbers of words)]: requests, and of kind 1 the documents."""
     size = np.array([len(x[2]) for x in block], np.int64)
-    word = np.concatenate([x[2] for x in block])
-    contexts, context = np.unique(np.concatenate([x[3] for x in block]), return_inverse=True)
+    number = np.concatenate([x[2] for x in block])
+    # Words and contexts are told apart once for each different word.
+    seen = np.nonzero(np.bincount(number, minlength=len(words)))[0]
+    hashes = np.array(words.hashes, np.uint64)[seen]
+    own_contexts = _context_ids(hashes, np.array(words.classes, np.int64)[seen])
+    contexts, context_of = np.unique(np.append(own_contexts, np.uint64(_START)), return_inverse=True)
+    unique, word_of = np.unique(hashes, return_inverse=True)
+    place = np.zeros(len(words), np.int64)
+    place[seen] = np.arange(len(seen))
+    number = place[number]
+    word_at = word_of[number]
+    context = np.append(0, context_of[number[:-1]])
+    context[np.cumsum(size) - size] = context_of[-1]
     learn = np.repeat(np.array([x[1] for x in block], bool), size)
-    unique, word_at = np.unique(word, return_inverse=True)
-    pair, index = np.unique(word_at.astype(np.int64) * len(contexts) + context, return_inverse=True)
+    pair, index = np.unique(word_at * len(contexts) + context, return_inverse=True)
     count = np.bincount(index, weights=learn, minlength=len(pair)).astype(np.uint32)
     first = np.searchsorted(pair // len(contexts), np.arange(len(unique) + 1))
     # Shards are ranges of the hash, so words, and with them pairs, stay in order.
@@ -160,16 +184,15 @@ def _encode(shards: int):
         numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
         def out():
-            rows = list(_encode_block(block, shards, next(numbers)))
+            rows = list(_encode_block(block, _vocabulary, shards, next(numbers)))
+            _vocabulary.forget()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["shard", "kind", "block", "data"])
 
         for batch in batches:
             for doc_id, text, learn in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = words_of(text.as_py(), lower=True)
                 words.append(END)
-                hashes = _hashes.of(words)
-                contexts = _context_ids(hashes, np.fromiter(map(_contexts.__getitem__, words), np.int64, len(words)))
-                block.append((doc_id, bool(learn), hashes, np.concatenate([np.array([_START], np.uint64), contexts[:-1]])))
+                block.append((doc_id, bool(learn), np.fromiter(map(_vocabulary.__getitem__, words), np.int32, len(words))))
                 tokens += len(words)
                 if tokens >= BLOCK_TOKENS:
                     yield out()
@@ -283,6 +306,12 @@ class WordShard(Shard):
     def by_context(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.context3, weights=values, minlength=len(self.contexts)).astype(np.int64)
 
+    def samples(self, data: bytes) -> list[tuple[np.ndarray, ...]]:
+        """Samples as word_seatings() gave them, from their tables: customers of a parent are its children's tables."""
+        tables = [t.astype(np.int64) for t in _unpack(data, *["u4"] * (4 * SAMPLES))]
+        count = lambda up, t, n: np.bincount(up, weights=t, minlength=n).astype(np.int64)
+        return [(t3, count(self.up2, t3, len(self.key)), t2, count(self.up1, t2, len(self.rest1)), t1, count(self.up0, t1, len(self.words)), t0) for t3, t2, t1, t0 in zip(*(tables[i::4] for i in range(4)))]
+
     def word_seatings(self, seed: int, scale: float, kinds: np.ndarray):
         """Samples of tables (t3, c2, t2, c1, t1, c0, t0); kinds: distinct words of each context in the whole corpus."""
         rng = np.random.default_rng(seed)
@@ -469,15 +498,16 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
         shard = left.column("shard")[0].as_py()
         own = WordShard([d for _, _, d in _rows(left)])
         kinds = _answers(_rows(right), 2, 2)[1]
-        out, k3 = [(-1, 0, 0, int(own.count.sum()), len(own.words))], [np.zeros(len(own.contexts), np.int64)] * SAMPLES
+        out, k3, drawn = [(-1, 0, 0, int(own.count.sum()), len(own.words))], [np.zeros(len(own.contexts), np.int64)] * SAMPLES, []
         if len(own.words):
             for m, (t3, c2, t2, c1, t1, c0, t0) in enumerate(own.word_seatings(shard, float(shards), kinds)):
                 k3[m] = own.by_context(t3)
+                drawn += [t.astype("u4") for t in (t3, t2, t1, t0)]
                 for level, rest, slots, c, t in ((2, own.rest2, RESTAURANTS, c2, t2), (1, own.rest1, LAST_SLOTS, c1, t1)):
                     nn, kk = (np.bincount(rest, weights=x, minlength=slots) for x in (c, t))
                     out += [(level, m, int(s), int(nn[s]), int(kk[s])) for s in np.nonzero(nn)[0]]
                 out.append((0, m, 0, int(c0.sum()), int(t0.sum())))
-        return _table([*_dealt(own, shard, shards, *k3), (shard, 1, shard, np.array(out, "<i8").tobytes())])
+        return _table([*_dealt(own, shard, shards, *k3), (shard, 1, shard, np.array(out, "<i8").tobytes()), (shard, 4, shard, _pack(*drawn))])
 
     def apart(batches):
         for batch in batches:
@@ -497,7 +527,7 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
         else:
             n[r["level"]][r["sample"], r["slot"]], k[r["level"]][r["sample"], r["slot"]] = r["n"], r["k"]
     shared = spark.sparkContext.broadcast((n, k, tokens, words))
-    told = cut(known.unionByName(_summed(sent.where("kind = 0"), SAMPLES, 3)))
+    told = cut(_union([known, _summed(sent.where("kind = 0"), SAMPLES, 3), sent.where("kind = 4")]))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         """A block's pairs: log10 of the averaged probability, and the training counts of its words."""
@@ -508,9 +538,9 @@ def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataF
         shard, rows = left.column("shard")[0].as_py(), _rows(left)
         own = WordShard([d for _, _, d in rows])
         replies = _rows(right)
-        n3, kinds = _answers(replies, 2, 2)
+        n3 = _answers(replies, 2, 2)[0]
         k3 = _answers(replies, 3, SAMPLES)
-        samples = list(own.word_seatings(shard, float(shards), kinds)) if len(own.words) else []
+        samples = own.samples(next(data for kind, _, data in replies if kind == 4)) if len(own.words) else []
         # Probabilities of a word at the root and in parents, for words of the shard and (last row) unknown ones.
         new = [share[0][m, 0] / (words + 1) for m in range(SAMPLES)]
         root = [np.append((x[5] - DISCOUNT[0] * x[6]) / (STRENGTH[0] + n[0][m, 0]) + new[m], new[m]) for m, x in enumerate(samples)]
