@@ -29,6 +29,7 @@ vocabulary. The final probabilities use the exact totals of each sample.
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import uuid
@@ -68,8 +69,7 @@ class Vocabulary(dict):
 
     def __init__(self):
         super().__init__()
-        self.hashes: list[int] = []
-        self.classes: list[int] = []
+        self.hashes, self.classes = array.array("Q"), array.array("H")
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -86,7 +86,7 @@ class Vocabulary(dict):
         """Start anew once there are too many words; numbers given before hold no longer."""
         if len(self) > KNOWN_WORDS:
             self.clear()
-            self.hashes, self.classes = [], []
+            self.hashes, self.classes = array.array("Q"), array.array("H")
 
 
 RESTAURANTS = LAST_SLOTS * PAIR_SLOTS
