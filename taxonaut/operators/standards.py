@@ -56,6 +56,39 @@ def annotations(rows: DataFrame, key: Sequence[str], row: str, member: str, chun
     return met.select(*key, F.coalesce("_chunk", F.lit(0)).alias("chunk"), "start_row", "end_row", "first_member", F.coalesce("items", none).alias("members"))
 
 
+def scoped_annotations(rows: DataFrame, domain: str, kinds: Sequence[str], entry: str = "standard_entry_id", chunk: int = CHUNK) -> DataFrame:
+    """Notes that hold for a scope of rows: rows (`entry`, row, a text for each of `kinds`, provenance as sources.workbooks gives it) as one annotation for each kind, text and scope.
+
+    The scope is the merged range, or the cell itself. Returns annotation_id (domain-kind-first row-last row), kind, text, source_cell, merged_range (null for a
+    cell), start_row, end_row, chunk and entry_ids, the sorted ids of the entries it holds for, at most `chunk` a row. Blank texts are no annotation.
+    """
+    each = [F.struct(F.lit(k).alias("kind"), text.clean(F.col(k)).alias("text"), F.col(f"provenance.{k}").alias("from")) for k in kinds]
+    said = rows.select(F.col(entry).alias("entry"), "row", F.explode(F.array(*each)).alias("n")).select("entry", "row", "n.*").where("text <> ''")
+    said = said.select("entry", "row", "kind", "text", "from.source_cell", "from.merged_range", F.coalesce("from.start_row", "row").alias("first"), F.coalesce("from.end_row", "row").alias("last")).withColumn("scope", F.coalesce("merged_range", "source_cell"))
+    key = ["kind", "text", "scope"]
+    spans = said.groupBy(*key).agg(F.min("first").alias("start_row"), F.max("last").alias("end_row"), F.min_by("source_cell", F.struct("first", "row")).alias("source_cell"), F.max("merged_range").alias("merged_range"))
+    members = chunked(said.select(*key, "entry"), key, ["entry"], "entry", chunk=chunk).select(*key, "chunk", F.col("items").alias("entry_ids"))
+    annotation_id = F.concat_ws("-", F.lit(domain), "kind", F.col("start_row").cast("string"), F.col("end_row").cast("string"))
+    return spans.join(members, key).select(annotation_id.alias("annotation_id"), "kind", "text", "source_cell", "merged_range", "start_row", "end_row", "chunk", "entry_ids")
+
+
+def path_standard(rows: DataFrame, domain: str, kinds: Sequence[str] = ("remark", "department_opinion")) -> tuple[DataFrame, DataFrame]:
+    """Entries and scoped annotations of a standard of three levels and a leaf (level_1 to level_3, leaf, row, raw_level, texts of `kinds`, provenance).
+
+    An entry's own id is made of all four, its category_id, by which training data names it, leaves level_3 out: entries that
+    differ in level_3 alone share it. Rows without a leaf are left out; a repeated entry id, or annotation id, raises.
+    """
+    named = rows.where(text.clean(F.col("leaf")) != "")
+    entries = build_entries(named, domain, ["level_1", "level_2", "level_3", "leaf"], ["level_1", "level_2", "leaf"], "row", "raw_level")
+    if again := duplicated(entries).limit(5).collect():
+        raise ValueError(f"entry ids are repeated: {[r['standard_entry_id'] for r in again]}")
+    own = named.join(entries.select(F.col("row").alias("_row"), "standard_entry_id"), F.col("row") == F.col("_row")).drop("_row")
+    notes = scoped_annotations(own, domain, kinds)
+    if again := notes.where("chunk = 0").groupBy("annotation_id").count().where("count > 1").limit(5).collect():
+        raise ValueError(f"annotation ids are repeated: {[r['annotation_id'] for r in again]}")
+    return entries, notes
+
+
 def build_entries(rows: DataFrame, domain: str, levels: Sequence[str], identity: Sequence[str], order: str, level: str | None = None) -> DataFrame:
     """Lossless standard entries: standard_entry_id over all levels, category_id over `identity`, path, level, raw_level, issue.
 

@@ -75,3 +75,18 @@ def test_paths(spark):
     assert df.select(arrays.path_with_leaf(F.array().cast("array<string>"), F.lit("x"))).first()[0] == ["x"]
     assert df.select(arrays.suffix(F.array(F.lit("a"), F.lit("b")), F.lit(5))).first()[0] == "a / b"
     assert df.select(arrays.deepest_level([F.lit("a"), F.lit(" "), F.lit(None).cast("string")])).first()[0] == 0
+
+
+def test_fingerprints_and_choices_are_bounded(spark, monkeypatch):
+    from taxonaut.operators import choices
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, source string")
+    one = ids.fingerprint(rows, ["k"]).first()[0]
+    assert one == ids.fingerprint(rows.withColumn("source", F.lit("z")), ["k"]).first()[0] == ids.fingerprint(rows.drop("source"), ["k"]).first()[0]
+    assert one != ids.fingerprint(rows.withColumn("v", F.lit("z")), ["k"]).first()[0]
+    assert [r["choice_id"] for r in choices.choice_ids(rows, "k").orderBy("k").collect()] == ["1", "2"]
+    monkeypatch.setattr(ids, "MOST_ROWS", 1)
+    monkeypatch.setattr(choices, "MOST_RANKED", 1)
+    for work in (ids.fingerprint(rows, ["k"]), choices.choice_ids(rows, "k")):
+        with pytest.raises(Exception, match="over 1"):
+            work.collect()

@@ -107,6 +107,13 @@ def test_financial_standard(spark, tmp_path):
     levels = ["level_1", "level_2", "level_3", "leaf"]
     entries = {r["row"]: r for r in standards.build_entries(rows, "finance", levels, levels, "row", "raw_level").collect()}
     assert (entries[4]["category_id"], entries[4]["level"], entries[5]["level"], entries[6]["issue"]) == ("finance:客户.个人.身份.证件", "L4", "L2", "placeholder")
+    built, notes = standards.path_standard(rows, "finance")
+    assert {r["category_id"] for r in built.collect()} == {"finance:客户.个人.姓名", "finance:客户.个人.证件", "finance:客户.个人.电话", "finance:业务..——"}
+    assert [tuple(r) for r in notes.collect()] == [("finance-remark-3-5", "remark", "remark", "J3", "J3:J5", 3, 5, 0, sorted(["finance:客户.个人.身份.姓名", "finance:客户.个人.身份.证件", "finance:客户.个人.联系.电话"]))]
+    own = rows.withColumn("remark", F.when(F.col("row") == 6, "alone").otherwise(F.col("remark")))
+    assert {(r["annotation_id"], r["merged_range"]) for r in standards.path_standard(own, "f")[1].collect()} == {("f-remark-3-5", "J3:J5"), ("f-remark-6-6", None)}
+    with pytest.raises(ValueError, match="entry ids are repeated"):
+        standards.path_standard(rows.withColumn("leaf", F.lit("x")).withColumn("level_3", F.lit("")), "f")
     with pytest.raises(ValueError, match="no sheet"):
         workbooks.grading_catalogue(*workbooks.read_workbook(spark, path))
 
