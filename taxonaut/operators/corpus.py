@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taxonaut.functions import ids, text
 from taxonaut.operators.ordered import CHUNK, chunked
+from taxonaut.sources.writers import stored
 
 # Category texts that name nothing.
 MALFORMED = ("nan", "")
@@ -15,10 +16,11 @@ def documents(guide: DataFrame, dataset: str, order: str, label: str, content: s
     """Rows of a guide with label, document_id and first_row, the first row with the same label and content.
 
     Rows without label or content are skipped (see skipped()); a row is a duplicate if first_row differs from its own.
-    The first rows are found by aggregation with map-side combination, then joined back on the id.
+    Contents are cleaned and hashed once; the ids are stored, first rows found among them by aggregation with map-side
+    combination, and joined back on the id.
     """
     kept = guide.where(_usable(label, content)).select(order, text.strip_code(F.col(label)).alias("label"), text.clean(F.col(content)).alias("content"))
-    keyed = kept.withColumn("document_id", ids.document_id(F.lit(dataset), F.col("label"), F.col("content"))).drop("content")
+    keyed = stored(kept.withColumn("document_id", ids.document_id(F.lit(dataset), F.col("label"), F.col("content"))).drop("content"))
     first = keyed.groupBy("document_id").agg(F.min(order).alias("first_row"))
     return keyed.join(first, "document_id")
 
