@@ -66,7 +66,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL cannot express the stages; tests/llm holds run() against brute-force versions of them.
+#: SQL cannot express the stages. tests/llm holds the operators against brute force, planted cases against each stage, and run()'s count against the chained stages.
 ORACLE_SQL = None
 
 
