@@ -8,10 +8,12 @@ key, and chunks are the same for any partitioning.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from taxonaut.sources.writers import stored
 
@@ -83,3 +85,38 @@ def chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], item: st
         *[F.max(F.when(first, F.struct(value.alias("v")))).alias(name) for name, value in heads.items()],
     )
     return grouped.select(*keys, "chunk", F.transform("_items", lambda x: x["item"]).alias("items"), "total", *[F.col(name)["v"].alias(name) for name in heads])
+
+
+def digested(chunks: DataFrame, keys: Sequence[str], kept: Sequence[str], separator: str = ",", items: str = "items") -> DataFrame:
+    """(keys, kept, digest): one row for each key of chunked(), the columns `kept` of its chunk 0 and the SHA-256 of all its items (texts; nulls are passed over) joined.
+
+    Chunks pass in order and only the running digest is held, so the list of a key is never put together.
+    """
+    joined = F.array_join(F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(separator), x)), "")
+    lined = chunks.select(*keys, *kept, "chunk", joined.alias("_joined")).repartition(*keys).sortWithinPartitions(*keys, "chunk")
+    heads = [f for f in lined.schema.fields if f.name not in ("chunk", "_joined")]
+    skip = len(separator)
+
+    def run(batches):
+        import pyarrow as pa
+
+        head = digest = None
+        fresh = True
+        for batch in batches:
+            done, digests = [], []
+            for i, (number, said) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("_joined"))):
+                if number == 0:
+                    if head is not None:
+                        done.append(head)
+                        digests.append(digest.hexdigest())
+                    head, digest, fresh = batch.select([f.name for f in heads]).slice(i, 1), hashlib.sha256(), True
+                if text := said.as_py():
+                    digest.update((text[skip:] if fresh else text).encode())
+                    fresh = False
+            if done:
+                rows = pa.Table.from_batches(done).combine_chunks()
+                yield from rows.append_column("digest", pa.array(digests, pa.string())).to_batches()
+        if head is not None:
+            yield from pa.Table.from_batches([head]).append_column("digest", pa.array([digest.hexdigest()], pa.string())).to_batches()
+
+    return lined.mapInArrow(run, StructType([*heads, StructField("digest", StringType())]))

@@ -187,7 +187,10 @@ def first_labelled_part(spark, sf_dir):
 
 @query("SELECT p_brand, p_name, first(p_type ORDER BY p_partkey) AS description, array_to_string(list(p_type ORDER BY p_partkey)[2:], ',') AS descriptions, CAST(count(*) - 1 AS BIGINT) AS extra FROM part GROUP BY 1, 2")
 def aggregate_categories(spark, sf_dir):
-    return corpus.aggregate_categories(table(spark, sf_dir, "part"), ["p_brand", "p_name"], "p_partkey", "p_type").drop("chunk").withColumn("descriptions", F.array_join("descriptions", ","))
+    """One row a category, as its result asks for: texts of chunks put together in order."""
+    found = corpus.aggregate_categories(table(spark, sf_dir, "part"), ["p_brand", "p_name"], "p_partkey", "p_type").withColumn("said", F.array_join("descriptions", ","))
+    whole = found.groupBy("p_brand", "p_name").agg(F.max("description").alias("description"), F.array_sort(F.collect_list(F.when(F.size("descriptions") > 0, F.struct("chunk", "said")))).alias("said"), F.max("extra").alias("extra"))
+    return whole.select("p_brand", "p_name", "description", F.array_join(F.transform("said", lambda x: x["said"]), ",").alias("descriptions"), "extra")
 
 
 HOT_CHUNK = 50
@@ -457,8 +460,10 @@ def _dictionary(spark, sf_dir):
 
 
 def _flat(built):
-    """Corpus rows with arrays as texts; descriptions as a digest."""
-    return built.select("category_id", "name", "description", F.array_join("path", ">").alias("path"), F.coalesce("code", F.lit("")).alias("code"), F.sha2(F.array_join("descriptions", ","), 256).alias("descriptions"), "extra")
+    """One row a category of any size, with arrays as texts; descriptions as a digest over all chunks."""
+    flat = built.withColumns({"path": F.array_join("path", ">"), "code": F.coalesce("code", F.lit(""))})
+    whole = ordered.digested(flat, ["category_id"], ["name", "description", "path", "code", "extra"], items="descriptions")
+    return whole.select("category_id", "name", "description", "path", "code", F.col("digest").alias("descriptions"), "extra")
 
 
 _FLAT = "first(name ORDER BY p_partkey) AS name, first(p_brand ORDER BY p_partkey) AS description, first(path ORDER BY p_partkey) AS path, first(code ORDER BY p_partkey) AS code, sha256(coalesce(array_to_string(list(p_brand ORDER BY p_partkey)[2:], ','), '')) AS descriptions, CAST(count(*) - 1 AS BIGINT) AS extra"

@@ -1,11 +1,13 @@
 """Places within keys, lists in chunks, and points inside of ranges, against plain Python."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from taxonaut.operators import corpus, ordered, ranges, standards
+from taxonaut.plans import labels
 
 
 def test_places_do_not_depend_on_partitions(spark):
@@ -87,3 +89,23 @@ def test_merged_grid(spark):
     assert got[("s", 2, 2)] == ("group", 2, 2, 2, 4, False) and got[("s", 3, 2)] == got[("s", 4, 2)] == ("group", 2, 2, 2, 4, True)
     assert got[("s", 2, 3)] == ("plain", 2, 3, None, None, False) and got[("t", 3, 2)] == ("other", 3, 2, None, None, False)
     assert got[("s", 5, 9)] == (None, 3, 2, 3, 9, True) and len(got) == 7
+
+
+def test_digest_of_a_list_in_many_chunks_is_that_of_the_whole(spark):
+    rows = [(k, i, "" if i % 4 == 3 or (k == "gap" and 4 < i < 16) else f"é{i}") for k, n in (("hot", 50), ("gap", 20), ("one", 1), ("blank", 0)) for i in range(n)]
+    entries = spark.createDataFrame(rows, "category_id string, order int, description string").repartition(4).select("*", F.lit("n").alias("name"), F.array(F.lit("p"), F.lit("q")).alias("path"), F.lit(None).cast("string").alias("code"))
+    for chunk in (4, 7, 1000):
+        found = {r["category_id"]: r for r in labels._flat(corpus.build_corpus(entries, chunk)).collect()}
+        assert set(found) == {"hot", "gap", "one"}
+        for k, r in found.items():
+            said = [d for key, i, d in rows if key == k and i and d]
+            assert (r["descriptions"], r["description"], r["path"], r["code"]) == (hashlib.sha256(",".join(said).encode()).hexdigest(), "é0", "p>q", "")
+            assert r["extra"] == len([x for x in rows if x[0] == k]) - 1
+    assert labels._flat(corpus.build_corpus(entries.limit(0))).count() == 0
+
+
+def test_a_category_of_many_chunks_is_one_row_of_the_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "aggregate_categories", lambda *a, f=corpus.aggregate_categories: f(*a, 3))
+    spark.range(20).selectExpr("id as p_partkey", "'b' as p_brand", "'n' as p_name", "concat('t', id) as p_type").write.parquet(f"{tmp_path}/part.parquet")
+    (r,) = labels.aggregate_categories(spark, str(tmp_path)).collect()
+    assert (r["description"], r["descriptions"], r["extra"]) == ("t0", ",".join(f"t{i}" for i in range(1, 20)), 19)
