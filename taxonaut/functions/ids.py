@@ -61,12 +61,23 @@ def permuted(items: Column, source_id: Column, size: int) -> Column:
     if not 1 < size < 7:
         raise ValueError("sizes from 2 to 6 are tabulated")
     digest = F.sha2(source_id.cast("string"), 256)
-    pick = F.lit(0)
-    for i in range(size - 1, 0, -1):
-        byte = F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
-        pick = pick * (i + 1) + byte % (i + 1)
+    # Bytes 1 to size - 1 as one number; the digest, then order and items, are worked out once a row.
+    number = F.conv(F.substring(digest, 3, 2 * (size - 1)), 16, 10).cast("long")
     table = F.array(*[F.array(*[F.lit(k) for k in order]) for order in _orders(size)])
-    return F.transform(F.get(table, pick), lambda k: F.get(items, k))
+
+    def order(n: Column) -> Column:
+        pick = F.lit(0).cast("long")
+        for i in range(size - 1, 0, -1):
+            pick = pick * (i + 1) + F.shiftright(n, 8 * (size - 1 - i)).bitwiseAND(F.lit(255).cast("long")) % (i + 1)
+        return F.get(table, pick.cast("int"))
+
+    placed = lambda x: F.when(x["order"].isNotNull(), F.array(*[F.get(x["items"], F.get(x["order"], F.lit(i))) for i in range(size)]))
+    return _bound(F.struct(_bound(number, order).alias("order"), items.alias("items")), placed)
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 #: Rows that one fingerprint may cover: they meet in one row.

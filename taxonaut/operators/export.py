@@ -69,7 +69,8 @@ def dataset_source(dataset: str) -> Column:
 
 def _errors(checks: list[tuple[Column, str]]) -> Column:
     """What is said of the checks that fail, in order; a check that a null leaves open fails."""
-    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(said)) for bad, said in checks]), lambda e: e.isNotNull())
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(F.coalesce(bad, F.lit(True)), F.array(F.lit(said))).otherwise(none) for bad, said in checks])
 
 
 def _sample_checks(registry: list[str], stage: Column, source: Column, truth: Column, candidates: Column) -> list[tuple[Column, str]]:
@@ -84,14 +85,29 @@ def _sample_checks(registry: list[str], stage: Column, source: Column, truth: Co
     ]
 
 
-def _with_expected(rows: DataFrame, source: Column, stage: Column, expected: DataFrame) -> DataFrame:
-    """Rows beside what stage_rows() gives for their sample and stage, null where there is none."""
-    again = expected.select(F.struct("system", "user", "answer", "truth", "metadata").alias("_e"), F.col("source_id").alias("_source"), F.col("stage").alias("_stage"))
-    return rows.join(again, (source == F.col("_source")) & (stage == F.col("_stage")), "left")
+#: What rows and the samples built anew must agree in; what is said where they do not.
+_AGREE = {"truth": "ground truth is not the sample's", "system": "system prompt differs", "user": "user prompt differs", "answer": "answer differs", "metadata": "metadata differ"}
 
 
-def _differs(x: Column, y: Column) -> Column:
-    return ~x.eqNullSafe(y)
+def _digest(name: str, x: Column) -> Column:
+    return x if name == "truth" else F.unhex(F.sha2(x, 256))
+
+
+def _against(rows: DataFrame, source: Column, stage: Column, checks: list[tuple[Column, str]], texts: dict[str, Column], expected: DataFrame) -> DataFrame:
+    """source_id, stage and errors of faulty rows: `checks` of a row, then its `texts` (by _AGREE) against what stage_rows() gives for its sample and stage.
+
+    Texts meet as SHA-256 digests, and checks are worked out before, so neither prompts nor answers move.
+    """
+    own = rows.select(source.alias("source_id"), stage.alias("stage"), _errors(checks).alias("_own"), F.struct(*[_digest(name, x).alias(name) for name, x in texts.items()]).alias("_r"))
+    again = expected.select(F.col("source_id").alias("_source"), F.col("stage").alias("_stage"), F.struct(*[_digest(name, F.col(name)).alias(name) for name in texts]).alias("_e"))
+    met = own.join(again, (F.col("source_id") == F.col("_source")) & (F.col("stage") == F.col("_stage")), "left")
+    differ = [(~F.col(f"_r.{name}").eqNullSafe(F.col(f"_e.{name}")), said) for name, said in _AGREE.items() if name in texts]
+    return met.select("source_id", "stage", F.concat("_own", _errors([(F.col("_e").isNull(), "no such sample"), *differ])).alias("errors")).where(F.size("errors") > 0)
+
+
+def _blank(messages: str) -> Column:
+    """A message has no more than white space (told at its first other character, as a rule)."""
+    return F.exists(messages, lambda m: ~m["content"].rlike(text.NOT_SPACE))
 
 
 def check_sft(rows: DataFrame, registry: list[str], expected: DataFrame) -> DataFrame:
@@ -100,26 +116,18 @@ def check_sft(rows: DataFrame, registry: list[str], expected: DataFrame) -> Data
     `expected` (stage_rows() of the samples) holds the prompts and answers built anew: messages must equal them, so
     stage 1 answers the candidates and stage 2 the truth. Null fields are errors.
     """
-    rows = _with_expected(rows, rows["source_id"], rows["stage"], expected)
     content = lambda i: F.get(F.col("messages"), F.lit(i))["content"]
-    sample = _sample_checks(registry, F.col("stage"), F.col("source_id"), F.col("ground_truth"), F.col("candidates"))
     checks = [
-        (F.transform("messages", lambda m: m["role"]) != F.array(*[F.lit(r) for r in ("system", "user", "assistant")]), "roles must be system, user, assistant"),
-        (F.exists("messages", lambda m: text.strip(m["content"]) == ""), "blank message"),
-        *sample,
-        (F.col("_e").isNull(), "no such sample"),
-        (_differs(F.col("ground_truth"), F.col("_e.truth")), "ground truth is not the sample's"),
-        (_differs(content(0), F.col("_e.system")), "system prompt differs"),
-        (_differs(content(1), F.col("_e.user")), "user prompt differs"),
-        (_differs(content(2), F.col("_e.answer")), "answer differs"),
-        (_differs(F.col("metadata"), F.col("_e.metadata")), "metadata differ"),
+        (F.col("messages.role") != F.array(*[F.lit(r) for r in ("system", "user", "assistant")]), "roles must be system, user, assistant"),
+        (_blank("messages"), "blank message"),
+        *_sample_checks(registry, F.col("stage"), F.col("source_id"), F.col("ground_truth"), F.col("candidates")),
     ]
-    return rows.select("source_id", "stage", _errors(checks).alias("errors")).where(F.size("errors") > 0)
+    texts = {"truth": F.col("ground_truth"), "system": content(0), "user": content(1), "answer": content(2), "metadata": F.col("metadata")}
+    return _against(rows, F.col("source_id"), F.col("stage"), checks, texts, expected)
 
 
 def check_rl(rows: DataFrame, registry: list[str], source: str, expected: DataFrame, ability: str = "classification") -> DataFrame:
     """source_id, stage and errors (in check order) of reinforcement rows that break the contract; empty for a good export. `expected` as for check_sft()."""
-    rows = _with_expected(rows, rows["extra_info"]["source_id"], rows["extra_info"]["stage"], expected)
     info, truth = F.col("extra_info"), F.col("reward_model")["ground_truth"]
     content = lambda i: F.get(F.col("prompt"), F.lit(i))["content"]
     # Only the second stage shows its candidates.
@@ -130,16 +138,12 @@ def check_rl(rows: DataFrame, registry: list[str], source: str, expected: DataFr
         (F.col("data_source") != source, "unknown data source"),
         (F.col("ability") != ability, "unknown ability"),
         (F.col("reward_model")["style"] != "rule", "unknown reward style"),
-        (F.transform("prompt", lambda m: m["role"]) != F.array(F.lit("system"), F.lit("user")), "roles must be system, user"),
-        (F.exists("prompt", lambda m: text.strip(m["content"]) == ""), "blank message"),
+        (F.col("prompt.role") != F.array(F.lit("system"), F.lit("user")), "roles must be system, user"),
+        (_blank("prompt"), "blank message"),
         *sample,
-        (F.col("_e").isNull(), "no such sample"),
-        (_differs(truth, F.col("_e.truth")), "ground truth is not the sample's"),
-        (_differs(content(0), F.col("_e.system")), "system prompt differs"),
-        (_differs(content(1), F.col("_e.user")), "user prompt differs"),
-        (_differs(info["metadata"], F.col("_e.metadata")), "metadata differ"),
     ]
-    return rows.select(info["source_id"].alias("source_id"), info["stage"].alias("stage"), _errors(checks).alias("errors")).where(F.size("errors") > 0)
+    texts = {"truth": truth, "system": content(0), "user": content(1), "metadata": info["metadata"]}
+    return _against(rows, info["source_id"], info["stage"], checks, texts, expected)
 
 
 def unpaired(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small tables: status order, contracts, splits, scoring, exports."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,6 +149,10 @@ def test_export_and_checks(spark):
     staged = export.stage_rows(rows, ids, [f"name {c}" for c in ids], corpus_rows, {"v": F.col("v")})
     sft = export.sft_rows(staged)
     assert sft.count() == 4 and export.check_sft(sft, ids, staged).isEmpty()
+    # Prompts and answers do not move: rows and samples meet by digests.
+    optimized = export.check_sft(sft, ids, staged)._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].split(":- ", 1)[1]
+    assert re.match(r"Project \[source_id#\d+", optimized) and not re.search(r"[\[ ](messages|system|user|answer)#\d+[,\]]", optimized.split("\n")[0])
+    assert set(export.check_sft(sft.withColumn("messages", F.transform("messages", lambda m: m.withField("content", F.concat(m["content"], F.lit("x"))))), ids, staged).first()["errors"]) == {"system prompt differs", "user prompt differs", "answer differs"}
     bad = sft.withColumn("ground_truth", F.lit("Z"))
     assert export.check_sft(bad, ids, staged).first()["errors"][0] == "ground truth is not in the registry"
     nulls = sft.withColumns({c: F.lit(None).cast(sft.schema[c].dataType) for c in ("stage", "messages", "ground_truth", "metadata")})
