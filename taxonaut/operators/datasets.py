@@ -1,7 +1,7 @@
-"""Exports of whole datasets: split join, rows of both stages, counts and files from one job.
+"""Exports of whole datasets: split join, rows of both stages, counts and files.
 
 Canonical rows and split members meet in one full outer join by id. Counts are metrics observed on its result while
-it is written. Nothing is shuffled behind the join, so they are counted in the stage that writes, where a task that is
+it is written, without prompts; those are then made and written a split at a time. Nothing is shuffled behind the join, so they are counted in the stage that writes, where a task that is
 run again counts once. Faults raise inside that job. Files are staged and take their place only when all went well.
 """
 
@@ -112,10 +112,10 @@ def export_dataset(canonical: DataFrame, members: DataFrame, catalogue: Catalogu
     metrics = [F.count_if((fate == f) & (split == s)).alias(f"{f}_{s}") for f in ("exported", "skipped") for s in SPLITS]
     metrics += [F.count_if(once & (fate == f)).alias(f) for f in ("exported", "outside", "nameless")]
     seen = joined(canonical, members, catalogue).observe(counts, *metrics)
-    staged_rows = export.stage_rows(seen.where(fate == "exported"), list(catalogue.ids), list(catalogue.displays), catalogue.corpus, metadata, ["split"])
-    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    exported = seen.where(fate == "exported").select("source_id", "truth", "split", *[c.cast("string").alias(f"_m{i}") for i, c in enumerate(metadata.values())])
+    staging, narrow = (f"{at}-{uuid.uuid4().hex}" for at in (f"{path}.staging", f"{writers.scratch_folder(spark)}/exported"))
     try:
-        make_rows(staged_rows).write.partitionBy("split").parquet(staging)
+        exported.write.parquet(narrow)
         n = counts.get
         if empty := [s for s in SPLITS if not n[f"exported_{s}"]]:
             raise ValueError(f"no resolved rows in {', '.join(empty)}")
@@ -128,10 +128,17 @@ def export_dataset(canonical: DataFrame, members: DataFrame, catalogue: Catalogu
             "trainable_resolved": n["exported"],
             "resolved_outside_splits": n["outside"],
         }
+        # Prompts are made a split at a time as they are written: sorted by split, they would fill a task's memory.
+        for s in SPLITS:
+            here = spark.read.schema(exported.schema).parquet(narrow).where(split == s)
+            staged = export.stage_rows(here, list(catalogue.ids), list(catalogue.displays), catalogue.corpus, {name: F.col(f"_m{i}") for i, name in enumerate(metadata)}, ["split"])
+            make_rows(staged).drop("split").write.parquet(f"{staging}/split={s}")
         writers.write_text(spark, f"{staging}/{REPORT}", json.dumps(report, ensure_ascii=False, indent=2))
     except BaseException:
         writers.delete(spark, staging)
         raise
+    finally:
+        writers.delete(spark, narrow)
     writers.publish_staged(spark, {path: staging}, overwrite)
     return report
 

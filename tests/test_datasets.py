@@ -259,3 +259,15 @@ def test_split_datasets_report_and_publish(spark, tmp_path):
     for wrong in ({"order": "id", "group": "g"}, {}, {"order": "id", "missing": "drop"}, {"order": "id", "ratios": (0.0, 0.5, 0.5)}):
         with pytest.raises(ValueError):
             splits.split_dataset(rows, str(tmp_path / "x"), ["l"], **wrong)
+
+
+def test_prompts_are_written_a_split_at_a_time(spark, catalogue, tmp_path):
+    """A write of prompts by split sorts them; of one split, it does not."""
+    seen = []
+
+    def rows(stages):
+        seen.append(sorted(r[0] for r in stages.select("split").distinct().collect()))
+        return datasets.sft(stages)
+
+    datasets.export_dataset(*frames(spark, GOOD, MEMBERS), catalogue, {"note": F.col("note")}, str(tmp_path / "out"), rows)
+    assert seen == [["train"], ["val"], ["test"]]
