@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taxonaut.functions import nested
 from taxonaut.operators import census, choices, contract, conversations, datasets, export, rft, scoring
-from taxonaut.plans.tables import REGISTRY, query, records, registry, table
+from taxonaut.plans.tables import REGISTRY, query, records, registry, spread, table
 from taxonaut.sources import writers
 
 NATIONS = 25  # fixed size of the nation table: the registry of the order queries
@@ -34,7 +34,7 @@ def _orders(spark, sf_dir):
     """Orders as samples: the truth is the customer's nation."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", F.col("o_orderkey").cast("string").alias("source_id"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("truth"))
-    return rows.withColumn("candidates", choices.candidate_bundle(F.col("truth"), _nation_ids(), F.col("source_id")))
+    return spread(rows).withColumn("candidates", choices.candidate_bundle(F.col("truth"), _nation_ids(), F.col("source_id")))
 
 
 def _swap(i: int) -> str:
@@ -482,7 +482,7 @@ def rl_dataset_contract(spark, sf_dir):
 
 def _items(spark, sf_dir):
     """Parts as nested items: some fields null, every ninth without a label."""
-    p = records(spark, sf_dir)
+    p = spread(records(spark, sf_dir))
     bare = F.col("row_no") % 9 == 0
     level = lambda c: F.when(bare, "").otherwise(F.col(c))
     metadata = [F.col("level_2").alias("table_name"), F.col("level_4").alias("field_name"), F.when(F.col("row_no") % 4 == 0, F.col("level_1")).alias("field_description")]
@@ -541,7 +541,7 @@ def dictionary_census(spark, sf_dir):
     size = F.when(kind == 1, "null").otherwise(F.col("p_size").cast("string"))
     tags = F.array_join(F.array_repeat(F.lit('"x"'), (F.col("p_size") % 4).cast("int")), ",")
     text_ = F.concat(F.lit('{"key":'), F.col("p_partkey").cast("string"), F.lit(',"size":'), size, F.lit(',"tags":['), tags, F.lit("]"), more, F.lit("}"))
-    return census.census(table(spark, sf_dir, "part").select(F.parse_json(text_).alias("v")), "v").withColumn("kinds", F.array_join("kinds", ","))
+    return census.census(spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.parse_json(text_).alias("v")), "v").withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query("SELECT CAST(CASE WHEN p_size % 3 = 0 THEN 1 ELSE p_size % 3 + 1 END AS INT) AS depth, CAST(count(*) AS BIGINT) AS n, min(CASE p_size % 3 WHEN 0 THEN 'A' || p_size WHEN 1 THEN 'A' || p_size || '-1' ELSE 'A' || p_size || '-1-2' END) AS first FROM part WHERE p_size % 10 <> 0 GROUP BY 1")

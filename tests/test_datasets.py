@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxonaut.operators import choices, contract, datasets, export, ordered, splits
+from taxonaut.plans import training
 from taxonaut.sources import writers
 
 CANONICAL = "id string, resolution_status string, target struct<leaf_level:string,leaf_name:string,category_id:string,category_path:array<string>>, note string, split string"
@@ -261,6 +262,11 @@ def test_split_datasets_report_and_publish(spark, tmp_path):
             splits.split_dataset(rows, str(tmp_path / "x"), ["l"], **wrong)
 
 
+def test_small_files_are_worked_on_by_all_cores(spark):
+    sf = "/root/testdata/sf0.001"
+    assert training._items(spark, sf).rdd.getNumPartitions() >= 16 and training._orders(spark, sf).rdd.getNumPartitions() >= 16
+
+
 def test_prompts_are_written_a_split_at_a_time(spark, catalogue, tmp_path):
     """A write of prompts by split sorts them; of one split, it does not."""
     seen = []
