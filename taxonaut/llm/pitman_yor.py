@@ -148,15 +148,28 @@ def _encode_block(block, words: Vocabulary, shards: int, block_id: int):
     own_contexts = _context_ids(hashes, np.array(words.classes, np.int64)[seen])
     contexts, context_of = np.unique(np.append(own_contexts, np.uint64(_START)), return_inverse=True)
     unique, word_of = np.unique(hashes, return_inverse=True)
-    place = np.zeros(len(words), np.int64)
+    place = np.zeros(len(words), np.int32)
     place[seen] = np.arange(len(seen))
     number = place[number]
-    word_at = word_of[number]
-    context = np.append(0, context_of[number[:-1]])
+    context = np.zeros(len(number), np.int32)
+    context[1:] = context_of.astype(np.int32)[number[:-1]]
     context[np.cumsum(size) - size] = context_of[-1]
-    learn = np.repeat(np.array([x[1] for x in block], bool), size)
-    pair, index = np.unique(word_at * len(contexts) + context, return_inverse=True)
-    count = np.bincount(index, weights=learn, minlength=len(pair)).astype(np.uint32)
+    # Arrays as long as the block go as soon as they are used.
+    pair_of = word_of[number]
+    del number
+    pair_of *= len(contexts)
+    pair_of += context
+    del context
+    order = np.argsort(pair_of).astype(np.uint32)
+    pair_of = pair_of[order]
+    new = np.ones(len(order), bool)
+    new[1:] = pair_of[1:] != pair_of[:-1]
+    pair = pair_of[new]
+    del pair_of
+    count = np.add.reduceat(np.repeat(np.array([x[1] for x in block], bool), size)[order], np.nonzero(new)[0], dtype=np.uint32)
+    index = np.empty(len(order), np.uint32)
+    index[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    del order, new
     first = np.searchsorted(pair // len(contexts), np.arange(len(unique) + 1))
     # Shards are ranges of the hash, so words, and with them pairs, stay in order.
     shard = (unique >> np.uint64(48)).astype(np.int64) * shards >> 16
@@ -172,7 +185,7 @@ def _encode_block(block, words: Vocabulary, shards: int, block_id: int):
     ids = np.array([x[0] if x[0] is not None else 0 for x in block], np.int64)
     null = np.array([x[0] is None for x in block], np.uint8)
     flags = np.array([x[1] for x in block], np.uint8)
-    yield block_id % shards, 1, block_id, _pack(ids, null, flags, size, index.astype(np.uint32))
+    yield block_id % shards, 1, block_id, _pack(ids, null, flags, size, index)
 
 
 def _encode(shards: int):
